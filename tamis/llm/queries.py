@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, token_counts
-from tamis.llm.runtime import table
+from tamis.llm import byte_bpe, hilbert_shards, line_dedup, secret_scan, sql, token_counts, url_rules
+from tamis.llm.runtime import table, written
 
 TOKEN_LIMIT = 2048
+SHARDS, CURVE_BITS = 16, 5
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, each blob scanned once. The blob ledger adds no kinds of spans to the base ones."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = secret_scan.joined_spans(F.col("findings"))
+    counts = [secret_scan.count_kind(F.col("findings"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, spans.alias("spans")).select("*", F.sha2("spans", 256).alias("base_sha256"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three or more documents dropped, but in the largest doc_id."""
+    deduped = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the fixed rules; urls without a rule are allowed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts, with the texts over the limit marked."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,9 +63,31 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 runs along a Hilbert curve over size, language and source; counts differ by one at most."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    rows = written(table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), crc.alias("text_crc32"), "lang", "source"))
+    dims = [
+        hilbert_shards.logarithmic(F.col("size"), CURVE_BITS, 1 << 24),
+        hilbert_shards.category(F.col("lang"), CURVE_BITS),
+        hilbert_shards.category(F.col("source"), CURVE_BITS),
+    ]
+    placed = hilbert_shards.assign(rows, dims, SHARDS, CURVE_BITS, [F.col("text_crc32"), F.col("doc_id")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_url_rules": op5_url_rules,
     "op7_token_counts": op7_token_counts,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": sql.SECRET_SCAN,
+    "op4_line_dedup": sql.LINE_DEDUP,
+    "op5_url_rules": sql.URL_RULES,
+}
