@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 from array import array
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from tamis.llm.bpe import Merges, Transducer
 from tamis.llm.runtime import map_rows
 
 #: Pieces up to so many characters are remembered, so many of them a worker.
-MEMO_CHARS, MEMO_PIECES = 48, 250_000
+MEMO_CHARS, MEMO_PIECES = 48, 800_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -39,20 +39,22 @@ class Encoder:
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece, as 32-bit integers."""
         text = piece.encode().decode("latin-1")
         whole = self.ids.get(text)
-        return (whole,) if whole is not None else tuple(map(self.ids.__getitem__, self.transducer.run(text)))
+        return array("i", (whole,) if whole is not None else map(self.ids.__getitem__, self.transducer.run(text))).tobytes()
 
-    def encode(self, text: str | None) -> array:
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text."""
         if not text:
-            return array("i")
+            return np.empty(0, np.int32)
         pieces, memo = self.find(text), self.memo
         for piece in set(pieces).difference(memo):
             memo[piece] = self.piece(piece)
-        ids = array("i", chain.from_iterable(map(memo.__getitem__, pieces)))
+        ids = np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
         if len(memo) > MEMO_PIECES:
             memo.clear()
         elif len(text) > 1000:
@@ -115,8 +117,11 @@ class Decoder:
             except UnicodeDecodeError:
                 self.whole[rank] = None
 
-    def decode(self, ids: list[int] | None) -> str:
-        parts = list(map(self.whole.__getitem__, ids or ()))
+    def decode(self, ids: np.ndarray | None) -> str:
+        if ids is None or not len(ids):
+            return ""
+        ids = ids.tolist()
+        parts = list(map(self.whole.__getitem__, ids))
         if None not in parts:
             return "".join(parts)
         stream = Utf8Stream()
@@ -146,11 +151,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         encoder = _kept(Encoder, content.value, pattern)
 
         def work(texts):
-            offsets, values = array("i", [0]), array("i")
-            for t in texts:
-                values += encoder.encode(t)
-                offsets.append(len(values))
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+            made = [encoder.encode(t) for t in texts]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
+            values = np.concatenate(made) if made else np.empty(0, np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
 
         return work
 

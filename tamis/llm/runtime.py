@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: A side goes out as a broadcast only if its rows, counted after it was written, take at most this.
 BROADCAST_BYTES = 8 << 20
+#: Rows are handled in slices of about this size in Python, which bounds a worker's memory.
+SLICE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,8 +53,8 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], start: Callable[[], Callable[..., list]], drop: list[str] | None = None) -> DataFrame:
     """df with new columns computed from the columns named in inputs, in Arrow batches.
 
-    start() runs once a task and returns a function from one Python list for each input to one list or
-    Arrow array for each new field. Columns in drop aren't returned. A new field replaces a column of its name.
+    start() runs once a task and returns a function from the values of each input to one list or Arrow array
+    for each new field; batches are cut to about SLICE_BYTES first. Columns in drop aren't returned. A new field replaces a column of its name.
     """
     new = [f.name for f in fields]
     keep = [f for f in df.schema.fields if f.name not in {*new, *(drop or [])}]
@@ -62,14 +64,25 @@ def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], star
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            made = work(*(batch.column(c).to_pylist() for c in inputs))
-            made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(made, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names)
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE_BYTES // max(whole.nbytes, 1))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                made = work(*(column_rows(batch.column(c)) for c in inputs))
+                made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(made, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names)
 
     return df.select(*dict.fromkeys([*(f.name for f in keep), *inputs])).mapInArrow(run, schema)
 
 
+def column_rows(column: pa.Array) -> Iterable:
+    """The values of a column; those of an array column as numpy arrays made one at a time."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    offsets, values, valid = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
+    return (values[a:b] if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True))
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     """The Arrow type of the few Spark types that the operators return."""
     simple = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tamis.llm.bpe import END, Merges, PrefixCounts
 from tamis.llm.runtime import map_rows
 
-MEMO_CHARS, MEMO_WORDS = 48, 250_000
+MEMO_CHARS, MEMO_WORDS = 48, 1_000_000
 #: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
 LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
