@@ -5,8 +5,8 @@ enough and stands in min_docs documents or more go, except in the largest docume
 the rest are put together again by position.
 
 The counts hold one row for each key and document at most and are combined before they are shuffled, so a
-line of a third of all documents is no hot spot. What is dropped from a document is a list as long as its
-lines; texts are shuffled only if those lists exceed the broadcast limit.
+line of a third of all documents is no hot spot. Hashes and positions are written once, without the texts;
+what is dropped from a text is a list of positions, joined to it in one shuffle.
 
 Null and empty texts are one empty line. Rows with a null id are one document, smaller than all others. Rows
 with the same id are one document for the counts, and each keeps its own text. Other columns pass through
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.runtime import BROADCAST_BYTES, ascii_lower, broadcast_if_small, written
+from tamis.llm.runtime import ascii_lower, broadcast_if_small, written
 
 #: The characters stripped at both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -35,36 +35,37 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
-def _exploded(df: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """doc, a, b: one row for each line with a key that counts."""
-    lines = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    keys = lines.select("doc", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc", key_hash(F.col("key")).alias("h")).select("doc", "h.a", "h.b")
+def _row_key(text: Column, doc_id: Column) -> list[Column]:
+    """What tells rows apart: the id, and 128 bits of the text."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(LEAST_ID)).alias("__doc"), F.xxhash64(text).alias("__ta"), F.xxhash64(F.lit(1), text).alias("__tb")]
 
 
-def repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def hashed_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20) -> DataFrame:
+    """__doc, __ta, __tb, pos, a, b: one row for each line with a key that counts."""
+    rows = df.select(*_row_key(F.col(text), F.col(doc_id)), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    keys = rows.select("__doc", "__ta", "__tb", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("__doc", "__ta", "__tb", "pos", key_hash(F.col("key")).alias("h")).select("__doc", "__ta", "__tb", "pos", "h.a", "h.b")
+
+
+def repeated_lines(lines: DataFrame, min_docs: int = 3) -> DataFrame:
     """a, b, n_docs, last: the hashes of the keys over the threshold, and the largest document that holds each."""
-    counted = _exploded(df, text, doc_id, min_chars).groupBy("a", "b").agg(F.countDistinct("doc").alias("n_docs"), F.max("doc").alias("last"))
-    return counted.where(F.col("n_docs") >= min_docs)
+    return lines.groupBy("a", "b").agg(F.countDistinct("__doc").alias("n_docs"), F.max("__doc").alias("last")).where(F.col("n_docs") >= min_docs)
 
 
 def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, min_docs: int = 3, kept: str = "kept") -> DataFrame:
     """df with the text that is left, n_lines before and n_dropped."""
-    repeated = broadcast_if_small(written(repeated_lines(df, text, doc_id, min_chars, min_docs).select("a", "b", "last")), 24)
-    hits = _exploded(df, text, doc_id, min_chars).join(repeated, ["a", "b"]).where(F.col("doc") != F.col("last"))
-    drops = written(hits.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("__drops")))
-    weight = drops.agg(F.sum(32 + 24 * F.size("__drops"))).first()[0] or 0
-    drops = drops.withColumnRenamed("doc", "__doc")
+    lines = written(hashed_lines(df, text, doc_id, min_chars))
+    repeated = broadcast_if_small(written(repeated_lines(lines, min_docs).select("a", "b", "last")), 24)
+    hits = lines.join(repeated, ["a", "b"]).where(F.col("__doc") != F.col("last"))
+    drops = hits.groupBy("__doc", "__ta", "__tb").agg(F.collect_set("pos").alias("__drops"))
     names = [c for c in df.columns if c not in (kept, "n_lines", "n_dropped")]
-    rows = df.select(*(F.col(c) for c in names), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("__key"))
-    joined = rows.join(F.broadcast(drops) if weight <= BROADCAST_BYTES else drops, F.col("__key") == F.col("__doc"), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    dropped = F.col("__drops")
-    stay = lambda line: ~((F.length(line_key(line)) >= min_chars) & F.array_contains(dropped, key_hash(line_key(line))))
-    split = joined.select(*names, F.size(lines).alias("n_lines"), F.when(dropped.isNotNull(), F.filter(lines, stay)).alias("__stay"))
-    return split.select(
+    rows = df.select(*(F.col(c) for c in names), F.coalesce(F.col(text), F.lit("")).alias("__text"), *_row_key(F.col(text), F.col(doc_id)))
+    joined = rows.join(drops, ["__doc", "__ta", "__tb"], "left")
+    lines = F.split("__text", "\n")
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("__drops", i))
+    return joined.select(
         *names,
-        F.when(F.col("__stay").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join("__stay", "\n")).alias(kept),
-        F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(F.col("__stay").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__stay")).cast("long").alias("n_dropped"),
+        F.when(F.col("__drops").isNull(), F.col("__text")).otherwise(F.array_join(stay, "\n")).alias(kept),
+        (F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
