@@ -5,9 +5,9 @@ the Hilbert curve and cut into runs of equal row counts, so that a file's range
 and readers can skip files.
 
 Ranks are exact without a global sort in one task: rows are counted by cell (their number is bounded by the
-bits, not by the data), cells of many rows are split by a hash into parts of about rows_per_part, parts are
-ordered by cell and hash, and rows get their numbers within their part. A cell of a third of all rows becomes
-many parts.
+bits, not by the data), cells of many rows are split by a hash into parts of a few thousandths of all rows at
+most, parts are ordered by cell and hash, and rows get their numbers within their part. A cell of a third of
+all rows becomes many parts, and the number of parts is bounded.
 
 Dimensions that are null fall into cell 0 of their dimension. Rows that agree in all tie columns are
 interchangeable. An empty table gives an empty result. Other columns pass through; earlier columns of the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.runtime import broadcast_if_small, written
 
-ROWS_PER_PART = 50_000
+LEAST_PART_ROWS, MOST_SPLITS = 1_000, 4_096
 
 
 def category(column: Column, bits: int) -> Column:
@@ -69,17 +69,18 @@ def with_curve(df: DataFrame, dims: list[Column], bits: int, name: str = "curve"
     return rows.select("*", index.alias(name)).drop("__turned", "__parity", *(f"__x{i}" for i in range(n)))
 
 
-def assign(df: DataFrame, dims: list[Column], shards: int, bits: int, tie: list[Column], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def assign(df: DataFrame, dims: list[Column], shards: int, bits: int, tie: list[Column]) -> DataFrame:
     """df with curve, shard and slot: counts differ by one at most, slots are gapless from 0 along the curve."""
     names = [c for c in df.columns if c not in ("curve", "shard", "slot")]
     placed = with_curve(df.select(*names, F.xxhash64(*tie).alias("__hash"), F.struct(*tie).alias("__tie")), dims, bits)
     cells = written(placed.groupBy(F.col("curve").alias("__cell")).agg(F.count("*").alias("__rows")))  # 2 ** (bits * dims) rows at most
+    total = cells.agg(F.sum("__rows")).first()[0] or 1
+    rows_per_part = max(LEAST_PART_ROWS, math.ceil(total / MOST_SPLITS))
     parted = placed.join(broadcast_if_small(cells, 24), F.col("curve") == F.col("__cell"))
     parted = parted.withColumn("__part", F.pmod(F.col("__hash"), F.ceil(F.col("__rows") / rows_per_part))).drop("__cell", "__rows", "__hash")
     counts = parted.groupBy("curve", "__part").agg(F.count("*").alias("__rows"))
     before = Window.orderBy("curve", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(counts.select(F.col("curve").alias("__curve"), F.col("__part").alias("__p"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset")))
-    total = cells.agg(F.sum("__rows")).first()[0] or 1
     own = F.row_number().over(Window.partitionBy("curve", "__part").orderBy("__tie"))
     ranked = parted.withColumn("__own", own).join(broadcast_if_small(offsets, 32), (F.col("curve") == F.col("__curve")) & (F.col("__part") == F.col("__p")))
     ranked = ranked.withColumn("__rank", F.col("__offset") + F.col("__own") - 1)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, hilbert_shards, line_dedup, secret_scan, sql, token_counts, url_rules
+from tamis.llm import byte_bpe, decontaminate, hilbert_shards, line_dedup, quality, secret_scan, simhash, sql, token_counts, url_rules
 from tamis.llm.runtime import table, written
 
 TOKEN_LIMIT = 2048
@@ -51,6 +51,12 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the base verdict, and the weakly supervised one."""
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "votes", "p_good")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts, with the texts over the limit marked."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +69,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and the components of those within three bits."""
+    grouped = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=3)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside windows of benchmark items, and the items found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 runs along a Hilbert curve over size, language and source; counts differ by one at most."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -82,7 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_rules": op5_url_rules,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
