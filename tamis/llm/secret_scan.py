@@ -63,7 +63,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.when(F.size(f"m{n}") > 0, numbered)
 
     parts = found.select("blob", *(cells(n, r).alias(f"c{n}") for n, r in enumerate(rules)))
-    rows = parts.select("blob", F.explode(F.flatten(F.array_compact(F.array(*(f"c{n}" for n in range(len(rules))))))).alias("c")).select("blob", "c.i", "c.x.*")
+    rows = parts.select("blob", F.explode_outer(F.flatten(F.array_compact(F.array(*(f"c{n}" for n in range(len(rules))))))).alias("c")).select("blob", "c.i", "c.x.*")
     before = Window.partitionBy("blob", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).where("counts")
     span = F.struct((F.col("end") - F.col("size")).cast("long").alias("start"), "kind_no", F.col("end").cast("long").alias("end"), "kind")
