@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, hilbert_shards, line_dedup, quality, secret_scan, simhash, sql, token_counts, url_rules
+from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_dedup, quality, secret_scan, simhash, sql, token_counts, url_rules
 from tamis.llm.runtime import table, written
 
 TOKEN_LIMIT = 2048
@@ -31,6 +31,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop_page=True)
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, each blob scanned once. The blob ledger adds no kinds of spans to the base ones."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,6 +103,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
