@@ -268,3 +268,110 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     named = placed.groupBy("root").agg(F.min("least").alias(name))
     labels = placed.join(named, "root").select(F.col("fp").alias("__fp"), name)
     return marked.join(labels, F.col("fp") == F.col("__fp")).select(*(c for c in names if c != text), "fp", name)
+
+
+# -- near duplicates by similarity ------------------------------------------------------------------------
+
+#: Bits of a wide fingerprint, and the min-hash bands by which wide fingerprints are dealt to shards.
+WIDE_WORDS, BANDS, BAND_ROWS = 4, 10, 2
+#: Odd multipliers of a 64-bit mix, from the golden ratio and from SplitMix64.
+GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n-th independent hash made from 64-bit hashes (SplitMix64)."""
+    z = hashes + np.uint64((n + 1) * GOLDEN & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(MIX_A)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(MIX_B)
+    return z ^ z >> np.uint64(31)
+
+
+def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS, margin: float = 1.0) -> int:
+    """The distance that sets of this Jaccard similarity keep to, up to `margin` standard deviations.
+
+    Equal-sized sets of Jaccard similarity j have a cosine of 2 j / (1 + j), and a bit differs with the angle's
+    share of a half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + margin * math.sqrt(bits * share * (1 - share)))
+
+
+def signature(text: str | None, words: int) -> tuple[list[int], list[int]]:
+    """The words of the wide fingerprint, and a key for each band; of the set of the text's shingles."""
+    hashes = np.unique(shingle_hashes(text, words))
+    if not len(hashes):
+        return [0] * WIDE_WORDS, [0] * BANDS
+    wide = [majority(mixed(hashes, n)) for n in range(WIDE_WORDS)]
+    least = [int(mixed(hashes, WIDE_WORDS + n).min()) for n in range(BANDS * BAND_ROWS)]
+    keys = [xxhash.xxh64_intdigest(np.array(least[n * BAND_ROWS : (n + 1) * BAND_ROWS], "<u8").tobytes(), n) for n in range(BANDS)]
+    return wide, keys
+
+
+def with_signatures(df: DataFrame, text: str, words: int) -> DataFrame:
+    """df without its text, with f0, f1, ... and keys."""
+    names = [f"f{n}" for n in range(WIDE_WORDS)]
+
+    def start():
+        def work(texts):
+            made = [signature(t, words) for t in texts]
+            wide = np.array([w for w, _ in made], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            keys = np.array([k for _, k in made], np.uint64).reshape(-1, BANDS).view(np.int64)
+            offsets = np.arange(0, (len(made) + 1) * BANDS, BANDS, dtype=np.int32)
+            return [*(wide[:, n].copy() for n in range(WIDE_WORDS)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))]
+
+        return work
+
+    fields = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return map_rows(df, [text], fields, start, [text])
+
+
+def run_edges(rows: DataFrame, key: str, ident: str, names: list[str], radius: int) -> DataFrame:
+    """u, v: a spanning forest of the links among rows of the same key; rows are dealt and sorted by key, runs of one cost nothing."""
+
+    def link(batches):
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = batch[key].iloc[-1] if len(batch) else None
+            whole = batch[key] != last
+            held, batch = batch[~whole], batch[whole]
+            yield edges_of(batch)
+        if held is not None:
+            yield edges_of(held)
+
+    def edges_of(batch: pd.DataFrame) -> pd.DataFrame:
+        keys = batch[key].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.empty(0, np.int64)
+        points = np.ascontiguousarray(batch[names].to_numpy(np.int64)).view(np.uint64)
+        ids, u, v = batch[ident].to_numpy(np.int64), [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                for i, j in forest(points[a:b], radius):
+                    u.append(ids[a + i])
+                    v.append(ids[a + j])
+        return pd.DataFrame({"u": u, "v": v}, dtype=np.int64)
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(link, "u long, v long").where("u <> v")
+
+
+def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(classes, stars): the smallest id of each different signature, and node, root for those that join a smaller one.
+
+    At this similarity shingle fingerprints differ in so many bits that no vantage point of all documents tells
+    anything apart: a tree would send every document everywhere. So shards come from min-hash bands, in which
+    documents of the similarity meet but for a chance of (1 - s ** BAND_ROWS) ** BANDS (4 in 100,000 at 0.8);
+    within a shard the links are found by the trees as above, on fingerprints of 64 * WIDE_WORDS bits.
+    """
+    names = [f"f{n}" for n in range(WIDE_WORDS)]
+    marked = with_signatures(df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "text", words)
+    classes = written(marked.groupBy(*names, "keys").agg(F.min("id").alias("id")))
+    dealt = classes.select("id", *names, F.explode("keys").alias("key"))
+    return classes, components(run_edges(dealt, "key", "id", names, radius_for(similarity)))
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df but those whose near-duplicate group has a smaller id. Rows with a null id stay."""
+    classes, stars = similar_groups(df, text, doc_id, words, similarity)
+    stay = classes.select(F.col("id").alias("__id")).join(stars.select(F.col("node").alias("__id")), "__id", "left_anti").distinct()
+    named = df.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id).cast("long") == F.col("__id"), "left_semi")
+    return named.unionByName(df.where(F.col(doc_id).isNull()))
