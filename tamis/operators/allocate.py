@@ -31,12 +31,17 @@ def softmax_allocation(strata: DataFrame, budget: str | int, group: tuple[str, .
     rows = rows.withColumn("z", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"]))
     rows = rows.withColumn("s", F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["name"].alias("name"), (x["e"] / F.col("z")).alias("p"))))
 
+    # each stratum's p with the sum of p from it on, added from the end: the last one's share is then exactly 1
+    ahead = F.struct(F.lit(0.0).alias("sum"), _empty("array<struct<size:bigint,name:string,p:double,rest:double>>").alias("out"))
+    grow = lambda a, x: F.struct((a["sum"] + x["p"]).alias("sum"), F.concat(F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), x["p"].alias("p"), (a["sum"] + x["p"]).alias("rest"))), a["out"]).alias("out"))
+    rows = rows.withColumn("s", F.aggregate(F.reverse("s"), ahead, grow)["out"])
+
     def visit(a: Column, x: Column) -> Column:
-        share = F.when(a["p"] > 0, F.floor(x["p"] / a["p"] * a["left"])).otherwise(F.lit(0).cast("long"))
+        share = F.when(x["rest"] > 0, F.floor(x["p"] / x["rest"] * a["left"])).otherwise(F.lit(0).cast("long"))
         take = F.when(x["size"] < F.floor(x["p"] * F.col("b")), x["size"]).otherwise(F.greatest(F.least(share, x["size"]), F.lit(0).cast("long")))
-        return F.struct((a["left"] - take).alias("left"), (a["p"] - x["p"]).alias("p"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), take.alias("take")))).alias("out"))
+        return F.struct((a["left"] - take).alias("left"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), take.alias("take")))).alias("out"))
 
-    start = F.struct(F.col("b").alias("left"), F.lit(1.0).alias("p"), _empty(TAKEN).alias("out"))
+    start = F.struct(F.col("b").alias("left"), _empty(TAKEN).alias("out"))
     rows = rows.withColumn("r", F.aggregate("s", start, visit))
     largest = F.array_sort("r.out", lambda a, b: F.when(a["size"] != b["size"], F.when(a["size"] > b["size"], -1).otherwise(1)).otherwise(F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)))
 

@@ -36,13 +36,17 @@ def softmax(tag: str, source: str) -> str:
     return f"""
 {tag}_e AS (SELECT grp, name, size, budget, exp(d - max(d) OVER (PARTITION BY grp)) AS e, row_number() OVER (PARTITION BY grp ORDER BY size, name) AS i FROM {source}),
 {tag}_p AS (SELECT grp, name, size, budget, i, e / sum(e) OVER (PARTITION BY grp) AS p FROM {tag}_e),
+{tag}_t AS (
+  SELECT grp, i, p, p AS pl FROM {tag}_p QUALIFY i = max(i) OVER (PARTITION BY grp)
+  UNION ALL
+  SELECT p.grp, p.i, p.p, t.pl + p.p FROM {tag}_t t JOIN {tag}_p p ON p.grp = t.grp AND p.i = t.i - 1),
 {tag}_r AS (
-  SELECT grp, 0 AS i, CAST(max(budget) AS BIGINT) AS rest, 1.0::DOUBLE AS pl, '' AS name, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS take FROM {tag}_p GROUP BY grp
+  SELECT grp, 0 AS i, CAST(max(budget) AS BIGINT) AS rest, '' AS name, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS take FROM {tag}_p GROUP BY grp
   UNION ALL
-  SELECT grp, i, rest - take, pl, name, size, take FROM (
-    SELECT r.grp, p.i, r.rest, r.pl - p.p AS pl, p.name, p.size,
-      CAST(CASE WHEN p.size < floor(p.p * p.budget) THEN p.size ELSE greatest(least(CASE WHEN r.pl > 0 THEN floor(p.p / r.pl * r.rest) ELSE 0 END, p.size), 0) END AS BIGINT) AS take
-    FROM {tag}_r r JOIN {tag}_p p ON p.grp = r.grp AND p.i = r.i + 1)),
+  SELECT grp, i, rest - take, name, size, take FROM (
+    SELECT r.grp, p.i, r.rest, p.name, p.size,
+      CAST(CASE WHEN p.size < floor(p.p * p.budget) THEN p.size ELSE greatest(least(CASE WHEN t.pl > 0 THEN floor(p.p / t.pl * r.rest) ELSE 0 END, p.size), 0) END AS BIGINT) AS take
+    FROM {tag}_r r JOIN {tag}_p p ON p.grp = r.grp AND p.i = r.i + 1 JOIN {tag}_t t ON t.grp = p.grp AND t.i = p.i)),
 {tag}_rest AS (SELECT grp, min(rest) AS rest FROM {tag}_r GROUP BY grp),
 {tag} AS (SELECT r.grp, r.name, r.size, CAST(take + greatest(0, least(r.size - take, x.rest - coalesce(sum(r.size - take) OVER (PARTITION BY r.grp ORDER BY r.size DESC, r.name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS take
   FROM {tag}_r r JOIN {tag}_rest x USING (grp) WHERE r.i > 0)"""
