@@ -24,7 +24,7 @@ from tamis.llm.bpe import Merges, Transducer
 from tamis.llm.runtime import map_rows
 
 #: Pieces up to so many characters are remembered, so many of them a worker.
-MEMO_CHARS, MEMO_PIECES = 48, 800_000
+MEMO_CHARS, MEMO_PIECES = 48, 600_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -142,6 +142,12 @@ def _kept(kind: type, content: bytes, *more: str):
     return _workers[key]
 
 
+def id_array(rows: list[np.ndarray]) -> pa.ListArray:
+    """The ids of several texts as one Arrow array."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
     """df with the ids of column text. The rank file is read on the driver and sent to the executors."""
     with open(ranks_path, "rb") as file:
@@ -150,13 +156,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def start():
         encoder = _kept(Encoder, content.value, pattern)
 
-        def work(texts):
-            made = [encoder.encode(t) for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
-            values = np.concatenate(made) if made else np.empty(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-
-        return work
+        return lambda texts: [id_array([encoder.encode(t) for t in texts])]
 
     return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], start, [text] if drop_text else None)
 
@@ -171,3 +171,20 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
         return lambda rows: [[decoder.decode(x) for x in rows]]
 
     return map_rows(df, [ids], [T.StructField(text, T.StringType())], start, [ids] if drop_ids else None)
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False) -> DataFrame:
+    """encode() and decode() of its ids in one pass, which spares the ids a way to the JVM and back and a second Python worker."""
+    with open(ranks_path, "rb") as file:
+        content = df.sparkSession.sparkContext.broadcast(file.read())
+
+    def start():
+        encoder, decoder = _kept(Encoder, content.value, pattern), _kept(Decoder, content.value)
+
+        def work(texts):
+            rows = [encoder.encode(t) for t in texts]
+            return [id_array(rows), [decoder.decode(r) for r in rows]]
+
+        return work
+
+    return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], start, [text] if drop_text else None)

@@ -22,8 +22,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, drop_text=True)
-    return byte_bpe.decode(ids, ranks).select(
+    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, drop_text=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
