@@ -29,6 +29,7 @@ class Merges:
         self.own = {t for t in ids if len(t) == 1 or self.merge(t) == [t]}
         self.starts = {t[:n] for t in self.own for n in range(1, len(t))}
         self.longest = max(map(len, self.own), default=1)
+        self._edges: dict[tuple[str, int], tuple[tuple[str, float], ...]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merges carried out as defined, lowest rank first, then leftmost. Only used on short texts."""
@@ -44,17 +45,41 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: str, side: int) -> tuple[tuple[str, float], ...]:
+        """The parts that stand at a token's left (0) or right (-1) end while it is merged, each with the highest rank merged until it goes (infinite for the token)."""
+        known = self._edges.get((token, side))
+        if known is None:
+            parts, found, highest = list(token), [], -1
+            while len(parts) > 1:
+                rank, at = min((r, i) for i in range(len(parts) - 1) if (r := self.order(parts[i], parts[i + 1])) is not None)
+                highest = max(highest, rank)
+                if at == (len(parts) - 2 if side else 0):
+                    found.append((parts[side], highest))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self._edges[token, side] = (*found, (token, float("inf")))
+        return known
+
     def fit(self, a: str | None, b: str) -> bool:
         """Whether tokens a and b stay apart when their texts meet; a is None at the start of a text."""
         if a is None:
             return True
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 300_000:
+            if len(self._pairs) > 100_000:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(a + b) == [a, b]
+            known = self._pairs[a, b] = self._fit(a, b)
         return known
 
+    def _fit(self, a: str, b: str) -> bool:
+        """A pair across the boundary can only merge if its rank isn't above all that is merged until one of its parts goes; only then the merges are carried out."""
+        order, left = self.order, self.edge(b, 0)
+        for x, until in self.edge(a, -1):
+            for y, gone in left:
+                rank = order(x, y)
+                if rank is not None and rank <= until and rank <= gone:
+                    return self.merge(a + b) == [a, b]
+        return True
+
 
 class Transducer:
     """Reads a text symbol by symbol and emits tokens once no continuation can change them.
@@ -67,7 +92,7 @@ class Transducer:
     only.
     """
 
-    def __init__(self, merges: Merges, max_states: int = 150_000):
+    def __init__(self, merges: Merges, max_states: int = 40_000):
         self.merges, self.max_states, self.window = merges, max_states, 4 * merges.longest
         self._clear()
 
@@ -76,42 +101,48 @@ class Transducer:
         self.known = {self.states[0]: 0}
         self.steps: list[dict[str, tuple[int, str]]] = [{}]
 
-    def _step(self, state: int, symbol: str) -> tuple[int, str]:
-        """The next state, and the token that ends here."""
-        own, starts, fit = self.merges.own, self.merges.starts, self.merges.fit
-        live, new = [], None
+    def _token(self, state: int, symbol: str) -> tuple[int, str]:
+        """The token that ends with symbol; the state after it is made only when a text goes on from there."""
+        own, fit = self.merges.own, self.merges.fit
         for text, last in self.states[state]:
             text += symbol
-            if new is None and text in own and fit(last, text):
-                new = text
-            if text in starts:
-                live.append((text, last))
-        if new is None:
-            raise ValueError(f"no token ends with {symbol!r}")
-        live.append(("", new))
-        key = tuple(live)
+            if text in own and fit(last, text):
+                step = self.steps[state][symbol] = -1, text
+                return step
+        raise ValueError(f"no token ends with {symbol!r}")
+
+    def _after(self, state: int, symbol: str) -> int:
+        """The state after a transition whose token is known."""
+        starts, token = self.merges.starts, self.steps[state][symbol][1]
+        key = (*((text + symbol, last) for text, last in self.states[state] if text + symbol in starts), ("", token))
         after = self.known.setdefault(key, len(self.states))
         if after == len(self.states):
             self.states.append(key)
             self.steps.append({})
-        step = self.steps[state][symbol] = after, new
-        return step
+        self.steps[state][symbol] = after, token
+        return after
 
     def run(self, text: str) -> list[str]:
         """The tokens of text."""
         if len(self.states) > self.max_states:
             self._clear()
         out: list[str] = []
-        state, steps, ends = 0, self.steps, []
+        after, before, passed = 0, 0, ""
+        steps, ends = self.steps, []
         for at in range(0, len(text), self.window):
-            if at:
-                self._emit_shared(state, ends, out)
             for symbol in text[at : at + self.window]:
+                if after < 0:
+                    after = self._after(before, passed)
+                before, passed = after, symbol
                 try:
-                    state, token = steps[state][symbol]
+                    after, token = steps[after][symbol]
                 except KeyError:
-                    state, token = self._step(state, symbol)
+                    after, token = self._token(after, symbol)
                 ends.append(token)
+            if at + self.window < len(text):
+                if after < 0:
+                    after = self._after(before, passed)
+                self._emit_shared(after, ends, out)
         out += _backwards(ends, len(ends))
         return out
 

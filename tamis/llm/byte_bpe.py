@@ -24,7 +24,7 @@ from tamis.llm.bpe import Merges, Transducer
 from tamis.llm.runtime import map_rows
 
 #: Pieces up to so many characters are remembered, so many of them a worker.
-MEMO_CHARS, MEMO_PIECES = 48, 600_000
+MEMO_CHARS, MEMO_PIECES = 48, 500_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:

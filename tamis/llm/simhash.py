@@ -170,7 +170,7 @@ class Tree:
                 d = distances(sample, sample[at])
                 for m in range(int(np.quantile(d, 0.3)), int(np.quantile(d, 0.7)) + 1):
                     inside, outside = (d <= m + self.radius).sum(), (d > m).sum()
-                    cost = inside * math.log2(max(inside, 1)) + outside * math.log2(max(outside, 1))
+                    cost = int(inside) ** 2 + int(outside) ** 2
                     if best is None or cost < best[0]:
                         best = cost, at, m, d
             _, at, m, d = best
