@@ -1 +1 @@
-
+"""Functions on columns, also for SQL text."""

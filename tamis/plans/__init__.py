@@ -1 +1 @@
-
+"""Settings, whole selections, and the query catalog."""

@@ -1 +1,5 @@
+"""Streams.
 
+There is no streaming operator to offer: the work is on finite pools. The row-wise ones (conversions, prefix
+means, answer extraction) are plain columns and so run on streaming DataFrames as they are.
+"""

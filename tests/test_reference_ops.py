@@ -1,0 +1,413 @@
+"""Losses, budgets, clusters, samplers, converters, scoring and tensors: golden values, guards and properties."""
+
+import math
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from tamis.functions import answers
+from tamis.operators import allocate, cluster, convert, losses, sample, score, tensors
+from tamis.plans.config import SelectionConfig
+from tamis.plans.select import select
+from tamis.schema import require
+from tamis.sources import io
+
+
+def one(df):
+    return df.collect()[0]
+
+
+# -- losses ------------------------------------------------------------------------------------------------
+
+
+def test_checkpoint_specs():
+    assert losses.parse_checkpoints("1-3,8") == {1, 2, 3, 8} and losses.parse_checkpoints("None") == set()
+    for bad in ("3-1", "x", "1-"):
+        with pytest.raises(ValueError):
+            losses.parse_checkpoints(bad)
+
+
+def test_missing_checkpoints_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.7)], "sample_id long, ckpt int, loss double")
+    assert losses.require_checkpoints(df, "1-2").count() == 2
+    with pytest.raises(ValueError, match="3"):
+        losses.require_checkpoints(df, "1-3")
+    with pytest.raises(ValueError):
+        losses.prune_checkpoints(df, "None")
+
+
+def test_prefix_means(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 9.0],), ([],), (None,)], "losses array<float>")
+    rows = losses.prefix_means(df, [2, 100, -1]).collect()
+    assert [rows[0][c] for c in ("mean_2", "mean_100", "mean_full")] == [1.5, 4.0, 4.0]
+    assert all(r.mean_2 == r.mean_full == 0.0 for r in rows[1:])
+
+
+def test_trajectories_and_nan(spark):
+    df = spark.createDataFrame([(1, 2, 3.0), (1, 1, float("nan")), (2, 1, 5.0), (2, 2, 6.0)], "sample_id long, ckpt int, loss double")
+    assert {r.sample_id: r.traj for r in losses.trajectories(df).collect()} == {1: [0.0, 3.0], 2: [5.0, 6.0]}
+    assert {r.sample_id: (r.ckpt_1, r.ckpt_2) for r in losses.loss_matrix(df, [1, 2]).collect()} == {1: (0.0, 3.0), 2: (5.0, 6.0)}
+
+
+def test_windows_and_valid_tokens(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5], [0.1, 0.2, 0.3], [-100, 7, -100])], "t array<int>, l array<double>, y array<int>")
+    row = one(df.select(losses.response_window(F.col("t"), F.lit(2), 2).alias("r"), losses.response_window(F.col("t"), F.lit(2), -1).alias("a"), losses.response_window(F.col("t"), F.lit(3), 2, True).alias("p"), losses.valid_losses(F.col("l"), F.col("y")).alias("v")))
+    assert (row.r, row.a, row.p, row.v) == ([3, 4], [3, 4, 5], [1, 2], [0.2])
+
+
+def test_guards_on_checkpoint_means(spark):
+    rising = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0)], "sample_id long, ckpt int, loss double")
+    losses.require_last_is_highest(rising)
+    with pytest.raises(ValueError):
+        losses.require_last_is_highest(rising.withColumn("loss", -F.col("loss")))
+    with pytest.raises(ValueError):
+        losses.require_last_is_highest(rising.where("ckpt = 1"))
+    summary = one(losses.loss_summary(spark.createDataFrame([(float(i),) for i in (4, 1, 3, 2)], "loss double")))
+    assert summary.median_loss == 2.0
+
+
+def test_length_faults(spark):
+    df = spark.createDataFrame([([1.0], 1), ([1.0], 2), (None, 0)], "losses array<double>, expected int")
+    assert losses.length_faults(df, "expected").count() == 1
+
+
+# -- budgets -----------------------------------------------------------------------------------------------
+
+
+def taken(df, name="name"):
+    return {r[name]: r["take"] for r in df.collect()}
+
+
+def test_softmax_golden(spark):
+    strata = spark.createDataFrame([("A", 5, 0.5), ("B", 100, 1.0), ("C", 30, 2.0)], "name string, size long, difficulty double")
+    assert taken(allocate.softmax_allocation(strata, 60)) == {"A": 5, "B": 25, "C": 30}
+
+
+def test_waterfill_and_quota_golden(spark):
+    sizes = spark.createDataFrame([("a", 3), ("b", 10), ("c", 50)], "source string, size long")
+    assert taken(allocate.waterfill(sizes, 20), "source") == {"a": 3, "b": 8, "c": 9}
+    clusters = spark.createDataFrame([("s", i, n, 20) for i, n in enumerate((2, 3, 9, 40, 1))], "source string, cluster_id int, size long, n_samples long")
+    assert {r.cluster_id: r.quota for r in allocate.cluster_quotas(clusters, ("source",)).collect()} == {0: 2, 1: 3, 2: 7, 3: 8}
+
+
+def test_difficulty_golden(spark):
+    df = spark.createDataFrame([(2, 2_000_000, 4_000_000)], "size long, first_sum long, last_sum long")
+    assert round(one(df.select(allocate.geometric_difficulty().alias("d"))).d, 6) == 1.414214
+    falling = spark.createDataFrame([("x", 2, 4_000_000, 2_000_000)], "name string, size long, first_sum long, last_sum long").withColumn("difficulty", allocate.geometric_difficulty())
+    with pytest.raises(Exception, match="below its first"):
+        allocate.softmax_allocation(falling, 1).collect()
+
+
+def test_allocation_properties(spark):
+    rng = random.Random(4)
+    rows, budgets = [], {}
+    for g in range(30):
+        budgets[g] = rng.randint(0, 200)
+        rows += [(g, f"n{i}", rng.randint(1, 60), rng.random() * 3, budgets[g]) for i in range(rng.randint(1, 9))]
+    strata = spark.createDataFrame(rows, "g int, name string, size long, difficulty double, b long")
+    got = allocate.softmax_allocation(strata, "b", ("g",)).collect()
+    sizes = {(r[0], r[1]): r[2] for r in rows}
+    assert len(got) == len(rows) and all(0 <= r["take"] <= sizes[r.g, r["name"]] for r in got)
+    for g, b in budgets.items():
+        assert sum(r["take"] for r in got if r.g == g) == min(b, sum(n for (h, _), n in sizes.items() if h == g))
+
+
+def test_hierarchical_keeps_domains_apart(spark):
+    rows = [("x", "s", 10, 10_000_000, 30_000_000), ("y", "s", 40, 40_000_000, 90_000_000), ("y", "t", 40, 40_000_000, 120_000_000)]
+    strata = spark.createDataFrame(rows, "domain string, source string, size long, first_sum long, last_sum long")
+    got = {(r.domain, r.source): (r.n_clusters, r.n_samples) for r in allocate.hierarchical_allocation(strata, 50).collect()}
+    assert set(got) == {("x", "s"), ("y", "s"), ("y", "t")} and sum(n for _, n in got.values()) == 50
+    assert all(k == max(1, n // 4) for k, n in got.values())
+
+
+# -- clusters and samplers ---------------------------------------------------------------------------------
+
+
+def test_lloyd_does_not_depend_on_partitions(spark):
+    rng = random.Random(1)
+    rows = [(i, "ab"[i % 2], [rng.randint(-1000, 1000) for _ in range(3)], 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, traj array<bigint>, k int")
+    runs = [sorted((r.sample_id, r.cluster_id, r.dist) for r in cluster.lloyd(df.repartition(n), ("source",), "k", niter=5).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 200 and {c for _, c, _ in runs[0]} == {0, 1, 2, 3}
+    groups = cluster.lloyd(df, ("source",), "k", niter=2)
+    medoids = cluster.medoids(groups, ("source",)).collect()
+    assert len(medoids) == 8 and len({m.sample_id for m in medoids}) == 8
+
+
+def test_standardized_ends(spark):
+    df = spark.createDataFrame([(1, "a", [1, 5]), (2, "a", [3, 5]), (3, "b", [7, 7])], "sample_id long, source string, traj array<bigint>")
+    got = {r.sample_id: (r.first_z, r.last_z) for r in cluster.standardize_ends(df, ("source",)).collect()}
+    assert got[1][0] == pytest.approx(-math.sqrt(0.5)) and got[1][1] == 5 and got[3] == (7.0, 7.0)
+
+
+def test_masked_mean(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1, 1]), ([[1.0, 2.0]], [0])], "v array<array<float>>, m array<int>")
+    assert [r.p for r in df.select(cluster.masked_mean(F.col("v"), F.col("m"), 2).alias("p")).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+
+
+def test_high_loss_keeps_upper_half(spark):
+    rows = [(c * 10 + i, "d", "s", c, [c, c]) for c in range(5) for i in range(2)] + [(100, "d", "t", 0, [1, 1])]
+    df = spark.createDataFrame(rows, "sample_id long, domain string, source string, cluster_id int, traj array<bigint>")
+    kept = {(r.source, r.cluster_id) for r in sample.high_loss_clusters(df, ("domain", "source")).collect()}
+    assert kept == {("s", 4), ("s", 3), ("t", 0)}
+    some = sample.high_loss_sample(df.withColumn("n_samples", F.lit(3)), ("domain", "source")).collect()
+    assert len([r for r in some if r.source == "s"]) == 3
+
+
+def test_learnability_sample_uses_singletons_last(spark):
+    rows = [(1, 0, [1, 9]), (2, 0, [1, 5]), (3, 1, [4, 4]), (4, 2, [2, 2])]
+    df = spark.createDataFrame([(i, "d", "s", c, t, 3) for i, c, t in rows], "sample_id long, domain string, source string, cluster_id int, traj array<bigint>, n_samples long")
+    got = {r.sample_id for r in sample.learnability_sample(df, ("domain", "source")).collect()}
+    assert {1, 2} < got and len(got) == 3
+    assert {r.sample_id for r in sample.learnability_sample(df.withColumn("n_samples", F.lit(1)), ("domain", "source")).collect()} == {1}
+
+
+def test_rankings(spark):
+    df = spark.createDataFrame([(i, i * 10, i % 3) for i in range(10)], "sample_id long, loss long, reasoning_length int")
+    assert [r.sample_id for r in sample.middle_slice(df, 4).collect()] == [3, 4, 5, 6]
+    assert [r.sample_id for r in sample.middle_slice(df.limit(5), 2).orderBy("sample_id").collect()] == [1, 2]
+    assert sample.middle_slice(df, 99).count() == 10
+    assert [r.sample_id for r in sample.longest(df, 3).collect()] == [2, 5, 8]
+    first = {r.sample_id for r in sample.random_subset(df, 4).collect()}
+    assert first == {r.sample_id for r in sample.random_subset(df.repartition(5), 4).collect()} and len(first) == 4
+    assert sample.apply_subset(df, df.limit(3)).count() + sample.complement(df, df.limit(3)).count() == 10
+
+
+def test_learnability_baseline_guards(spark):
+    falling = spark.createDataFrame([(1, [9, 1]), (2, [9, 8])], "sample_id long, traj array<bigint>")
+    assert [r.sample_id for r in sample.learnability_baseline(falling, 1).collect()] == [2]
+    assert [r.sample_id for r in sample.learnability_baseline(falling, 1, "improvement").collect()] == [1]
+    for bad in ([(1, [1, 9])], [(1, [9, 5, 1])]):
+        with pytest.raises(ValueError):
+            sample.learnability_baseline(spark.createDataFrame(bad, "sample_id long, traj array<bigint>"), 1)
+
+
+def test_quota_ranking_stops_early(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "sample_id long, g int")
+    from pyspark.sql import Window
+
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("sample_id")))
+    quotas = spark.createDataFrame([(0, 2), (1, 0), (2, 5)], "g int, quota long")
+    plan = sample.top_by_quota(ranked, quotas, ("g",))
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 7
+
+
+# -- selection ---------------------------------------------------------------------------------------------
+
+
+def pool(spark, n=120):
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        base = rng.randint(1_000_000, 3_000_000)
+        rows.append((i, "d" + str(i % 2), f"s{i % 4}", [base, base + rng.randint(1, 900_000), base + 1_000_000 + rng.randint(0, 900_000)], rng.randint(1, 99)))
+    return spark.createDataFrame(rows, "sample_id long, domain string, source string, traj array<bigint>, reasoning_length int")
+
+
+@pytest.mark.parametrize("config", [{"method": "learnability", "softmax": True}, {"method": "learnability", "n_clusters": 5}, {"method": "high_loss_clusters", "n_clusters": 4}, {"method": "random"}, {"method": "longest_reasoning"}, {"method": "middle_perplexity"}, {"method": "embedding"}])
+def test_selections_have_the_size_asked_for(spark, config):
+    df = pool(spark)
+    runs = [{r.sample_id for r in select(rows, SelectionConfig(size=30, niter=3, **config).merged({})).selected.collect()} for rows in (df, df.repartition(6))]
+    assert runs[0] == runs[1] and len(runs[0]) <= 30 and (len(runs[0]) == 30 or config["method"] in ("embedding", "high_loss_clusters"))
+
+
+def test_compat_adds_the_middle(spark):
+    df = pool(spark)
+    plain = select(df, SelectionConfig(method="high_loss_clusters", all_samples=True, niter=2).merged({})).selected.count()
+    both = select(df, SelectionConfig(method="high_loss_clusters", all_samples=True, niter=2, size=50, compat=True).merged({})).selected.count()
+    assert both > plain
+
+
+def test_config_precedence_and_conflicts():
+    assert SelectionConfig(size=5).merged({"seed": 7, "size": 9}) == SelectionConfig(size=5, seed=7).merged({})
+    for bad in ({"method": "x"}, {"softmax": True, "n_clusters": 3}, {"n_sample_per_cluster": 4}, {"all_samples": True}, {"method": "learnability_baseline", "checkpoints": "1-3"}, {"method": "longest_reasoning", "checkpoints": "1"}, {"cluster_features": "z"}):
+        with pytest.raises(ValueError):
+            SelectionConfig(size=5, **bad).merged({})
+    with pytest.raises(ValueError):
+        SelectionConfig().merged({})
+    with pytest.raises(ValueError):
+        SelectionConfig(size=1).merged({"unknown": 1})
+
+
+def test_columns_are_required(spark):
+    with pytest.raises(ValueError, match="domain"):
+        require(spark.range(1), "domain", "source")
+
+
+# -- conversations -----------------------------------------------------------------------------------------
+
+
+def test_reasoning_samples(spark):
+    df = spark.createDataFrame([("p", " abc\n", "\tde ")], "prompt string, reasoning string, answer string")
+    content = one(convert.reasoning_sample(df, "medical")).conversations[1].content
+    assert content == "<|im_start|>think\nabc\n<|im_start|>answer\nde\n<|im_end|>\n"
+    with pytest.raises(Exception, match="no answer"):
+        convert.reasoning_sample(df.withColumn("answer", F.lit("")), "medical").collect()
+
+
+def test_math_samples(spark):
+    turns = [Row(role=None, content=None, **{"from": "human", "value": "q"}), None, Row(role="system", content="c", **{"from": None, "value": None}), Row(role=None, content=None, **{"from": "tool", "value": "t"})]
+    df = spark.createDataFrame([("pr", None, turns, True), ("pr", None, turns, None), ("pr", "x", turns, False)], "problem string, prompt string, conversations array<struct<role:string,content:string,`from`:string,value:string>>, correct boolean")
+    row = one(convert.math_sample(df))
+    assert row.prompt == "pr" and row.domain == "math" and [tuple(t) for t in row.conversations] == [("user", "q"), ("system", "c"), ("tool", "t")]
+
+
+def test_reasoning_lengths(spark):
+    def length(text):
+        return one(spark.createDataFrame([(text, 7)], "t string, i long").select(convert.reasoning_length(F.col("t"), F.col("i")).alias("n"))).n
+
+    assert length("<|im_start|>think\nabc\n<|im_start|>answer\nde\n<|im_end|>") == 9
+    assert length("<|im_start|>think\nabc\n<|im_start|>answer\nde") == 8
+    assert length("<|begin_of_thought|>hello<|end_of_thought|>") == 5
+    for bad in ("plain", "<|im_start|>think only", "<|begin_of_thought|>open"):
+        with pytest.raises(Exception, match="sample 7"):
+            length(bad)
+
+
+def test_prompt_parts(spark):
+    df = spark.createDataFrame([([("A", "x"), ("B", "y. z")], "q", "hello ", "stop")], "o array<struct<letter:string,text:string>>, q string, t string, r string")
+    row = one(df.select(convert.option_string(F.col("o")).alias("s"), convert.question_prompt(F.col("q"), F.col("o"), "pre", "post").alias("p"), convert.continuation(F.col("t")).alias("c"), convert.end_prefix(F.col("r"), "too long", "answer:\n").alias("e")))
+    assert (row.s, row.p, row.c, row.e) == ("A. x\nB. y. z", "pre\nq\nA. x\nB. y. z\npost", "hello  Wait", "answer:\n")
+    assert one(df.select(convert.parse_options(F.lit("A. x\nnothing\n B. y. z ")).alias("o"))).o == [Row(letter="A", text="x"), Row(letter="B", text="y. z")]
+    with pytest.raises(Exception, match="unknown finish reason"):
+        df.select(convert.end_prefix(F.lit("odd"), "a", "b")).collect()
+
+
+# -- answers -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("text", "want"), [("so \\boxed{B}", "B"), ("\\boxed{\\text{B. Foo}}", "B. Foo"), ("\\boxed{x = 3}", "3"), ("\\boxed{A} then \\boxed{C", "\\boxed{A} then \\boxed{C"), ("\\fbox{D}", "\\fbox{D}"), ("\\boxed{\\frac{1}{2}}", "\\frac{1}{2}"), ("none", "none"), (None, None), ("", "")])
+def test_boxed(text, want):
+    assert answers.boxed_answer(text) == want
+
+
+OPTIONS = "A. aspirin\nB. ibuprofen\nC. codeine"
+
+
+@pytest.mark.parametrize(("text", "want"), [("The answer is B", "B"), ("I think (C).", "C"), ("A patient took B.", "B"), ("aspirin or ibuprofen", "B"), ("ibuprofin", "B"), ("## Final Response\n\nanswer is A", "A"), ("answer is A, no, answer is C", "C"), ("选B吧", "B")])
+def test_choices(text, want):
+    assert answers.chosen_letter(text, OPTIONS) == want
+
+
+def test_scoring(spark):
+    rows = [("Aspirin", "A", "aspirin", "s"), ("a. aspirin", "A", "aspirin", "s"), ("a", "A", "aspirin", "s"), ("The answer is A", "A", "aspirin", "t"), ("codeine", "A", "aspirin", "t"), (None, "A", "aspirin", "t")]
+    df = spark.createDataFrame([(*r, OPTIONS, "q") for r in rows], "extracted_answer string, answer_idx string, answer string, source string, option_str string, question string")
+    scored = score.scored(df)
+    assert [r.correct for r in scored.collect()] == [True, True, True, True, False, False]
+    assert {r.source: (r.correct_count, r.total_count) for r in score.accuracy(scored).collect()} == {"s": (3, 3), "t": (1, 3)}
+    metrics = spark.createDataFrame([("r", "NEJM", 0.5), ("r", "zz", 0.1), ("r", "Lancet", 0.2), ("q", "NEJM", 0.9)], "run string, source string, accuracy double")
+    assert score.pivoted(metrics).columns == ["run", "Lancet", "NEJM", "zz"]
+    answers.register(spark)
+    assert one(spark.sql("SELECT extract_answer('\\\\boxed{7}') AS a")).a == "7"
+
+
+def test_metrics_documents(spark):
+    texts = ['{"A": {"accuracy": 0.5}, "B": 0.25}', '{"results": {"C": {"accuracy_avg": 1.0}}}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.m for r in df.select(score.accuracy_of_json(F.col("t")).alias("m")).collect()] == [{"A": 0.5, "B": 0.25}, {"C": 1.0}]
+
+
+# -- tensors -----------------------------------------------------------------------------------------------
+
+
+def test_schedules():
+    assert [round(x, 6) for _, _, x in tensors.lambda_schedule(4, 10)] == [1.767767, 2.303004, 2.410713, 2.449373]
+    assert [round(x, 6) for _, _, x in tensors.lambda_schedule(8, 10, 1)][:2] == [0.707107, 1.142189]
+    assert [round(x, 8) for _, x in tensors.gaussian_schedule(8, 2e-3, 8e-3)][:3] == [0.002, 0.00354562, 0.00459814]
+    assert tensors.lambda_schedule(1, 10, 1)[0][1] == 10
+    for bad in ((4, 0.0), (4, 1.0, -1.0), (4, 1.0, 2.0)):
+        with pytest.raises(ValueError):
+            tensors.lambda_schedule(*bad)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 12), st.floats(0.1, 50))
+def test_steps_reach_their_radii(n, radius):
+    total, squares = 0.0, 0.0
+    for _, r, step in tensors.lambda_schedule(n, radius):
+        total, squares = total + step, squares + step**2
+        assert math.sqrt((total**2 + squares) / 1) >= r * 0.7
+
+
+def test_distances_and_directions(spark):
+    rows = [("a", "w", 0, 0.0), ("a", "w", 1, 0.0), ("b", "w", 0, 3.0), ("b", "w", 1, 4.0), ("a", "Embed", 0, 0.0), ("b", "Embed", 0, 9.0)]
+    params = spark.createDataFrame(rows, "model string, name string, idx long, value double")
+    row = one(tensors.distance(params, "a", "b", 10.0))
+    assert (row.actual_distance, row.num_params, round(row.l2_per_sqrt_d, 6), row.actual_over_target) == (5.0, 2, 3.535534, 0.5)
+    unit = tensors.direction(params, "a", "b")
+    assert {r.idx: r.value for r in unit.collect()} == {0: 0.6, 1: 0.8}
+    moved = tensors.directional_step(params.where("model = 'a'"), unit, 2.0, 1).collect()
+    assert {r.name for r in moved} == {"w", "Embed"} and next(r for r in moved if r.name == "Embed").value == 0.0
+    with pytest.raises(Exception, match="zero"):
+        tensors.direction(params, "a", "a").collect()
+
+
+def test_noise_is_normal_and_repeatable(spark):
+    params = spark.range(20_000).select(F.lit("m").alias("model"), F.lit("w").alias("name"), F.col("id").alias("idx"), F.lit(0.0).alias("value"))
+    made = tensors.gaussian_perturb(params, 2.0, 42)
+    row = one(made.agg(F.avg("value").alias("m"), F.stddev("value").alias("s")))
+    assert abs(row.m) < 0.06 and abs(row.s - 2) < 0.06
+    again = tensors.gaussian_perturb(params.repartition(3), 2.0, 42)
+    assert made.exceptAll(again).count() == 0
+
+
+def test_weighted_losses(spark):
+    df = spark.createDataFrame([(1, [1.0, float("inf"), None]), (1, [3.0]), (2, []), (3, [8.0])], "ckpt int, losses array<double>")
+    rows = {r.ckpt: r for r in tensors.against_base(tensors.weighted_loss(df), 1).collect()}
+    assert (rows[1].loss, rows[1].tokens, rows[3].ratio, rows[2].loss) == (2.0, 2, 4.0, 0.0)
+
+
+# -- files -------------------------------------------------------------------------------------------------
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"prompt":"x"}\n{"prompt":"y"}\n')
+    (tmp_path / "a.json").write_text('[{"prompt":"x"},\n{"prompt":"y"}]')
+    (tmp_path / "b.jsonl").write_text('{"prompt":"x"}\n\n{"prompt":"y"}\n')
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("prompt", T.StringType())])
+    for name in ("a.jsonl", "a.json"):
+        assert [r.prompt for r in io.read_samples(spark, str(tmp_path / name), schema).collect()] == ["x", "y"]
+    assert io.read_json_lines(spark, str(tmp_path / "b.jsonl"), schema).count() == 2
+    ids = io.with_line_ids(spark.range(50).repartition(4).withColumnRenamed("id", "v"), order="v").orderBy("sample_id").collect()
+    assert [r.sample_id for r in ids] == list(range(50)) == [r.v for r in ids]
+    samples = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "sample_id long, prompt string")
+    io.write_selected(samples, samples.limit(2), str(tmp_path / "sel"))
+    assert spark.read.json(str(tmp_path / "sel")).count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        io.write_selected(samples, samples.limit(2), str(tmp_path / "sel"))
+    io.write_losses(spark.createDataFrame([(1, 1, "full", 0.5), (1, 2, "full", 0.7)], "sample_id long, ckpt int, window string, loss double"), str(tmp_path / "loss"))
+    pruned = losses.prune_checkpoints(io.read_losses(spark, str(tmp_path / "loss"), "full"), "2")
+    assert pruned.count() == 1 and "PartitionFilters: [isnotnull" in pruned._jdf.queryExecution().executedPlan().toString()
+    suite = '{"S": [{"question": "q", "options": {"B": "y", "A": "x"}, "answer_idx": "A", "answer": "x"}], "HumanityLastExam": [{"question": "h"}]}'
+    (tmp_path / "suite.json").write_text(suite)
+    row = one(io.read_eval_suite(spark, str(tmp_path / "suite.json")))
+    assert row.source == "S" and [o.letter for o in row.options] == ["A", "B"]
+    import hashlib
+
+    good = hashlib.md5(suite.encode()).hexdigest()
+    assert io.md5_faults(spark, str(tmp_path / "suite.json"), good).count() == 0 and io.md5_faults(spark, str(tmp_path / "suite.json"), "0").count() == 1
+    (tmp_path / "runs" / "r1").mkdir(parents=True)
+    (tmp_path / "runs" / "r1" / "metrics.json").write_text("{}")
+    assert one(io.find_metrics(spark, str(tmp_path / "runs"))).run == "r1"
+
+
+def test_names():
+    assert io.next_version(["version_2", "x", "version_10"]) == "version_11" and io.next_version([]) == "version_0"
+    assert [io.token_suffix(n) for n in (100, 1000, -1)] == ["100", "1k", "full"]
+    assert io.run_name("learnability", 1000, 42, "1-8", "my-hard_set", True) == "learnability-ckpt1-8-sub-mhs-softmax-n1000-seed42"
+    assert '"formatting": "sharegpt"' in io.dataset_info("d", "train.jsonl")
+
+
+def test_row_wise_operators_run_on_streams(spark, tmp_path):
+    spark.createDataFrame([([1.0, 3.0],), ([],)], "losses array<double>").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("losses array<double>").parquet(str(tmp_path / "in"))
+    query = losses.prefix_means(stream, [1, -1]).writeStream.format("memory").queryName("prefix_means_stream").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.mean_full for r in spark.table("prefix_means_stream").collect()) == [0.0, 2.0]
