@@ -29,7 +29,7 @@ class Merges:
         self.own = {t for t in ids if len(t) == 1 or self.merge(t) == [t]}
         self.starts = {t[:n] for t in self.own for n in range(1, len(t))}
         self.longest = max(map(len, self.own), default=1)
-        self._edges: dict[tuple[str, int], tuple[tuple[str, float], ...]] = {}
+        self._edges: dict[tuple[str, int], tuple[list[str], list[float], bool]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merges carried out as defined, lowest rank first, then leftmost. Only used on short texts."""
@@ -45,18 +45,19 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def edge(self, token: str, side: int) -> tuple[tuple[str, float], ...]:
-        """The parts that stand at a token's left (0) or right (-1) end while it is merged, each with the highest rank merged until it goes (infinite for the token)."""
+    def edge(self, token: str, side: int) -> tuple[list[str], list[float], bool]:
+        """The parts that stand in turn at a token's left (0) or right (-1) end while it is merged, the rank of the merge that ends each (infinite for the token), and whether the token's ranks only rise."""
         known = self._edges.get((token, side))
         if known is None:
-            parts, found, highest = list(token), [], -1
+            parts, found, ends, before, rising = list(token), [], [], -1, True
             while len(parts) > 1:
                 rank, at = min((r, i) for i in range(len(parts) - 1) if (r := self.order(parts[i], parts[i + 1])) is not None)
-                highest = max(highest, rank)
+                rising, before = rising and rank >= before, rank
                 if at == (len(parts) - 2 if side else 0):
-                    found.append((parts[side], highest))
+                    found.append(parts[side])
+                    ends.append(rank)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            known = self._edges[token, side] = (*found, (token, float("inf")))
+            known = self._edges[token, side] = [*found, token], [*ends, float("inf")], rising
         return known
 
     def fit(self, a: str | None, b: str) -> bool:
@@ -65,20 +66,31 @@ class Merges:
             return True
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 100_000:
+            if len(self._pairs) > 150_000:
                 self._pairs.clear()
             known = self._pairs[a, b] = self._fit(a, b)
         return known
 
     def _fit(self, a: str, b: str) -> bool:
-        """A pair across the boundary can only merge if its rank isn't above all that is merged until one of its parts goes; only then the merges are carried out."""
-        order, left = self.order, self.edge(b, 0)
-        for x, until in self.edge(a, -1):
-            for y, gone in left:
-                rank = order(x, y)
-                if rank is not None and rank <= until and rank <= gone:
-                    return self.merge(a + b) == [a, b]
-        return True
+        """Goes through the parts that stand at the boundary at the same time, in the order of merges; a pair merges there if its rank comes before the end of both.
+
+        Of equal ranks the leftmost merges first. Where a token's ranks don't only rise, the merges are carried out.
+        """
+        left, left_ends, left_rising = self.edge(a, -1)
+        right, right_ends, right_rising = self.edge(b, 0)
+        if not (left_rising and right_rising):
+            return self.merge(a + b) == [a, b]
+        i = j = 0
+        while True:
+            rank, x, y = self.order(left[i], right[j]), left_ends[i], right_ends[j]
+            if rank is not None and rank < x and rank <= y:
+                return False
+            if x <= y:
+                if x == y == float("inf"):
+                    return True
+                i += 1
+            else:
+                j += 1
 
 
 class Transducer:
@@ -92,7 +104,7 @@ class Transducer:
     only.
     """
 
-    def __init__(self, merges: Merges, max_states: int = 40_000):
+    def __init__(self, merges: Merges, max_states: int = 60_000):
         self.merges, self.max_states, self.window = merges, max_states, 4 * merges.longest
         self._clear()
 
@@ -130,14 +142,12 @@ class Transducer:
         after, before, passed = 0, 0, ""
         steps, ends = self.steps, []
         for at in range(0, len(text), self.window):
-            for symbol in text[at : at + self.window]:
+            for symbol in text[at : at + self.window] if at or len(text) > self.window else text:
                 if after < 0:
                     after = self._after(before, passed)
                 before, passed = after, symbol
-                try:
-                    after, token = steps[after][symbol]
-                except KeyError:
-                    after, token = self._token(after, symbol)
+                step = steps[after].get(symbol)
+                after, token = step if step is not None else self._token(after, symbol)
                 ends.append(token)
             if at + self.window < len(text):
                 if after < 0:

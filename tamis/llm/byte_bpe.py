@@ -12,6 +12,7 @@ and an earlier column of the output's name is replaced.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 
 import numpy as np
@@ -32,35 +33,72 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+def ascii_form(pattern: str) -> re.Pattern | None:
+    """The pattern for ASCII texts in the standard library's faster engine; None if it has classes that can't be written there.
+
+    Letters and numbers are the only property classes it translates, in brackets and outside.
+    """
+    out, inside, i = "", False, 0
+    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+    while i < len(pattern):
+        known = next((c for c in classes if pattern.startswith(c, i)), None)
+        if known:
+            out += classes[known] if inside else f"[{classes[known]}]"
+            i += len(known)
+            continue
+        if pattern.startswith((r"\p", r"\P"), i) or pattern.startswith("[[", i) or inside and pattern[i : i + 2] in ("--", "&&", "||"):
+            return None
+        step = 2 if pattern[i] == "\\" else 1
+        if step == 1 and pattern[i] in "[]":
+            inside = pattern[i] == "["
+        out += pattern[i : i + step]
+        i += step
+    try:
+        return re.compile(out, re.A)
+    except re.error:
+        return None
+
+
+class Memo(dict):
+    """Pieces met before and their ids; a piece that is missing is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts by ranks; every match of pattern is a piece of its own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.packed = {token: array("i", [rank]).tobytes() for token, rank in self.ids.items()}
         self.find = regex.compile(pattern).findall
+        plain = ascii_form(pattern)
+        self.find_ascii = plain.findall if plain else self.find
         self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)))
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.piece)
 
     def piece(self, piece: str) -> bytes:
         """The ids of one piece, as 32-bit integers."""
-        text = piece.encode().decode("latin-1")
-        whole = self.ids.get(text)
-        return array("i", (whole,) if whole is not None else map(self.ids.__getitem__, self.transducer.run(text))).tobytes()
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
+        whole = self.packed.get(text)
+        return whole if whole is not None else b"".join(map(self.packed.__getitem__, self.transducer.run(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.empty(0, np.int32)
-        pieces, memo = self.find(text), self.memo
-        for piece in set(pieces).difference(memo):
-            memo[piece] = self.piece(piece)
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        elif len(text) > 1000:
-            for piece in [p for p in pieces if len(p) > MEMO_CHARS]:
-                memo.pop(piece, None)
-        return ids
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        pieces = self.find_ascii(text) if text.isascii() else self.find(text)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
 
 
 class Utf8Stream:
