@@ -104,3 +104,12 @@ def cluster_quotas(clusters: DataFrame, group: tuple[str, ...], cluster: str = "
     start = F.struct(F.col("b").alias("left"), F.size("s").cast("long").alias("n"), _empty("array<struct<cluster:bigint,take:bigint>>").alias("out"))
     rows = rows.withColumn("r", F.aggregate("s", start, visit))
     return rows.select(*group, F.explode("r.out").alias("x")).select(*group, F.col("x.cluster").cast("int").alias(cluster), F.col("x.take").alias("quota"))
+
+
+def contiguous_split(rows: int, workers: int) -> list[tuple[int, int]]:
+    """(first, end) for each worker: runs that differ by one row at most, the longer ones first."""
+    if workers < 1:
+        raise ValueError("at least one worker is needed")
+    size, more = divmod(rows, workers)
+    starts = [w * size + min(w, more) for w in range(workers + 1)]
+    return list(zip(starts, starts[1:], strict=False))
