@@ -26,6 +26,9 @@ SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = frozenset("the of and to in a is that for it with as was on der die und das von zu mit den nicht ist le la les de et des que un une est el los en y del se las por con para".encode().split())
 
+#: The share of stop words means little in shorter texts; the rule abstains there.
+STOP_WORDS_FROM = 30
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rule name: (measure, votes good up to or from, votes bad from or up to). A rule abstains between its limits; one
 #: without a good limit (None) finds faults only and says nothing about texts that lack them.
@@ -99,7 +102,7 @@ def measures(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
         dup_lines / max(len(lines), 1),
         upper / max(upper + lower, 1),
         int(letters[33]) / n,
-        stops / n,
+        stops / n if n >= STOP_WORDS_FROM else math.nan,
         chars / n,
         chars / n,
         vocabulary,
@@ -145,14 +148,17 @@ def fit(patterns: dict[str, int], rounds: int = 100, prior: float = 0.8, weight:
     count = np.array([patterns[p] for p in names], float)
     code = np.array([["+-0".index(c) for c in p] for p in names])
     one_hot = np.eye(3)[code]  # pattern, rule, vote
-    share = np.einsum("p,prv->rv", count, one_hot) / count.sum()
-    abstain = share[:, 2]
+    # a fault finder that is silent has found no fault, which counts; a rule with two sides that abstains says nothing
+    silent = [i for i, (_, good_limit, _) in enumerate(RULES.values()) if good_limit is not None]
+    one_hot[:, silent, 2] = 0
+    abstain = np.einsum("p,pr->r", count, one_hot[:, :, 2]) / count.sum()
     start = np.stack([np.stack([(1 - abstain) * a, (1 - abstain) * (1 - a), abstain], 1) for a in (0.8, 0.2)])  # class, rule, vote
     start = np.clip(start, 1e-3, None)
+    start[:, silent, 2] = 0
     start /= start.sum(2, keepdims=True)
     table, good = start, prior
     for _ in range(rounds):
-        log = np.einsum("prv,crv->pc", one_hot, np.log(table)) + np.log([good, 1 - good])
+        log = np.einsum("prv,crv->pc", one_hot, np.log(np.clip(table, 1e-12, None))) + np.log([good, 1 - good])
         log -= log.max(1, keepdims=True)
         posterior = np.exp(log)
         posterior /= posterior.sum(1, keepdims=True)
