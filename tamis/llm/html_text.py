@@ -32,9 +32,8 @@ from tamis.llm.runtime import BROADCAST_BYTES, map_rows, written
 #: A subtree is template from so many pages of its host on, and from such a share of them.
 MIN_PAGES, MIN_SHARE, MIN_SHARE_IN_ARTICLE = 5, 0.4, 0.5
 
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", regex.S)
+TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", regex.S)
 ATTRIBUTE = regex.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-SPACE = regex.compile(r"\s+")
 
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
@@ -157,7 +156,7 @@ def digest_tree(root: Node) -> None:
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        parts = [f"{c.digest:x}" if isinstance(c, Node) else "\n" if c is None else SPACE.sub(" ", c).strip() for c in node.children]
+        parts = [f"{c.digest:x}" if isinstance(c, Node) else "\n" if c is None else " ".join(c.split()) for c in node.children]
         node.digest = xxhash.xxh64_intdigest("\x00".join([node.name, *parts]).encode("utf-8", "replace")) >> 1
 
 
@@ -190,7 +189,7 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset(), templ
     line: list[str] = []
 
     def flush() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(line))).strip()
+        text = " ".join(html.unescape("".join(line)).split())
         line.clear()
         if text:
             blocks.append(text)
