@@ -273,7 +273,7 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
 # -- near duplicates by similarity ------------------------------------------------------------------------
 
 #: Bits of a wide fingerprint, and the min-hash bands by which wide fingerprints are dealt to shards.
-WIDE_WORDS, BANDS, BAND_ROWS = 4, 10, 2
+WIDE_WORDS, BANDS, BAND_ROWS = 8, 10, 2
 #: Odd multipliers of a 64-bit mix, from the golden ratio and from SplitMix64.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -286,7 +286,7 @@ def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS, margin: float = 1.0) -> int:
+def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS, margin: float = 1.5) -> int:
     """The distance that sets of this Jaccard similarity keep to, up to `margin` standard deviations.
 
     Equal-sized sets of Jaccard similarity j have a cosine of 2 j / (1 + j), and a bit differs with the angle's
