@@ -11,10 +11,53 @@ byte of a word in vocabularies with word ends the byte plus END.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 #: Added to the last byte of a word by vocabularies with word ends.
 END = 256
+#: Pieces up to so many characters are remembered.
+MEMO_CHARS = 48
+
+
+def ascii_form(pattern: str) -> re.Pattern | None:
+    """The pattern for ASCII texts in the standard library's faster engine; None if it has classes that can't be written there.
+
+    Letters and numbers are the only property classes it translates, in brackets and outside.
+    """
+    out, inside, i = "", False, 0
+    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+    while i < len(pattern):
+        known = next((c for c in classes if pattern.startswith(c, i)), None)
+        if known:
+            out += classes[known] if inside else f"[{classes[known]}]"
+            i += len(known)
+            continue
+        if pattern.startswith((r"\p", r"\P"), i) or pattern.startswith("[[", i) or inside and pattern[i : i + 2] in ("--", "&&", "||"):
+            return None
+        step = 2 if pattern[i] == "\\" else 1
+        if step == 1 and pattern[i] in "[]":
+            inside = pattern[i] == "["
+        out += pattern[i : i + step]
+        i += step
+    try:
+        return re.compile(out, re.A)
+    except re.error:
+        return None
+
+
+class Memo(dict):
+    """Pieces met before and what was made of them; what is missing is made."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        made = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = made
+        return made
 
 
 class Merges:
@@ -30,6 +73,7 @@ class Merges:
         self.starts = {t[:n] for t in self.own for n in range(1, len(t))}
         self.longest = max(map(len, self.own), default=1)
         self._edges: dict[tuple[str, int], tuple[list[str], list[float], bool]] = {}
+        self._lowest: dict[str, int] | None = None
 
     def merge(self, text: str) -> list[str]:
         """The merges carried out as defined, lowest rank first, then leftmost. Only used on short texts."""
@@ -93,28 +137,56 @@ class Merges:
                 j += 1
 
 
+    def lowest(self, start: str) -> int | None:
+        """The lowest rank of the tokens that begin with `start`; for vocabularies whose ids are the ranks."""
+        if self._lowest is None:
+            low: dict[str, int] = {}
+            for token, rank in sorted(self.ids.items(), key=lambda x: -x[1]):
+                for n in range(1, len(token) + 1):
+                    low[token[:n]] = rank
+            self._lowest = low
+        return self._lowest.get(start)
+
+    def open_edge(self, token: str, text: str) -> tuple[tuple[str, float], ...]:
+        """What of a token's right edge may still merge with a part of some token that begins with text.
+
+        A part that goes before the lowest rank at which it could merge there can't; two tokens with the same
+        open edge meet all those tokens alike.
+        """
+        parts, ends, _ = self.edge(token, -1)
+        found, highest = [], -1
+        for part, end in zip(parts, ends, strict=True):
+            highest = max(highest, end)
+            beyond = self.lowest(part + text)
+            if beyond is not None and beyond <= highest or any((r := self.order(part, text[:n])) is not None and r <= highest for n in range(1, len(text) + 1)):
+                found.append((part, end))
+        return tuple(found)
+
+
 class Transducer:
     """Reads a text symbol by symbol and emits tokens once no continuation can change them.
 
     A state is the list of places where a token may still begin: the text from there on, which starts a
-    token, and the last token before. A transition gives the token that ends with its symbol, so the tokens
+    token, and the last token before, or one that meets all tokens of that start alike; where nothing can merge
+    any more, none. So states are few more than starts of tokens. A transition gives the token that ends with its symbol, so the tokens
     of any prefix read so far follow backwards from its end. After every `window` symbols those that all
     open places share are emitted and forgotten, so what is held is bounded by the longest token. States and
     transitions are made when first reached; the tables are dropped beyond max_states, at the cost of time
     only.
     """
 
-    def __init__(self, merges: Merges, max_states: int = 60_000):
+    def __init__(self, merges: Merges, max_states: int):
         self.merges, self.max_states, self.window = merges, max_states, 4 * merges.longest
         self._clear()
 
     def _clear(self) -> None:
         self.states: list[tuple[tuple[str, str | None], ...]] = [(("", None),)]
         self.known = {self.states[0]: 0}
+        self.alike: dict[tuple, str] = {}
         self.steps: list[dict[str, tuple[int, str]]] = [{}]
 
-    def _token(self, state: int, symbol: str) -> tuple[int, str]:
-        """The token that ends with symbol; the state after it is made only when a text goes on from there."""
+    def _last(self, state: int, symbol: str) -> tuple[int, str]:
+        """The token that ends with the last symbol of a text; no state is made after it."""
         own, fit = self.merges.own, self.merges.fit
         for text, last in self.states[state]:
             text += symbol
@@ -123,36 +195,50 @@ class Transducer:
                 return step
         raise ValueError(f"no token ends with {symbol!r}")
 
-    def _after(self, state: int, symbol: str) -> int:
-        """The state after a transition whose token is known."""
-        starts, token = self.merges.starts, self.steps[state][symbol][1]
-        key = (*((text + symbol, last) for text, last in self.states[state] if text + symbol in starts), ("", token))
+    def _step(self, state: int, symbol: str) -> tuple[int, str]:
+        """The state after a symbol, and the token that ends there."""
+        own, starts, fit = self.merges.own, self.merges.starts, self.merges.fit
+        live, new = [], None
+        for text, last in self.states[state]:
+            text += symbol
+            if text in starts:
+                live.append((text, self._alike(last, text) if last else None))
+            if new is None and text in own and fit(last, text):
+                new = text
+        if new is None:
+            raise ValueError(f"no token ends with {symbol!r}")
+        live.append(("", new))
+        key = tuple(live)
         after = self.known.setdefault(key, len(self.states))
         if after == len(self.states):
             self.states.append(key)
             self.steps.append({})
-        self.steps[state][symbol] = after, token
-        return after
+        step = self.steps[state][symbol] = after, new
+        return step
+
+    def _alike(self, last: str, text: str) -> str | None:
+        """One token for all that meet the tokens beginning with text as `last` does; None if nothing can merge."""
+        edge = self.merges.open_edge(last, text)
+        return self.alike.setdefault((text, edge), last) if edge else None
 
     def run(self, text: str) -> list[str]:
         """The tokens of text."""
         if len(self.states) > self.max_states:
             self._clear()
         out: list[str] = []
-        after, before, passed = 0, 0, ""
-        steps, ends = self.steps, []
-        for at in range(0, len(text), self.window):
-            for symbol in text[at : at + self.window] if at or len(text) > self.window else text:
-                if after < 0:
-                    after = self._after(before, passed)
-                before, passed = after, symbol
-                step = steps[after].get(symbol)
-                after, token = step if step is not None else self._token(after, symbol)
+        state, steps, ends = 0, self.steps, []
+        for at in range(0, len(text) - 1, self.window):
+            if at:
+                self._emit_shared(state, ends, out)
+            for symbol in text[at : min(at + self.window, len(text) - 1)]:
+                step = steps[state].get(symbol)
+                if step is None or step[0] < 0:
+                    step = self._step(state, symbol)
+                state, token = step
                 ends.append(token)
-            if at + self.window < len(text):
-                if after < 0:
-                    after = self._after(before, passed)
-                self._emit_shared(after, ends, out)
+        if text:
+            step = steps[state].get(text[-1]) or self._last(state, text[-1])
+            ends.append(step[1])
         out += _backwards(ends, len(ends))
         return out
 

@@ -12,7 +12,6 @@ and an earlier column of the output's name is replaced.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 
 import numpy as np
@@ -21,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamis.llm.bpe import Merges, Transducer
+from tamis.llm.bpe import Memo, Merges, Transducer, ascii_form
 from tamis.llm.runtime import map_rows
 
-#: Pieces up to so many characters are remembered, so many of them a worker.
-MEMO_CHARS, MEMO_PIECES = 48, 500_000
+#: So many pieces are remembered a worker.
+MEMO_PIECES = 400_000
+#: The transducer's table holds so many states.
+STATES = 60_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -33,56 +34,17 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-def ascii_form(pattern: str) -> re.Pattern | None:
-    """The pattern for ASCII texts in the standard library's faster engine; None if it has classes that can't be written there.
-
-    Letters and numbers are the only property classes it translates, in brackets and outside.
-    """
-    out, inside, i = "", False, 0
-    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
-    while i < len(pattern):
-        known = next((c for c in classes if pattern.startswith(c, i)), None)
-        if known:
-            out += classes[known] if inside else f"[{classes[known]}]"
-            i += len(known)
-            continue
-        if pattern.startswith((r"\p", r"\P"), i) or pattern.startswith("[[", i) or inside and pattern[i : i + 2] in ("--", "&&", "||"):
-            return None
-        step = 2 if pattern[i] == "\\" else 1
-        if step == 1 and pattern[i] in "[]":
-            inside = pattern[i] == "["
-        out += pattern[i : i + step]
-        i += step
-    try:
-        return re.compile(out, re.A)
-    except re.error:
-        return None
-
-
-class Memo(dict):
-    """Pieces met before and their ids; a piece that is missing is encoded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(piece) <= MEMO_CHARS:
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Encodes texts by ranks; every match of pattern is a piece of its own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_pieces: int = MEMO_PIECES, states: int = STATES):
+        self.memo_pieces = memo_pieces
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.packed = {token: array("i", [rank]).tobytes() for token, rank in self.ids.items()}
         self.find = regex.compile(pattern).findall
         plain = ascii_form(pattern)
         self.find_ascii = plain.findall if plain else self.find
-        self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)))
+        self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)), states)
         self.memo = Memo(self.piece)
 
     def piece(self, piece: str) -> bytes:
@@ -95,7 +57,7 @@ class Encoder:
         """The ids of a text."""
         if not text:
             return np.empty(0, np.int32)
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > self.memo_pieces:
             self.memo.clear()
         pieces = self.find_ascii(text) if text.isascii() else self.find(text)
         return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
@@ -172,7 +134,7 @@ class Decoder:
 _workers: dict[tuple, object] = {}
 
 
-def _kept(kind: type, content: bytes, *more: str):
+def _kept(kind: type, content: bytes, *more):
     """One encoder or decoder a vocabulary for all tasks of a Python worker."""
     key = (kind, hash(content), *more)
     if key not in _workers:
@@ -211,13 +173,16 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
     return map_rows(df, [ids], [T.StructField(text, T.StringType())], start, [ids] if drop_ids else None)
 
 
-def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False) -> DataFrame:
-    """encode() and decode() of its ids in one pass, which spares the ids a way to the JVM and back and a second Python worker."""
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False, memo_pieces: int = MEMO_PIECES, states: int = STATES) -> DataFrame:
+    """encode() and decode() of its ids in one pass, which spares the ids a way to the JVM and back and a second Python worker.
+
+    A worker remembers up to memo_pieces pieces, of some 200 bytes each, and states of some 600.
+    """
     with open(ranks_path, "rb") as file:
         content = df.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        encoder, decoder = _kept(Encoder, content.value, pattern), _kept(Decoder, content.value)
+        encoder, decoder = _kept(Encoder, content.value, pattern, memo_pieces, states), _kept(Decoder, content.value)
 
         def work(texts):
             rows = [encoder.encode(t) for t in texts]

@@ -15,6 +15,8 @@ from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_d
 from tamis.llm.runtime import table, written
 
 TOKEN_LIMIT = 2048
+#: This query has its Python workers to itself, so they may remember more.
+MEMO_PIECES, STATES = 1_000_000, 200_000
 SHARDS, CURVE_BITS = 16, 5
 
 
@@ -22,7 +24,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, drop_text=True).select(
+    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, drop_text=True, memo_pieces=MEMO_PIECES, states=STATES).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamis.llm.bpe import END, Merges, PrefixCounts
+from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
 from tamis.llm.runtime import map_rows
 
-MEMO_CHARS, MEMO_WORDS = 48, 1_000_000
+MEMO_WORDS = 1_000_000
 #: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
 LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
@@ -54,7 +54,9 @@ class Counter:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
-        self.memo: dict[str, int] = {}
+        plain = ascii_form(pattern)
+        self.find_ascii = plain.findall if plain else self.words.findall
+        self.memo = Memo(lambda word: self.word_prefixes(word)[-1])
 
     @staticmethod
     def normal(text: str) -> str:
@@ -80,18 +82,13 @@ class Counter:
         """The number of tokens of text."""
         if not text:
             return 0
-        total, memo = 0, self.memo
-        parts = self.split(text)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        parts, total = self.split(text), 0
         for part in parts:
-            words = self.words.findall(self.normal(part))
-            for word in set(words).difference(memo):
-                memo[word] = self.word_prefixes(word)[-1]
-            total += sum(map(memo.__getitem__, words))
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            elif len(part) > 1000:
-                for word in [w for w in words if len(w) > MEMO_CHARS]:
-                    memo.pop(word, None)
+            part = self.normal(part)
+            words = self.find_ascii(part) if part.isascii() else self.words.findall(part)
+            total += sum(map(self.memo.__getitem__, words))
         return total + len(parts) - 1
 
     def prefixes(self, text: str | None) -> list[int]:
