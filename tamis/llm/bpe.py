@@ -63,11 +63,12 @@ class Memo(dict):
 class Merges:
     """A vocabulary with the order of its merges.
 
-    ids: token text to id. order(a, b): the rank at which two neighbouring tokens merge, or None.
+    ids: token text to id. order(a, b): the rank at which two neighbouring tokens merge, or None. Verdicts on so
+    many pairs are remembered.
     """
 
-    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None]):
-        self.ids, self.order = ids, order
+    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None], most_pairs: int = 150_000):
+        self.ids, self.order, self.most_pairs = ids, order, most_pairs
         self._pairs: dict[tuple[str, str], bool] = {}
         self.own = {t for t in ids if len(t) == 1 or self.merge(t) == [t]}
         self.starts = {t[:n] for t in self.own for n in range(1, len(t))}
@@ -110,7 +111,7 @@ class Merges:
             return True
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 150_000:
+            if len(self._pairs) > self.most_pairs:
                 self._pairs.clear()
             known = self._pairs[a, b] = self._fit(a, b)
         return known
@@ -274,10 +275,21 @@ class PrefixCounts:
 
     def counts(self, text: str) -> list[int]:
         """Entry i: the token count of the first i + 1 symbols as a text of their own."""
+        last, inner = self._inner(text, len(text))
+        return [self._ended(text, end, last, inner) for end in range(1, len(text) + 1)] if self.word_ends else inner[1:]
+
+    def count(self, text: str) -> int:
+        """The last entry of counts(); the ends of the other prefixes aren't looked at."""
+        if not self.word_ends:
+            return self._inner(text, len(text))[1][-1]
+        return self._ended(text, len(text), *self._inner(text, len(text) - 1))
+
+    def _inner(self, text: str, most: int) -> tuple[list[str | None], list[int]]:
+        """The last token and the token count of every prefix up to `most` symbols, in a text that goes on."""
         own, fit, longest = self.merges.own, self.merges.fit, self.merges.longest
         last: list[str | None] = [None]
-        inner, out = [0], []
-        for end in range(1, len(text) + 1):
+        inner = [0]
+        for end in range(1, most + 1):
             for start in range(max(0, end - longest), end):
                 token = text[start:end]
                 if token in own and fit(last[start], token):
@@ -286,15 +298,14 @@ class PrefixCounts:
                     break
             else:
                 raise ValueError(f"no token ends with {text[end - 1]!r}")
-            if not self.word_ends:
-                out.append(inner[end])
-                continue
-            final = chr(ord(text[end - 1]) + END)
-            for start in range(max(0, end - longest), end):
-                token = text[start : end - 1] + final
-                if token in own and fit(last[start], token):
-                    out.append(inner[start] + 1)
-                    break
-            else:
-                raise ValueError(f"no token ends a word with {text[end - 1]!r}")
-        return out
+        return last, inner
+
+    def _ended(self, text: str, end: int, last: list[str | None], inner: list[int]) -> int:
+        """The token count of a prefix whose last symbol ends a word."""
+        own, fit = self.merges.own, self.merges.fit
+        final = chr(ord(text[end - 1]) + END)
+        for start in range(max(0, end - self.merges.longest), end):
+            token = text[start : end - 1] + final
+            if token in own and fit(last[start], token):
+                return inner[start] + 1
+        raise ValueError(f"no token ends a word with {text[end - 1]!r}")

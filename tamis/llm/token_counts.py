@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
 from tamis.llm.runtime import map_rows
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 1_000_000, 500_000
 #: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
 LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
@@ -50,13 +50,13 @@ class Counter:
 
         ids = {plain(t): i for t, i in model["vocab"].items() if t not in self.specials}
         pairs = {tuple(map(plain, m)): rank for rank, m in enumerate(model["merges"])}
-        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b))), word_ends=True)
+        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), MEMO_PAIRS), word_ends=True)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
         plain = ascii_form(pattern)
         self.find_ascii = plain.findall if plain else self.words.findall
-        self.memo = Memo(lambda word: self.word_prefixes(word)[-1])
+        self.memo = Memo(lambda word: self.table.count(word if word.isascii() else word.encode().decode("latin-1")))
 
     @staticmethod
     def normal(text: str) -> str:
