@@ -355,8 +355,9 @@ def option_string(spark, sf_dir):
     return eval_items(spark, sf_dir).select("item_id", "option_str")
 
 
-@query(f"WITH {_ITEMS} SELECT item_id, chr(10) || option_str AS rebuilt FROM items")
+@query(f"WITH {_ITEMS} SELECT item_id, chr(10) || array_to_string(list_filter(list_transform(string_split({_STRIP.format('option_str')}, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: contains(x, '. ')), chr(10)) AS rebuilt FROM items")
 def option_parse_round_trip(spark, sf_dir):
+    """The options read from their lines and written again; lines that are no option go, as where a text has a new line."""
     return eval_items(spark, sf_dir).select("item_id", F.concat(F.lit("\n"), convert.option_string(convert.parse_options(F.col("option_str")))).alias("rebuilt"))
 
 
