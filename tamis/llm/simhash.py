@@ -22,7 +22,10 @@ earlier columns of the outputs' names are replaced.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.runtime import map_rows, written
+from tamis.llm.runtime import broadcast_if_small, map_rows, written
 
 SEED = 42
 #: The tree is fitted on so many fingerprints at most, drawn by hash; a shard aims at leaf_rows of them.
@@ -274,6 +277,9 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
 
 #: Bits of a wide fingerprint, and the min-hash bands by which wide fingerprints are dealt to shards.
 WIDE_WORDS, BANDS, BAND_ROWS = 8, 10, 2
+#: Proposed components are confirmed in blocks of so many rows or bytes of hashes, which meet by so many
+#: representatives first. So few sets are compared without fingerprints.
+BLOCK_ROWS, BLOCK_BYTES, REPRESENTATIVES, FEW_ROWS = 1_024, 16 << 20, 8, 8
 #: Odd multipliers of a 64-bit mix, from the golden ratio and from SplitMix64.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -286,87 +292,219 @@ def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS, margin: float = 1.5) -> int:
-    """The distance that sets of this Jaccard similarity keep to, up to `margin` standard deviations.
+@functools.cache
+def differing_share(similarity: Fraction, most: int = 64) -> float:
+    """The largest chance that a bit differs between two sets of at least this Jaccard similarity.
 
-    Equal-sized sets of Jaccard similarity j have a cosine of 2 j / (1 + j), and a bit differs with the angle's
-    share of a half turn.
+    For sets up to `most` hashes it is counted out, as ties and few hashes make short texts differ more often than
+    the angle says; for larger ones it is the angle's share of a half turn, at equal sizes, where it is largest.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    worst = math.acos(float(2 * similarity / (1 + similarity))) / math.pi
+    chance = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    for union in range(1, most + 1):
+        apart = union - math.ceil(similarity * union)
+        for left in range(apart // 2 + 1):
+            right, both = apart - left, union - apart
+            p, ones = chance(both)[:, None, None] * chance(left)[None, :, None] * chance(right)[None, None, :], np.arange(both + 1)[:, None]
+            a = 2 * (ones + np.arange(left + 1)) > both + left
+            b = 2 * (ones + np.arange(right + 1)) > both + right
+            worst = max(worst, float(p[a[:, :, None] != b[:, None, :]].sum()))
+    return worst
+
+
+def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS, margin: float = 4.5) -> int:
+    """The distance that sets of at least this Jaccard similarity keep to, up to `margin` standard deviations."""
+    share = differing_share(exact(similarity))
     return int(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def signature(text: str | None, words: int) -> tuple[list[int], list[int]]:
-    """The words of the wide fingerprint, and a key for each band; of the set of the text's shingles."""
+def exact(similarity: float) -> Fraction:
+    """The decimal fraction that a limit is written as, so that 4 of 5 is 0.8."""
+    return Fraction(str(similarity))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The words of a hash set's wide fingerprint."""
+    return [majority(mixed(hashes, n)) for n in range(WIDE_WORDS)]
+
+
+def signature(text: str | None, words: int) -> tuple[list[int], list[int], int]:
+    """The words of the wide fingerprint, a key for each band, and a digest; of the set of the text's shingles."""
     hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
-        return [0] * WIDE_WORDS, [0] * BANDS
-    wide = [majority(mixed(hashes, n)) for n in range(WIDE_WORDS)]
+        return [0] * WIDE_WORDS, [0] * BANDS, 0
+    wide = wide_fingerprint(hashes)
     least = [int(mixed(hashes, WIDE_WORDS + n).min()) for n in range(BANDS * BAND_ROWS)]
     keys = [xxhash.xxh64_intdigest(np.array(least[n * BAND_ROWS : (n + 1) * BAND_ROWS], "<u8").tobytes(), n) for n in range(BANDS)]
-    return wide, keys
+    return wide, keys, xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
 def with_signatures(df: DataFrame, text: str, words: int) -> DataFrame:
-    """df without its text, with f0, f1, ... and keys."""
+    """df without its text, with f0, f1, ..., keys, and digest, which tells different sets of shingles apart."""
     names = [f"f{n}" for n in range(WIDE_WORDS)]
 
     def start():
         def work(texts):
             made = [signature(t, words) for t in texts]
-            wide = np.array([w for w, _ in made], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            keys = np.array([k for _, k in made], np.uint64).reshape(-1, BANDS).view(np.int64)
+            wide = np.array([w for w, _, _ in made], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            keys = np.array([k for _, k, _ in made], np.uint64).reshape(-1, BANDS).view(np.int64)
             offsets = np.arange(0, (len(made) + 1) * BANDS, BANDS, dtype=np.int32)
-            return [*(wide[:, n].copy() for n in range(WIDE_WORDS)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))]
+            return [*(wide[:, n].copy() for n in range(WIDE_WORDS)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), np.array([d for _, _, d in made], np.uint64).view(np.int64)]
 
         return work
 
-    fields = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("digest", T.LongType())]
     return map_rows(df, [text], fields, start, [text])
 
 
-def run_edges(rows: DataFrame, key: str, ident: str, names: list[str], radius: int) -> DataFrame:
-    """u, v: a spanning forest of the links among rows of the same key; rows are dealt and sorted by key, runs of one cost nothing."""
+def runs_edges(rows: DataFrame, keys: list[str], link: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """u, v: the edges that link() finds among rows of the same keys (long); rows are dealt and sorted by them, runs of one cost nothing."""
 
-    def link(batches):
-        held = None
+    def walk(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = batch[key].iloc[-1] if len(batch) else None
-            whole = batch[key] != last
-            held, batch = batch[~whole], batch[whole]
-            yield edges_of(batch)
-        if held is not None:
-            yield edges_of(held)
-
-    def edges_of(batch: pd.DataFrame) -> pd.DataFrame:
-        keys = batch[key].to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.empty(0, np.int64)
-        points = np.ascontiguousarray(batch[names].to_numpy(np.int64)).view(np.uint64)
-        ids, u, v = batch[ident].to_numpy(np.int64), [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1:
-                for i, j in forest(points[a:b], radius):
-                    u.append(ids[a + i])
-                    v.append(ids[a + j])
-        return pd.DataFrame({"u": u, "v": v}, dtype=np.int64)
-
-    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(link, "u long, v long").where("u <> v")
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(k).to_numpy() for k in keys])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mark = tuple(marks[:, a].tolist())
+                if mark != last:
+                    edges += ended(held)
+                    held, last = [], mark
+                held.append(batch.slice(a, b - a))
+            yield made(edges)
+        yield made(ended(held))
+
+    def ended(held):
+        return link(pa.Table.from_batches(held)) if sum(h.num_rows for h in held) > 1 else []
+
+    def made(edges):
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "u long, v long").where("u <> v")
+
+
+def proposals(dealt: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """u, v: edges whose components hold all pairs (id, key, names) that share a key and are within the radius."""
+
+    def link(run: pa.Table) -> list[tuple[int, int]]:
+        points = np.stack([run.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        ids = run.column("id").to_numpy().tolist()
+        return [(ids[i], ids[j]) for i, j in forest(points, radius)]
+
+    return runs_edges(dealt, ["key"], link)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
+    """Whether two sorted hash sets have at least this Jaccard similarity; empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * similarity.denominator >= similarity.numerator * (len(a) + len(b) - both)
+
+
+def confirmed_edges(ids: list[int], sets: list[np.ndarray], similarity: Fraction, radius: int, labels: list[int] | None = None, blocks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that are alike; with labels those of a label are joined already, with blocks only pairs of different ones count."""
+    names = ids if labels is None else labels
+    places = {x: i for i, x in reversed(list(enumerate(names)))}
+    parent = [places[x] for x in names]
+    edges = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    if len(places) < 2:
+        return edges
+    sizes = np.array([len(s) for s in sets])
+    least = np.array([math.ceil(similarity * n) for n in sizes.tolist()])
+    points = np.array([wide_fingerprint(s) for s in sets], np.uint64) if len(ids) > FEW_ROWS else None
+    left = len({root(i) for i in range(len(ids))})
+    for i in range(len(ids) - 1):
+        near = (sizes[i + 1 :] >= least[i]) & (least[i + 1 :] <= sizes[i])
+        if blocks is not None:
+            near &= blocks[i + 1 :] != blocks[i]
+        if points is not None:
+            near &= distances(points[i + 1 :], points[i]) <= radius
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            a, b = root(i), root(j)
+            if a != b and alike(sets[i], sets[j], similarity):
+                parent[max(a, b)] = min(a, b)
+                edges.append((ids[i], ids[j]))
+                left -= 1
+        if left == 1:
+            break
+    return edges
+
+
+def confirmed(texts: DataFrame, stars: DataFrame, words: int, similarity: Fraction, radius: int) -> DataFrame:
+    """u, v: edges whose components are those of the pairs (id, text) that are alike within a proposed component (node, root).
+
+    Components are cut into blocks of BLOCK_ROWS rows or BLOCK_BYTES of hashes. Blocks are linked in themselves,
+    then by some representatives of what each found, and only where a component is still in parts is every
+    block compared with every other. Every pair in different parts is decided by its whole sets.
+    """
+
+    def start():
+        return lambda values: [[np.unique(shingle_hashes(t, words)).tobytes() for t in values]]
+
+    def link(run: pa.Table) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(h, np.uint64) for h in run.column("hashes").to_pylist()]
+        other = {}
+        if "label" in run.column_names:
+            other = {"labels": run.column("label").to_pylist(), "blocks": run.column("block").to_numpy()}
+        return confirmed_edges(run.column("id").to_pylist(), sets, similarity, radius, **other)
+
+    placed = written(stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
+    members = texts.join(broadcast_if_small(placed, 16), "id").dropDuplicates(["id", "text"])
+    rows = written(map_rows(members, ["text"], [T.StructField("hashes", T.BinaryType())], start, ["text"]))
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    number = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("hashes")) / BLOCK_BYTES)).cast("long")
+    large = written(rows.groupBy("root").agg(number.alias("blocks")).where("blocks > 1"))
+    some = broadcast_if_small(large, 16)
+    first = rows.join(some, "root", "left").withColumn("block", block(F.coalesce("blocks", F.lit(1).cast("long"))))
+    edges = written(runs_edges(first.select("root", "block", "id", "hashes"), ["root", "block"], link))
+    if not large.limit(1).count():
+        return edges
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        found = components(edges).select(F.col("node").alias("id"), F.col("root").alias("label"))
+        return written(placed.join(some, "root").join(found, "id", "left").select("id", "root", "blocks", F.coalesce("label", "id").alias("label")))
+
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("at"), "id"))["id"].alias(f"r{n}") for n in range(REPRESENTATIVES)]
+    chosen = labelled(edges).groupBy("root", "label").agg(*drawn)
+    chosen = written(chosen.select("root", F.explode(F.array_distinct(F.array(*(f"r{n}" for n in range(REPRESENTATIVES))))).alias("id")))
+    sizes = chosen.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+    second = rows.join(chosen.select("id"), "id").join(sizes, "root").withColumn("block", block(F.col("blocks")))
+    edges = written(edges.unionByName(runs_edges(second.select("root", "block", "id", "hashes"), ["root", "block"], link)))
+
+    labels = labelled(edges)
+    parted = labels.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
+    rest = rows.join(labels.join(parted, "root").select("id", "blocks", "label"), "id").withColumn("block", block(F.col("blocks")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    cells = rest.select("root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "label", "hashes")
+    return edges.unionByName(runs_edges(cells, ["root", "one", "two"], link))
 
 
 def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(classes, stars): the smallest id of each different signature, and node, root for those that join a smaller one.
+    """(classes, stars): the smallest id of each different set of shingles, and node, root for those that join a smaller one.
 
     At this similarity shingle fingerprints differ in so many bits that no vantage point of all documents tells
     anything apart: a tree would send every document everywhere. So shards come from min-hash bands, in which
     documents of the similarity meet but for a chance of (1 - s ** BAND_ROWS) ** BANDS (4 in 100,000 at 0.8);
-    within a shard the links are found by the trees as above, on fingerprints of 64 * WIDE_WORDS bits.
+    within a shard pairs are proposed by the trees as above, on fingerprints of 64 * WIDE_WORDS bits and with a
+    radius that leaves out next to none. What links is decided by the exact similarity of the sets of hashes.
     """
     names = [f"f{n}" for n in range(WIDE_WORDS)]
-    marked = with_signatures(df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "text", words)
-    classes = written(marked.groupBy(*names, "keys").agg(F.min("id").alias("id")))
+    texts = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    classes = written(with_signatures(texts, "text", words).groupBy(*names, "keys", "digest").agg(F.min("id").alias("id")))
     dealt = classes.select("id", *names, F.explode("keys").alias("key"))
-    return classes, components(run_edges(dealt, "key", "id", names, radius_for(similarity)))
+    radius = radius_for(similarity)
+    proposed = components(proposals(dealt, names, radius))
+    return classes, components(confirmed(texts, proposed, words, exact(similarity), radius))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -208,6 +208,41 @@ def test_similar_texts_are_found_and_others_left(spark):
     assert {i for i in range(at) if i % 3 != 1} <= kept and None in kept and 1000 in kept and 1001 not in kept
 
 
+def overlapping(rng, shared, left, right):
+    """Two texts whose sets of five-word shingles share so many, and have so many of their own."""
+    words = [f"w{rng.integers(1e9)}" for _ in range(shared + 4)]
+    ends = [[f"w{rng.integers(1e9)}" for _ in range(n)] for n in (left, right)]
+    return " ".join(words + ends[0]), " ".join(words + ends[1])
+
+
+def near_duplicates(rows):
+    """The ids that go by brute force over all pairs: those whose component has a smaller one."""
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}) for i, t in rows]
+    least = {i: i for i, _ in rows}
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if 5 * len(a & b) >= 4 * len(a | b) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    return {i for i, low in least.items() if i != low}
+
+
+@pytest.mark.parametrize("block", [1024, 6])
+def test_near_duplicates_are_those_of_the_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block, raising=False)
+    rng, rows = np.random.default_rng(5), []
+    # just at or above 0.8, and just below
+    for shape in [(4, 1, 0), (8, 1, 1), (80, 10, 10), (240, 0, 60), (400, 50, 50), (3, 1, 0), (5, 1, 1), (9, 2, 1), (79, 10, 10), (239, 30, 30), (300, 50, 50)]:
+        for _ in range(12):
+            rows += [(len(rows) + k, t) for k, t in enumerate(overlapping(rng, *shape))]
+    chain = [f"w{rng.integers(1e9)}" for _ in range(400)]
+    rows += [(len(rows) + k, " ".join(chain[5 * k : 5 * k + 100])) for k in rng.permutation(60).tolist()]
+    rows = [(int(i), t) for i, (_, t) in enumerate(rows)]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = near_duplicates(rows)
+    assert 60 + 59 <= len(gone) <= 60 + 59 + 1 and {i for i, _ in rows} - kept == gone
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------
 
 
