@@ -1,7 +1,10 @@
 """HTML extraction by site template removal.
 
 Every element subtree of every page is hashed. Counted by host in Spark, subtrees that recur on many pages of
-their host are template: they are deleted before the text is taken. Before that the structure says what can't
+their host are template: they are deleted before the text is taken. Outside of articles a block is template from a
+fixed number of different pages on, with a low share for very large hosts, so that what belongs to one section,
+language or rotation goes too; parts of a text (headings, items, cells, formatting) need a high share, since short
+ones recur by chance, and a page that would lose all its text keeps these blocks, as it is a copy. Before that the structure says what can't
 be text: scripts and styles, and menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments by their element, role, class or id. Where a page marks its article (article, main, or their roles),
 the text is what is inside, and there only subtrees on more than half of a host's pages count as template, so
@@ -9,11 +12,11 @@ that copies of an article aren't taken for it.
 
 Counts are combined in each batch and before the shuffle, so a host with a third of all pages is no hot spot.
 A host's template is bounded: subtrees on at least a share s of its pages number at most 1 / s times those of
-an average page.
+an average page, and blocks on MIN_PAGES pages at most a fifth of all blocks.
 
 Null and empty pages have an empty text; cut and unbalanced markup is closed as browsers do for paragraphs,
 list items, cells and formatting. Null urls have an empty host, which counts as one. A page row counts as often
-as it stands. Other columns pass through; earlier columns of the output's name are replaced.
+as it stands for shares, and rows of the same content once for numbers. Other columns pass through; earlier columns of the output's name are replaced.
 """
 
 from __future__ import annotations
@@ -21,16 +24,20 @@ from __future__ import annotations
 import html
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.runtime import BROADCAST_BYTES, map_rows, written
+from tamis.llm.runtime import BROADCAST_BYTES, broadcast_if_small, map_rows, written
 
 #: A subtree is template from so many pages of its host on, and from such a share of them.
 MIN_PAGES, MIN_SHARE, MIN_SHARE_IN_ARTICLE = 5, 0.4, 0.5
+#: Blocks outside of articles are from MIN_PAGES different pages on, and from such a share of the host's.
+LOW_SHARE = 0.001
 
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", regex.S)
 ATTRIBUTE = regex.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -54,12 +61,17 @@ NOT_TEXT_NAMES = frozenset(
     "share sharing social related recommended recommendations popup modal overlay skip".split()
 )
 HEADER_NAMES = frozenset(("header", "head"))
+#: Blocks that are parts of a text; they recur by chance.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary legend".split())
 NAME_PART = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: What an opening tag closes first, up to a limit element.
 P_CLOSERS = BLOCK - {"body", "html"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+PART, WHOLE, INSIDE = 0, 1, 2
+
+
 class Node:
     """An element: its children are nodes, strings, and None for a line break."""
 
@@ -160,16 +172,17 @@ def digest_tree(root: Node) -> None:
         node.digest = xxhash.xxh64_intdigest("\x00".join([node.name, *parts]).encode("utf-8", "replace")) >> 1
 
 
-def subtrees(root: Node) -> dict[int, bool]:
-    """The hashes of a page's subtrees below its frame, and whether each is inside an article."""
-    found: dict[int, bool] = {}
+def subtrees(root: Node) -> dict[int, int]:
+    """The hashes of a page's subtrees below its frame, and where each stands: INSIDE an article, else PART or WHOLE."""
+    found: dict[int, int] = {}
     todo = [root]
     while todo:
         node = todo.pop()
         for child in node.children:
             if isinstance(child, Node):
                 if child.name not in ("html", "body") and not child.marked:
-                    found[child.digest] = found.get(child.digest, True) and child.in_article
+                    place = INSIDE if child.in_article else WHOLE if child.name in BLOCK and child.name not in PARTS else PART
+                    found[child.digest] = min(found.get(child.digest, INSIDE), place)
                 todo.append(child)
     return found
 
@@ -223,39 +236,69 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
 
 
-def template_hashes(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, share: float = MIN_SHARE, share_in_article: float = MIN_SHARE_IN_ARTICLE) -> DataFrame:
-    """host, outside, inside: the hashes of each host's template, outside and inside of articles."""
-    import pyarrow as pa
+def template_hashes(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, share: float = MIN_SHARE, share_in_article: float = MIN_SHARE_IN_ARTICLE, low_share: float = LOW_SHARE) -> DataFrame:
+    """host, outside, recurring, inside: the hashes of each host's template, outside of articles by share and by number of pages, and inside."""
+    rows = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).withColumn("content", F.xxhash64("page"))
+    copies = written(rows.groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("host").alias("__host"), F.col("content").alias("__content"), "copies"))
+    rows = rows.join(broadcast_if_small(copies, 128), (F.col("host") == F.col("__host")) & (F.col("content") == F.col("__content")), "left")
 
     def count(batches):
         for batch in batches:
-            seen: dict[str, Counter] = defaultdict(Counter)
-            for host, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[host].update((0, False) if h is None else h for h in [None, *subtrees(parse(content or "")).items()])
-            rows = [(host, *key, n) for host, counts in seen.items() for key, n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64()))], ["host", "h", "inside", "n"])
-
-    counted = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(count, "host string, h long, inside boolean, n long")
-    counted = written(counted.groupBy("host", "h", "inside").agg(F.sum("n").alias("n")))
+            seen: dict[tuple[str, int], Counter] = defaultdict(Counter)
+            for host, content, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen[host, copies].update((0, PART) if h is None else h for h in [None, *subtrees(parse(content or "")).items()])
+            made = [(host, *key, n, n / copies) for (host, copies), counts in seen.items() for key, n in counts.items()]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], ["host", "h", "place", "n", "different"])
+
+    counted = rows.select("host", "page", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(count, "host string, h long, place int, n long, different double")
+    counted = written(counted.groupBy("host", "h", "place").agg(F.sum("n").alias("n"), F.round(F.sum("different"), 3).alias("different")))
     pages = counted.where("h = 0").select(F.col("host").alias("of"), F.col("n").alias("pages"))
     often = counted.where((F.col("h") != 0) & (F.col("n") >= min_pages)).join(pages, F.col("host") == F.col("of"))
-    often = often.where(F.col("n") > F.col("pages") * F.when(F.col("inside"), share_in_article).otherwise(share))
-    return often.groupBy("host").agg(F.collect_set(F.when(~F.col("inside"), F.col("h"))).alias("outside"), F.collect_set(F.when(F.col("inside"), F.col("h"))).alias("inside"))
+    common = F.col("n") > F.col("pages") * F.when(F.col("place") == INSIDE, share_in_article).otherwise(share)
+    recurs = (F.col("place") == WHOLE) & (F.col("different") >= F.greatest(F.lit(min_pages), F.col("pages") * low_share))
+    often = often.withColumn("common", common).where(F.col("common") | recurs)
+    hashes = lambda when: F.collect_set(F.when(when, F.col("h")))
+    outside = F.col("place") != INSIDE
+    return often.groupBy("host").agg(hashes(outside & F.col("common")).alias("outside"), hashes(outside & ~F.col("common")).alias("recurring"), hashes(~outside).alias("inside"))
 
 
-def extract(df: DataFrame, url: str = "url", page: str = "html", text: str = "text", drop_page: bool = False) -> DataFrame:
-    """df with the main text of each page."""
-    templates = written(template_hashes(df, url, page))
-    size = templates.agg(F.sum(64 + 8 * (F.size("outside") + F.size("inside")))).first()[0] or 0
-    sites = templates.select(F.col("host").alias("__of"), F.col("outside").alias("__outside"), F.col("inside").alias("__inside"))
-    rows = df.withColumn("__host", host_of(F.col(url))).join(F.broadcast(sites) if size <= BROADCAST_BYTES else sites, F.col("__host") == F.col("__of"), "left")
+def main_text(page: str, outside: np.ndarray, recurring: np.ndarray, within: np.ndarray) -> str:
+    """The text of a page without its host's template (sorted hashes)."""
+    root = parse(page)
+    own = np.fromiter(subtrees(root), np.int64)
 
-    def start():
-        def work(pages, outside, within):
-            none = ()
-            return [[text_of(parse(p), set(a.tolist() if a is not None else none), set(b.tolist() if b is not None else none)) if p else "" for p, a, b in zip(pages, outside, within, strict=True)]]
+    def met(hashes: np.ndarray) -> set[int]:
+        if not len(hashes):
+            return set()
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        return set(own[hashes[at] == own].tolist())
 
-        return work
+    always, more, inner = met(outside), met(recurring), met(within)
+    return text_of(root, always | more, inner) or (text_of(root, always, inner) if more else "")
 
-    gone = ["__host", "__of", "__outside", "__inside", *([page] if drop_page else [])]
-    return map_rows(rows, [page, "__outside", "__inside"], [T.StructField(text, T.StringType())], start, gone)
+
+def extract(df: DataFrame, url: str = "url", page: str = "html", text: str = "text", drop_page: bool = False) -> DataFrame:
+    """df with the main text of each page."""
+    kinds = ["outside", "recurring", "inside"]
+    templates = written(template_hashes(df, url, page).select("host", *(F.sort_array(k).alias(k) for k in kinds)))
+    size = templates.agg(F.sum(64 + 8 * sum(F.size(k) for k in kinds))).first()[0] or 0
+    rows = df.withColumn("__host", host_of(F.col(url)))
+    none = np.empty(0, np.int64)
+    if size <= BROADCAST_BYTES:  # a host's hashes go out once, not with each of its pages
+        held = {r["host"]: tuple(np.array(r[k], np.int64) for k in kinds) for r in templates.collect()}
+        held = df.sparkSession.sparkContext.broadcast(held)
+        inputs = [page, "__host"]
+
+        def start():
+            return lambda pages, hosts: [[main_text(p, *held.value.get(h, (none, none, none))) if p else "" for p, h in zip(pages, hosts, strict=True)]]
+
+    else:
+        rows = rows.join(templates.select(F.col("host").alias("__of"), *(F.col(k).alias(f"__{k}") for k in kinds)), F.col("__host") == F.col("__of"), "left")
+        inputs = [page, *(f"__{k}" for k in kinds)]
+
+        def start():
+            return lambda pages, *hashes: [[main_text(p, *(none if h is None else h for h in of)) if p else "" for p, *of in zip(pages, *hashes, strict=True)]]
+
+    gone = ["__host", "__of", *(f"__{k}" for k in kinds), *([page] if drop_page else [])]
+    return map_rows(rows, inputs, [T.StructField(text, T.StringType())], start, gone)

@@ -96,6 +96,21 @@ def test_template_of_a_site_goes_and_copied_articles_stay(spark, empty):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [html_text.BROADCAST_BYTES, 0])
+def test_blocks_of_a_section_go_and_parts_and_copies_stay(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", limit)
+    section = lambda i: "<div><p>Only in the harbour section</p></div>" if i < 8 else ""
+    rows = [(i, "http://a.org/x", f"<body>{section(i)}<div><h2>{'Method' if i < 8 else i}</h2><p>Story <b>{'so' if i < 9 else i}</b> number {i}</p></div></body>") for i in range(60)]
+    rows += [(100 + i, "http://a.org/x", "<body><div><p>One page kept seven times</p></div></body>") for i in range(7)]
+    rows += [(200 + i, "http://a.org/x", f"<body><script>{i}</script><div><p>A copy with another script</p></div></body>") for i in range(6)]
+    rows += [(300 + i, "http://a.org/x", f"<body><article><p>Seen in six articles</p><p>own {i}</p></article></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{'Method' if i < 8 else i}\n\nStory {'so' if i < 9 else i} number {i}" for i in range(60))
+    assert all(got[100 + i] == "One page kept seven times" for i in range(7))
+    assert all(got[200 + i] == "A copy with another script" for i in range(6))
+    assert all(got[300 + i] == f"Seen in six articles\n\nown {i}" for i in range(6))
+
+
 def test_html_query(spark, sf):
     from tamis.llm.queries import QUERIES
 
