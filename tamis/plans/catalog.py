@@ -53,8 +53,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").selectExpr("doc_id AS sample_id", "text", "lang AS domain", "concat(lang, ':', source) AS source")
 
 
-def trajs(spark: SparkSession, sf_dir: str, checkpoints: list[int], series: str = "perturbation", keep: bool = False) -> DataFrame:
-    made = losses.surrogate_trajectories(samples(spark, sf_dir), checkpoints, 100, series)
+def trajs(spark: SparkSession, sf_dir: str, checkpoints: list[int], series: str = "perturbation", keep: bool = False, window: int = 100) -> DataFrame:
+    made = losses.surrogate_trajectories(samples(spark, sf_dir), checkpoints, window, series)
     return made.persist() if keep else made
 
 
@@ -276,6 +276,60 @@ def embedding_mean_pool(spark, sf_dir):
     return pooled.select(F.col("vec_id").alias("sample_id"), *(F.round(F.get("p", F.lit(i)), 6).alias(f"p{i}") for i in range(4)))
 
 
+# -- clusters and selections at the reference's settings ---------------------------------------------------
+
+#: The reference's rounds of k-means, and the windows of its main losses and of its difficulty losses. The queries
+#: above keep NITER rounds and 100 tokens, for which their SQL is written.
+FULL_NITER, MAIN_WINDOW, DIFFICULTY_WINDOW = 20, 1000, 100
+_FEATURES = ["f0", "f1", "f2"]
+_FULL_HALVES = f"{sql.trajectories(CKPTS, DIFFICULTY_WINDOW)}, t AS (SELECT *, least(2, count(*) OVER (PARTITION BY domain, source)) AS k FROM traj), {sql.kmeans('a', 't', _FEATURES, FULL_NITER)}"
+_FULL_HIGH = f"{_FULL_HALVES},{sql.high_loss('h', 'a', _FEATURES)}"
+
+
+def _full_halves(spark, sf_dir):
+    config = SelectionConfig(method="high_loss_clusters", all_samples=True, n_clusters=2, niter=FULL_NITER).merged({})
+    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=DIFFICULTY_WINDOW), config)
+
+
+@query(f"WITH {sql.trajectories(CKPTS, MAIN_WINDOW)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', _FEATURES, FULL_NITER)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
+def kmeans_lloyd_losses_full(spark, sf_dir):
+    rows = trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW).withColumn("k", F.lit(5))
+    return cluster.lloyd(rows, ("domain",), "k", niter=FULL_NITER).select("sample_id", "cluster_id", "dist")
+
+
+@query(f"WITH {_FULL_HALVES}, s AS (SELECT domain, source, cluster, count(*) AS n FROM a GROUP BY ALL) SELECT domain, source, count(*) AS n_clusters, CAST(min(n) AS BIGINT) AS smallest, CAST(max(n) AS BIGINT) AS largest, CAST(sum(n) AS DOUBLE) / count(*) AS mean_size FROM s GROUP BY ALL")
+def cluster_size_stats_full(spark, sf_dir):
+    sizes = _full_halves(spark, sf_dir).clusters.groupBy("domain", "source", "cluster_id").agg(F.count("*").alias("n"))
+    return sizes.groupBy("domain", "source").agg(F.count("*").alias("n_clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"), (F.sum("n") / F.count("*")).alias("mean_size"))
+
+
+@query(f"WITH {_FULL_HIGH} SELECT domain, source, sample_id FROM h")
+def select_high_loss_clusters_full(spark, sf_dir):
+    return _full_halves(spark, sf_dir).selected
+
+
+@query(f"WITH RECURSIVE {sql.trajectories(CKPTS, MAIN_WINDOW)},{sql.softmax_selection('x', 'traj', _FEATURES, BUDGET, FULL_NITER)} SELECT domain, source, sample_id FROM x")
+def select_learnability_softmax_full(spark, sf_dir):
+    config = SelectionConfig(method="learnability", softmax=True, size=BUDGET, niter=FULL_NITER).merged({})
+    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW), config).selected
+
+
+_MAIN_MEANS = ", ".join(f"CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0) AS BIGINT) AS f{i}" for i, j in enumerate(CKPTS))
+
+
+@query(f"WITH RECURSIVE {_FULL_HIGH}, mains AS (SELECT doc_id, {_MAIN_MEANS} FROM tok WHERE t <= {MAIN_WINDOW} GROUP BY doc_id), sub AS (SELECT h.sample_id, h.domain, h.source, coalesce(m.f0, 0) AS f0, coalesce(m.f1, 0) AS f1, coalesce(m.f2, 0) AS f2 FROM h LEFT JOIN mains m ON m.doc_id = h.sample_id),{sql.softmax_selection('x', 'sub', _FEATURES, 100, FULL_NITER)} SELECT domain, source, sample_id FROM x")
+def pipeline_difficulty_then_diversity_full(spark, sf_dir):
+    """The difficult half of each source by difficulty losses, and a diverse choice from it by main losses."""
+    pool = sample.apply_subset(trajs(spark, sf_dir, CKPTS, window=MAIN_WINDOW), _full_halves(spark, sf_dir).selected).persist()
+    return select(pool, SelectionConfig(method="learnability", softmax=True, size=100, niter=FULL_NITER).merged({})).selected
+
+
+@query()
+def embedding_medoids_full(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k")).persist()
+    return cluster.medoids(cluster.lloyd(rows, ("all",), "k", niter=FULL_NITER), ("all",)).select("cluster_id", "sample_id")
+
+
 # -- conversations -----------------------------------------------------------------------------------------
 
 

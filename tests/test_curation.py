@@ -1,5 +1,6 @@
 """Losses, budgets, clusters, samplers, converters, scoring and tensors: golden values, guards and properties."""
 
+import hashlib
 import math
 import random
 
@@ -411,3 +412,33 @@ def test_row_wise_operators_run_on_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.mean_full for r in spark.table("prefix_means_stream").collect()) == [0.0, 2.0]
+
+
+def brute_lloyd(points, k, rounds):
+    """ident -> (cluster, dist) by whole-number k-means from the first k by md5."""
+    order = sorted(points, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    centers = [points[i] for i in order[:k]]
+    toward = lambda n, d: abs(n) // d * (1 if n >= 0 else -1)
+    for done in range(rounds + 1):
+        near = {i: min((sum((a - b) ** 2 for a, b in zip(p, c, strict=True)), n) for n, c in enumerate(centers)) for i, p in points.items()}
+        if done < rounds:
+            own = [[points[i] for i, (_, m) in near.items() if m == n] for n in range(k)]
+            centers = [[toward(sum(x), len(o)) for x in zip(*o, strict=True)] if o else c for o, c in zip(own, centers, strict=True)]
+    return {i: (n, d) for i, (d, n) in near.items()}
+
+
+def test_full_queries_run_twenty_rounds_over_the_main_window(spark):
+    from tamis.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.sample_id: (r.cluster_id, r.dist) for r in catalog.QUERIES["kmeans_lloyd_losses_full"](spark, sf).collect()}
+    points = {}
+    for r in losses.surrogate_trajectories(catalog.samples(spark, sf), catalog.CKPTS, 1000).collect():
+        points.setdefault(r.domain, {})[r.sample_id] = list(r.traj)
+    runs = {rounds: {i: x for of in points.values() for i, x in brute_lloyd(of, 5, rounds).items()} for rounds in (3, 20)}
+    assert got == runs[20] != runs[3]
+    vectors = {r.vec_id: list(r.traj) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", cluster.quantize(F.col("embedding")).alias("traj")).collect()}
+    best = {}
+    for i, (n, d) in brute_lloyd(vectors, 10, 20).items():
+        best[n] = min(best.get(n, (d, i)), (d, i))
+    assert {r.cluster_id: r.sample_id for r in catalog.QUERIES["embedding_medoids_full"](spark, sf).collect()} == {n: i for n, (_, i) in best.items()}
