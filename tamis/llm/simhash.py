@@ -277,9 +277,9 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
 
 #: Bits of a wide fingerprint, and the min-hash bands by which wide fingerprints are dealt to shards.
 WIDE_WORDS, BANDS, BAND_ROWS = 8, 10, 2
-#: Proposed components are confirmed in blocks of so many rows or bytes of hashes, which meet by so many
-#: representatives first. So few sets are compared without fingerprints.
-BLOCK_ROWS, BLOCK_BYTES, REPRESENTATIVES, FEW_ROWS = 1_024, 16 << 20, 8, 8
+#: A band key of more rows isn't compared as a whole; proposed components are confirmed in blocks of so many rows
+#: or bytes of hashes, which meet by so many representatives first. So few sets are compared without fingerprints.
+HOT_ROWS, BLOCK_ROWS, BLOCK_BYTES, REPRESENTATIVES, FEW_ROWS = 4_096, 1_024, 16 << 20, 8, 8
 #: Odd multipliers of a 64-bit mix, from the golden ratio and from SplitMix64.
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -388,14 +388,22 @@ def runs_edges(rows: DataFrame, keys: list[str], link: Callable[[pa.Table], list
 
 
 def proposals(dealt: DataFrame, names: list[str], radius: int) -> DataFrame:
-    """u, v: edges whose components hold all pairs (id, key, names) that share a key and are within the radius."""
+    """u, v: edges whose components hold all pairs (id, key, names) that share a key and are within the radius.
+
+    A key of more than HOT_ROWS rows isn't compared here: all its rows are proposed as one, by a count that is
+    combined before the shuffle, and told apart in blocks when proposals are confirmed. So no task holds more.
+    """
 
     def link(run: pa.Table) -> list[tuple[int, int]]:
         points = np.stack([run.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
         ids = run.column("id").to_numpy().tolist()
         return [(ids[i], ids[j]) for i, j in forest(points, radius)]
 
-    return runs_edges(dealt, ["key"], link)
+    heads = written(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where(F.col("n") > HOT_ROWS).select("key", "head"))
+    hot = broadcast_if_small(heads, 16)
+    cold = dealt.join(hot, "key", "left_anti")
+    one = dealt.select("id", "key").join(hot, "key").select(F.col("id").alias("u"), F.col("head").alias("v")).where("u <> v")
+    return runs_edges(cold, ["key"], link).unionByName(one)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:

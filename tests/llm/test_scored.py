@@ -242,6 +242,18 @@ def near_duplicates(rows):
     return {i for i, low in least.items() if i != low}
 
 
+def test_no_task_holds_a_hot_band_key(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 50)
+    held = []
+    real = simhash.runs_edges
+    monkeypatch.setattr(simhash, "runs_edges", lambda rows, keys, link: (held.append(rows.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0), real(rows, keys, link))[1])
+    rng = np.random.default_rng(6)
+    base = [f"w{rng.integers(1e9)}" for _ in range(300)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(200)] + [(200, " ".join(f"x{i}" for i in range(50)))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 200} and held[0] <= 50
+
+
 @pytest.mark.parametrize("block", [1024, 6])
 def test_near_duplicates_are_those_of_the_exact_similarity(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block, raising=False)
