@@ -6,7 +6,7 @@ fixed number of different pages on, with a low share for very large hosts, so th
 language or rotation goes too; parts of a text (headings, items, cells, formatting) need a high share, since short
 ones recur by chance, and a page that would lose all its text keeps these blocks, as it is a copy. Before that the structure says what can't
 be text: scripts and styles, and menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments by their element, role, class or id. Where a page marks its article (article, main, or their roles),
+comments by their element, role, class or id (inside an article only a class all of whose words say so). Where a page marks its article (article, main, or their roles),
 the text is what is inside, and there only subtrees on more than half of a host's pages count as template, so
 that copies of an article aren't taken for it.
 
@@ -63,6 +63,9 @@ NOT_TEXT_NAMES = frozenset(
 HEADER_NAMES = frozenset(("header", "head"))
 #: Blocks that are parts of a text; they recur by chance.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary legend".split())
+#: Words that a class may have besides inside an article, where one word alone is no evidence.
+FRAME_NAMES = frozenset("area bar block box button buttons container content group inner item items link links list outer panel section site slot text top bottom left right unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME_PART = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: What an opening tag closes first, up to a limit element.
 P_CLOSERS = BLOCK - {"body", "html"}
@@ -95,12 +98,21 @@ def role_of(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     given = attributes(attrs) if attrs and not attrs.isspace() else {}
     role = given.get("role", "").lower()
     names = {part.lower() for key in ("class", "id") for part in NAME_PART.findall(given.get(key, ""))}
+    named = named_in_article(name, given.get("class", "")) if in_article else bool(names & NOT_TEXT_NAMES)
     marks = name in ARTICLE or role in ARTICLE_ROLES or given.get("itemprop") == "articleBody"
     header = (name == "header" or bool(names & HEADER_NAMES)) and not in_article and name not in ARTICLE
-    dropped = name in NOT_TEXT or role in NOT_TEXT_ROLES or header or bool(names & NOT_TEXT_NAMES) and name not in ("html", "body") or "hidden" in given or given.get("aria-hidden") == "true"
+    dropped = name in NOT_TEXT or role in NOT_TEXT_ROLES or header or named and name not in ("html", "body") or "hidden" in given or given.get("aria-hidden") == "true"
     return dropped, marks and not dropped
 
 
+def named_in_article(name: str, classes: str) -> bool:
+    """Whether a class inside an article says by all of its words that an element is no text; ids and headings have the words of the text."""
+    if name in HEADINGS:
+        return False
+    words = ({part.lower() for part in NAME_PART.findall(one)} for one in classes.split())
+    return any(w & NOT_TEXT_NAMES and w <= NOT_TEXT_NAMES | FRAME_NAMES for w in words)
+
+
 def parse(page: str) -> Node:
     """The tree of a page, with each subtree's hash."""
     root = Node("#root")

@@ -111,6 +111,12 @@ def test_blocks_of_a_section_go_and_parts_and_copies_stay(spark, monkeypatch, li
     assert all(got[300 + i] == f"Seen in six articles\n\nown {i}" for i in range(6))
 
 
+def test_article_text_with_listed_words_in_its_names_stays():
+    page = '<article><section id="discussion"><h2 id="search-results">A</h2><p id="privacy-law">B</p></section><div class="related-work">C</div><div class="ad-slot">D</div><p class="share">E</p><div class="comments">F</div></article>'
+    assert html_text.text_of(html_text.parse(page)) == "A\n\nB\n\nC"
+    assert html_text.text_of(html_text.parse('<div id="discussion">A</div><p>B</p>')) == "B"
+
+
 def test_html_query(spark, sf):
     from tamis.llm.queries import QUERIES
 
