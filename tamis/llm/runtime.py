@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +23,17 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session, as in tests, gets a temporary one; on a cluster executors would each write
+    to a disk of their own, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamis-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-        if folder is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamis-checkpoint-"))
-            folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
@@ -36,11 +45,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for wide rows of which later steps read some columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its rows of at most row_bytes fit the limit; else as it is, for a shuffled join.
 
@@ -50,11 +72,65 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], start: Callable[[], Callable[..., list]], drop: list[str] | None = None) -> DataFrame:
+#: Keys of so large a share of all rows are dealt in parts by join_in_parts().
+HOT_SHARE = 0.001
+
+
+def is_broadcast(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().analyzed().nodeName() == "ResolvedHint"
+
+
+def join_in_parts(rows: DataFrame, side: DataFrame, keys: dict[str, str], how: str = "left") -> DataFrame:
+    """rows joined with side where rows.key = side.other for each of keys; side has each key once, its key columns go.
+
+    If side is too large to go out to all tasks, keys of at least twice a HOT_SHARE of all rows (at most 1 / HOT_SHARE
+    of them) are dealt in parts: their rows by a hash of the other columns, side's row to each part. Null keys meet
+    nothing and, in a left join, stay where they are.
+    """
+    met = reduce(and_, (F.col(k) == F.col(o) for k, o in keys.items()))
+    if is_broadcast(side):
+        return rows.join(side, met, how).drop(*keys.values())
+    names = [f"__hot{n}" for n in range(len(keys))]
+    counts = written(rows.where(F.col(next(iter(keys))).isNotNull()).groupBy(*(F.col(k).alias(h) for k, h in zip(keys, names, strict=True))).agg(F.count("*").alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    share = F.col("__n") / F.lit(max(1.0, total * HOT_SHARE))
+    hot = F.broadcast(written(counts.where(share >= 2).select(*names, F.ceil(share).cast("int").alias("__parts"))))
+    parts = F.coalesce("__parts", F.lit(1))
+    of = lambda columns: reduce(and_, (F.col(c) == F.col(h) for c, h in zip(columns, names, strict=True)))
+    side = side.join(hot, of(keys.values()), "left").withColumn("__no", F.explode(F.sequence(F.lit(0), parts - 1))).drop(*names, "__parts")
+    others = [f.name for f in rows.schema.fields if f.name not in keys and isinstance(f.dataType, T.AtomicType)]
+    chance = F.xxhash64(*others) if others else F.monotonically_increasing_id()
+    rows = rows.join(hot, of(keys), "left").withColumn("__part", F.pmod(chance, parts).cast("int")).drop(*names, "__parts")
+    return rows.join(side, met & (F.col("__part") == F.col("__no")), how).drop(*keys.values(), "__no", "__part")
+
+
+#: Tables that a Python worker keeps from task to task, of one operator at a time.
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept by a Python worker for later tasks of the same operator."""
+    if key not in _resident:
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Gives a Python worker's kept tables and free memory back to the system."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], start: Callable[[], Callable[..., list]], drop: list[str] | None = None, holds: bool = False) -> DataFrame:
     """df with new columns computed from the columns named in inputs, in Arrow batches.
 
     start() runs once a task and returns a function from the values of each input to one list or Arrow array
     for each new field; batches are cut to about SLICE_BYTES first. Columns in drop aren't returned. A new field replaces a column of its name.
+    Unless the operator holds tables from task to task, those that a worker has left of another one go first.
     """
     new = [f.name for f in fields]
     keep = [f for f in df.schema.fields if f.name not in {*new, *(drop or [])}]
@@ -63,6 +139,8 @@ def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], star
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            release()
         work = start()
         for whole in batches:
             rows = max(1, whole.num_rows * SLICE_BYTES // max(whole.nbytes, 1))

@@ -1,22 +1,28 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every version of every path is addressed by the SHA-256 of its content. The ledger holds a row for each blob
-and rule version that was scanned, with its findings; only pairs that it lacks are scanned, each once, and
-the findings are joined back to all paths. A blob that a third of all rows share is combined before the
-shuffle and scanned once.
+Every historical version of every path is addressed by the SHA-256 of its content: a paths table has a row (path,
+version, blob) for each. The ledger has a row (blob, rule_version, findings) for every blob and rule version that was
+scanned, clean ones with no findings. Of a new batch only the pairs that the ledger lacks are scanned, each once,
+and appended to it; the findings are joined back to all paths. A blob that a third of all rows share is combined before
+the shuffle and scanned once; where findings meet their paths, such blobs are dealt in parts.
 
 Spans are code points, ends exclusive. Their positions come from the lengths of the pieces between matches
-and of the matches, summed in order. Null texts are empty; an empty text has no findings. Repeated rows share
-their blob's findings. Other columns pass through; earlier columns of the outputs' names are replaced.
+and of the matches, summed in order. Null texts are empty; an empty text is a clean blob. Very long texts are
+scanned whole, a match is a row while spans are made. Matches that begin at the same place come in the rules' order.
+Repeated rows share their blob's findings. An empty table gives an empty result and leaves the ledger as it is. Other
+columns pass through whatever their names; earlier columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamis.llm.runtime import broadcast_if_small, join_in_parts, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -38,6 +44,9 @@ RULES = (
 RULES_VERSION = "1"
 
 FINDINGS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
+LEDGER = f"blob string, findings {FINDINGS}, rule_version string"
+#: A ledger's row goes out with at most so many bytes, or else the paths meet it by shuffle.
+LEDGER_ROW_BYTES = 4_096
 
 
 def address(text: Column) -> Column:
@@ -45,10 +54,14 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def paths(df: DataFrame, path: str, version: str, text: str = "text") -> DataFrame:
+    """path, version, blob: where each content stands; a row for every version of every path."""
+    return df.select(F.col(path).alias("path"), F.col(version).alias("version"), address(F.col(text)).alias("blob")).distinct()
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, findings: those of the blobs (blob, content) that have any."""
+    """blob, findings: a row for each of the blobs (blob, content), with no findings for clean ones."""
     found = blobs.select("blob", "content", *(F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias(f"m{n}") for n, r in enumerate(rules)))
-    found = found.where(" OR ".join(f"size(m{n}) > 0" for n in range(len(rules))))
 
     def cells(n: int, rule: Rule) -> Column:
         """For each match the length before it since the last one, its own, and whether it counts."""
@@ -65,38 +78,59 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = found.select("blob", *(cells(n, r).alias(f"c{n}") for n, r in enumerate(rules)))
     rows = parts.select("blob", F.explode_outer(F.flatten(F.array_compact(F.array(*(f"c{n}" for n in range(len(rules))))))).alias("c")).select("blob", "c.i", "c.x.*")
     before = Window.partitionBy("blob", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).where("counts")
+    spans = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before))
     span = F.struct((F.col("end") - F.col("size")).cast("long").alias("start"), "kind_no", F.col("end").cast("long").alias("end"), "kind")
-    return spans.groupBy("blob").agg(F.sort_array(F.collect_list(span)).cast(FINDINGS).alias("findings"))
+    return spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), span))).cast(FINDINGS).alias("findings"))
 
 
 def extend_ledger(addressed: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
     """The ledger's new rows (blob, rule_version, findings) for the blobs (blob, content) that it lacks at this version."""
-    blobs = addressed.select("blob", "content").dropDuplicates(["blob"])
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
+        known = ledger.where(F.col("rule_version") == version).select("blob").distinct()
+        addressed = addressed.join(known, "blob", "left_anti")
+    blobs = addressed.select("blob", "content").dropDuplicates(["blob"])
     return scan_blobs(blobs, rules).select("blob", F.lit(version).alias("rule_version"), "findings")
 
 
-def scan(df: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION, seen: DataFrame | None = None) -> DataFrame:
-    """df with the column findings, sorted by start and kind; blobs that the ledger has at this version aren't scanned.
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of a folder; empty if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def append_ledger(rows: DataFrame, folder: str) -> None:
+    """Adds rows to the ledger of a folder. Files are partitioned by rule version, so that a scan reads its own only."""
+    rows.select("blob", "findings", "rule_version").write.mode("append").partitionBy("rule_version").parquet(folder)
+
 
-    The ledger keeps blobs without findings apart, if at all: seen names blobs (blob, rule_version) known to be clean.
-    """
+def with_findings(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULES_VERSION) -> DataFrame:
+    """df with blob and findings, from a ledger that has all of its blobs."""
     names = [c for c in df.columns if c not in ("findings", "blob")]
-    addressed = df.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    known = ledger.select("blob", "rule_version") if ledger is not None else None
-    if seen is not None:
-        known = seen.select("blob", "rule_version") if known is None else known.unionByName(seen.select("blob", "rule_version"))
-    rows = extend_ledger(addressed, known, rules, version).select("blob", "findings")
-    if ledger is not None:
-        rows = rows.unionByName(ledger.where(F.col("rule_version") == version).select("blob", "findings"))
-    found = rows.withColumnRenamed("blob", "__blob")
-    paths = df.select(*names, address(F.col(text)).alias("blob"))
-    joined = paths.join(found, F.col("blob") == F.col("__blob"), "left")
+    found = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), "findings")
+    rows = df.select(*names, address(F.col(text)).alias("blob"))
+    joined = join_in_parts(rows, broadcast_if_small(found, LEDGER_ROW_BYTES), {"blob": "__blob"})
     return joined.select(*names, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
+def scan(df: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
+    """df with blob and findings, sorted by start and kind; blobs that the ledger has at this version aren't scanned."""
+    addressed = df.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    rows = written(extend_ledger(addressed, ledger, rules, version))
+    return with_findings(df, rows if ledger is None else rows.unionByName(ledger.select("blob", "rule_version", "findings")), text, version)
+
+
+def scan_increment(df: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
+    """As scan(), with the ledger of a folder: what it lacks is scanned and appended, then df is joined with it."""
+    spark = df.sparkSession
+    addressed = df.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    append_ledger(extend_ledger(addressed, read_ledger(spark, folder), rules, version), folder)
+    return with_findings(df, read_ledger(spark, folder), text, version)
+
+
 def joined_spans(findings: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
