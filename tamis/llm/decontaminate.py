@@ -6,26 +6,32 @@ of the kept hashes misses no shared window of SPAN words. Hits are then extended
 hash, the windows that contain one are compared with the items' windows word by word, and the words inside
 any that agree are hit. Items of fewer words are one window of their own length, whose hash is kept as it is.
 
-Equal texts are handled once, under 128 bits of their content. A benchmark's hashes and windows go out as a
-broadcast only if their rows, once written, fit a fixed limit; beyond it both joins are shuffled. Arrays are
+Equal texts are handled once, under 128 bits of their content. A benchmark's hashes and windows, the texts with
+a common hash and what was found go out as broadcasts only if their rows, once written, fit a fixed limit; beyond it
+the joins are shuffled, and texts of many rows are dealt in parts. Which of a text's places have a common hash is a
+join, not a search in its list of hashes, so the time of a very long text grows with its words. Arrays are
 exploded with explode_outer throughout: for explode the optimiser adds a filter on the array's size, and with
 it computes the whole array a second time below.
 
 Null texts and texts without words have no windows and are never hit; such items have none either. Rows with
 the same id keep results of their own; items with the same id are one. Null item ids count as an item whose
-id is an empty string. An empty benchmark hits nothing. Other columns pass through; earlier columns of the
-outputs' names are replaced.
+id is an empty string. A word in several windows is hit once. An empty benchmark hits nothing, an empty table gives an
+empty result. Other columns pass through; earlier columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.runtime import ascii_lower, broadcast_if_small, written
+from tamis.llm.runtime import ascii_lower, broadcast_if_small, join_in_parts, written
 
 SPAN, K = 10, 5
 WINNOW = SPAN - K + 1
+#: What was found in a text takes so many bytes in a broadcast at most, or else rows meet it by shuffle.
+FOUND_BYTES = 1_024
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The same without the letters A-Z, for counting words without lowering them first.
 SEPARATORS_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -91,28 +97,29 @@ def hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str
 
     docs = df.select(*text_key(F.col(text)), words_of(F.col(text)).alias("words"))
     kept = kept_hashes(docs, "words", short).select("__ka", "__kb", F.explode_outer("kept").alias("h"))
-    matched = written(kept.join(marks, "h").groupBy("__ka", "__kb").agg(F.collect_set("h").alias("__marks")))
-
-    found = df.select(*text_key(F.col(text)), F.col(text).alias("__text")).join(matched, ["__ka", "__kb"])
-    found = found.dropDuplicates(["__ka", "__kb"]).select("__ka", "__kb", "__marks", words_of(F.col("__text")).alias("words"))
-    # a window of SPAN words may match if a common hash is among its WINNOW grams
-    found = found.withColumn("__near", F.transform(grams("words", K), lambda h: ~F.array_contains("__marks", h)))
-    done = 1
-    while done < WINNOW:
-        step = min(done, WINNOW - done)
-        found = found.withColumn("__near", F.transform("__near", lambda far, i: far & F.coalesce(F.get("__near", i + step), F.lit(True))))  # noqa: B023
-        done += step
+    matched = written(kept.join(marks, "h").select("__ka", "__kb", "h").distinct())
 
-    def spot(n: int, i: Column) -> Column:
-        return F.struct(F.lit(n).alias("size"), i.alias("start"), F.concat_ws(" ", *run_at("words", i, n)).alias("window"))
+    texts = broadcast_if_small(matched.select("__ka", "__kb").distinct(), 16)
+    found = df.select(*text_key(F.col(text)), F.col(text).alias("__text")).join(texts, ["__ka", "__kb"])
+    found = written(found.dropDuplicates(["__ka", "__kb"]).select("__ka", "__kb", words_of(F.col("__text")).alias("words")))
 
-    def starts(n: int) -> Column:
-        """The windows of n words that may match."""
+    def starts(n: int) -> DataFrame:
+        """__ka, __kb, size, start: the windows of n words that may match."""
+        k = min(n, K) if n == SPAN else n
+        places = found.select("__ka", "__kb", F.posexplode_outer(grams("words", k)).alias("at", "h")).join(matched, ["__ka", "__kb", "h"])
         if n < SPAN:
-            return F.array_compact(F.transform(grams("words", n), lambda h, i: F.when(F.array_contains("__marks", h), spot(n, i))))
-        return F.array_compact(F.transform("__near", lambda far, i: F.when(~far & (i + n <= F.size("words")), spot(n, i))))
-
-    spots = found.select("__ka", "__kb", F.explode_outer(F.concat(*(starts(n) for n in sizes or [SPAN]))).alias("w")).select("__ka", "__kb", "w.*")
+            return places.select("__ka", "__kb", F.lit(n).alias("size"), F.col("at").alias("start"))
+        # a window of SPAN words may match if a common hash is among its WINNOW grams
+        near = F.explode(F.sequence(F.greatest(F.col("at") - (WINNOW - 1), F.lit(0)), F.col("at")))
+        return places.select("__ka", "__kb", F.lit(n).alias("size"), near.alias("start")).distinct()
+
+    spots = reduce(DataFrame.unionByName, (starts(n) for n in sizes or [SPAN])).groupBy("__ka", "__kb").agg(F.collect_list(F.struct("size", "start")).alias("at"))
+    def window(w: Column) -> Column:
+        """A place with its words."""
+        runs = (F.when((w["size"] == n) & (w["start"] + n <= F.size("words")), F.concat_ws(" ", *run_at("words", w["start"], n))) for n in sizes or [SPAN])
+        return F.struct(w["size"].alias("size"), w["start"].alias("start"), F.coalesce(*runs).alias("window"))
+
+    spots = found.join(spots, ["__ka", "__kb"]).select("__ka", "__kb", F.explode_outer(F.transform("at", window)).alias("w")).select("__ka", "__kb", "w.*")
     windows = written(spark_windows.groupBy("size", "window").agg(F.sort_array(F.collect_set("item")).alias("ids")))
     hit = written(spots.join(windows, ["size", "window"]).select("__ka", "__kb", "start", "size", "ids"))
 
@@ -121,7 +128,7 @@ def hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str
     fresh = F.greatest(end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0))
     covered = hit.withColumn("fresh", fresh).groupBy("__ka", "__kb").agg(F.sum("fresh").cast("long").alias("n_hit"))
     items = hit.select("__ka", "__kb", F.explode("ids").alias("item")).distinct().groupBy("__ka", "__kb").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return covered.join(items, ["__ka", "__kb"])
+    return written(covered.join(items, ["__ka", "__kb"]))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", drop_text: bool = False) -> DataFrame:
@@ -130,7 +137,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     found = hits(df, benchmark, text, item_text, item_id)
     kept = [c for c in names if not (drop_text and c == text)]
     rows = df.select(*kept, *text_key(F.col(text)), count_words(F.col(text)).cast("long").alias("n_words"))
-    return rows.join(found, ["__ka", "__kb"], "left").select(
+    found = broadcast_if_small(found.select(F.col("__ka").alias("__fa"), F.col("__kb").alias("__fb"), "n_hit", "items"), FOUND_BYTES)
+    return join_in_parts(rows, found, {"__ka": "__fa", "__kb": "__fb"}).select(
         *kept,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
