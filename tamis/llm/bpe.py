@@ -18,6 +18,10 @@ from collections.abc import Callable
 END = 256
 #: Pieces up to so many characters are remembered.
 MEMO_CHARS = 48
+#: Prefixes of words up to so many symbols are shared between words.
+SHARED = 24
+#: Bits of a symbol and of a token's id in a transducer's tables.
+SYMBOL_BITS, TOKEN_BITS = 9, 24
 
 
 def ascii_form(pattern: str) -> re.Pattern | None:
@@ -47,15 +51,27 @@ def ascii_form(pattern: str) -> re.Pattern | None:
 
 
 class Memo(dict):
-    """Pieces met before and what was made of them; what is missing is made."""
+    """Pieces met lately and what was made of them; what is missing is made.
 
-    def __init__(self, make: Callable):
+    Two generations of most_bytes / 2 each, by weigh(piece, made): when the younger is full, the older goes, and
+    what is asked for again comes over. So frequent pieces stay and the size is bounded.
+    """
+
+    def __init__(self, make: Callable, most_bytes: int, weigh: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.weigh = make, most_bytes // 2, weigh
+        self.older: dict = {}
+        self.bytes = 0
 
     def __missing__(self, piece: str):
-        made = self.make(piece)
+        made = self.older.pop(piece, None)
+        if made is None:
+            made = self.make(piece)
         if len(piece) <= MEMO_CHARS:
+            if self.bytes > self.most:
+                self.older, self.bytes = dict(self), 0
+                self.clear()
+            self.bytes += self.weigh(piece, made)
             self[piece] = made
         return made
 
@@ -64,14 +80,19 @@ class Merges:
     """A vocabulary with the order of its merges.
 
     ids: token text to id. order(a, b): the rank at which two neighbouring tokens merge, or None. Verdicts on so
-    many pairs are remembered.
+    many pairs and the edges of so many tokens are remembered. own and starts hold the tokens that encode their own
+    text, and what these begin with, each under itself, so that one string stands for all equal ones.
     """
 
-    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None], most_pairs: int = 150_000):
-        self.ids, self.order, self.most_pairs = ids, order, most_pairs
+    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None], most_pairs: int = 150_000, most_edges: int = 20_000):
+        self.ids, self.order, self.most_pairs, self.most_edges = ids, order, most_pairs, most_edges
         self._pairs: dict[tuple[str, str], bool] = {}
-        self.own = {t for t in ids if len(t) == 1 or self.merge(t) == [t]}
-        self.starts = {t[:n] for t in self.own for n in range(1, len(t))}
+        self.own = {t: t for t in ids if len(t) == 1 or self.merge(t) == [t]}
+        self.starts: dict[str, str] = {}
+        for token in self.own:
+            for n in range(1, len(token)):
+                start = token[:n]
+                self.starts.setdefault(start, start)
         self.longest = max(map(len, self.own), default=1)
         self._edges: dict[tuple[str, int], tuple[list[str], list[float], bool]] = {}
         self._lowest: dict[str, int] | None = None
@@ -102,6 +123,8 @@ class Merges:
                     found.append(parts[side])
                     ends.append(rank)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if len(self._edges) > self.most_edges:
+                self._edges.clear()
             known = self._edges[token, side] = [*found, token], [*ends, float("inf")], rising
         return known
 
@@ -144,7 +167,8 @@ class Merges:
             low: dict[str, int] = {}
             for token, rank in sorted(self.ids.items(), key=lambda x: -x[1]):
                 for n in range(1, len(token) + 1):
-                    low[token[:n]] = rank
+                    start = token[:n]
+                    low[self.starts.get(start, start)] = rank
             self._lowest = low
         return self._lowest.get(start)
 
@@ -173,139 +197,164 @@ class Transducer:
     of any prefix read so far follow backwards from its end. After every `window` symbols those that all
     open places share are emitted and forgotten, so what is held is bounded by the longest token. States and
     transitions are made when first reached; the tables are dropped beyond max_states, at the cost of time
-    only.
+    only. Places, states and transitions are whole numbers: some 400 bytes a state.
     """
 
     def __init__(self, merges: Merges, max_states: int):
         self.merges, self.max_states, self.window = merges, max_states, 4 * merges.longest
+        self.length = {i: len(t) for t, i in merges.ids.items()}
         self._clear()
 
     def _clear(self) -> None:
-        self.states: list[tuple[tuple[str, str | None], ...]] = [(("", None),)]
+        self.places: list[tuple[str, str | None]] = [("", None)]
+        self.place_no = {self.places[0]: 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.known = {self.states[0]: 0}
-        self.alike: dict[tuple, str] = {}
-        self.steps: list[dict[str, tuple[int, str]]] = [{}]
+        self.edges: dict[tuple, int] = {}
+        self.alike: dict[tuple[str, int], str] = {}
+        self.steps: dict[int, int] = {}  # state and symbol to the state after and the token that ends there
+        self.lasts: dict[int, int] = {}  # the same without a state after, at the end of texts
 
-    def _last(self, state: int, symbol: str) -> tuple[int, str]:
+    def _last(self, state: int, symbol: int) -> int:
         """The token that ends with the last symbol of a text; no state is made after it."""
         own, fit = self.merges.own, self.merges.fit
-        for text, last in self.states[state]:
-            text += symbol
-            if text in own and fit(last, text):
-                step = self.steps[state][symbol] = -1, text
-                return step
+        for place in self.states[state]:
+            text, last = self.places[place]
+            token = own.get(text + chr(symbol))
+            if token is not None and fit(last, token):
+                found = self.lasts[state << SYMBOL_BITS | symbol] = self.merges.ids[token]
+                return found
         raise ValueError(f"no token ends with {symbol!r}")
 
-    def _step(self, state: int, symbol: str) -> tuple[int, str]:
-        """The state after a symbol, and the token that ends there."""
+    def _place(self, text: str, last: str | None) -> int:
+        place = (text, last)
+        no = self.place_no.get(place)
+        if no is None:
+            no = self.place_no[place] = len(self.places)
+            self.places.append(place)
+        return no
+
+    def _step(self, state: int, symbol: int) -> int:
+        """The state after a symbol and the token that ends there, in one number."""
         own, starts, fit = self.merges.own, self.merges.starts, self.merges.fit
         live, new = [], None
-        for text, last in self.states[state]:
-            text += symbol
-            if text in starts:
-                live.append((text, self._alike(last, text) if last else None))
-            if new is None and text in own and fit(last, text):
-                new = text
+        for place in self.states[state]:
+            text, last = self.places[place]
+            text += chr(symbol)
+            start = starts.get(text)
+            if start is not None:
+                live.append(self._place(start, self._alike(last, start) if last else None))
+            if new is None and (token := own.get(text)) is not None and fit(last, token):
+                new = token
         if new is None:
             raise ValueError(f"no token ends with {symbol!r}")
-        live.append(("", new))
+        live.append(self._place("", new))
         key = tuple(live)
         after = self.known.setdefault(key, len(self.states))
         if after == len(self.states):
             self.states.append(key)
-            self.steps.append({})
-        step = self.steps[state][symbol] = after, new
+        step = self.steps[state << SYMBOL_BITS | symbol] = after << TOKEN_BITS | self.merges.ids[new]
         return step
 
     def _alike(self, last: str, text: str) -> str | None:
         """One token for all that meet the tokens beginning with text as `last` does; None if nothing can merge."""
         edge = self.merges.open_edge(last, text)
-        return self.alike.setdefault((text, edge), last) if edge else None
+        return self.alike.setdefault((text, self.edges.setdefault(edge, len(self.edges))), last) if edge else None
 
-    def run(self, text: str) -> list[str]:
-        """The tokens of text."""
+    def run(self, text: str) -> list[int]:
+        """The ids of the tokens of text."""
         if len(self.states) > self.max_states:
             self._clear()
-        out: list[str] = []
-        state, steps, ends = 0, self.steps, []
-        for at in range(0, len(text) - 1, self.window):
+        out: list[int] = []
+        symbols = list(map(ord, text))
+        state, steps, ends, mask = 0, self.steps, [], (1 << TOKEN_BITS) - 1
+        for at in range(0, len(symbols) - 1, self.window):
             if at:
                 self._emit_shared(state, ends, out)
-            for symbol in text[at : min(at + self.window, len(text) - 1)]:
-                step = steps[state].get(symbol)
-                if step is None or step[0] < 0:
+            for symbol in symbols[at : min(at + self.window, len(symbols) - 1)]:
+                step = steps.get(state << SYMBOL_BITS | symbol)
+                if step is None:
                     step = self._step(state, symbol)
-                state, token = step
-                ends.append(token)
-        if text:
-            step = steps[state].get(text[-1]) or self._last(state, text[-1])
-            ends.append(step[1])
-        out += _backwards(ends, len(ends))
+                state = step >> TOKEN_BITS
+                ends.append(step & mask)
+        if symbols:
+            key = state << SYMBOL_BITS | symbols[-1]
+            step = steps.get(key)
+            if step is None and (step := self.lasts.get(key)) is None:
+                step = self._last(state, symbols[-1])
+            ends.append(step & mask)
+        out += self._backwards(ends, len(ends))
         return out
 
-    def _emit_shared(self, state: int, ends: list[str], out: list[str]) -> None:
+    def _emit_shared(self, state: int, ends: list[int], out: list[int]) -> None:
         """Emits the tokens before all open places and drops what was held for them."""
-        chains = [_backwards(ends, len(ends) - len(text)) for text, _ in self.states[state]]
+        chains = [self._backwards(ends, len(ends) - len(self.places[place][0])) for place in self.states[state]]
         shared = 0
         while all(len(c) > shared and c[shared] == chains[0][shared] for c in chains):
             shared += 1
         out += chains[0][:shared]
-        del ends[: sum(map(len, chains[0][:shared]))]
+        del ends[: sum(map(self.length.__getitem__, chains[0][:shared]))]
 
-
-def _backwards(ends: list[str], at: int) -> list[str]:
-    """The tokens of the first `at` symbols, where ends has the last token of every prefix."""
-    tokens = []
-    while at:
-        token = ends[at - 1]
-        tokens.append(token)
-        at -= len(token)
-    tokens.reverse()
-    return tokens
+    def _backwards(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first `at` symbols, where ends has the last token of every prefix."""
+        tokens, length = [], self.length
+        while at:
+            token = ends[at - 1]
+            tokens.append(token)
+            at -= length[token]
+        tokens.reverse()
+        return tokens
 
 
 class PrefixCounts:
     """The number of tokens of every prefix of a word, by dynamic programming over last tokens.
 
-    With word ends, the last symbol of a prefix counts as ended, as if the text stopped there.
+    With word ends, the last symbol of a prefix counts as ended, as if the text stopped there. A prefix's entry
+    depends on nothing behind it, so words that begin alike share entries: up to SHARED symbols they are kept,
+    in two generations of most_prefixes / 2.
     """
 
-    def __init__(self, merges: Merges, word_ends: bool):
-        self.merges, self.word_ends = merges, word_ends
+    def __init__(self, merges: Merges, word_ends: bool, most_prefixes: int = 400_000):
+        self.merges, self.word_ends, self.most = merges, word_ends, most_prefixes // 2
+        self.known: dict[str, tuple[str, int, int]] = {}
+        self.older: dict[str, tuple[str, int, int]] = {}
 
     def counts(self, text: str) -> list[int]:
         """Entry i: the token count of the first i + 1 symbols as a text of their own."""
-        last, inner = self._inner(text, len(text))
-        return [self._ended(text, end, last, inner) for end in range(1, len(text) + 1)] if self.word_ends else inner[1:]
-
-    def count(self, text: str) -> int:
-        """The last entry of counts(); the ends of the other prefixes aren't looked at."""
-        if not self.word_ends:
-            return self._inner(text, len(text))[1][-1]
-        return self._ended(text, len(text), *self._inner(text, len(text) - 1))
-
-    def _inner(self, text: str, most: int) -> tuple[list[str | None], list[int]]:
-        """The last token and the token count of every prefix up to `most` symbols, in a text that goes on."""
-        own, fit, longest = self.merges.own, self.merges.fit, self.merges.longest
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         last: list[str | None] = [None]
-        inner = [0]
-        for end in range(1, most + 1):
-            for start in range(max(0, end - longest), end):
-                token = text[start:end]
-                if token in own and fit(last[start], token):
-                    last.append(token)
-                    inner.append(inner[start] + 1)
-                    break
+        inner, ended = [0], []
+        for end in range(1, len(text) + 1):
+            if end <= SHARED:
+                prefix = text[:end]
+                entry = known.get(prefix)
+                if entry is None:
+                    entry = known[prefix] = older.get(prefix) or self._entry(text, end, last, inner)
             else:
-                raise ValueError(f"no token ends with {text[end - 1]!r}")
-        return last, inner
-
-    def _ended(self, text: str, end: int, last: list[str | None], inner: list[int]) -> int:
-        """The token count of a prefix whose last symbol ends a word."""
+                entry = self._entry(text, end, last, inner)
+            last.append(entry[0])
+            inner.append(entry[1])
+            ended.append(entry[2])
+        return ended
+
+    def _entry(self, text: str, end: int, last: list[str | None], inner: list[int]) -> tuple[str, int, int]:
+        """The last token and the token count of a prefix whose text goes on, and its count as a text of its own."""
         own, fit = self.merges.own, self.merges.fit
+        first = max(0, end - self.merges.longest)
+        for start in range(first, end):
+            token = own.get(text[start:end])
+            if token is not None and fit(last[start], token):
+                count = inner[start] + 1
+                break
+        else:
+            raise ValueError(f"no token ends with {text[end - 1]!r}")
+        if not self.word_ends:
+            return token, count, count
         final = chr(ord(text[end - 1]) + END)
-        for start in range(max(0, end - self.merges.longest), end):
-            token = text[start : end - 1] + final
-            if token in own and fit(last[start], token):
-                return inner[start] + 1
+        for start in range(first, end):
+            ending = own.get(text[start : end - 1] + final)
+            if ending is not None and fit(last[start], ending):
+                return token, count, inner[start] + 1
         raise ValueError(f"no token ends a word with {text[end - 1]!r}")

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tamis.llm.bpe import Memo, Merges, Transducer, ascii_form
-from tamis.llm.runtime import map_rows
+from tamis.llm.runtime import map_rows, resident
 
-#: So many pieces are remembered a worker.
-MEMO_PIECES = 400_000
+#: The bytes of the pieces that a worker remembers.
+MEMO_BYTES = 32 << 20
 #: The transducer's table holds so many states.
 STATES = 60_000
+#: What a remembered piece takes besides its characters and ids.
+PIECE_BYTES = 180
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -37,28 +39,24 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 class Encoder:
     """Encodes texts by ranks; every match of pattern is a piece of its own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_pieces: int = MEMO_PIECES, states: int = STATES):
-        self.memo_pieces = memo_pieces
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_bytes: int = MEMO_BYTES, states: int = STATES):
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
-        self.packed = {token: array("i", [rank]).tobytes() for token, rank in self.ids.items()}
         self.find = regex.compile(pattern).findall
         plain = ascii_form(pattern)
         self.find_ascii = plain.findall if plain else self.find
         self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)), states)
-        self.memo = Memo(self.piece)
+        self.memo = Memo(self.piece, memo_bytes, lambda piece, made: PIECE_BYTES + 2 * len(piece) + len(made))
 
     def piece(self, piece: str) -> bytes:
         """The ids of one piece, as 32-bit integers."""
         text = piece if piece.isascii() else piece.encode().decode("latin-1")
-        whole = self.packed.get(text)
-        return whole if whole is not None else b"".join(map(self.packed.__getitem__, self.transducer.run(text)))
+        whole = self.ids.get(text)
+        return array("i", self.transducer.run(text) if whole is None else (whole,)).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.empty(0, np.int32)
-        if len(self.memo) > self.memo_pieces:
-            self.memo.clear()
         pieces = self.find_ascii(text) if text.isascii() else self.find(text)
         return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
 
@@ -109,13 +107,13 @@ class Decoder:
     """Decodes ids token by token; tokens of whole characters skip the byte steps while no character is open."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.bytes: dict[int, bytes] = {}  # of tokens that aren't whole characters
         self.whole: dict[int, str | None] = {}
-        for rank, token in self.bytes.items():
+        for token, rank in ranks.items():
             try:
                 self.whole[rank] = token.decode()
             except UnicodeDecodeError:
-                self.whole[rank] = None
+                self.whole[rank], self.bytes[rank] = None, token
 
     def decode(self, ids: np.ndarray | None) -> str:
         if ids is None or not len(ids):
@@ -127,19 +125,13 @@ class Decoder:
         stream = Utf8Stream()
         for i, part in enumerate(parts):
             if part is None or stream.missing:
-                parts[i] = stream.feed(self.bytes[ids[i]])
+                parts[i] = stream.feed(self.bytes[ids[i]] if part is None else part.encode())
         return "".join(parts) + stream.finish()
 
 
-_workers: dict[tuple, object] = {}
-
-
 def _kept(kind: type, content: bytes, *more):
-    """One encoder or decoder a vocabulary for all tasks of a Python worker."""
-    key = (kind, hash(content), *more)
-    if key not in _workers:
-        _workers[key] = kind(read_ranks(content), *more)
-    return _workers[key]
+    """One encoder or decoder a vocabulary for the tasks of this operator in a Python worker."""
+    return resident((kind.__name__, hash(content), *more), lambda: kind(read_ranks(content), *more))
 
 
 def id_array(rows: list[np.ndarray]) -> pa.ListArray:
@@ -158,7 +150,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
         return lambda texts: [id_array([encoder.encode(t) for t in texts])]
 
-    return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], start, [text] if drop_text else None)
+    return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], start, [text] if drop_text else None, holds=True)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded", drop_ids: bool = False) -> DataFrame:
@@ -170,19 +162,19 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
         decoder = _kept(Decoder, content.value)
         return lambda rows: [[decoder.decode(x) for x in rows]]
 
-    return map_rows(df, [ids], [T.StructField(text, T.StringType())], start, [ids] if drop_ids else None)
+    return map_rows(df, [ids], [T.StructField(text, T.StringType())], start, [ids] if drop_ids else None, holds=True)
 
 
-def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False, memo_pieces: int = MEMO_PIECES, states: int = STATES) -> DataFrame:
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False, memo_bytes: int = MEMO_BYTES, states: int = STATES) -> DataFrame:
     """encode() and decode() of its ids in one pass, which spares the ids a way to the JVM and back and a second Python worker.
 
-    A worker remembers up to memo_pieces pieces, of some 200 bytes each, and states of some 600.
+    A worker remembers pieces of memo_bytes and so many states, of some 400 bytes each.
     """
     with open(ranks_path, "rb") as file:
         content = df.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        encoder, decoder = _kept(Encoder, content.value, pattern, memo_pieces, states), _kept(Decoder, content.value)
+        encoder, decoder = _kept(Encoder, content.value, pattern, memo_bytes, states), _kept(Decoder, content.value)
 
         def work(texts):
             rows = [encoder.encode(t) for t in texts]
@@ -190,4 +182,4 @@ def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str =
 
         return work
 
-    return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], start, [text] if drop_text else None)
+    return map_rows(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], start, [text] if drop_text else None, holds=True)

@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_dedup, quality, secret_scan, simhash, sql, token_counts, url_rules
-from tamis.llm.runtime import table, written
+from tamis.llm.runtime import scratch_path, table, written
 
 TOKEN_LIMIT = 2048
 #: This query has its Python workers to itself, so they may remember more.
-MEMO_PIECES, STATES = 1_000_000, 200_000
+MEMO_BYTES, STATES = 128 << 20, 200_000
 SHARDS, CURVE_BITS = 16, 5
+#: The folder of a ledger that is kept from run to run.
+LEDGER_SETTING = "spark.tamis.ledger.dir"
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, drop_text=True, memo_pieces=MEMO_PIECES, states=STATES).select(
+    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, drop_text=True, memo_bytes=MEMO_BYTES, states=STATES).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -39,8 +41,12 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every text, each blob scanned once. The blob ledger adds no kinds of spans to the base ones."""
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets of every text, by way of a ledger on disk: that of LEDGER_SETTING, which a later run finds, or else a new one.
+
+    The blob ledger adds no kinds of spans to the base ones.
+    """
+    folder = spark.conf.get(LEDGER_SETTING, None) or scratch_path(spark, "ledger")
+    found = secret_scan.scan_increment(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
     spans = secret_scan.joined_spans(F.col("findings"))
     counts = [secret_scan.count_kind(F.col("findings"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, spans.alias("spans")).select("*", F.sha2("spans", 256).alias("base_sha256"))
@@ -65,15 +71,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact token counts, with the texts over the limit marked."""
+    """Exact token counts, the texts over the limit, and how many code points fit it: look-ups in stored prefix tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return counted.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
-    )
+    counted = token_counts.prefix_tables(docs, public_tokenizers.path("word_bpe_49k.json"))
+    stored, limit = F.col("prefix_tokens"), F.lit(TOKEN_LIMIT)
+    rows = counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_counts.tokens_in(stored).alias("n_tokens"), "prefix_tokens")
+    over = F.col("n_tokens") > limit
+    fits = F.when(over, token_counts.longest_within(stored, limit)).otherwise(token_counts.chars_in(stored).cast("long"))
+    return rows.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"), fits.alias("n_chars_within_limit"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,17 +95,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in 16 runs along a Hilbert curve over size, language and source; counts differ by one at most."""
+    """Documents in 16 runs along a Hilbert curve over size, language and source; counts differ by one at most.
+
+    Languages and sources are quantised in the order of their names, so that a shard holds a range of each. Equal texts are
+    a group: they stand together, where the first of them by doc_id belongs.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    crc = F.crc32(F.coalesce("text", F.lit("")))
-    rows = written(table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), crc.alias("text_crc32"), "lang", "source"))
+    crc, content = F.crc32(F.coalesce("text", F.lit(""))), F.xxhash64(F.coalesce("text", F.lit("")), size)
+    rows = written(table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), crc.alias("text_crc32"), "lang", "source", content.alias("group")))
+    together = hilbert_shards.with_group_rows(rows, "group", ["lang", "source"], ["doc_id", "lang", "source"])
     dims = [
         hilbert_shards.logarithmic(F.col("size"), CURVE_BITS, 1 << 24),
-        hilbert_shards.category(F.col("lang"), CURVE_BITS),
-        hilbert_shards.category(F.col("source"), CURVE_BITS),
+        hilbert_shards.ordered("lang", hilbert_shards.cuts(rows, "lang", CURVE_BITS)),
+        hilbert_shards.ordered("source", hilbert_shards.cuts(rows, "source", CURVE_BITS)),
     ]
-    placed = hilbert_shards.assign(rows, dims, SHARDS, CURVE_BITS, [F.col("text_crc32"), F.col("doc_id")])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = hilbert_shards.assign(together, dims, SHARDS, CURVE_BITS, [F.col("doc_id")], F.col("group"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

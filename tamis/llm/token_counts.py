@@ -1,12 +1,18 @@
 """Token counts by prefix dynamic programming, for a BPE vocabulary with word ends.
 
-For every prefix of a text the exact number of tokens is stored, so that truncation and budget questions
-are look-ups. Texts are normalised as the vocabulary's file says: composed (NFC), lower case, white space
-dropped; strings of special tokens inside a text count as one token, which is the library's default.
-Positions are code points of the normalised text.
-
-Null and empty texts have no tokens. Repeated rows count alike; other columns pass through, and an earlier
-column of the output's name is replaced.
+For every prefix of a text the exact number of tokens is stored in a prefix table, so that totals, truncation
+and budget questions are look-ups in built-in functions; nothing is encoded again. Texts are normalised as the
+vocabulary's file says: composed (NFC), lower case, white space dropped; strings of special tokens inside a text
+count as one token, which is the library's default. Positions are code points of the normalised text.
+
+A prefix table cuts the text into runs, a word and the white space behind it each:
+  starts  where each run begins
+  before  the tokens of the text before it, or of the shortest way on from there; never falls
+  inner   for every code point two bytes, high byte first: the tokens up to and with it, less the run's before
+
+Null and empty texts have no tokens and an empty table. Very long texts take time and space in proportion, as
+runs of more than RUN code points are cut. An empty table of texts gives an empty one. Repeated rows count alike;
+other columns pass through, and an earlier column of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -14,14 +20,23 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
-from tamis.llm.runtime import map_rows
-
-MEMO_WORDS, MEMO_PAIRS = 1_000_000, 500_000
+from tamis.llm.runtime import map_rows, resident
+
+#: What a worker remembers: bytes of runs, verdicts on pairs of tokens, prefixes of words.
+MEMO_BYTES, MEMO_PAIRS, MEMO_PREFIXES = 128 << 20, 300_000, 500_000
+#: What a remembered run takes besides its characters and counts.
+RUN_BYTES = 180
+#: The longest run in code points; their counts differ by less than 2 ** 16.
+RUN = 8_192
+TABLE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("before", T.ArrayType(T.IntegerType())), T.StructField("inner", T.BinaryType())])
 #: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
 LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
@@ -50,13 +65,15 @@ class Counter:
 
         ids = {plain(t): i for t, i in model["vocab"].items() if t not in self.specials}
         pairs = {tuple(map(plain, m)): rank for rank, m in enumerate(model["merges"])}
-        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), MEMO_PAIRS), word_ends=True)
+        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), MEMO_PAIRS), word_ends=True, most_prefixes=MEMO_PREFIXES)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
-        plain = ascii_form(pattern)
-        self.find_ascii = plain.findall if plain else self.words.findall
-        self.memo = Memo(lambda word: self.table.count(word if word.isascii() else word.encode().decode("latin-1")))
+        with_space = rf"(?:{pattern})\s*|\s+"
+        plain = ascii_form(with_space)
+        self.find_runs = regex.compile(with_space).findall
+        self.find_ascii = plain.findall if plain else self.find_runs
+        self.memo = Memo(self.run_counts, MEMO_BYTES, lambda run, made: RUN_BYTES + 2 * len(run) + len(made))
 
     @staticmethod
     def normal(text: str) -> str:
@@ -78,18 +95,37 @@ class Counter:
             out.append(counts[at])
         return out
 
-    def count(self, text: str | None) -> int:
-        """The number of tokens of text."""
+    def run_counts(self, run: str) -> bytes:
+        """The count at every character of a run, as 16-bit integers; empty if the run is too long for that."""
+        if len(run) > RUN:
+            return b""
+        counts: list[int] = []
+        for match in self.words.finditer(run):
+            counts += [counts[-1] if counts else 0] * (match.start() - len(counts))
+            counts += self.word_prefixes(match.group())
+        counts += [counts[-1] if counts else 0] * (len(run) - len(counts))
+        return np.array(counts, ">u2").tobytes()
+
+    def tables(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """The prefix table of a text: starts, before, inner."""
         if not text:
-            return 0
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        parts, total = self.split(text), 0
-        for part in parts:
-            part = self.normal(part)
-            words = self.find_ascii(part) if part.isascii() else self.words.findall(part)
-            total += sum(map(self.memo.__getitem__, words))
-        return total + len(parts) - 1
+            return _NONE, _NONE, b""
+        if len(self.split(text)) == 1:
+            clean = self.normal(text)
+            runs = (self.find_ascii if clean.isascii() else self.find_runs)(clean)
+            parts = list(map(self.memo.__getitem__, runs))
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+            if len(clean) == lengths.sum():  # else the pattern leaves out more than white space, or a run is too long
+                inner = b"".join(parts)
+                ends = np.cumsum(lengths)
+                own = np.frombuffer(inner, ">u2")[ends - 1].astype(np.int64)
+                return (ends - lengths).astype(np.int32), (np.cumsum(own) - own).astype(np.int32), inner
+        return packed(np.array(self.prefixes(text)[1:], np.int64))
+
+    def count(self, text: str | None) -> int:
+        """The number of tokens of text: the last entry of its table."""
+        _, before, inner = self.tables(text)
+        return int(before[-1]) + int.from_bytes(inner[-2:], "big") if len(before) else 0
 
     def prefixes(self, text: str | None) -> list[int]:
         """Entry i: the number of tokens of the first i code points of the normalised text, entry 0 being 0."""
@@ -118,43 +154,89 @@ class Counter:
             base += counts[-1]
         return out + [base] * (len(text) + 1 - len(out))
 
-    def longest_within(self, text: str | None, budget: int) -> int:
-        """The most code points of the normalised text whose tokens fit the budget."""
-        counts = self.prefixes(text)
-        return next(i for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget) if budget >= 0 else 0
 
+_NONE = np.empty(0, np.int32)
 
-_workers: dict[int, Counter] = {}
 
+def packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """A prefix table from the counts at every code point, in runs of RUN."""
+    if not len(counts):
+        return _NONE, _NONE, b""
+    starts = np.arange(0, len(counts), RUN)
+    least = np.minimum.accumulate(np.minimum.reduceat(counts, starts)[::-1])[::-1]
+    return starts.astype(np.int32), least.astype(np.int32), (counts - np.repeat(least, np.diff([*starts, len(counts)]))).astype(">u2").tobytes()
 
-def _kept(content: bytes) -> Counter:
-    key = hash(content)
-    if key not in _workers:
-        _workers[key] = Counter(content)
-    return _workers[key]
 
-
-def _mapped(df: DataFrame, path: str, text: str, name: str, kind: T.DataType, ask) -> DataFrame:
-    with open(path, "rb") as file:
+def prefix_tables(df: DataFrame, vocabulary_path: str, text: str = "text", name: str = "prefix_tokens", drop_text: bool = False) -> DataFrame:
+    """df with the prefix table of each text."""
+    with open(vocabulary_path, "rb") as file:
         content = df.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        counter = _kept(content.value)
-        return lambda texts: [[ask(counter, t) for t in texts]]
+        counter = resident(("Counter", hash(content.value)), lambda: Counter(content.value))
+
+        def work(texts):
+            rows = [counter.tables(t) for t in texts]
+            offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32))
+            flat = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([_NONE, *(r[i] for r in rows)]))) for i in (0, 1)]
+            return [pa.StructArray.from_arrays([*flat, pa.array([r[2] for r in rows], pa.binary())], ["starts", "before", "inner"])]
+
+        return work
+
+    return map_rows(df, [text], [T.StructField(name, TABLE)], start, [text] if drop_text else None, holds=True)
+
+
+def _entry(table: Column, place: Column) -> Column:
+    """The inner count at a code point, from 1."""
+    return F.conv(F.hex(F.substring(table["inner"], place * 2 - 1, F.lit(2))), 16, 10).cast("long")
+
+
+def chars_in(table: Column) -> Column:
+    """The code points of the normalised text."""
+    return F.octet_length(table["inner"]).cast("long") / 2
+
+
+def tokens_in(table: Column) -> Column:
+    """The number of tokens of the whole text."""
+    chars = chars_in(table).cast("int")
+    return F.when(chars > 0, F.element_at(table["before"], -1) + _entry(table, chars)).otherwise(F.lit(0)).cast("long")
+
+
+def tokens_up_to(table: Column, place: Column) -> Column:
+    """The number of tokens of the first `place` code points, as a text of their own; of all if there are fewer."""
+    place = F.least(place, chars_in(table).cast("int")).cast("int")
+    run = F.size(F.filter(table["starts"], lambda x: x < place))
+    return F.when(place > 0, F.get(table["before"], run - 1) + _entry(table, place)).otherwise(F.lit(0)).cast("long")
+
+
+def longest_within(table: Column, budget: Column) -> Column:
+    """The most code points of the normalised text whose tokens fit the budget.
 
-    return map_rows(df, [text], [T.StructField(name, kind)], start)
+    Counts dip inside words, so the last run that can fit is found by before, and the last code point in it by inner.
+    """
+    run = F.size(F.filter(table["before"], lambda x: x <= budget))
+    start = F.get(table["starts"], run - 1)
+    width = F.coalesce(F.get(table["starts"], run), chars_in(table).cast("int")) - start
+    left = budget - F.get(table["before"], run - 1)
+    fits = F.transform(F.sequence(F.lit(1), width), lambda i: F.when(_entry(table, start + i) <= left, i).otherwise(0))
+    return F.when((run > 0) & (budget >= 0), start + F.array_max(fits)).otherwise(F.lit(0)).cast("long")
 
 
 def count_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """df with the exact token count of each text."""
-    return _mapped(df, vocabulary_path, text, name, T.LongType(), Counter.count)
+    names = [c for c in df.columns if c != name]
+    return prefix_tables(df.select(names), vocabulary_path, text, "__table").select(*names, tokens_in(F.col("__table")).alias(name))
 
 
 def prefix_counts(df: DataFrame, vocabulary_path: str, text: str = "text", name: str = "prefix_tokens") -> DataFrame:
-    """df with an array of the token counts of all prefixes of each text."""
-    return _mapped(df, vocabulary_path, text, name, T.ArrayType(T.IntegerType()), Counter.prefixes)
+    """df with an array of the token counts of all prefixes of each text, entry 0 being 0."""
+    names = [c for c in df.columns if c != name]
+    table = F.col("__table")
+    runs = F.transform(table["starts"], lambda s, i: F.transform(F.sequence(s + 1, F.coalesce(F.get(table["starts"], i + 1), chars_in(table).cast("int"))), lambda place: (F.get(table["before"], i) + _entry(table, place)).cast("int")))
+    return prefix_tables(df.select(names), vocabulary_path, text, "__table").select(*names, F.concat(F.array(F.lit(0)), F.flatten(runs)).alias(name))
 
 
 def fit_budget(df: DataFrame, vocabulary_path: str, budget: int, text: str = "text", name: str = "fits") -> DataFrame:
     """df with the length of the longest prefix of each text that has at most budget tokens."""
-    return _mapped(df, vocabulary_path, text, name, T.LongType(), lambda counter, t: counter.longest_within(t, budget))
+    names = [c for c in df.columns if c != name]
+    return prefix_tables(df.select(names), vocabulary_path, text, "__table").select(*names, longest_within(F.col("__table"), F.lit(budget)).alias(name))

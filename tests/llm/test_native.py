@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -39,6 +40,26 @@ def test_line_dedup(spark, awkward, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_lines_that_meet_the_repeated_ones_in_parts(spark, monkeypatch, hot):
+    from tamis.llm import runtime
+
+    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df, row_bytes: df)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 0.05 if hot else 2.0)
+    rows = [(i, f"The one line of them all, in every text\n{'A line of the even ones here' if i % 2 else f'own {i}'}\nx{i}") for i in range(60)]
+    got = sorted(((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_lines(rows)
+
+
+def test_very_many_lines_take_seconds(spark):
+    lines = [f"line number {i} of this very long text" for i in range(40_000)]
+    df = spark.createDataFrame([(i, "\n".join([*lines, f"own {i}"])) for i in range(3)], "doc_id long, text string").repartition(3)
+    line_dedup.line_dedup(df.limit(0)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.kept, r.n_dropped) for r in line_dedup.line_dedup(df).collect()}
+    assert got[0] == ("own 0", 40_000) and got[2][1] == 0 and time.perf_counter() - began < 20
+
+
 BASE = {
     "assign": (re.compile(r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.I | re.A), lambda m: len(m.group(2)) >= 6),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 20),
@@ -67,14 +88,67 @@ def test_the_ledger_spares_blobs_it_has(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (2, "nothing")], "doc_id long, text string")
     addressed = df.select(secret_scan.address(F.col("text")).alias("blob"), F.col("text").alias("content"))
     ledger = secret_scan.extend_ledger(addressed)
-    assert [r.findings[0].kind for r in ledger.collect()] == ["assign"]
+    assert sorted([f.kind for f in r.findings] for r in ledger.collect()) == [[], ["assign"]]  # clean blobs are in it
     marked = ledger.withColumn("findings", F.transform("findings", lambda f: f.withField("kind", F.lit("kept"))))
     later = spark.createDataFrame([(3, "token=abcdefgh"), (4, "secret=abcdefgh")], "doc_id long, text string")
     kinds = {r.doc_id: [f.kind for f in r.findings] for r in secret_scan.scan(later, ledger=marked).collect()}
     assert kinds == {3: ["kept"], 4: ["assign"]}
     assert {r.doc_id: len(r.findings) for r in secret_scan.scan(later, ledger=marked, version="2").collect()} == {3: 1, 4: 1}
-    clean = addressed.where("content = 'nothing'").select("blob", F.lit("1").alias("rule_version"))
-    assert secret_scan.extend_ledger(addressed, ledger.select("blob", "rule_version").unionByName(clean)).count() == 0
+    assert secret_scan.extend_ledger(addressed, ledger).count() == 0
+
+
+def test_increments_scan_unseen_blobs_only(spark, monkeypatch, tmp_path):
+    scanned = []
+    real = secret_scan.scan_blobs
+
+    def counting(blobs, rules=secret_scan.RULES):
+        scanned.append(sorted(r.content for r in blobs.collect()))
+        return real(blobs, rules)
+
+    monkeypatch.setattr(secret_scan, "scan_blobs", counting)
+    folder = str(tmp_path / "ledger")
+    clean, one, two = "nothing here", "token=abcdefgh", "secret: 'abcdefgh'"
+    batches = [[("a", 1, clean), ("b", 1, one), ("c", 1, one)], [("a", 2, one), ("b", 2, clean), ("d", 1, two), ("e", 1, None)], [("a", 3, clean), ("e", 2, "")]]
+    want = [[clean, one], ["", two], []]
+    found = {}
+    for rows in batches:
+        df = spark.createDataFrame(rows, "file string, rev int, text string")
+        found |= {(r.file, r.rev): len(r.findings) for r in secret_scan.scan_increment(df, folder).collect()}
+    assert scanned == want
+    assert found == {("a", 1): 0, ("b", 1): 1, ("c", 1): 1, ("a", 2): 1, ("b", 2): 0, ("d", 1): 1, ("e", 1): 0, ("a", 3): 0, ("e", 2): 0}
+    ledger = secret_scan.read_ledger(spark, folder)
+    assert ledger.count() == 4 and ledger.where("size(findings) = 0").count() == 2
+    df = spark.createDataFrame(sum(batches, []), "file string, rev int, text string")
+    where = secret_scan.paths(df, "file", "rev").join(ledger.where("size(findings) > 0"), "blob")
+    assert sorted((r.path, r.version) for r in where.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 1)]
+    # a new rule version scans every blob once more, and the old rows stay
+    rules = (*secret_scan.RULES, secret_scan.Rule("word", "nothing", 0, 3))
+    again = secret_scan.scan_increment(df, folder, rules=rules, version="2")
+    assert scanned[-1] == sorted([clean, one, two, ""]) and {len(r.findings) for r in again.where("text = 'nothing here'").collect()} == {1}
+    assert secret_scan.read_ledger(spark, folder).count() == 8
+
+
+def test_a_second_run_of_the_query_scans_nothing(spark, sf, monkeypatch, tmp_path):
+    from tamis.llm import queries
+
+    spark.conf.set(queries.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        first = sorted(map(tuple, queries.op2_secret_scan(spark, sf).collect()))
+        scanned, real = [], secret_scan.scan_blobs
+        monkeypatch.setattr(secret_scan, "scan_blobs", lambda blobs, rules: (scanned.append(blobs.count()), real(blobs, rules))[1])
+        assert sorted(map(tuple, queries.op2_secret_scan(spark, sf).collect())) == first and scanned == [0]
+    finally:
+        spark.conf.unset(queries.LEDGER_SETTING)
+
+
+def test_hot_blobs_are_dealt_in_parts(spark, monkeypatch):
+    from tamis.llm import runtime
+
+    monkeypatch.setattr(secret_scan, "broadcast_if_small", lambda df, row_bytes: df)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 0.1)
+    df = spark.createDataFrame([(i, "token=abcdefgh" if i % 3 else f"secret=abcdefg{i}", "x") for i in range(90)] + [(90, None, "x")], "doc_id long, text string, __x string")
+    rows = secret_scan.scan(df).collect()
+    assert len(rows) == 91 and all(len(r.findings) == (r.doc_id < 90) for r in rows)
 
 
 URLS = ["https://www.Example.ORG/es/1?x=1", "http://example.org/en/12", "http://example.org/en/2", "http://badexample.org/es/", "ftp://a.com/fr/x#y", "x.com/de/", None, "http://com/de/", "http://a.net/", "http://org", "://org/", "http://a.com/de", "http://a.com/fr/x#y"]
@@ -137,6 +211,70 @@ def test_shards_are_even_and_gapless(spark, awkward, empty, sf):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_the_query_follows_the_curve_and_keeps_equal_texts_together(spark, sf):
+    from tamis.llm.queries import QUERIES
+
+    sf = sf.replace("0.001", "0.01")
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sorted(QUERIES["op10_hilbert_shards"](spark, sf).collect(), key=lambda r: (r.shard, r.slot))
+    curve = [r.curve for r in rows]
+    assert curve == sorted(curve) and len(set(curve)) > 50
+    groups = collections.defaultdict(list)
+    for at, r in enumerate(rows):
+        groups[docs[r.doc_id].text].append(at)
+    assert max(map(len, groups.values())) > 3
+    assert all(max(v) - min(v) == len(v) - 1 for v in groups.values())  # no row of another text between
+    cut = sum(len({rows[at].shard for at in v}) > 1 for v in groups.values())
+    assert cut <= 15  # one group at each cut between shards at most
+
+
+def test_large_groups_are_split_and_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "LEAST_PART_ROWS", 10)
+    monkeypatch.setattr(hilbert_shards, "MOST_SPLITS", 20)
+    df = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 7).cast("long").alias("g"))
+    rows = hilbert_shards.assign(df, [F.col("g") % 2 + 1], 4, 2, [F.col("id")], F.col("g")).collect()
+    rows.sort(key=lambda r: (r.shard, r.slot))
+    assert len(rows) == 400 and [r.slot for r in rows] == [i % 100 for i in range(400)]
+    for g in {r.g for r in rows}:
+        at = [i for i, r in enumerate(rows) if r.g == g]
+        assert max(at) - min(at) == len(at) - 1
+
+
+def test_filters_open_fewer_files_than_in_random_order(spark, sf, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    dims = [hilbert_shards.logarithmic(F.col("size"), 4, 1 << 20), hilbert_shards.ordered("lang", hilbert_shards.cuts(df, "lang", 4)), hilbert_shards.ordered("source", hilbert_shards.cuts(df, "source", 4))]
+    made = {"curve": hilbert_shards.assign(df, dims, 32, 4, [F.col("doc_id")]), "chance": hilbert_shards.assign(df, [F.lit(0)], 32, 4, [F.md5(F.col("doc_id").cast("string"))])}
+    opened = {}
+    for name, placed in made.items():
+        hilbert_shards.write_shards(placed, str(tmp_path / name))
+        spans = []
+        for path in (tmp_path / name).rglob("*.parquet"):
+            columns = {c["path_in_schema"]: c["statistics"] for c in pq.ParquetFile(path).metadata.row_group(0).to_dict()["columns"]}
+            spans.append([(columns[c]["min"], columns[c]["max"]) for c in ("lang", "size")])
+        asked = [(lang, low, high) for lang in ("de", "en", "es", "fr") for low, high in ((0, 400), (1000, 2000), (5000, 50_000))]
+        assert len(spans) == 32
+        opened[name] = sum(l0 <= lang <= l1 and s0 <= high and s1 >= low for lang, low, high in asked for (l0, l1), (s0, s1) in spans) / (len(spans) * len(asked))
+    print(opened)
+    assert opened["chance"] > 0.8 and opened["curve"] < 0.5 * opened["chance"]
+
+
+def test_values_are_cut_in_order(spark, monkeypatch):
+    df = spark.createDataFrame([(v,) for v in ["b", "a", "d", "c", None, "\u00e9", "z"]], "v string")
+    limits = hilbert_shards.cuts(df, "v", 3)
+    assert limits == ["a", "b", "c", "d", "z"]
+    cells = {r.v: r.c for r in df.select("v", hilbert_shards.ordered("v", limits).alias("c")).collect()}
+    assert cells == {None: 0, "a": 0, "b": 1, "c": 2, "d": 3, "z": 4, "\u00e9": 5}
+    many = spark.range(1000).select(F.format_string("k%04d", "id").alias("v"))
+    for limit in (4096, 10):
+        monkeypatch.setattr(hilbert_shards, "MOST_VALUES", limit)
+        limits = hilbert_shards.cuts(many, "v", 2)
+        counts = [r["count"] for r in many.groupBy(hilbert_shards.ordered("v", limits)).count().collect()]
+        assert len(counts) == 4 and max(counts) < 300
+    assert hilbert_shards.cuts(df.limit(0), "v", 3) == []
+
+
 def test_shards_can_be_written(spark, tmp_path):
     df = hilbert_shards.assign(spark.range(100), [F.col("id") % 4, F.col("id") % 3], 4, 2, [F.col("id")])
     hilbert_shards.write_shards(df, str(tmp_path / "s"))
@@ -178,6 +316,15 @@ def test_decontamination(spark, monkeypatch, limit):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows), key=str) == brute_benchmark(DOCS, ITEMS)
 
 
+def test_a_text_of_many_items_takes_seconds(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words)))], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (60_000, 60_000, 3000), 2: (60_000, 0, 0)} and time.perf_counter() - began < 40
+
+
 def test_decontamination_of_awkward_tables(spark, awkward, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.decontaminate(awkward, none).collect())

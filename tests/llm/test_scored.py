@@ -3,10 +3,12 @@
 import collections
 import html
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.conftest import lowered, space_words
 
 from tamis.llm import html_text, quality, simhash
@@ -56,14 +58,91 @@ def test_estimates_tell_junk_from_text(spark, sf):
 def test_fit_finds_hidden_accuracies():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.7
-    right = np.array([0.95, 0.8, 0.9] + [0.85] * 7)
-    votes = np.where(rng.random((20_000, 10)) < right, truth[:, None], ~truth[:, None])
+    right = np.array([0.95, 0.8, 0.9] + [0.85] * (len(quality.RULES) - 3))
+    votes = np.where(rng.random((20_000, len(right))) < right, truth[:, None], ~truth[:, None])
     patterns = ["".join("+" if v else "-" for v in row) for row in votes]
     posterior = quality.fit(collections.Counter(patterns))
     assert np.mean([(posterior[p] >= 0.5) == t for p, t in zip(patterns, truth, strict=True)]) > 0.97
     assert quality.fit({}) == {}
 
 
+def brute_posterior(votes, rounds=200):
+    """Expectation-maximisation document by document, in plain loops."""
+    p = []
+    for v in votes:
+        plus, minus = v.count("+"), v.count("-")
+        p.append(min(plus / (plus + minus) if plus + minus else 0.5, 1 / (minus + 1)))
+    for _ in range(rounds):
+        share = (sum(p) + 1) / (len(votes) + 2)
+        chance = []
+        for r in range(len(quality.RULES)):
+            up = [sum(w for v, w in zip(votes, weights, strict=True) if v[r] == "+") for weights in (p, [1 - x for x in p])]
+            all_ = [sum(w for v, w in zip(votes, weights, strict=True) if v[r] != "0") for weights in (p, [1 - x for x in p])]
+            chance.append([(u + 1) / (a + 2) for u, a in zip(up, all_, strict=True)])
+        new = []
+        for v in votes:
+            good, bad = share, 1 - share
+            for r, c in enumerate(v):
+                good *= {"+": chance[r][0], "-": 1 - chance[r][0], "0": 1}[c]
+                bad *= {"+": chance[r][1], "-": 1 - chance[r][1], "0": 1}[c]
+            new.append(good / (good + bad))
+        if max(abs(a - b) for a, b in zip(new, p, strict=True)) <= 1e-9:
+            return new
+        p = new
+    return p
+
+
+def test_query_keeps_what_brute_force_keeps(spark, sf):
+    import duckdb
+
+    from tamis.llm.queries import QUERIES
+
+    sf = sf.replace("0.001", "0.01")
+    rows = QUERIES["op6_quality_rules"](spark, sf).collect()
+    judged = [r for r in rows if not r.base_failed]
+    posterior = brute_posterior([r.votes for r in judged])
+    assert all(r.kept == (p >= 0.5) and abs(r.p_good - p) < 1e-5 for r, p in zip(judged, posterior, strict=True))
+    assert not any(r.kept for r in rows if r.base_failed) and len({r.votes for r in judged}) > 20
+    # it is not the same as keeping what no rule is against, and nearer to the labels
+    labels = {r.doc_id: r.quality == 1 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    right = [(r.kept == labels[r.doc_id], ("-" not in r.votes) == labels[r.doc_id]) for r in judged if r.doc_id in labels]
+    assert any(r.kept and "-" in r.votes for r in judged)
+    assert sum(a for a, _ in right) > sum(b for _, b in right) and sum(a for a, _ in right) > 0.99 * len(right)
+
+    space = "[\\x20\\x09-\\x0D]"
+    want = duckdb.sql(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM '{sf}/documents.parquet'),
+      lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+      dups AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+      wins AS (SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+      often AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+      inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM wins JOIN often USING (doc_id, win)), range(5) t(j) GROUP BY doc_id)
+      SELECT d.doc_id, len(w), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), coalesce(dups.n, 0), coalesce(inside.n, 0)
+      FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN inside USING (doc_id)""").fetchall()
+    assert {r.doc_id: (*(r[c] for c in quality.COUNTS),) for r in rows} == {w[0]: tuple(map(int, w[1:])) for w in want}
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in rows)
+
+
+def votes_of(text):
+    limits = [(good, fair) for _, good, fair in quality.RULES.values()]
+    return dict(zip(quality.RULES, ("0+-"[quality.vote(v, *x)] for v, x in zip(quality.measures(text)[1], limits, strict=True)), strict=True))
+
+
+def test_rules_abstain_where_a_text_gives_nothing_to_go_by():
+    assert votes_of("zehn kurze Worte")["stop_words"] == votes_of("\u6f22\u5b57 " * 200)["word_length"] == votes_of("\u6f22\u5b57 " * 200)["stop_words"] == "0"
+    polish = "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. S\u0105 oni obdarzeni rozumem i sumieniem i powinni post\u0119powa\u0107 wobec innych w duchu braterstwa. " * 6
+    assert "-" not in {k: v for k, v in votes_of(polish).items() if k not in ("repetition", "vocabulary")}.values()
+    assert votes_of("word### junk&&& more%%% " * 20)["symbols"] == "-" and votes_of("a | b | c | d | " * 20)["wordless"] == "-"
+
+
+def test_one_wrong_vote_is_overruled():
+    n = len(quality.RULES)
+    clean, junk = "+" * n, "----" + "+" * (n - 4)
+    one_off = "+" * (n - 1) + "-"
+    posterior = quality.fit({clean: 900, junk: 90, one_off: 10, "-" + "+" * (n - 1): 3, "0" * n: 5})
+    assert posterior[clean] > 0.99 and posterior[junk] < 0.01 and posterior[one_off] > 0.9
+    assert 0.8 < posterior["0" * n] < 0.95  # no vote: the share of good documents
+
+
 # -- html -------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1></header>
@@ -117,6 +196,52 @@ def test_article_text_with_listed_words_in_its_names_stays():
     assert html_text.text_of(html_text.parse('<div id="discussion">A</div><p>B</p>')) == "B"
 
 
+def test_names_are_hints_only():
+    outer = ['<div class="content has-sidebar">', '<article class="post comments-open">', '<main class="form-wide">', '<div class="page no-comments">', '<div id="ad-hoc-networks">', '<form id="aspnetForm">', '<div class="main-content form"><h2>The only one</h2>']
+    for tag in outer:
+        text = html_text.main_text(f"<body><nav>m</nav>{tag}<h1>Title</h1><p>First</p><div class='sidebar'>s</div></body>", *[np.empty(0, np.int64)] * 3)
+        assert text.endswith("Title\n\nFirst"), (tag, text)
+    for gone in ('<div class="menu">a</div>', '<nav><p>b</p></nav>', '<div id="cookie-notice"><b>c</b></div>', '<footer><p>x</p></footer>'):
+        assert html_text.main_text(gone, *[np.empty(0, np.int64)] * 3) == ""
+    assert html_text.text_of(html_text.parse("a&<b>lt;</b>b &amp;<i>gt;</i>")) == "a&lt;b &gt;"
+
+
+def plain_site(n, shift=0):
+    """Pages without article tags or telling names: a menu with a link to the page itself, a dated notice, a counted footer."""
+    out = []
+    for i in range(n):
+        links = "".join(f"<td><a href='/{k}'>Part {word}</a></td>" if k != i % 4 else f"<td><b>Part {word}</b></td>" for k, word in enumerate(("north", "south", "east", "west")))
+        out.append((shift + i, "http://plain.org/x", f"<html><body><div class='x1'><div>Today is {i % 28 + 1} {('March', 'June', 'August')[i % 3]} 2024, page {i} of 900</div><div><table><tr>{links}</tr></table></div><div class='x2'><h1>Story {'abcdefgh'[i % 8]}{'xyz' * (i + 1)}</h1><p>What happened in place {'no' * (i + 1)}.</p></div><div>All rights kept, {i} readers online</div></div></body></html>"))
+    return out
+
+
+def test_counts_alone_find_the_template_of_a_plain_site(spark):
+    rows = plain_site(40)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {'abcdefgh'[i % 8]}{'xyz' * (i + 1)}\n\nWhat happened in place {'no' * (i + 1)}." for i, *_ in rows}
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
+    assert not any(r.text == want[r.page_id] for r in html_text.extract(df, counted=False).collect())
+
+
+def test_hosts_in_parts_give_the_same_texts(spark, monkeypatch):
+    rows = plain_site(300) + [(1000 + i, f"http://h{i}.org/", f"<p>lone {i}</p>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("of", F.lit(1)).withColumn("pages", F.lit("mine"))
+    want = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html_text, "HOT_SHARE", 0.1)
+    sizes = html_text.host_parts(spark.createDataFrame([("plain.org", 300), ("h1.org", 1)], "of string, pages long")).collect()
+    assert [tuple(r) for r in sizes] == [("plain.org", 10)]
+    made = html_text.extract(df)
+    assert {r.page_id: r.text for r in made.collect()} == want and set(made.columns) == {"page_id", "url", "html", "of", "pages", "text"}
+
+
+@pytest.mark.parametrize("page", ["</b>" * 250_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<main>" * 120_000 + "x", "<article>x</article>" * 50_000, "<p>a" * 200_000, "<li>" * 200_000, "<script>" * 100_000, "<a '" * 200_000, "<td><tr>" * 100_000, "&#" * 400_000, "<div class='a b c'" * 50_000])
+def test_hostile_pages_take_seconds(page):
+    began = time.perf_counter()
+    html_text.main_text(page, *[np.empty(0, np.int64)] * 3)
+    assert time.perf_counter() - began < 20
+
+
 def test_html_query(spark, sf):
     from tamis.llm.queries import QUERIES
 

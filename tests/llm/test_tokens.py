@@ -1,10 +1,12 @@
 """Transducer, decoder and prefix counts against the libraries."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tamis.llm import byte_bpe, token_counts
@@ -51,8 +53,36 @@ def test_counts_are_the_librarys(text):
 def test_every_prefix_has_its_count(text):
     want = [len(WORD_LIBRARY.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
     assert COUNTER.prefixes(text) == want
-    for budget in (0, 1, 3):
-        assert COUNTER.longest_within(text, budget) == max(i for i, n in enumerate(want) if n <= budget)
+    assert read_table(*COUNTER.tables(text)) == want[1:]
+
+
+def read_table(starts, before, inner):
+    """The counts at every code point, as the table says."""
+    lengths = np.diff([*starts.tolist(), len(inner) // 2])
+    assert (np.diff(before) >= 0).all()
+    return (np.repeat(before, lengths) + np.frombuffer(inner, ">u2").astype(int)).tolist()
+
+
+def test_long_runs_are_cut():
+    for text in ("a" * 30_000, "ab é" * 20 + "漢" * 20_000, "!" * 9000 + "<|endoftext|>" + " x" * 10):
+        got = read_table(*COUNTER.tables(text))
+        at = [1, 100, 8191, 8192, 8193, len(got)]
+        clean = text.lower()
+        assert [got[i - 1] for i in at if i <= len(got)] == [len(WORD_LIBRARY.encode(clean[:i], add_special_tokens=False).ids) for i in at if i <= len(got)]
+
+
+def test_truncation_and_budgets_are_look_ups_in_the_stored_table(spark, tmp_path):
+    texts = ["one two three", "", None, "unbelievable's thing!!  <|endoftext|> a'll be", "  x\n\ny ", "ab" * 40 + " antidisestablishmentarianism", "é漢字 漢 𝔘 naïve"]
+    counted = token_counts.prefix_tables(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), WORDS)
+    counted.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))  # nothing but the table is read from here on
+    table = F.col("prefix_tokens")
+    spots = stored.select("i", "prefix_tokens", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("n"))
+    rows = spots.select("i", "n", token_counts.tokens_up_to(table, F.col("n")).alias("up_to"), token_counts.longest_within(table, F.col("n") - 1).alias("within"), token_counts.tokens_in(table).alias("whole")).collect()
+    want = {i: [len(WORD_LIBRARY.encode((t or "")[:n], add_special_tokens=False).ids) for n in range(len(t or "") + 1)] for i, t in enumerate(texts)}
+    for r in rows:
+        assert r.up_to == want[r.i][min(r.n, len(want[r.i]) - 1)] and r.whole == want[r.i][-1], r
+        assert r.within == max((n for n, c in enumerate(want[r.i]) if c <= r.n - 1), default=0), r
 
 
 def test_awkward_rows(awkward, empty):
@@ -96,3 +126,6 @@ def test_queries(spark, sf, name):
         else:
             n = len(WORD_LIBRARY.encode(text, add_special_tokens=False).ids)
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2048)
+            clean = COUNTER.normal(text)  # the texts over the limit have no special strings
+            kept = r.n_chars_within_limit
+            assert kept == len(clean) if n <= 2048 else len(WORD_LIBRARY.encode(clean[:kept], add_special_tokens=False).ids) <= 2048 < len(WORD_LIBRARY.encode(clean[: kept + 1], add_special_tokens=False).ids)
