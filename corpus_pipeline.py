@@ -7,6 +7,11 @@ Quality rules drop the documents they reject. Line dedup replaces each text by w
 group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays,
 and of rows with the same id and fingerprint all. Documents with words of a benchmark window go. The last
 stage encodes the texts and decodes them again.
+
+In every stage a null text counts as empty, an empty table gives an empty one, rows that repeat or share an id are
+judged row by row with their own texts, and other columns pass through whatever their names. A row with a null id is
+a document: it has the smallest id for line dedup, and near-duplicate removal lets it stay and never drops others
+for it. Ties go to the smallest id. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
-from tamis.llm.runtime import scratch_path, table
+from tamis.llm.runtime import remove, scratch_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +70,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what is between them is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; what is between them is written to the shared folder, until the next stage has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
