@@ -10,11 +10,14 @@ different sides are met by the copies that cross the boundary. A shard is one ta
 a tree of its own down to leaves that are compared in full; it returns a spanning forest of its links, never
 all pairs. Components come from alternating large and small stars over those edges.
 
-A shard holds about leaf_rows fingerprints times the copies across boundaries; equal fingerprints are one. With
-the sample's size the number of shards is bounded, so beyond some 10 ** 9 different fingerprints shards grow;
-they are split again within their task.
-
-Null texts and texts without words have fingerprint zero, which links like any other. Repeated rows have equal
+A shard holds about LEAF_ROWS fingerprints times the copies across boundaries; equal fingerprints are one. The
+first tree's size is bounded by its sample, so for very many fingerprints its shards are too large: those of more than
+SHARD_ROWS are dealt again by trees of their own, each fitted on a sample of its shard, until all are small or none
+can be told apart any further (more than SHARD_ROWS different fingerprints of which most are within a few
+bits of each other; such a shard is one task, in memory in proportion to it). A task handles a shard or two.
+
+Null texts and texts without words have fingerprint zero, which links like any other; very long texts are hashed whole,
+in time and memory in proportion to them. Repeated rows have equal
 fingerprints and so share a component. Rows with a null id get the component of their fingerprint but never
 name one, unless all of its ids are null. An empty table gives an empty result. Other columns pass through;
 earlier columns of the outputs' names are replaced.
@@ -24,8 +27,10 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,11 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.runtime import broadcast_if_small, map_rows, written
+from tamis.llm.runtime import broadcast_if_small, map_rows, release, written
 
 SEED = 42
 #: The tree is fitted on so many fingerprints at most, drawn by hash; a shard aims at leaf_rows of them.
 SAMPLE_ROWS, LEAF_ROWS, SAMPLE_PER_LEAF = 32_768, 4_096, 32
+MAX_LEAVES = SAMPLE_ROWS // SAMPLE_PER_LEAF
+#: Larger shards are dealt again, by trees fitted on so many of their rows, at most so often and while all trees fit so many bytes.
+SHARD_ROWS, SHARD_SAMPLE, LEVELS, TREE_BYTES = 32_768, 4_096, 4, 64 << 20
 #: Leaves up to this size are compared in full.
 FULL_ROWS = 512
 
@@ -212,6 +220,7 @@ def shard_edges(sharded: DataFrame, shard: str, radius: int, names: list[str], i
     """u, v: a spanning forest of the links within each shard. names: the 64-bit words of a fingerprint."""
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         group = group.drop_duplicates(ident)
         points = np.ascontiguousarray(group[names].to_numpy(np.int64)).view(np.uint64)
         ids = group[ident].to_numpy(np.int64)
@@ -221,18 +230,62 @@ def shard_edges(sharded: DataFrame, shard: str, radius: int, names: list[str], i
     return sharded.groupBy(shard).applyInPandas(link, "u long, v long").where("u <> v")
 
 
-def link_fingerprints(points: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
-    """u, v: edges whose components are those of all links. points: different fingerprints, a checkpoint."""
-    tree = points.sparkSession.sparkContext.broadcast(fit_tree(points, points.count(), radius, fp))
+def dealt_by(rows: DataFrame, trees: Callable[[], dict[int, Tree]], fp: str) -> DataFrame:
+    """shard, fp: the rows (shard, fp) by the trees of their shards; new shards are numbered by a hash of the old one and the leaf."""
 
     def deal(batches):
+        release()
         for batch in batches:
-            column = batch.column(0)
-            rows, shards = tree.value.route(column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(shards), column.take(pa.array(rows))], ["shard", fp])
+            shards, points = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            at, to = [], []
+            for shard in np.unique(shards).tolist():
+                own = np.flatnonzero(shards == shard)
+                found, leaf = trees()[shard].route(points[own])
+                at.append(own[found])
+                to.append(mixed(leaf.astype(np.uint64) + np.uint64(xxhash.xxh64_intdigest(str(shard))), 0).view(np.int64))
+            at, to = (np.concatenate([np.empty(0, np.int64), *x]) for x in (at, to))
+            yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(1).take(pa.array(at))], ["shard", fp])
+
+    return rows.select("shard", fp).mapInArrow(deal, f"shard long, {fp} long")
+
+
+def fit_shards(rows: DataFrame, sizes: dict[int, int], radius: int, fp: str, level: int) -> dict[int, Tree]:
+    """A tree for each of the shards, by its size, fitted on a sample of it."""
+    spark, scale = rows.sparkSession, 1 << 30
+    rates = spark.createDataFrame([(k, math.ceil(min(1.0, SHARD_SAMPLE / n) * scale), n) for k, n in sizes.items()], "of long, rate long, size long")
+    chosen = rows.join(F.broadcast(rates), F.col("shard") == F.col("of")).where(F.pmod(F.xxhash64(F.lit(level), fp), F.lit(scale)) < F.col("rate"))
 
-    dealt = points.select(fp).mapInArrow(deal, f"shard long, {fp} long")
-    return shard_edges(dealt, "shard", radius, [fp], fp)
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        points = group[fp].to_numpy(np.int64).view(np.uint64).reshape(-1, 1)
+        tree = Tree(points, min(MAX_LEAVES, math.ceil(group["size"].iloc[0] / LEAF_ROWS)), radius)
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+    made = written(chosen.select("shard", fp, "size").groupBy("shard").applyInPandas(fit, "shard long, tree binary"))
+    if (made.agg(F.sum(F.octet_length("tree"))).first()[0] or 0) > TREE_BYTES:
+        return {}
+    trees = {r["shard"]: pickle.loads(r["tree"]) for r in made.collect()}
+    return {k: t for k, t in trees.items() if t.leaves > 1}
+
+
+def link_fingerprints(points: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
+    """u, v: edges whose components are those of all links. points: different fingerprints, a checkpoint."""
+    context = points.sparkSession.sparkContext
+    tree = context.broadcast(fit_tree(points, points.count(), radius, fp))
+    ready, dealt = [], dealt_by(points.select(F.lit(0).cast("long").alias("shard"), fp), lambda: {0: tree.value}, fp)
+    shards = tree.value.leaves
+    for level in range(LEVELS):
+        dealt = written(dealt)
+        counts = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).collect()}  # few: rows over SHARD_ROWS
+        trees = fit_shards(dealt, counts, radius, fp, level) if counts else {}
+        if not trees:
+            break
+        large = points.sparkSession.createDataFrame([(k,) for k in trees], "of long")
+        ready.append(dealt.join(F.broadcast(large), F.col("shard") == F.col("of"), "left_anti"))
+        held = context.broadcast(trees)
+        dealt = dealt_by(dealt.join(F.broadcast(large), F.col("shard") == F.col("of"), "left_semi"), lambda held=held: held.value, fp)
+        shards += sum(t.leaves for t in trees.values())
+    dealt = reduce(DataFrame.unionByName, [*ready, dealt])
+    return shard_edges(dealt.repartition(max(shards, 1), "shard"), "shard", radius, [fp], fp)
 
 
 # -- components -------------------------------------------------------------------------------------------
@@ -361,6 +414,7 @@ def runs_edges(rows: DataFrame, keys: list[str], link: Callable[[pa.Table], list
     """u, v: the edges that link() finds among rows of the same keys (long); rows are dealt and sorted by them, runs of one cost nothing."""
 
     def walk(batches):
+        release()
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:

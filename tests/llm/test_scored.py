@@ -311,6 +311,24 @@ def test_linked_pairs_meet_in_a_shard():
             assert where[i] & where[int(j)]
 
 
+@pytest.mark.parametrize("levels", [0, 4])
+def test_large_shards_are_dealt_again_and_lose_no_link(spark, monkeypatch, levels):
+    for name, value in {"SHARD_ROWS": 150, "LEAF_ROWS": 40, "SAMPLE_PER_LEAF": 16, "SAMPLE_ROWS": 64, "SHARD_SAMPLE": 128, "LEVELS": levels}.items():
+        monkeypatch.setattr(simhash, name, value)
+    held, real = [], simhash.shard_edges
+    monkeypatch.setattr(simhash, "shard_edges", lambda rows, *more: (held.append(rows.groupBy("shard").count().agg({"count": "max"}).first()[0]), real(rows, *more))[1])
+    points = clustered_points(np.random.default_rng(11), 500, 4, 3)
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").checkpoint()
+    edges = simhash.link_fingerprints(df, 3).collect()
+    places = {int(x): i for i, x in enumerate(points.view(np.int64))}
+    label = list(range(len(points)))
+    for e in edges:
+        a, b = label[places[e.u]], label[places[e.v]]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert label == brute_components(points, 3) and len(edges) < 4 * len(points)
+    assert held[0] > 600 if not levels else held[0] < 400
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
