@@ -18,8 +18,6 @@ from collections.abc import Callable
 END = 256
 #: Pieces up to so many characters are remembered.
 MEMO_CHARS = 48
-#: Prefixes of words up to so many symbols are shared between words.
-SHARED = 24
 #: Bits of a symbol and of a token's id in a transducer's tables.
 SYMBOL_BITS, TOKEN_BITS = 9, 24
 
@@ -81,11 +79,13 @@ class Merges:
 
     ids: token text to id. order(a, b): the rank at which two neighbouring tokens merge, or None. Verdicts on so
     many pairs and the edges of so many tokens are remembered. own and starts hold the tokens that encode their own
-    text, and what these begin with, each under itself, so that one string stands for all equal ones.
+    text, and what these begin with, each under itself, so that one string stands for all equal ones. ranks: the lowest
+    rank of a merge that makes a token; its id if not given.
     """
 
-    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None], most_pairs: int = 150_000, most_edges: int = 20_000):
+    def __init__(self, ids: dict[str, int], order: Callable[[str, str], int | None], ranks: dict[str, int] | None = None, most_pairs: int = 150_000, most_edges: int = 20_000):
         self.ids, self.order, self.most_pairs, self.most_edges = ids, order, most_pairs, most_edges
+        self.ranks = ids if ranks is None else ranks
         self._pairs: dict[tuple[str, str], bool] = {}
         self.own = {t: t for t in ids if len(t) == 1 or self.merge(t) == [t]}
         self.starts: dict[str, str] = {}
@@ -162,10 +162,10 @@ class Merges:
 
 
     def lowest(self, start: str) -> int | None:
-        """The lowest rank of the tokens that begin with `start`; for vocabularies whose ids are the ranks."""
+        """The lowest rank of the tokens that begin with `start`."""
         if self._lowest is None:
             low: dict[str, int] = {}
-            for token, rank in sorted(self.ids.items(), key=lambda x: -x[1]):
+            for token, rank in sorted(self.ranks.items(), key=lambda x: -x[1]):
                 for n in range(1, len(token) + 1):
                     start = token[:n]
                     low[self.starts.get(start, start)] = rank
@@ -309,52 +309,31 @@ class Transducer:
 class PrefixCounts:
     """The number of tokens of every prefix of a word, by dynamic programming over last tokens.
 
-    With word ends, the last symbol of a prefix counts as ended, as if the text stopped there. A prefix's entry
-    depends on nothing behind it, so words that begin alike share entries: up to SHARED symbols they are kept,
-    in two generations of most_prefixes / 2.
+    A prefix has one token more than the prefix before its last token. The last tokens are those of the transducer's
+    transitions, so a symbol costs a look-up or two. With word ends, the last symbol of a prefix counts as ended, as
+    if the text stopped there.
     """
 
-    def __init__(self, merges: Merges, word_ends: bool, most_prefixes: int = 400_000):
-        self.merges, self.word_ends, self.most = merges, word_ends, most_prefixes // 2
-        self.known: dict[str, tuple[str, int, int]] = {}
-        self.older: dict[str, tuple[str, int, int]] = {}
+    def __init__(self, merges: Merges, word_ends: bool, max_states: int):
+        self.last, self.word_ends = Transducer(merges, max_states), word_ends
 
     def counts(self, text: str) -> list[int]:
         """Entry i: the token count of the first i + 1 symbols as a text of their own."""
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        last: list[str | None] = [None]
-        inner, ended = [0], []
-        for end in range(1, len(text) + 1):
-            if end <= SHARED:
-                prefix = text[:end]
-                entry = known.get(prefix)
-                if entry is None:
-                    entry = known[prefix] = older.get(prefix) or self._entry(text, end, last, inner)
-            else:
-                entry = self._entry(text, end, last, inner)
-            last.append(entry[0])
-            inner.append(entry[1])
-            ended.append(entry[2])
-        return ended
-
-    def _entry(self, text: str, end: int, last: list[str | None], inner: list[int]) -> tuple[str, int, int]:
-        """The last token and the token count of a prefix whose text goes on, and its count as a text of its own."""
-        own, fit = self.merges.own, self.merges.fit
-        first = max(0, end - self.merges.longest)
-        for start in range(first, end):
-            token = own.get(text[start:end])
-            if token is not None and fit(last[start], token):
-                count = inner[start] + 1
-                break
-        else:
-            raise ValueError(f"no token ends with {text[end - 1]!r}")
-        if not self.word_ends:
-            return token, count, count
-        final = chr(ord(text[end - 1]) + END)
-        for start in range(first, end):
-            ending = own.get(text[start : end - 1] + final)
-            if ending is not None and fit(last[start], ending):
-                return token, count, inner[start] + 1
-        raise ValueError(f"no token ends a word with {text[end - 1]!r}")
+        machine = self.last
+        if len(machine.states) > machine.max_states:
+            machine._clear()
+        steps, lasts, length, mask = machine.steps, machine.lasts, machine.length, (1 << TOKEN_BITS) - 1
+        state, inner, ended = 0, [0], []
+        for end, symbol in enumerate(map(ord, text), 1):
+            key = state << SYMBOL_BITS | symbol
+            if self.word_ends:
+                final = lasts.get(key | END)
+                if final is None:
+                    final = machine._last(state, symbol | END)
+                ended.append(inner[end - length[final]] + 1)
+            step = steps.get(key)
+            if step is None:
+                step = machine._step(state, symbol)
+            state = step >> TOKEN_BITS
+            inner.append(inner[end - length[step & mask]] + 1)
+        return ended if self.word_ends else inner[1:]

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
 from tamis.llm.runtime import map_rows, resident
 
-#: What a worker remembers: bytes of runs, verdicts on pairs of tokens, prefixes of words.
-MEMO_BYTES, MEMO_PAIRS, MEMO_PREFIXES = 128 << 20, 300_000, 500_000
+#: What a worker remembers: bytes of runs, and states of the transducer.
+MEMO_BYTES, STATES = 96 << 20, 200_000
 #: What a remembered run takes besides its characters and counts.
 RUN_BYTES = 180
 #: The longest run in code points; their counts differ by less than 2 ** 16.
@@ -65,7 +65,10 @@ class Counter:
 
         ids = {plain(t): i for t, i in model["vocab"].items() if t not in self.specials}
         pairs = {tuple(map(plain, m)): rank for rank, m in enumerate(model["merges"])}
-        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), MEMO_PAIRS), word_ends=True, most_prefixes=MEMO_PREFIXES)
+        ranks: dict[str, int] = {}
+        for (a, b), rank in pairs.items():
+            ranks[a + b] = min(rank, ranks.get(a + b, rank))
+        self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), ranks), word_ends=True, max_states=STATES)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
