@@ -50,6 +50,8 @@ MAX_LEAVES = SAMPLE_ROWS // SAMPLE_PER_LEAF
 SHARD_ROWS, SHARD_SAMPLE, LEVELS, TREE_BYTES = 32_768, 4_096, 4, 64 << 20
 #: Leaves up to this size are compared in full.
 FULL_ROWS = 512
+#: So many edges are contracted by one task at a time.
+RUN_EDGES = 200_000
 
 
 # -- fingerprints -----------------------------------------------------------------------------------------
@@ -291,26 +293,74 @@ def link_fingerprints(points: DataFrame, radius: int, fp: str = "fp") -> DataFra
 # -- components -------------------------------------------------------------------------------------------
 
 
+def contracted(pairs: DataFrame, n: int) -> DataFrame:
+    """u, v: the edges (n of them) as stars: in runs of RUN_EDGES, every node with the smallest one that the run connects it with.
+
+    A run is one task's work and bounded, so many edges only come nearer to their components, few are there at once.
+    """
+
+    def stars(edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        least: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := least.get(x, x)) != x:
+                least[x] = x = least.get(y, y)
+            return x
+
+        for us, vs in edges:
+            for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    least[max(a, b)] = min(a, b)
+        nodes = list(least)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+    def work(batches):
+        release()
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN_EDGES):
+                part = batch.slice(at, RUN_EDGES)
+                if rows + part.num_rows > RUN_EDGES and held:
+                    yield stars(held)
+                    held, rows = [], 0
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
+                rows += part.num_rows
+        yield stars(held)
+
+    return pairs.coalesce(max(1, math.ceil(n / RUN_EDGES))).select("u", "v").mapInArrow(work, "u long, v long").where("u <> v")
+
+
+def star_state(pairs: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether they are stars around smallest nodes: every node has one edge to its root, and roots have none."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    nodes = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    found = nodes.agg(F.sum("low").alias("n"), F.max(F.when(F.col("high") == 1, F.col("low") + 1).otherwise(F.col("low"))).alias("most")).first()
+    return found["n"] or 0, (found["most"] or 0) <= 1
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: for every node of the edges (u, v) but the roots, the smallest node it is connected with.
 
-    Large stars join each node's larger neighbours to its smallest one, small stars its smaller ones; both
-    keep the components, and the rounds end when nothing changes (Kiveris and others, 2014).
+    Edges are contracted in runs, then large stars join each node's larger neighbours to its smallest one, small stars its
+    smaller ones (Kiveris and others, 2014); all keep the components, and the rounds end when every component is a star.
     """
     pairs = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
-    for _ in range(most_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = written(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+    n, done = star_state(pairs)
+    for step in range(2 * most_rounds):
+        if done:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
+        if step % 2 == 0:
+            pairs = written(contracted(pairs, n))
+        else:
+            both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u")
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            pairs = written(small)
+        n, done = star_state(pairs)
     raise RuntimeError("the components did not settle")
 
 

@@ -329,6 +329,19 @@ def test_large_shards_are_dealt_again_and_lose_no_link(spark, monkeypatch, level
     assert held[0] > 600 if not levels else held[0] < 400
 
 
+@pytest.mark.parametrize("run", [200_000, 7])
+def test_components_of_random_edges(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN_EDGES", run)
+    rng = np.random.default_rng(run)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (400, 2))] + [(2000 + i, 2000 + i // 2) for i in range(60)] + [(3000, i) for i in range(3001, 3100)]
+    least = {x: x for p in pairs for x in p}
+    for u, v in pairs:
+        a, b = sorted((least[u], least[v]))
+        least = {k: a if x == b else x for k, x in least.items()} if a != b else least
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long").repartition(3)).collect()}
+    assert got == {k: x for k, x in least.items() if k != x}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
