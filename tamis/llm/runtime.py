@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 #: A side goes out as a broadcast only if its rows, counted after it was written, take at most this.
 BROADCAST_BYTES = 8 << 20
 #: Rows are handled in slices of about this size in Python, which bounds a worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Arrow batches to and from Python take about so many bytes, unless the session sets it: each is held on both sides.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -120,6 +122,17 @@ def release() -> None:
     if _resident:
         _resident.clear()
         gc.collect()
+    give_back()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH_BYTES where the session leaves them at Spark's 64 MB."""
+    if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Gives a Python worker's free memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -149,7 +162,9 @@ def map_rows(df: DataFrame, inputs: list[str], fields: list[T.StructField], star
                 made = work(*(column_rows(batch.column(c)) for c in inputs))
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*(f.name for f in keep), *inputs])).mapInArrow(run, schema)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.runtime import broadcast_if_small, map_rows, release, written
+from tamis.llm.runtime import broadcast_if_small, map_rows, release, small_batches, written
 
 SEED = 42
 #: The tree is fitted on so many fingerprints at most, drawn by hash; a shard aims at leaf_rows of them.
@@ -488,6 +488,7 @@ def runs_edges(rows: DataFrame, keys: list[str], link: Callable[[pa.Table], list
     def made(edges):
         return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
 
+    small_batches(rows.sparkSession)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "u long, v long").where("u <> v")
 
 
