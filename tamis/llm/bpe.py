@@ -20,6 +20,8 @@ END = 256
 MEMO_CHARS = 48
 #: Bits of a symbol and of a token's id in a transducer's tables.
 SYMBOL_BITS, TOKEN_BITS = 9, 24
+#: Bits of a token's length.
+LENGTH_BITS = 12
 
 
 def ascii_form(pattern: str) -> re.Pattern | None:
@@ -310,30 +312,35 @@ class PrefixCounts:
     """The number of tokens of every prefix of a word, by dynamic programming over last tokens.
 
     A prefix has one token more than the prefix before its last token. The last tokens are those of the transducer's
-    transitions, so a symbol costs a look-up or two. With word ends, the last symbol of a prefix counts as ended, as
-    if the text stopped there.
+    transitions, so a symbol costs a look-up: of the state after it, and of the lengths of its last token if the text
+    goes on and if it ends there. With word ends, the last symbol of a prefix counts as ended, as if the text stopped.
     """
 
     def __init__(self, merges: Merges, word_ends: bool, max_states: int):
         self.last, self.word_ends = Transducer(merges, max_states), word_ends
+        self.lengths: dict[int, int] = {}  # state and symbol to the state after and both lengths
 
     def counts(self, text: str) -> list[int]:
         """Entry i: the token count of the first i + 1 symbols as a text of their own."""
-        machine = self.last
-        if len(machine.states) > machine.max_states:
-            machine._clear()
-        steps, lasts, length, mask = machine.steps, machine.lasts, machine.length, (1 << TOKEN_BITS) - 1
-        state, inner, ended = 0, [0], []
-        for end, symbol in enumerate(map(ord, text), 1):
-            key = state << SYMBOL_BITS | symbol
-            if self.word_ends:
-                final = lasts.get(key | END)
-                if final is None:
-                    final = machine._last(state, symbol | END)
-                ended.append(inner[end - length[final]] + 1)
-            step = steps.get(key)
+        if len(self.last.states) > self.last.max_states:
+            self.last._clear()
+            self.lengths.clear()
+        known, bits, mask = self.lengths, LENGTH_BITS, (1 << LENGTH_BITS) - 1
+        state, end, inner, ended = 0, 0, [0], []
+        for symbol in map(ord, text):
+            step = known.get(state << SYMBOL_BITS | symbol)
             if step is None:
-                step = machine._step(state, symbol)
-            state = step >> TOKEN_BITS
-            inner.append(inner[end - length[step & mask]] + 1)
-        return ended if self.word_ends else inner[1:]
+                step = self._lengths(state, symbol)
+            end += 1
+            ended.append(inner[end - (step & mask)] + 1)
+            inner.append(inner[end - (step >> bits & mask)] + 1)
+            state = step >> 2 * bits
+        return ended
+
+    def _lengths(self, state: int, symbol: int) -> int:
+        machine = self.last
+        step = machine._step(state, symbol)
+        goes_on = machine.length[step & ((1 << TOKEN_BITS) - 1)]
+        ends = machine.length[machine._last(state, symbol | END)] if self.word_ends else goes_on
+        made = self.lengths[state << SYMBOL_BITS | symbol] = (step >> TOKEN_BITS) << 2 * LENGTH_BITS | goes_on << LENGTH_BITS | ends
+        return made

@@ -18,7 +18,9 @@ other columns pass through, and an earlier column of the output's name is replac
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
 from tamis.llm.runtime import map_rows, resident
 
 #: What a worker remembers: bytes of runs, and states of the transducer.
-MEMO_BYTES, STATES = 96 << 20, 200_000
+MEMO_BYTES, STATES = 160 << 20, 200_000
 #: What a remembered run takes besides its characters and counts.
 RUN_BYTES = 180
 #: The longest run in code points; their counts differ by less than 2 ** 16.
@@ -40,6 +42,8 @@ TABLE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.S
 #: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
 LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
+SPECIAL_LOWER = tuple(map(chr, LOWER))
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-ins for bytes of byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -81,7 +85,10 @@ class Counter:
     @staticmethod
     def normal(text: str) -> str:
         """Composed and in lower case, character by character (a final sigma is no exception)."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).translate(LOWER).lower()
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return (text.translate(LOWER) if any(map(text.__contains__, SPECIAL_LOWER)) else text).lower()
 
     def word_prefixes(self, word: str) -> list[int]:
         """The count at every character of a word."""
@@ -89,9 +96,9 @@ class Counter:
             parts = [self.word_prefixes(c)[-1] for c in word[:2]]
             whole = self.table.counts(word)
             return [parts[0], sum(parts), whole[-1]]
+        if word.isascii():
+            return self.table.counts(word)
         counts = self.table.counts(word.encode().decode("latin-1"))
-        if len(counts) == len(word):
-            return counts
         out, at = [], -1
         for char in word:
             at += len(char.encode())
@@ -102,12 +109,14 @@ class Counter:
         """The count at every character of a run, as 16-bit integers; empty if the run is too long for that."""
         if len(run) > RUN:
             return b""
-        counts: list[int] = []
-        for match in self.words.finditer(run):
-            counts += [counts[-1] if counts else 0] * (match.start() - len(counts))
-            counts += self.word_prefixes(match.group())
-        counts += [counts[-1] if counts else 0] * (len(run) - len(counts))
-        return np.array(counts, ">u2").tobytes()
+        match = self.words.match(run)
+        counts = self.word_prefixes(match.group()) if match else [0]
+        if len(counts) < len(run):
+            counts += [counts[-1]] * (len(run) - len(counts))
+        packed = array("H", counts)
+        if sys.byteorder == "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def tables(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
         """The prefix table of a text: starts, before, inner."""
