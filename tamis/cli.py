@@ -6,10 +6,11 @@ import argparse
 import json
 from dataclasses import fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.operators import convert, losses, sample, score
+from tamis.operators.common import written
 from tamis.plans.config import SelectionConfig
 from tamis.plans.select import select
 from tamis.sources import io
@@ -23,6 +24,12 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--samples", required=True)
     one.add_argument("--losses", help="table of sample_id, ckpt, window, loss")
     one.add_argument("--window", default="1000")
+    one.add_argument("--difficulty-window", help="window of the losses that budgets by softmax are taken from")
+    one.add_argument("--difficulty-losses", help="their table, if it is another one")
+    one.add_argument("--embeddings", help="table of sample_id, embedding, or a folder of checkpoint-N folders")
+    one.add_argument("--sources", help='JSON: {"source": [clusters, samples], "other": [1, 0]}')
+    one.add_argument("--order", choices=("as_written", "improvement"))
+    one.add_argument("--dump-losses", action="store_true", help="write the losses that were used beside the selection")
     one.add_argument("--subset", help="ids to choose from")
     one.add_argument("--output", required=True, help="must not exist")
     one.add_argument("--config", help="JSON file; explicit options win over it")
@@ -57,12 +64,23 @@ def parser() -> argparse.ArgumentParser:
     six = commands.add_parser("report", help="accuracy of all runs below a folder, a column for each source")
     six.add_argument("--root", required=True)
     six.add_argument("--output", required=True)
+    six.add_argument("--finished", help="suffix of files beside metrics that have been dealt with, such as .txt")
     six.add_argument("--order", choices=("medical", "math"), default="medical")
     return top
 
 
+def trajectories_of(spark: SparkSession, args: argparse.Namespace, config: SelectionConfig, path: str, window: str) -> DataFrame:
+    """sample_id, traj in millionths, of the checkpoints asked for."""
+    table = io.read_losses(spark, path, window)
+    table = losses.require_checkpoints(table, config.checkpoints) if config.checkpoints else table
+    if config.softmax:
+        losses.require_last_is_highest(table)
+    return losses.trajectories(table).select("sample_id", F.transform("traj", lambda x: F.round(x * 1e6).cast("long")).alias("traj"))
+
+
 def run_select(spark: SparkSession, args: argparse.Namespace) -> None:
     given = {f.name: getattr(args, f.name) for f in fields(SelectionConfig)}
+    given["sources"] = {k: tuple(v) for k, v in json.loads(args.sources).items()} if args.sources else None
     file: dict = {}
     if args.config:
         with open(args.config) as handle:
@@ -71,25 +89,29 @@ def run_select(spark: SparkSession, args: argparse.Namespace) -> None:
     samples = io.read_samples(spark, args.samples)
     if args.subset:
         samples = sample.apply_subset(samples, spark.read.parquet(args.subset))
-    pool = samples.select("sample_id", "domain", "source")
+    strata, difficulty = samples.select("sample_id", "domain", "source"), None
+    pool = strata
     if config.method == "longest_reasoning":
         text = convert.message_text(F.struct(F.expr("conversations[1].content").alias("content"), F.lit(None).cast("string").alias("value")))
         pool = samples.select("sample_id", "domain", "source", convert.reasoning_length(text, F.col("sample_id")).alias("reasoning_length"))
+    elif config.method == "embedding":
+        if not args.embeddings:
+            raise SystemExit("embedding needs --embeddings")
+        pool = pool.join(io.read_embeddings(spark, args.embeddings, config.checkpoints), "sample_id")
     elif config.method != "random":
         if not args.losses:
             raise SystemExit(f"{config.method} needs --losses")
-        table = io.read_losses(spark, args.losses, args.window)
-        table = losses.require_checkpoints(table, config.checkpoints) if config.checkpoints else table
-        if config.softmax:
-            losses.require_last_is_highest(table)
-        made = losses.trajectories(table)
-        pool = pool.join(made.select("sample_id", F.transform("traj", lambda x: F.round(x * 1e6).cast("long")).alias("traj")), "sample_id").persist()
-    result = select(pool, config)
-    chosen = result.selected.persist()
+        pool = written(strata.join(trajectories_of(spark, args, config, args.losses, args.window), "sample_id"))
+        if args.difficulty_losses or args.difficulty_window:
+            difficulty = strata.join(trajectories_of(spark, args, config, args.difficulty_losses or args.losses, args.difficulty_window or args.window), "sample_id")
+    result = select(pool, config, difficulty)
+    chosen = written(result.selected.select("sample_id"))
     io.write_subset(chosen, f"{args.output}/labeled_idx")
     io.write_selected(samples, chosen, f"{args.output}/labeled")
+    if args.dump_losses and "traj" in pool.columns:
+        io.write_loss_matrix(pool, f"{args.output}/loss")
     if result.clusters is not None and "source" in result.clusters.columns:
-        io.write_clusters(result.clusters, f"{args.output}/clusters")
+        io.write_clusters(result.clusters.select(*(c for c in ("domain", "source", "sample_id", "cluster_id") if c in result.clusters.columns)), f"{args.output}/clusters")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -110,11 +132,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         pick = sample.complement if args.complement else sample.apply_subset
         pick(io.read_samples(spark, args.samples), spark.read.parquet(args.subset)).write.mode("errorifexists").json(args.output)
     elif args.command == "score":
-        scored = score.scored(io.read_samples(spark, args.results)).persist()
+        scored = written(score.scored(io.read_samples(spark, args.results)))
         scored.write.mode("errorifexists").json(f"{args.output}/scored")
         io.write_metrics(score.accuracy(scored), f"{args.output}/metrics")
     else:
-        found = io.find_metrics(spark, args.root).select("run", F.explode(score.accuracy_of_json(F.col("content"))).alias("source", "accuracy"))
+        found = io.find_metrics(spark, args.root, finished=args.finished).select("run", F.explode(score.accuracy_of_json(F.col("content"))).alias("source", "accuracy"))
         io.write_metrics(score.pivoted(found, order=score.MEDICAL_ORDER if args.order == "medical" else score.MATH_ORDER), args.output)
 
 

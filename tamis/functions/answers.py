@@ -19,14 +19,15 @@ from pyspark.sql import types as T
 LETTERS = "ABCDEFGHIJKLMN"
 FINAL_MARK = "## Final Response\n\n"
 STATED = re.compile(r"answer is\s*?([A-N])", re.S)
-BEFORE = r"(?:[一-鿿]|is |是|项|\*|\W|\ |\(|为|^|'|\"|#)"
-AFTER = r"(?:\W|[一-鿿]|$)"
+#: The Han ideographs of the basic block.
+HAN = "\\u4e00-\\u9fff"
 
 
 @lru_cache(maxsize=32)
 def delimited(n: int) -> re.Pattern | None:
     """One of the first n letters between delimiters; not the article "A " at the start of words."""
-    return re.compile(rf"{BEFORE}(?![aA] )([{LETTERS[:n]}]){AFTER}", re.S) if n else None
+    # after the start, an ideograph, "is " or whatever is no part of a word; before an ideograph, no part of a word, or the end
+    return re.compile(rf"(?:^|is |[{HAN}]|\W)(?![aA] )([{LETTERS[:n]}])(?:[{HAN}]|\W|$)", re.S) if n else None
 
 
 def last_box(text: str) -> str:

@@ -1,19 +1,58 @@
 """Budgets over strata.
 
 The rules are sequential by nature: each stratum's share depends on what the ones before it left. Strata are
-few, so each group's strata are one sorted array and the rule is a fold over it, which stays in one row.
+few, so a group's strata are gone through in one task, in time that grows with their number.
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TAKEN = "array<struct<size:bigint,name:string,take:bigint>>"
+from tamis.operators.common import broadcast_if_small, folded
+
+#: What a row of budgets takes in a broadcast.
+ROW_BYTES = 256
+
+
+def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
 
+def _rule_fit(visit, group: tuple[str, ...], name: str, out: str):
+    """A rule that gives the strata, ordered by size and name, to visit(sizes, rows) for what each takes."""
 
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__size", "__name"], kind="stable")
+        made = rows[[*group]].copy()
+        made[name], made[out] = rows["__name"], visit(rows["__size"].tolist(), rows)
+        return made
+
+    return rule
+
+
+def softmax_takes(sizes: list[int], difficulty: list[float], budget: int) -> list[int]:
+    """What strata, sorted by size, take of a budget by softmax of difficulty; the softmax is shifted by the largest."""
+    if any(math.isnan(d) for d in difficulty):
+        raise ValueError("a stratum's last loss is below its first")
+    top = max(difficulty)
+    e = [math.exp(d - top) for d in difficulty]
+    z = 0.0
+    for x in e:
+        z += x
+    share = [x / z for x in e]
+    rest, ahead = [0.0] * len(share), 0.0  # added from the end, so that the last one's share of the rest is exactly 1
+    for i in reversed(range(len(share))):
+        rest[i] = ahead = ahead + share[i]
+    takes, left = [], budget
+    for size, p, r in zip(sizes, share, rest, strict=True):
+        take = size if size < math.floor(p * budget) else max(min(math.floor(p / r * left) if r > 0 else 0, size), 0)
+        takes.append(take)
+        left -= take
+    return takes
 
 
 def softmax_allocation(strata: DataFrame, budget: str | int, group: tuple[str, ...] = (), name: str = "name", size: str = "size", difficulty: str = "difficulty") -> DataFrame:
@@ -23,34 +62,21 @@ def softmax_allocation(strata: DataFrame, budget: str | int, group: tuple[str, .
     share of what is left among those left, at most its size. What remains goes to the largest first. The
     softmax is shifted by the largest difficulty; a difficulty that is NaN is an error.
     """
-    total = F.lit(budget).cast("long") if isinstance(budget, int) else F.first(budget).cast("long")
-    entry = F.struct(F.col(size).cast("long").alias("size"), F.col(name).alias("name"), F.when(F.isnan(F.col(difficulty).cast("double")), F.raise_error(F.lit("a stratum's last loss is below its first"))).otherwise(F.col(difficulty).cast("double")).alias("d"))
-    rows = strata.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("s"), total.alias("b"))
-    rows = rows.withColumn("top", F.aggregate("s", F.lit(float("-inf")), lambda a, x: F.greatest(a, x["d"])))
-    rows = rows.withColumn("s", F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["name"].alias("name"), F.exp(x["d"] - F.col("top")).alias("e"))))
-    rows = rows.withColumn("z", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"]))
-    rows = rows.withColumn("s", F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["name"].alias("name"), (x["e"] / F.col("z")).alias("p"))))
-
-    # each stratum's p with the sum of p from it on, added from the end: the last one's share is then exactly 1
-    ahead = F.struct(F.lit(0.0).alias("sum"), _empty("array<struct<size:bigint,name:string,p:double,rest:double>>").alias("out"))
-    grow = lambda a, x: F.struct((a["sum"] + x["p"]).alias("sum"), F.concat(F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), x["p"].alias("p"), (a["sum"] + x["p"]).alias("rest"))), a["out"]).alias("out"))
-    rows = rows.withColumn("s", F.aggregate(F.reverse("s"), ahead, grow)["out"])
 
-    def visit(a: Column, x: Column) -> Column:
-        share = F.when(x["rest"] > 0, F.floor(x["p"] / x["rest"] * a["left"])).otherwise(F.lit(0).cast("long"))
-        take = F.when(x["size"] < F.floor(x["p"] * F.col("b")), x["size"]).otherwise(F.greatest(F.least(share, x["size"]), F.lit(0).cast("long")))
-        return F.struct((a["left"] - take).alias("left"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), take.alias("take")))).alias("out"))
+    def visit(sizes: list[int], rows: pd.DataFrame) -> list[int]:
+        budget = int(rows["__budget"].iloc[0])
+        takes = softmax_takes(sizes, rows["__difficulty"].tolist(), budget)
+        left = budget - sum(takes)
+        names = rows["__name"].tolist()
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], names[i])):
+            more = min(left, sizes[i] - takes[i])
+            takes[i] += more
+            left -= more
+        return takes
 
-    start = F.struct(F.col("b").alias("left"), _empty(TAKEN).alias("out"))
-    rows = rows.withColumn("r", F.aggregate("s", start, visit))
-    largest = F.array_sort("r.out", lambda a, b: F.when(a["size"] != b["size"], F.when(a["size"] > b["size"], -1).otherwise(1)).otherwise(F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)))
-
-    def fill(a: Column, x: Column) -> Column:
-        more = F.least(a["left"], x["size"] - x["take"])
-        return F.struct((a["left"] - more).alias("left"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), (x["take"] + more).alias("take")))).alias("out"))
-
-    rows = rows.withColumn("f", F.aggregate(largest, F.struct(F.col("r.left").alias("left"), _empty(TAKEN).alias("out")), fill))
-    return rows.select(*group, F.explode("f.out").alias("x")).select(*group, F.col("x.name").alias(name), F.col("x.take").alias("take"))
+    total = F.lit(budget) if isinstance(budget, int) else F.col(budget)
+    rows = strata.select(*group, F.col(size).cast("long").alias("__size"), F.col(name).alias("__name"), F.coalesce(F.col(difficulty).cast("double"), F.lit(float("nan"))).alias("__difficulty"), total.cast("long").alias("__budget"))
+    return folded(rows, group, f"{_kinds(strata, (*group, name))}, take long", _rule_fit(visit, group, name, "take"))
 
 
 def hierarchical_allocation(strata: DataFrame, budget: int, per_cluster: int = 4) -> DataFrame:
@@ -60,7 +86,7 @@ def hierarchical_allocation(strata: DataFrame, budget: int, per_cluster: int = 4
     """
     domains = strata.groupBy("domain").agg(F.sum("size").alias("size"), F.sum("first_sum").alias("first_sum"), F.sum("last_sum").alias("last_sum"))
     by_domain = softmax_allocation(domains.withColumn("difficulty", geometric_difficulty()), budget, name="domain").withColumnRenamed("take", "budget")
-    sources = strata.withColumn("difficulty", geometric_difficulty()).join(F.broadcast(by_domain), "domain")
+    sources = strata.withColumn("difficulty", geometric_difficulty()).join(broadcast_if_small(by_domain, ROW_BYTES), "domain")
     taken = softmax_allocation(sources, "budget", ("domain",), name="source")
     return taken.select("domain", "source", F.greatest(F.lit(1).cast("long"), F.expr(f"take div {per_cluster}")).alias("n_clusters"), F.col("take").alias("n_samples"))
 
@@ -76,34 +102,48 @@ def stratum_sums(trajs: DataFrame, *keys: str) -> DataFrame:
     return trajs.groupBy(*keys).agg(F.count("*").alias("size"), F.sum(F.element_at("traj", 1)).alias("first_sum"), F.sum(F.element_at("traj", -1)).alias("last_sum"))
 
 
-def waterfill(strata: DataFrame, budget: int, name: str = "source", size: str = "size", group: tuple[str, ...] = ()) -> DataFrame:
-    """group, name, take: equal shares; small strata are taken whole, the rest share what is left."""
-    entry = F.struct(F.col(size).cast("long").alias("size"), F.col(name).alias("name"))
-    rows = strata.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+def equal_takes(sizes: list[int], budget: int) -> list[int]:
+    """What strata, sorted by size, take in equal shares of what is left: small ones go whole, the rest share."""
+    takes, left = [], budget
+    for i, size in enumerate(sizes):
+        takes.append(min(left // (len(sizes) - i), size))
+        left -= takes[-1]
+    return takes
 
-    def visit(a: Column, x: Column) -> Column:
-        # by size ascending: whole while it fits an equal share; from the first that doesn't, all get shares
-        share = F.floor(a["left"] / a["n"]).cast("long")
-        take = F.least(share, x["size"])
-        return F.struct((a["left"] - take).alias("left"), (a["n"] - 1).alias("n"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["name"].alias("name"), take.alias("take")))).alias("out"))
 
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.size("s").cast("long").alias("n"), _empty(TAKEN).alias("out"))
-    rows = rows.withColumn("r", F.aggregate("s", start, visit))
-    return rows.select(*group, F.explode("r.out").alias("x")).select(*group, F.col("x.name").alias(name), F.col("x.take").alias("take"))
+def waterfill(strata: DataFrame, budget: int, name: str = "source", size: str = "size", group: tuple[str, ...] = ()) -> DataFrame:
+    """group, name, take: equal shares; small strata are taken whole, the rest share what is left."""
+    rows = strata.select(*group, F.col(size).cast("long").alias("__size"), F.col(name).alias("__name"))
+    return folded(rows, group, f"{_kinds(strata, (*group, name))}, take long", _rule_fit(lambda sizes, _: equal_takes(sizes, budget), group, name, "take"))
 
 
 def cluster_quotas(clusters: DataFrame, group: tuple[str, ...], cluster: str = "cluster_id", size: str = "size", budget: str = "n_samples", least: int = 2) -> DataFrame:
     """group, cluster, quota: a group's budget over its clusters of two rows or more, smallest first."""
-    entry = F.struct(F.col(size).cast("long").alias("size"), F.col(cluster).cast("long").alias("cluster"))
-    rows = clusters.where(F.col(size) >= least).groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("s"), F.first(budget).cast("long").alias("b"))
+    rows = clusters.where(F.col(size) >= least).select(*group, F.col(size).cast("long").alias("__size"), F.col(cluster).cast("int").alias("__name"), F.col(budget).cast("long").alias("__budget"))
+    return folded(rows, group, f"{_kinds(clusters, group)}, `{cluster}` int, quota long", _rule_fit(lambda sizes, rows: equal_takes(sizes, int(rows["__budget"].iloc[0])), group, cluster, "quota"))
 
-    def visit(a: Column, x: Column) -> Column:
-        take = F.least(x["size"], F.floor(a["left"] / a["n"]).cast("long"))
-        return F.struct((a["left"] - take).alias("left"), (a["n"] - 1).alias("n"), F.concat(a["out"], F.array(F.struct(x["cluster"].alias("cluster"), take.alias("take")))).alias("out"))
 
-    start = F.struct(F.col("b").alias("left"), F.size("s").cast("long").alias("n"), _empty("array<struct<cluster:bigint,take:bigint>>").alias("out"))
-    rows = rows.withColumn("r", F.aggregate("s", start, visit))
-    return rows.select(*group, F.explode("r.out").alias("x")).select(*group, F.col("x.cluster").cast("int").alias(cluster), F.col("x.take").alias("quota"))
+def custom_budget(sums: DataFrame, given: dict[str, tuple[int, int]]) -> DataFrame:
+    """sums (domain, source, size, ...) with n_clusters and n_samples by source; `other` holds for sources that aren't named.
+
+    Without `other` they get (1, 0): none of their rows. It is an error if a source is really called other, or if a
+    named one isn't there. More samples than a source has are all of them.
+    """
+    sources = {r["source"] for r in sums.select("source").distinct().collect()}  # strata, which are few
+    if "other" in sources:
+        raise ValueError("a source is called other, which stands for the sources that aren't named")
+    if missing := sorted(set(given) - sources - {"other"}):
+        raise ValueError(f"no such source: {', '.join(missing)}")
+    rest = given.get("other", (1, 0))
+    rows = [(name, int(k), int(n)) for name, (k, n) in given.items() if name != "other"]
+    named = sums.sparkSession.createDataFrame(rows, "__source string, __k long, __n long")
+    joined = sums.join(broadcast_if_small(named, ROW_BYTES), F.col("source") == F.col("__source"), "left")
+    return joined.withColumn("n_clusters", F.coalesce("__k", F.lit(rest[0]))).withColumn("n_samples", F.least(F.coalesce("__n", F.lit(rest[1])), F.col("size"))).drop("__source", "__k", "__n")
+
+
+def sources_of_domains(samples: DataFrame) -> DataFrame:
+    """domain, sources: the different sources of each domain, sorted."""
+    return samples.groupBy("domain").agg(F.sort_array(F.collect_set("source")).alias("sources"))
 
 
 def contiguous_split(rows: int, workers: int) -> list[tuple[int, int]]:

@@ -2,17 +2,26 @@
 
 Features and centroids are whole numbers and centroids are truncated means, so assignments don't depend on
 partitions or on the order of summation. Initial centroids are the first rows by md5 of seed and id. All strata
-are clustered at once: rows stay dealt as they are, an iteration is one broadcast of the centroids and one
-aggregation with partial sums, and a stratum of any size is spread over all tasks. The driver holds the
-centroids only, whose number the budget bounds.
+are clustered at once: rows stay dealt as they are, an iteration is one broadcast of the centroids and one pass in
+Arrow batches with partial sums, and a stratum of any size is spread over all tasks. The driver holds the
+centroids only, whose number the budget bounds; their size is checked.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CENTROID_VALUES = 1 << 20
+from tamis.operators.common import written
+
+#: All centroids together have so many values at most (256 MB), ten clusterings of 1,000 centroids of 2,048 values each, say.
+MAX_CENTROID_VALUES = 1 << 25
+#: Rows are compared with the centroids in blocks of so many distances.
+BLOCK_DISTANCES = 1 << 21
+#: Up to so many values a row, the batches' sums are added up by built-in sums; wider ones in groups of partial sums.
+FEW_VALUES = 64
 
 
 def hash_order(seed: int | str, ident: str) -> Column:
@@ -20,52 +29,137 @@ def hash_order(seed: int | str, ident: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
 
 
-def square_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-
+def nearest_rows(rows: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row (n, w) the nearest center (k, w), of equal ones the first, and the squared distance; all exact whole numbers.
 
-def nearest(features: Column, centroids: Column) -> Column:
-    """struct(dist, cluster) of the nearest of an array of struct(cluster, center); of equal ones the lowest."""
-    return F.array_min(F.transform(centroids, lambda c: F.struct(square_distance(features, c["center"]).alias("dist"), c["cluster"].alias("cluster"))))
+    Distances are first taken as floating-point products; where several centers come within their error, exactly.
+    """
+    n, k = len(rows), len(centers)
+    reach = int(max(rows.max(initial=0), centers.max(initial=0))) - int(min(rows.min(initial=0), centers.min(initial=0)))
+    if reach * reach * max(rows.shape[1], 1) >= 1 << 63:
+        raise ValueError("squared distances don't fit 64 bits; scale the features down")
+    found = np.empty(n, np.int64)
+    middle = centers.mean(axis=0)
+    own, others = rows - middle, centers - middle
+    lengths = (others * others).sum(axis=1)
+    for at in range(0, n, max(1, BLOCK_DISTANCES // k)):
+        block = own[at : at + max(1, BLOCK_DISTANCES // k)]
+        square = (block * block).sum(axis=1)
+        about = square[:, None] - 2 * block @ others.T + lengths
+        error = 1e-12 * rows.shape[1] * (square + lengths.max()) + 1e-6
+        best = about.argmin(axis=1)
+        close = about <= (about[np.arange(len(block)), best] + 2 * error)[:, None]
+        for i in np.flatnonzero(close.sum(axis=1) > 1):
+            among = np.flatnonzero(close[i])
+            best[i] = among[((centers[among] - rows[at + i]) ** 2).sum(axis=1).argmin()]
+        found[at : at + len(block)] = best
+    return found, ((rows - centers[found]) ** 2).sum(axis=1)
+
+
+class Centers:
+    """The centroids of all strata, and the batches' rows by stratum."""
+
+    def __init__(self, held: dict[tuple, np.ndarray]):
+        self.held = held
+
+    def near(self, strata: list[list], features: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple], np.ndarray, np.ndarray]:
+        """For a batch: each row's stratum as a place in a list, that list, the nearest center and distance, and the features."""
+        names: dict[tuple, int] = {}
+        place = np.fromiter((names.setdefault(x, len(names)) for x in zip(*strata, strict=True)), np.int64, len(features))
+        width = len(features.values) // max(len(features), 1)
+        values = features.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(features), width)
+        cluster, dist = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(len(names) + 1))
+        for name, a, b in zip(names, cuts[:-1], cuts[1:], strict=True):
+            at = order[a:b]
+            cluster[at], dist[at] = nearest_rows(values[at], self.held[name])
+        return place, values, list(names), cluster, dist
+
+
+def truncated(total: int, n: int) -> int:
+    """total / n without its fraction, towards zero."""
+    return total // n if total >= 0 else -(-total // n)
 
 
 def lloyd(df: DataFrame, strata: tuple[str, ...], k: str, features: str = "traj", ident: str = "sample_id", niter: int = 20, seed: int = 42) -> DataFrame:
     """df with cluster_id and dist: k-means within each stratum; k is a column and at most the stratum's rows.
 
-    df should be cheap to read again or cached; it is read once an iteration.
+    df should be cheap to read again (written); it is read once an iteration. Strata without a centroid (k of 0) go.
     """
     spark = df.sparkSession
-    order = F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, ident), ident))
-    first = df.select(*strata, F.col(k).cast("long").alias("__k"), F.col(features).alias("center"), order.alias("__n")).where(F.col("__n") <= F.col("__k"))
-    centers = first.select(*strata, (F.col("__n") - 1).cast("int").alias("cluster"), "center")
-    schema = centers.schema
-    rows = centers.collect()
-    if sum(len(r["center"]) for r in rows) > MAX_CENTROID_VALUES:
-        raise ValueError("too many centroids for one broadcast; lower the number of clusters")
-
-    def table() -> DataFrame:
-        held = spark.createDataFrame(rows, schema)
-        return held.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("__centers"))
-
-    def assigned() -> DataFrame:
-        return df.join(F.broadcast(table()), list(strata)).withColumn("__near", nearest(F.col(features), F.col("__centers")))
-
-    width = len(rows[0]["center"]) if rows else 0
-    for _ in range(niter):
-        sums = [F.sum(F.get(features, F.lit(i))).alias(f"s{i}") for i in range(width)]
-        means = assigned().groupBy(*strata, F.col("__near.cluster").alias("cluster")).agg(F.count("*").alias("n"), *sums)
-        moved = {tuple(r[s] for s in strata) + (r["cluster"],): r["center"] for r in means.select(*strata, "cluster", F.array(*(F.expr(f"s{i} div n") for i in range(width))).alias("center")).collect()}
-        new = [(*(r[s] for s in strata), r["cluster"], moved.get(tuple(r[s] for s in strata) + (r["cluster"],), r["center"])) for r in rows]
-        if [list(x[-1]) for x in new] == [list(r["center"]) for r in rows]:
+    largest = df.agg(F.max(k)).first()[0] or 0
+    # a constant bound stops the ranking of a stratum early, on ids alone; the features of the chosen rows come after
+    order = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", ident))
+    ranked = df.select(*strata, ident, F.col(k).cast("long").alias("__k"), hash_order(seed, ident).alias("__h")).withColumn("__n", order)
+    first = ranked.where(F.col("__n") <= F.lit(int(largest))).where(F.col("__n") <= F.col("__k")).select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)), F.col(ident).alias("__i"), "__n")
+    met = F.col(ident) == F.col("__i")
+    for i, s in enumerate(strata):
+        met &= F.col(s).eqNullSafe(F.col(f"__s{i}"))
+    chosen = df.join(F.broadcast(written(first)), met).select(*strata, "__n", F.col(features).alias("center"))
+    held: dict[tuple, list] = {}
+    values = 0
+    for r in chosen.toLocalIterator():
+        values += len(r["center"])
+        if values > MAX_CENTROID_VALUES:
+            raise ValueError("too many centroids for one broadcast; lower the number of clusters")
+        held.setdefault(tuple(r[s] for s in strata), []).append((r["__n"], r["center"]))
+    centers = {s: np.array([c for _, c in sorted(rows, key=lambda x: x[0])], np.int64) for s, rows in held.items()}
+    width = max((c.shape[1] for c in centers.values()), default=0)
+    source = df if centers else df.limit(0)
+    names = [*strata, features]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in strata)
+
+    def sums(held):
+        def work(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    place, rows, found, cluster, _ = held.value.near([batch.column(i).to_pylist() for i in range(len(strata))], batch.column(len(strata)))
+                    most = int(cluster.max()) + 1
+                    keys, at = np.unique(place * most + cluster, return_inverse=True)
+                    total = np.zeros((len(keys), rows.shape[1]), np.int64)
+                    np.add.at(total, at, rows)
+                    offsets = pa.array(np.arange(0, total.size + 1, max(width, 1)).astype(np.int32))
+                    columns = [pa.array([found[x // most][i] for x in keys], batch.schema.field(i).type) for i in range(len(strata))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(keys % most), pa.array(np.bincount(at)), pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1)))], [*strata, "cluster", "n", "sums"])
+
+        return work
+
+    def merged(parts: DataFrame) -> DataFrame:
+        if width <= FEW_VALUES:
+            total = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(width)))
+            return parts.groupBy(*strata, "cluster").agg(F.sum("n").alias("n"), total.alias("sums"))
+
+        def add(group):
+            one = group.iloc[:1].copy()
+            one["n"], one["sums"] = group["n"].sum(), [np.sum(np.stack(group["sums"].to_list()), axis=0)]
+            return one
+
+        return parts.groupBy(*strata, "cluster").applyInPandas(add, parts.schema)
+
+    for _ in range(niter if centers else 0):
+        shared = spark.sparkContext.broadcast(Centers(centers))
+        parts = source.select(names).mapInArrow(sums(shared), f"{kinds}, cluster long, n long, sums array<bigint>")
+        moved = {s: c.copy() for s, c in centers.items()}
+        for r in merged(parts).toLocalIterator():
+            moved[tuple(r[s] for s in strata)][r["cluster"]] = [truncated(x, r["n"]) for x in r["sums"]]
+        shared.unpersist()
+        same = all((moved[s] == c).all() for s, c in centers.items())
+        centers = moved
+        if same:
             break
-        rows = [schema_row(schema, x) for x in new]
-    return assigned().select(*df.columns, F.col("__near.cluster").alias("cluster_id"), F.col("__near.dist").alias("dist"))
 
+    last = spark.sparkContext.broadcast(Centers(centers))
+    kept = df.schema.fields
 
-def schema_row(schema, values: tuple):
-    from pyspark.sql import Row
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, _, _, cluster, dist = last.value.near([batch.column(s).to_pylist() for s in strata], batch.column(features))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(cluster.astype(np.int32)), pa.array(dist)], [*(f.name for f in kept), "cluster_id", "dist"])
 
-    return Row(*schema.names)(*values)
+    everywhere = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return source.mapInArrow(assign, f"{everywhere}, cluster_id int, dist long")
 
 
 def medoids(clustered: DataFrame, strata: tuple[str, ...], ident: str = "sample_id") -> DataFrame:
@@ -85,6 +179,19 @@ def standardize_ends(df: DataFrame, strata: tuple[str, ...], features: str = "tr
     return df.select("*", z(F.element_at(features, 1)).alias("first_z"), z(F.element_at(features, -1)).alias("last_z"))
 
 
+def standardized(df: DataFrame, strata: tuple[str, ...], features: str = "traj", name: str = "features", scale: int = 1_000_000) -> DataFrame:
+    """df with features to cluster by: the first and last value as z-scores, those between as they are, in whole numbers.
+
+    The values are in units of 1 / scale; of a single value only its last z-score is taken.
+    """
+    whole = lambda z: F.round(F.col(z) * scale).cast("long")
+    scaled = df.withColumn("__own", F.col(features)).withColumn(features, F.transform(features, lambda x: x.cast("double") / scale))
+    ends = standardize_ends(scaled, strata, features).withColumn(features, F.col("__own"))
+    size = F.size(features)
+    made = F.when(size > 1, F.concat(F.array(whole("first_z")), F.slice(features, F.lit(2), size - 2), F.array(whole("last_z")))).otherwise(F.transform(features, lambda _: whole("last_z")))
+    return ends.withColumn(name, made).drop("__own", "first_z", "last_z")
+
+
 def quantize(embedding: Column, scale: int = 1_000_000) -> Column:
     """A float vector in whole numbers."""
     return F.transform(embedding, lambda x: F.round(x.cast("double") * scale).cast("long"))

@@ -49,6 +49,28 @@ def chat_text(system: str, prompt: Column, response: Column, eos: str = END) ->
     return F.concat(F.lit(f"<|im_start|>system\n{system}{END}\n<|im_start|>user\n"), prompt, F.lit(f"{END}\n<|im_start|>assistant\n"), response, F.lit(eos))
 
 
+def training_texts(df: DataFrame, system: str, eos: str = END) -> DataFrame:
+    """df with prompt_text and full_text, from whichever of these columns it has: conversations of two turns (content or
+    value), prompt (a text, or turns) and completion (turns), text (without a prompt), or prompt and reasoning."""
+    ask = lambda prompt: chat_text(system, prompt, F.lit(""), "")
+    kinds = dict(df.dtypes)
+    if "conversations" in kinds:
+        first, second = F.col("conversations")[0], F.col("conversations")[1]
+        said = lambda m: message_text(m) if "value:" in kinds["conversations"] and "content:" in kinds["conversations"] else m["value"] if "value:" in kinds["conversations"] else m["content"]
+        prompt, response = ask(said(first)), said(second)
+    elif "text" in kinds:
+        prompt, response, eos = F.lit(""), F.col("text"), ""
+    elif "prompt" in kinds and "completion" in kinds:
+        turns = F.transform("prompt", lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit(f"{END}\n"))) if kinds["prompt"].startswith("array") else None
+        prompt = ask(F.col("prompt")) if turns is None else F.concat(F.array_join(turns, ""), F.lit("<|im_start|>assistant\n"))
+        response = F.col("completion")[0]["content"]
+    elif "prompt" in kinds and "reasoning" in kinds:
+        prompt, response = ask(F.col("prompt")), F.col("reasoning")
+    else:
+        raise ValueError("no conversations, text, completion or reasoning to train on")
+    return df.withColumn("full_text", F.concat(prompt, response, F.lit(eos))).withColumn("prompt_text", prompt)
+
+
 def conversations_of(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
     """A row for each conversation, its turns in order."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "role", F.col("text").alias("content"))))

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.operators.common import written
+
 SERIES = {"perturbation": "1000 + {j} * (100 + (sample_id * 7919 + t * 104729) % 97)", "training": "2000 - {j} * (100 + (sample_id * 7919 + t * 104729) % 97)"}
 
 
@@ -124,18 +126,31 @@ def loss_summary(losses: DataFrame) -> DataFrame:
 # -- the surrogate provider --------------------------------------------------------------------------------
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda x: x != "")
+def words(text: Column, most: int | None = None) -> Column:
+    """The words of a text, or its first `most`; of these no more than needed is split."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+", -1 if most is None else most + 2)
+    found = F.filter(parts if most is None else F.slice(parts, 1, most + 1), lambda x: x != "")
+    return found if most is None else F.slice(found, 1, most)
+
+
+#: Words of at least one in so many tokens go out to all tasks; there can't be more of them than that.
+FREQUENT = 20_000
 
 
 def tokens(samples: DataFrame, most: int | None = None) -> DataFrame:
-    """sample_id, t, mn: a row for each of a sample's first `most` words (all by default), with its information in the whole corpus."""
-    rows = samples.select("sample_id", F.posexplode(words(F.col("text"))).alias("p", "word"))
-    counts = rows.groupBy("word").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    info = counts.crossJoin(F.broadcast(total)).select("word", F.round(-F.log(F.col("n").cast("double") / F.col("total")) * 1e6).cast("long").alias("mn"))
-    kept = rows if most is None else rows.where(F.col("p") < most)
-    return kept.join(info, "word").select("sample_id", (F.col("p") + 1).alias("t"), "mn")
+    """sample_id, t, mn: a row for each of a sample's first `most` words (all by default), with its information in the whole corpus.
+
+    Words are counted before they are shuffled. Frequent words, which no task could hold by themselves, meet their
+    counts in a broadcast of FREQUENT rows at most; only rare words are shuffled.
+    """
+    counts = written(samples.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    info = counts.select(F.col("word").alias("__word"), F.round(-F.log(F.col("n").cast("double") / F.lit(total)) * 1e6).cast("long").alias("mn"), "n")
+    often = F.col("n") * FREQUENT >= F.lit(total)
+    rows = samples.select("sample_id", F.posexplode(words(F.col("text"), most)).alias("p", "word"))
+    met = rows.join(F.broadcast(info.where(often)), F.col("word") == F.col("__word"), "left").drop("n")
+    rare = met.where("mn IS NULL").drop("mn", "__word").join(info.where(~often), F.col("word") == F.col("__word")).select("sample_id", "p", "mn")
+    return met.where("mn IS NOT NULL").select("sample_id", "p", "mn").unionByName(rare).select("sample_id", (F.col("p") + 1).alias("t"), "mn")
 
 
 def token_loss(checkpoint: int, series: str = "perturbation") -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.operators.allocate import cluster_quotas
+from tamis.operators.allocate import ROW_BYTES, cluster_quotas
 from tamis.operators.cluster import hash_order
+from tamis.operators.common import broadcast_if_small, written
+
+#: A slice of an order is taken from ranges of about so many rows.
+RANGE_ROWS, MOST_RANGES = 200_000, 10_000
 
 
 def top_by_quota(ranked: DataFrame, quotas: DataFrame, keys: tuple[str, ...], rank: str = "rank", quota: str = "quota") -> DataFrame:
@@ -15,8 +21,9 @@ def top_by_quota(ranked: DataFrame, quotas: DataFrame, keys: tuple[str, ...], ra
     The largest quota, a single number, is filtered for first: a constant bound lets Spark stop ranking a
     group early, which a column does not.
     """
+    quotas = written(quotas)
     largest = quotas.agg(F.max(quota)).first()[0] or 0
-    return ranked.where(F.col(rank) <= largest).join(F.broadcast(quotas), list(keys)).where(F.col(rank) <= F.col(quota))
+    return ranked.where(F.col(rank) <= largest).join(broadcast_if_small(quotas, ROW_BYTES), list(keys)).where(F.col(rank) <= F.col(quota))
 
 
 def learnability_sample(clustered: DataFrame, strata: tuple[str, ...], budget: str = "n_samples", ident: str = "sample_id", seed: int = 42) -> DataFrame:
@@ -50,7 +57,7 @@ def high_loss_clusters(clustered: DataFrame, strata: tuple[str, ...], share: flo
     by = Window.partitionBy(*strata)
     rank = F.row_number().over(by.orderBy(F.desc(F.col("__s") / F.col("__n")), "cluster_id"))
     kept = sums.select(*keys, rank.alias("__rank"), F.count("*").over(by).alias("__c")).where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__c") * share)))
-    return clustered.join(F.broadcast(kept.select(*keys)), list(keys))
+    return clustered.join(broadcast_if_small(written(kept.select(*keys)), ROW_BYTES), list(keys))
 
 
 def high_loss_sample(clustered: DataFrame, strata: tuple[str, ...], budget: str = "n_samples", ident: str = "sample_id", seed: int = 42, share: float = 0.5) -> DataFrame:
@@ -64,10 +71,44 @@ def high_loss_sample(clustered: DataFrame, strata: tuple[str, ...], budget: str
 
 
 def middle_slice(df: DataFrame, n: int, by: str = "loss", ident: str = "sample_id") -> DataFrame:
-    """The n rows in the middle of the order by loss (perplexity grows with it)."""
+    """The n rows in the middle of the order by loss (perplexity grows with it), then id."""
+    df = written(df)
     total = df.count()
     n = min(n, total)
-    return df.orderBy(by, ident).offset((total - n) // 2).limit(n)
+    return order_slice(df, [by, ident], (total - n) // 2, n, total)
+
+
+def order_slice(df: DataFrame, order: list[str], first: int, n: int, total: int) -> DataFrame:
+    """The rows of ranks first to first + n - 1 in the order of some numeric columns; df (total rows) is written.
+
+    Rows are counted by ranges between approximate quantiles of the first column, and those outside of the ranges that
+    hold the slice are left out by their count, so no task sorts more than these. Where one value makes a range too
+    large, its rows are cut by the next column.
+    """
+    while total > 2 * RANGE_ROWS + n and order:
+        ranges = min(MOST_RANGES, math.ceil(total / RANGE_ROWS))
+        marks = df.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], F.lit(10 * ranges)).alias("q")).first()["q"]
+        marks = sorted({m for m in marks if m is not None})
+        table = F.array(*(F.lit(m) for m in marks))
+        # 2 i for values between the marks i - 1 and i, 2 i + 1 for the mark itself; nulls come first
+        below = F.size(F.filter(table, lambda m: m < F.col(order[0])))
+        place = F.coalesce(2 * below + F.array_contains(table, F.col(order[0])).cast("int"), F.lit(-1))
+        counts = sorted((r["p"], r["count"]) for r in df.groupBy(place.alias("p")).count().collect())  # two rows a range
+        before, keep = 0, []
+        for p, count in counts:
+            if before < first + n and before + count > first:
+                keep.append((p, before, count))
+            before += count
+        low, high = keep[0][0], keep[-1][0]
+        held = sum(c for _, _, c in keep)
+        df = df.where((place >= low) & (place <= high))
+        first, single = first - keep[0][1], len(keep) == 1 and keep[0][0] % 2 == 1
+        if single:
+            order = order[1:]  # all rows have the same value
+        elif held == total:
+            break
+        total = held
+    return df.orderBy(*order).offset(first).limit(n) if order else df.offset(first).limit(n)
 
 
 def learnability_baseline(df: DataFrame, n: int, order: str = "as_written", ident: str = "sample_id") -> DataFrame:
@@ -102,7 +143,9 @@ def complement(samples: DataFrame, subset: DataFrame, ident: str = "sample_id")
     return samples.join(subset.select(ident), ident, "left_anti")
 
 
-def capped(df: DataFrame, n: int, source: str = "source", ident: str = "sample_id") -> DataFrame:
-    """The first n rows, sources by size, then name, rows by id; over all sources in one order."""
-    sizes = df.groupBy(source).agg(F.count("*").alias("__size"))
-    return df.join(F.broadcast(sizes), source).orderBy("__size", source, ident).limit(n).drop("__size")
+def capped(df: DataFrame, n: int, source: str = "source", ident: str = "sample_id", sizes: DataFrame | None = None) -> DataFrame:
+    """The first n rows, sources by size (of sizes: source and size, or as they stand), then name, rows by id; over all sources in one order."""
+    if sizes is None:
+        sizes = df.groupBy(source).agg(F.count("*").alias("size"))
+    sizes = written(sizes.select(F.col(source).alias("__source"), F.col("size").alias("__size")))
+    return df.join(broadcast_if_small(sizes, ROW_BYTES), F.col(source) == F.col("__source")).orderBy("__size", source, ident).limit(n).drop("__size", "__source")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.operators.common import broadcast_if_small, written
+
 
 def perturbed(name: Column) -> Column:
     """Whether a parameter takes part: embeddings, by their name, don't."""
@@ -66,9 +70,20 @@ def direction(params: DataFrame, start: str, end: str) -> DataFrame:
     return steps.crossJoin(F.broadcast(norm)).select("name", "idx", (F.col("d") / F.col("norm")).alias("value"), "norm")
 
 
-def tensor_seed(seed: int, step: int, name: Column) -> Column:
-    """A number from seed, step and name."""
-    return F.xxhash64(F.concat(F.lit(f"{seed}:{step}:"), name))
+def seed_of(seed: int, step: int, name: str) -> int:
+    """A tensor's seed: 63 bits of the BLAKE2b digest of seed, step and name, little end first."""
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{step}:{name}".encode(), digest_size=8).digest(), "little") & ((1 << 63) - 1)
+
+
+def with_tensor_seeds(params: DataFrame, seed: int, step: int, name: str = "tensor_seed") -> DataFrame:
+    """params with the seed of each row's tensor; digests are made once a name."""
+
+    @F.pandas_udf("long")
+    def digest(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: seed_of(seed, step, n))
+
+    seeds = written(params.select(F.col("name").alias("__name")).distinct().withColumn(name, digest("__name")))
+    return params.join(broadcast_if_small(seeds, 256), F.col("name") == F.col("__name")).drop("__name")
 
 
 def normal(*keys: Column) -> Column:
@@ -79,16 +94,30 @@ def normal(*keys: Column) -> Column:
 
 def gaussian_perturb(params: DataFrame, sigma: float, seed: int, step: int = 1) -> DataFrame:
     """params with noise of deviation sigma on the parameters that take part."""
-    noise = normal(tensor_seed(seed, step, F.col("name")), F.col("idx")) * sigma
-    return params.withColumn("value", F.col("value").cast("double") + F.when(perturbed(F.col("name")), noise).otherwise(F.lit(0.0)))
+    noise = normal(F.col("tensor_seed"), F.col("idx")) * sigma
+    value = F.col("value").cast("double") + F.when(perturbed(F.col("name")), noise).otherwise(F.lit(0.0))
+    return with_tensor_seeds(params, seed, step).select(*(value.alias(c) if c == "value" else c for c in params.columns))
 
 
 def directional_step(params: DataFrame, unit: DataFrame, size: float, seed: int, step: int = 1) -> DataFrame:
     """params moved by size * (1 + noise) along a direction (name, idx, value)."""
     own = unit.select("name", "idx", F.col("value").alias("__d"))
-    noise = normal(tensor_seed(seed, step, F.col("name")), F.col("idx"))
-    moved = params.join(own, ["name", "idx"], "left")
-    return moved.select(*params.columns[:-1], (F.col("value").cast("double") + F.coalesce(F.lit(size) * (1 + noise) * F.col("__d"), F.lit(0.0))).alias("value"))
+    noise = normal(F.col("tensor_seed"), F.col("idx"))
+    moved = with_tensor_seeds(params, seed, step).join(own, ["name", "idx"], "left")
+    value = F.col("value").cast("double") + F.coalesce(F.lit(size) * (1 + noise) * F.col("__d"), F.lit(0.0))
+    return moved.select(*(value.alias(c) if c == "value" else c for c in params.columns))
+
+
+def run_metadata(spark: SparkSession, lambdas: list[float], radii: list[float], **settings) -> DataFrame:
+    """One row that tells a perturbation run's settings, steps and radii, for a sidecar."""
+    kinds = {str: "string", bool: "boolean", int: "long", float: "double"}
+    schema = ", ".join([*(f"`{k}` {kinds[type(v)]}" for k, v in settings.items()), "num_checkpoints int, lambdas array<double>, target_radii array<double>"])
+    return spark.createDataFrame([(*settings.values(), len(lambdas), [float(x) for x in lambdas], [float(x) for x in radii])], schema)
+
+
+def checkpoint_metrics(losses: DataFrame, distances: DataFrame) -> DataFrame:
+    """checkpoint with loss and tokens (of weighted_loss) and what distance() gives, for the sidecars of each checkpoint."""
+    return losses.withColumnRenamed("ckpt", "checkpoint").join(distances, "checkpoint", "left")
 
 
 def weighted_loss(losses: DataFrame) -> DataFrame:

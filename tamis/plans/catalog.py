@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import answers
 from tamis.operators import allocate, cluster, convert, losses, sample, score, tensors
+from tamis.operators.common import written
 from tamis.plans import oracle as sql
 from tamis.plans.config import SelectionConfig
 from tamis.plans.select import select
@@ -35,10 +36,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tamis.plans import round_trips  # noqa: F401  registers its queries here
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLE_SQL
 
 
@@ -55,7 +59,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajs(spark: SparkSession, sf_dir: str, checkpoints: list[int], series: str = "perturbation", keep: bool = False, window: int = 100) -> DataFrame:
     made = losses.surrogate_trajectories(samples(spark, sf_dir), checkpoints, window, series)
-    return made.persist() if keep else made
+    return written(made) if keep else made
 
 
 def subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +174,7 @@ def cluster_quota_fold(spark, sf_dir):
 
 @query(f"WITH {sql.trajectories([4])}, r AS (SELECT sample_id, f0 AS loss, row_number() OVER (ORDER BY f0, sample_id) - 1 AS i, count(*) OVER () AS n FROM traj) SELECT sample_id, loss FROM r WHERE i >= (n - least({BUDGET}, n)) // 2 AND i < (n - least({BUDGET}, n)) // 2 + least({BUDGET}, n)")
 def select_middle_perplexity(spark, sf_dir):
-    rows = trajs(spark, sf_dir, [4]).select("sample_id", F.element_at("traj", 1).alias("loss")).persist()
+    rows = trajs(spark, sf_dir, [4]).select("sample_id", F.element_at("traj", 1).alias("loss"))
     return sample.middle_slice(rows, BUDGET)
 
 
@@ -232,7 +236,7 @@ def pipeline_difficulty_then_diversity(spark, sf_dir):
     """The difficult half of each source, and a diverse choice from it."""
     rows = trajs(spark, sf_dir, CKPTS, keep=True)
     hard = select(rows, SelectionConfig(method="high_loss_clusters", all_samples=True, n_clusters=2, niter=NITER).merged({})).selected
-    pool = sample.apply_subset(rows, hard).persist()
+    pool = written(sample.apply_subset(rows, hard))
     return select(pool, SelectionConfig(method="learnability", softmax=True, size=100, niter=NITER).merged({})).selected
 
 
@@ -262,8 +266,8 @@ def _medoid_sql() -> str:
 
 @query(_medoid_sql())
 def embedding_medoids(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k")).persist()
-    groups = cluster.lloyd(rows, ("all",), "k", niter=_MEDOID_ITER)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k"))
+    groups = cluster.lloyd(written(rows), ("all",), "k", niter=_MEDOID_ITER)
     return cluster.medoids(groups, ("all",)).select("cluster_id", "sample_id")
 
 
@@ -320,14 +324,14 @@ _MAIN_MEANS = ", ".join(f"CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0)
 @query(f"WITH RECURSIVE {_FULL_HIGH}, mains AS (SELECT doc_id, {_MAIN_MEANS} FROM tok WHERE t <= {MAIN_WINDOW} GROUP BY doc_id), sub AS (SELECT h.sample_id, h.domain, h.source, coalesce(m.f0, 0) AS f0, coalesce(m.f1, 0) AS f1, coalesce(m.f2, 0) AS f2 FROM h LEFT JOIN mains m ON m.doc_id = h.sample_id),{sql.softmax_selection('x', 'sub', _FEATURES, 100, FULL_NITER)} SELECT domain, source, sample_id FROM x")
 def pipeline_difficulty_then_diversity_full(spark, sf_dir):
     """The difficult half of each source by difficulty losses, and a diverse choice from it by main losses."""
-    pool = sample.apply_subset(trajs(spark, sf_dir, CKPTS, window=MAIN_WINDOW), _full_halves(spark, sf_dir).selected).persist()
+    pool = written(sample.apply_subset(trajs(spark, sf_dir, CKPTS, window=MAIN_WINDOW), _full_halves(spark, sf_dir).selected))
     return select(pool, SelectionConfig(method="learnability", softmax=True, size=100, niter=FULL_NITER).merged({})).selected
 
 
 @query()
 def embedding_medoids_full(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k")).persist()
-    return cluster.medoids(cluster.lloyd(rows, ("all",), "k", niter=FULL_NITER), ("all",)).select("cluster_id", "sample_id")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k"))
+    return cluster.medoids(cluster.lloyd(written(rows), ("all",), "k", niter=FULL_NITER), ("all",)).select("cluster_id", "sample_id")
 
 
 # -- conversations -----------------------------------------------------------------------------------------

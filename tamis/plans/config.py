@@ -22,6 +22,10 @@ class SelectionConfig:
     seed: int | None = None
     niter: int | None = None
     compat: bool | None = None
+    #: For the learnability baseline: as_written takes the rows that improve least, improvement those that improve most.
+    order: str | None = None
+    #: By source: clusters and samples; `other` for those not named, which get none without it.
+    sources: dict[str, tuple[int, int]] | None = None
 
     def merged(self, file: dict) -> SelectionConfig:
         """Explicit settings, then the file's, then the defaults; checked."""
@@ -39,8 +43,12 @@ class SelectionConfig:
             raise ValueError(f"method must be one of {', '.join(METHODS)}")
         if self.cluster_features not in ("raw", "standardized"):
             raise ValueError("cluster_features must be raw or standardized")
-        if self.size is None and not self.all_samples:
+        if self.size is None and not self.all_samples and not self.sources:
             raise ValueError("size is required")
+        if self.order not in (None, "as_written", "improvement"):
+            raise ValueError("order must be as_written or improvement")
+        if self.sources and (self.softmax or self.n_clusters is not None or self.method not in ("learnability", "high_loss_clusters")):
+            raise ValueError("sources go with a method of clusters, without softmax or n_clusters")
         if self.softmax and self.n_clusters is not None:
             raise ValueError("n_clusters does not go with softmax")
         if self.n_sample_per_cluster is not None and not self.softmax:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import re
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.operators.common import written
+from tamis.operators.losses import parse_checkpoints
 
-def read_samples(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Samples from JSON lines (.jsonl), a JSON array (.json) or Parquet (else)."""
+
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | None = None, split: str | None = None) -> DataFrame:
+    """Samples from JSON lines (.jsonl), a JSON array (.json) or a folder of Parquet (else), of a split those files whose names begin with it."""
     if path.endswith((".jsonl", ".json")):
         reader = spark.read.option("multiLine", str(path.endswith(".json")).lower())
         return (reader.schema(schema) if schema else reader).json(path)
-    return spark.read.parquet(path)
+    reader = spark.read if split is None else spark.read.option("pathGlobFilter", f"{split}*.parquet").option("recursiveFileLookup", "true")
+    return reader.parquet(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -27,15 +33,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def with_line_ids(df: DataFrame, order: str | None = None, name: str = "sample_id") -> DataFrame:
     """df with ids from 0 without gaps, by a column's order, or else in the order of reading.
 
-    Rows are numbered within their partition and shifted by the counts of the partitions before: two passes,
-    no global sort in one task.
+    Rows are written first, in order, so that what is counted and what is numbered are the same rows: numbered
+    within their partition and shifted by the counts of the partitions before, with no global sort in one task.
     """
-    if order is not None:
-        df = df.orderBy(order)
-    marked = df.withColumn("__at", F.monotonically_increasing_id())
+    marked = written((df if order is None else df.orderBy(order)).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     counts = marked.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))  # one row a partition
-    offsets = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     placed = marked.withColumn("__part", part).join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
     return placed.select((local + F.col("__o")).alias(name), *(c for c in df.columns if c != name))
@@ -47,6 +52,30 @@ def checkpoint_number(path: Column) -> Column:
     return F.when(number == "", F.lit(0)).otherwise(number.cast("int"))
 
 
+def matching_checkpoints(names: list[str], pattern: str) -> list[str]:
+    """The folders that a pattern names, by number and then name; an empty pattern stands for the folder itself."""
+    if not pattern:
+        return ["."]
+    number = lambda n: int(m[1]) if (m := re.search(r"checkpoint-(\d+)", n)) else 0
+    return sorted(fnmatch.filter(names, pattern), key=lambda n: (number(n), n))
+
+
+def read_checkpoints(spark: SparkSession, root: str, pattern: str = "checkpoint-*") -> DataFrame:
+    """The Parquet tables in the folders of checkpoints below root, with ckpt from their names; an empty pattern reads root itself."""
+    df = spark.read.parquet(f"{root}/{pattern}" if pattern else root)
+    return df.withColumn("ckpt", checkpoint_number(F.col("_metadata.file_path")))
+
+
+def read_embeddings(spark: SparkSession, path: str, checkpoints: str | None = None) -> DataFrame:
+    """sample_id, embedding (floats): of a folder, or of the one checkpoint named in a folder of checkpoint-N folders."""
+    if checkpoints is not None:
+        named = sorted(parse_checkpoints(checkpoints))
+        if len(named) != 1:
+            raise ValueError("embeddings are of exactly one checkpoint")
+        path = f"{path}/checkpoint-{named[0]}"
+    return spark.read.parquet(path).select("sample_id", F.col("embedding").cast("array<float>").alias("embedding"))
+
+
 def read_losses(spark: SparkSession, path: str, window: str | None = None) -> DataFrame:
     """The loss table, partitioned by window and checkpoint, so that filters on them choose files."""
     df = spark.read.parquet(path)
@@ -57,6 +86,11 @@ def write_losses(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("window", "ckpt").parquet(path)
 
 
+def write_loss_matrix(df: DataFrame, path: str) -> None:
+    """The loss matrix that a selection was made from (sample_id and its checkpoints' columns, or traj)."""
+    df.write.mode("errorifexists").parquet(path)
+
+
 def write_subset(df: DataFrame, path: str, ident: str = "sample_id") -> None:
     """The ids of a subset, ascending."""
     df.select(ident).orderBy(ident).write.mode("errorifexists").parquet(path)
@@ -67,8 +101,34 @@ def write_clusters(df: DataFrame, path: str) -> None:
 
 
 def write_selected(samples: DataFrame, subset: DataFrame, path: str, ident: str = "sample_id") -> None:
-    """The selected samples as JSON lines."""
-    samples.join(subset.select(ident), ident, "left_semi").write.mode("errorifexists").json(path)
+    """The selected samples as JSON lines, counted again once written."""
+    rows = samples.join(subset.select(ident), ident, "left_semi")
+    rows.write.mode("errorifexists").json(path)
+    there, wanted = samples.sparkSession.read.text(path).count(), rows.count()
+    if there != wanted:
+        raise ValueError(f"{path} has {there} rows instead of {wanted}")
+
+
+def write_raw_subset(spark: SparkSession, lines: str, subset: DataFrame, path: str, ident: str = "sample_id") -> None:
+    """The lines of a JSON lines file whose places (from 0, blank lines left out) are in a subset, as they are and in their order."""
+    numbered = with_line_ids(spark.read.text(lines).where(F.trim("value") != ""), name=ident)
+    kept = numbered.join(subset.select(ident), ident, "left_semi").orderBy(ident)
+    kept.select("value").write.mode("errorifexists").text(path)
+
+
+def write_file(spark: SparkSession, path: str, content: str) -> None:
+    """A small text file of a given name, on any file system that Spark writes; it must not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+
+
+def write_sidecar(df: DataFrame, path: str) -> None:
+    """A small table beside other output (settings, worker metrics, losses, distances) as one file of JSON lines."""
+    df.coalesce(1).write.mode("errorifexists").json(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
@@ -92,10 +152,18 @@ def md5_faults(spark: SparkSession, path: str, expected: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.md5("content") != expected).select("path")
 
 
-def find_metrics(spark: SparkSession, root: str, name: str = "metrics.json") -> DataFrame:
-    """run (the file's folder) and content of every file of a name below root."""
+def find_metrics(spark: SparkSession, root: str, name: str = "metrics.json", finished: str | None = None) -> DataFrame:
+    """run (the file's folder) and content of every file of a name (or pattern) below root.
+
+    finished: a suffix; files beside which there is one of the same stem with it have been dealt with and are left out.
+    """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run"), F.col("value").alias("content"))
+    found = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    if finished is not None:
+        stem = lambda path: F.regexp_replace(path, r"^file:/+|\.[^./]*$", "")
+        done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{finished}").load(root).select(stem(F.col("path")).alias("stem"))
+        found = found.withColumn("stem", stem(F.col("path"))).join(done, "stem", "left_anti")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run"), "content")
 
 
 def first_rows(df: DataFrame, n: int, ident: str = "sample_id") -> DataFrame:
@@ -110,6 +178,34 @@ def run_name(method: str, size: int | str, seed: int, checkpoints: str = "", sub
     return "-".join(p for p in parts if p)
 
 
+def free_name(name: str, there: list[str]) -> str:
+    """The name, or with the first of -2, -3, ... that isn't there yet."""
+    taken, n = set(there), 2
+    if name not in taken:
+        return name
+    while f"{name}-{n}" in taken:
+        n += 1
+    return f"{name}-{n}"
+
+
+def name_of_subset(path: str) -> str:
+    """The run that a subset's path belongs to: above data/labeled_idx the folder of the run, else its folder and its own name."""
+    place = PurePosixPath(path)
+    return place.parent.parent.name if place.stem == "labeled_idx" else f"{place.parent.name}-{place.stem}"
+
+
+def folder_names(spark: SparkSession, root: str) -> list[str]:
+    """The names in a folder, none if it isn't there, on any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def version_folder(spark: SparkSession, root: str) -> str:
+    """The next version_N below root."""
+    return f"{root}/{next_version(folder_names(spark, root))}"
+
+
 def next_version(names: list[str]) -> str:
     """version_N after the highest there is."""
     return f"version_{max((int(m[1]) for n in names if (m := re.fullmatch(r'version_(\d+)', n))), default=-1) + 1}"
@@ -120,6 +216,14 @@ def token_suffix(n: int) -> str:
     return "full" if n < 0 else f"{n // 1000}k" if n >= 1000 else str(n)
 
 
+def loss_file_name(path: str, tokens: int, rows: int, prompt_only: bool = False, prefixes: dict[str, str] | None = None) -> str:
+    """A name that tells a loss table's data set (by a part of its path), window and size."""
+    prefix = next((p for part, p in (prefixes or {}).items() if part.lower() in path.lower()), "")
+    window = "full" if tokens == -1 else f"{tokens}token"
+    parts = [prefix, "tokenwise", "prompt" if prompt_only else "", window, f"{rows // 1000}k" if rows >= 1000 else str(rows)]
+    return "-".join(filter(None, parts))
+
+
 def dataset_info(name: str, file_name: str) -> str:
     """The metadata beside a training file."""
     return json.dumps({name: {"file_name": file_name, "formatting": "sharegpt", "columns": {"messages": "conversations"}, "tags": {"role_tag": "role", "content_tag": "content", "user_tag": "user", "assistant_tag": "assistant"}}}, ensure_ascii=False, indent=2)

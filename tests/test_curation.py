@@ -3,7 +3,9 @@
 import hashlib
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -216,6 +218,171 @@ def test_selections_have_the_size_asked_for(spark, config):
     assert runs[0] == runs[1] and len(runs[0]) <= 30 and (len(runs[0]) == 30 or config["method"] in ("embedding", "high_loss_clusters"))
 
 
+def test_many_strata_and_clusters_take_seconds(spark):
+    began = time.perf_counter()
+    rows = [(f"d{i % 20}", f"s{i}", i % 97 + 1, (i % 97 + 1) * 1_000_000, (i % 97 + 1) * (1_500_000 + i % 1000)) for i in range(10_000)]
+    strata = spark.createDataFrame(rows, "domain string, source string, size long, first_sum long, last_sum long")
+    got = allocate.hierarchical_allocation(strata, 50_000).collect()
+    assert len(got) == 10_000 and sum(r.n_samples for r in got) == 50_000
+    one_group = allocate.softmax_allocation(strata.withColumn("difficulty", allocate.geometric_difficulty()), 9_999, name="source")
+    assert one_group.agg({"take": "sum"}).first()[0] == 9_999
+    assert allocate.waterfill(strata.selectExpr("source", "size"), 1234).agg({"take": "sum"}).first()[0] == 1234
+    assert time.perf_counter() - began < 40
+
+
+def brute_clusters(rows, k, niter, seed=42):
+    """ids, features of one stratum, to the cluster of each id."""
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest(), r[0]))
+    centers = [list(x) for _, x in order[:k]]
+    near = lambda x: min(range(len(centers)), key=lambda c: (sum((a - b) ** 2 for a, b in zip(x, centers[c], strict=True)), c))
+    for _ in range(niter):
+        groups = {}
+        for _, x in rows:
+            groups.setdefault(near(x), []).append(x)
+        for c, members in groups.items():
+            centers[c] = [cluster.truncated(sum(col), len(members)) for col in zip(*members, strict=True)]
+    return {i: near(x) for i, x in rows}
+
+
+@pytest.mark.parametrize("width", [1, 3, 80])
+def test_lloyd_is_brute_force(spark, width, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK_DISTANCES", 64)
+    rng = random.Random(width)
+    rows = [(i, "ab"[i % 2], [rng.randint(-50, 50) for _ in range(width)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, traj array<bigint>").withColumn("k", F.when(F.col("source") == "a", 7).otherwise(1))
+    got = {r.sample_id: r.cluster_id for r in cluster.lloyd(df, ("source",), "k", niter=4).collect()}
+    want = {}
+    for s, k in (("a", 7), ("b", 1)):
+        want |= brute_clusters([(i, x) for i, t, x in rows if t == s], k, 4)
+    assert got == want
+
+
+def test_close_distances_are_decided_exactly():
+    big = 2_000_000_000
+    centers = np.array([[big, 0], [0, big], [1, big - 1], [big, 1]], np.int64)
+    rows = np.array([[big // 2, big // 2], [big // 2 + 1, big // 2], [0, big], [1, big], [big, 1]], np.int64)
+    at, dist = cluster.nearest_rows(rows, centers)
+    for r, a, d in zip(rows.tolist(), at.tolist(), dist.tolist(), strict=True):
+        exact = [sum((x - y) ** 2 for x, y in zip(r, c, strict=True)) for c in centers.tolist()]
+        assert d == min(exact) and a == exact.index(d)
+    with pytest.raises(ValueError, match="64 bits"):
+        cluster.nearest_rows(rows * 4, centers)
+
+
+def test_many_wide_centroids_can_be_clustered(spark):
+    df = spark.range(1200).select(F.col("id").alias("sample_id"), F.lit("x").alias("source"), F.transform(F.sequence(F.lit(0), F.lit(1099)), lambda i: (F.xxhash64("id", i) % 1000).cast("long")).alias("traj"), F.lit(1000).alias("k"))
+    groups = cluster.lloyd(df, ("source",), "k", niter=1)  # 1.1 million values of centroids
+    assert groups.select("cluster_id").distinct().count() == 1000
+
+
+def test_seeding_stops_a_stratum_early(spark):
+    df = spark.range(500).select(F.col("id").alias("sample_id"), (F.col("id") % 2).cast("string").alias("source"), F.array(F.col("id")).alias("traj"), F.lit(3).alias("k"))
+    plans, real = [], cluster.written
+    try:
+        cluster.written = lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), real(d))[1]
+        cluster.lloyd(df, ("source",), "k", niter=1).count()
+    finally:
+        cluster.written = real
+    assert "WindowGroupLimit" in plans[0]
+
+
+def test_slices_are_taken_from_few_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sample, "RANGE_ROWS", 50)
+    rng = random.Random(8)
+    for values in ([rng.random() for _ in range(2000)], [float(rng.randint(0, 2)) for _ in range(2000)], [1.0] * 2000, [None if i % 3 else float(i) for i in range(2000)]):
+        df = spark.createDataFrame([(i * 7 % 2000, v) for i, v in enumerate(values)], "sample_id long, loss double")
+        want = [i for _, i in sorted((((v is not None, v or 0.0), i * 7 % 2000) for i, v in enumerate(values)))]
+        for n in (4, 301, 1999, 5000):
+            n_kept = min(n, 2000)
+            first = (2000 - n_kept) // 2
+            assert [r.sample_id for r in sample.middle_slice(df, n).collect()] == want[first : first + n_kept]
+
+
+def test_middle_perplexity_is_of_the_mean(spark):
+    rows = [(i, "d", "s", [10 * i, 1000 - 30 * i]) for i in range(9)]  # the means fall as the first losses rise
+    df = spark.createDataFrame(rows + [(9, "d", "s", [85, 500])], "sample_id long, domain string, source string, traj array<bigint>")
+    got = [r.sample_id for r in select(df, SelectionConfig(method="middle_perplexity", size=2).merged({})).selected.collect()]
+    means = sorted((sum(t) / 2, i) for i, _, _, t in [*rows, (9, "d", "s", [85, 500])])
+    assert got == [i for _, i in means[4:6]]
+
+
+def test_standardized_features_change_the_clusters(spark):
+    df = pool(spark)
+    one_way, other = ({r.sample_id: r.cluster_id for r in select(df, SelectionConfig(method="high_loss_clusters", all_samples=True, n_clusters=3, cluster_features=f).merged({})).clusters.collect()} for f in ("raw", "standardized"))
+    assert one_way != other and set(one_way) == set(other)
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.source, []).append(r)
+    for members in rows.values():
+        ends = []
+        for e in (0, -1):
+            xs = [r.traj[e] / 1e6 for r in members]
+            m = sum(xs) / len(xs)
+            d = math.sqrt(sum((x - m) ** 2 for x in xs) / (len(xs) - 1))
+            ends.append([round((x - m) / d * 1e6) for x in xs])
+        features = [(r.sample_id, [a, *r.traj[1:-1], b]) for r, a, b in zip(members, *ends, strict=True)]
+        want = brute_clusters(features, 3, 20)
+        assert sum(other[i] == c for i, c in want.items()) >= 0.9 * len(want)  # rounding may move a row on a border
+
+
+def test_embeddings_are_selected_without_losses(spark):
+    rng = random.Random(3)
+    rows = [(i, "d", "s", [float(i % 4), rng.random() / 100]) for i in range(80)]
+    df = spark.createDataFrame(rows, "sample_id long, domain string, source string, embedding array<float>")
+    got = sorted(r.sample_id for r in select(df, SelectionConfig(method="embedding", size=4).merged({})).selected.collect())
+    assert 1 <= len(got) <= 4
+    exact = [(i, [round(float(np.float32(x)) * 1e6) for x in e]) for i, _, _, e in rows]
+    want = brute_clusters(exact, 4, 20)
+    assert {want[i] for i in got} == set(want.values())
+
+
+def test_custom_sources(spark):
+    df = pool(spark)
+    config = SelectionConfig(method="learnability", sources={"s0": (3, 7), "s1": (2, 10_000), "other": (1, 2)}).merged({})
+    made = select(df, config)
+    got = {}
+    for r in made.selected.collect():
+        got[r.source] = got.get(r.source, 0) + 1
+    assert got == {"s0": 7, "s1": 30, "s2": 2, "s3": 2}
+    assert {r.cluster_id for r in made.clusters.where("source = 's1'").collect()} == {0}
+    none = select(df, SelectionConfig(method="learnability", sources={"s0": (3, 7)}).merged({})).selected
+    assert {r.source for r in none.collect()} == {"s0"}
+    for bad in ({"nowhere": (1, 1)},):
+        with pytest.raises(ValueError, match="nowhere"):
+            select(df, SelectionConfig(method="learnability", sources=bad).merged({}))
+    with pytest.raises(ValueError, match="called other"):
+        select(df.withColumn("source", F.when(F.col("source") == "s1", "other").otherwise(F.col("source"))), config)
+    with pytest.raises(ValueError):
+        SelectionConfig(method="learnability", softmax=True, size=3, sources={"s0": (1, 1)}).merged({})
+
+
+def test_difficulty_losses_give_the_budget(spark):
+    df = pool(spark)
+    hard = df.withColumn("traj", F.when(F.col("domain") == "d0", F.array(F.lit(1_000_000).cast("long"), F.lit(9_000_000).cast("long"))).otherwise(F.array(F.lit(1_000_000).cast("long"), F.lit(1_100_000).cast("long"))))
+    config = SelectionConfig(method="learnability", softmax=True, size=40, niter=2).merged({})
+    share = lambda made: made.selected.where("domain = 'd0'").count()
+    assert share(select(df, config, hard)) >= 39 and share(select(df, config)) < 30
+
+
+def test_ids_of_lines_have_no_gaps(spark):
+    df = spark.range(1000).withColumn("x", F.xxhash64("id")).repartition(7, "x")
+    got = sorted((r.n, r.x) for r in io.with_line_ids(df.where("id % 3 > 0"), order="x", name="n").collect())
+    assert [n for n, _ in got] == list(range(666)) and [x for _, x in got] == sorted(x for _, x in got)
+
+
+def test_names():
+    assert io.name_of_subset("/a/run-1/data/labeled_idx.npy") == "run-1" and io.name_of_subset("/a/run-1/rows.npy") == "run-1-rows"
+    assert io.free_name("a", ["b"]) == "a" and io.free_name("a", ["a", "a-2"]) == "a-3"
+    assert io.matching_checkpoints(["checkpoint-10", "checkpoint-9", "x"], "checkpoint-*") == ["checkpoint-9", "checkpoint-10"] and io.matching_checkpoints(["x"], "") == ["."]
+    assert io.loss_file_name("/data/Math-pool", 100, 56_370, prefixes={"math": "m"}) == "m-tokenwise-100token-56k" and io.loss_file_name("/x", -1, 7, True) == "tokenwise-prompt-full-7"
+
+
+def test_tensor_seeds(spark):
+    df = spark.createDataFrame([("layer.0", 0, 1.0), ("layer.0", 1, 1.0), ("b", 0, 2.0)], "name string, idx long, value double")
+    for r in tensors.with_tensor_seeds(df, 42, 3).collect():
+        assert r.tensor_seed == int.from_bytes(hashlib.blake2b(f"42:3:{r.name}".encode(), digest_size=8).digest(), "little") % (1 << 63)
+
+
 def test_compat_adds_the_middle(spark):
     df = pool(spark)
     plain = select(df, SelectionConfig(method="high_loss_clusters", all_samples=True, niter=2).merged({})).selected.count()

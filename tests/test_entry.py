@@ -42,7 +42,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
     rows = df.collect()
