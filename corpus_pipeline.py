@@ -26,28 +26,41 @@ from tamis.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
 from tamis.llm.runtime import remove, scratch_path, table
 
 
+USED = ("doc_id", "text")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with the columns that operators don't use under names that none of theirs can clash with."""
+    return docs.select(*(F.col(c) if c in USED else F.col(c).alias(f"__own{i}") for i, c in enumerate(docs.columns)))
+
+
+def back(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from what apart() made of them."""
+    return made.select(*(F.col(c) if c in USED else F.col(f"__own{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    return back(quality.judge(apart(docs)).where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; n_chars follows the text."""
-    deduped = line_dedup.line_dedup(docs).withColumn("text", F.col("kept"))
+    deduped = back(line_dedup.line_dedup(apart(docs)).withColumn("text", F.col("kept")), docs)
     if "n_chars" in docs.columns:
         deduped = deduped.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return deduped.select(docs.columns)
+    return deduped
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
-    return simhash.one_of_each(docs, words=5, similarity=0.8).select(docs.columns)
+    return back(simhash.one_of_each(apart(docs), words=5, similarity=0.8), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without any window of a benchmark item."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where("NOT contaminated").select(docs.columns)
+    judged = decontaminate.decontaminate(apart(docs), table(spark, sf_dir, "benchmark"))
+    return back(judged.where("NOT contaminated"), docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
