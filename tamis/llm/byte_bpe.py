@@ -5,7 +5,8 @@ encode() splits each text by a pattern and sends every piece through a lazily de
 incremental UTF-8 state machine that works across token boundaries.
 
 Null and empty texts give an empty array of ids; null arrays of ids give an empty text. Ids outside the
-vocabulary raise an error. Repeated rows are encoded alike; columns other than the named ones pass through,
+vocabulary raise an error. Very long texts are encoded whole, in memory in proportion to the longest of them; an empty
+table gives an empty result. Repeated rows are encoded alike; columns other than the named ones pass through,
 and an earlier column of the output's name is replaced.
 """
 

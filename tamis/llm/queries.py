@@ -130,4 +130,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": sql.SECRET_SCAN,
     "op4_line_dedup": sql.LINE_DEDUP,
     "op5_url_rules": sql.URL_RULES,
+    "op9_decontaminate": sql.DECONTAMINATION,
 }

@@ -331,14 +331,14 @@ def test_decontamination_of_awkward_tables(spark, awkward, empty):
     assert decontaminate.decontaminate(empty, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_line_dedup", "op5_url_rules"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_line_dedup", "op5_url_rules", "op9_decontaminate"])
 def test_queries_agree_with_sql(spark, sf, name):
     import duckdb
 
     from tamis.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]

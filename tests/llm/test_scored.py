@@ -454,6 +454,96 @@ def test_pipeline_stages(spark, sf, empty):
         assert stage(spark, nothing, sf).count() == 0
 
 
+STAGE = {name: i for i, name in enumerate(("quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"))}
+
+
+def stage(name):
+    import corpus_pipeline
+
+    return corpus_pipeline.STAGES[STAGE[name]][1]
+
+
+def test_every_stage_is_brute_force(spark, sf):
+    from tests.llm.test_native import brute_benchmark, brute_lines
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    made = stage("quality_rules")(spark, docs, sf).collect()
+    limits = [(good, fair) for _, good, fair in quality.RULES.values()]
+    votes = {i: "".join("0+-"[quality.vote(v, *x)] for v, x in zip(quality.measures(r.text)[1], limits, strict=True)) for i, r in rows.items()}
+    counts = {i: brute_counts(r.text) for i, r in rows.items()}
+    judged = [i for i, c in counts.items() if c[0] >= 10 and 100 * c[4] <= 20 * c[0]]
+    want = {i for i, p in zip(judged, brute_posterior([votes[i] for i in judged]), strict=True) if p >= 0.5}
+    assert {r.doc_id for r in made} == want and all(r == rows[r.doc_id] for r in made)
+    docs = spark.createDataFrame(made, docs.schema)
+
+    made = stage("line_dedup")(spark, docs, sf).collect()
+    want = {i: text for i, text, *_ in brute_lines([(i, rows[i].text) for i in want])}
+    assert {r.doc_id: r.text for r in made} == want and all(r.n_chars == len(r.text) and r.lang == rows[r.doc_id].lang for r in made)
+    docs = spark.createDataFrame(made, docs.schema)
+
+    made = stage("simhash_near_dedup")(spark, docs, sf).collect()
+    gone = near_duplicates([(i, lowered(t)) for i, t in sorted(want.items())])
+    assert {r.doc_id for r in made} == set(want) - gone and gone
+    docs = spark.createDataFrame(made, docs.schema)
+
+    made = stage("decontamination")(spark, docs, sf).collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {i for i, *_, hit in brute_benchmark([(r.doc_id, r.text) for r in docs.collect()], items) if not hit}
+    assert {r.doc_id for r in made} == clean and len(clean) < docs.count()
+    docs = spark.createDataFrame(made, docs.schema)
+
+    import public_tokenizers
+    import tiktoken
+
+    from tamis.llm.byte_bpe import read_ranks
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(file.read()), special_tokens={})
+    texts = {r.doc_id: r.text for r in made}
+    final = stage("byte_bpe")(spark, docs, sf).collect()
+    assert {r.doc_id: r.ids for r in final} == {i: library.encode_ordinary(t) for i, t in texts.items()} and all(r.round_trip and r.n_tokens == len(r.ids) for r in final)
+
+
+@pytest.mark.parametrize("name", list(STAGE))
+def test_stages_take_awkward_rows(spark, awkward, sf, name):
+    """Nulls, empty and very long texts, rows that share an id, and columns whose names the operators use."""
+    made = stage(name)(spark, awkward, sf)
+    rows = made.collect()
+    if name == "byte_bpe":
+        assert len(rows) == 10 and all(r.round_trip for r in rows)
+        return
+    assert made.columns == awkward.columns and all(r.kept == "x" and r.n_words == 1 for r in rows)
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name == "line_dedup":
+        assert ids[5] == 2 and len(rows) == 10
+    if name == "simhash_near_dedup":  # 1, 2 and 3 have no words, 4 and both rows of 5 the same
+        assert ids == {1: 1, 4: 1, 6: 1, 7: 1, 8: 1, None: 1}
+    if name == "decontamination":
+        assert len(rows) == 10
+    if name == "quality_rules":
+        assert not {1, 2, 3, 7} & set(ids)
+
+
+def test_pipeline_finds_planted_near_copies(spark, sf):
+    """Recall on pairs at a similarity of 0.8 or more, by brute force over texts of many lengths."""
+    rng = np.random.default_rng(12)
+    rows, pairs = [], []
+    for n in (12, 30, 60, 120, 400, 1500):
+        for _ in range(15):
+            base = [f"w{rng.integers(3000)}" for _ in range(n)]
+            copy = list(base)
+            for at in rng.choice(n, max(1, n // 80), replace=False):
+                copy[at] = f"new{rng.integers(1e9)}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    kept = {r.doc_id for r in stage("simhash_near_dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()}
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    close = {b for a, b in pairs if 5 * len((x := grams(rows[a][1])) & (y := grams(rows[b][1]))) >= 4 * len(x | y)}
+    assert len(close) > 40 and {b for _, b in pairs} - kept == close
+
+
 def test_pipeline_run(spark, sf):
     import corpus_pipeline
 
