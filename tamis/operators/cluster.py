@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.operators.common import written
+from tamis.operators.common import broadcast_if_small, written
 
 #: All centroids together have so many values at most (256 MB), ten clusterings of 1,000 centroids of 2,048 values each, say.
 MAX_CENTROID_VALUES = 1 << 25
@@ -96,7 +96,7 @@ def lloyd(df: DataFrame, strata: tuple[str, ...], k: str, features: str = "traj"
     met = F.col(ident) == F.col("__i")
     for i, s in enumerate(strata):
         met &= F.col(s).eqNullSafe(F.col(f"__s{i}"))
-    chosen = df.join(F.broadcast(written(first)), met).select(*strata, "__n", F.col(features).alias("center"))
+    chosen = df.join(broadcast_if_small(written(first), 256), met).select(*strata, "__n", F.col(features).alias("center"))
     held: dict[tuple, list] = {}
     values = 0
     for r in chosen.toLocalIterator():

@@ -15,12 +15,18 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one for local sessions only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session, as in tests, gets a temporary one; on a cluster executors would each write
+    to a disk of their own, so that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        if spark.sparkContext.master.partition("[")[0] != "local":
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="tamis-checkpoint-")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tamis-checkpoint-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -34,6 +34,24 @@ def test_select(spark, files, options):
     assert spark.read.json(f"{out}/rest").count() == 40 - len(ids)
 
 
+def test_embeddings_need_no_losses(spark, files):
+    rows = [(i, [float(i % 3), float(i % 2)]) for i in range(40)]
+    spark.createDataFrame(rows, "sample_id long, embedding array<double>").write.parquet(str(files / "emb" / "checkpoint-2"))
+    common = ["select", "--samples", str(files / "samples"), "--method", "embedding", "--size", "6"]
+    cli.main([*common, "--embeddings", str(files / "emb"), "--checkpoints", "2", "--output", str(files / "e")], spark)
+    assert 1 <= spark.read.parquet(str(files / "e" / "labeled_idx")).count() <= 6
+    with pytest.raises(SystemExit):
+        cli.main([*common, "--output", str(files / "e2")], spark)
+
+
+def test_budgets_from_other_losses_and_a_dump(spark, files):
+    common = ["select", "--samples", str(files / "samples"), "--losses", str(files / "losses"), "--window", "full", "--method", "learnability", "--niter", "2"]
+    cli.main([*common, "--softmax", "--size", "12", "--difficulty-window", "2", "--dump-losses", "--output", str(files / "d")], spark)
+    assert spark.read.parquet(str(files / "d" / "labeled_idx")).count() == 12 and spark.read.parquet(str(files / "d" / "loss")).count() == 40
+    cli.main([*common, "--sources", '{"s1": [2, 4], "other": [1, 1]}', "--output", str(files / "s")], spark)
+    assert {r.source: r["count"] for r in spark.read.json(str(files / "s" / "labeled")).groupBy("source").count().collect()} == {"s0": 1, "s1": 4, "s2": 1, "s3": 1}
+
+
 def test_config_files_give_way_to_options(spark, files):
     (files / "c.json").write_text(json.dumps({"method": "random", "size": 30}))
     cli.main(["select", "--samples", str(files / "samples"), "--config", str(files / "c.json"), "--size", "5", "--output", str(files / "o")], spark)
