@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -16,37 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side goes out as a broadcast only if its rows, counted after it was written, take at most this.
-BROADCAST_BYTES = 8 << 20
+from tamis.operators.common import BROADCAST_BYTES, broadcast_if_small, scratch_path, shared_folder, written
+
+__all__ = ["BROADCAST_BYTES", "broadcast_if_small", "scratch_path", "shared_folder", "written"]
+
 #: Rows are handled in slices of about this size in Python, which bounds a worker's memory.
 SLICE_BYTES = 2 << 20
 #: Arrow batches to and from Python take about so many bytes, unless the session sets it: each is held on both sides.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset a local session, as in tests, gets a temporary one; on a cluster executors would each write
-    to a disk of their own, so that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamis-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for wide rows of which later steps read some columns."""
     path = scratch_path(df.sparkSession, name)
@@ -54,26 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in the shared folder."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its rows of at most row_bytes fit the limit; else as it is, for a shuffled join.
-
-    df is counted, so it should be a checkpoint. The count stops just past the limit.
-    """
-    most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 #: Keys of so large a share of all rows are dealt in parts by join_in_parts().
 HOT_SHARE = 0.001
 
