@@ -123,7 +123,8 @@ def assign(df: DataFrame, dims: list[Column], shards: int, bits: int, tie: list[
     """
     names = [c for c in df.columns if c not in ("curve", "shard", "slot")]
     own = F.xxhash64(*tie)
-    placed = with_curve(df.select(*names, (own if group is None else group).cast("long").alias("__hash"), own.alias("__single"), F.struct(*tie).alias("__tie")), dims, bits)
+    placed = df.select(*names, (own if group is None else group).cast("long").alias("__hash"), own.alias("__single"), F.struct(*tie).alias("__tie"))
+    placed = written(with_curve(placed, dims, bits))  # the curve is computed once; in the plans below its expressions would be repeated
     cells = written(placed.groupBy(F.col("curve").alias("__cell")).agg(F.count("*").alias("__rows")))  # 2 ** (bits * dims) rows at most
     total = cells.agg(F.sum("__rows")).first()[0] or 1
     rows_per_part = max(LEAST_PART_ROWS, math.ceil(total / MOST_SPLITS))
