@@ -11,7 +11,6 @@ byte of a word in vocabularies with word ends the byte plus END.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 #: Added to the last byte of a word by vocabularies with word ends.
@@ -24,32 +23,6 @@ SYMBOL_BITS, TOKEN_BITS = 9, 24
 LENGTH_BITS = 12
 
 
-def ascii_form(pattern: str) -> re.Pattern | None:
-    """The pattern for ASCII texts in the standard library's faster engine; None if it has classes that can't be written there.
-
-    Letters and numbers are the only property classes it translates, in brackets and outside.
-    """
-    out, inside, i = "", False, 0
-    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
-    while i < len(pattern):
-        known = next((c for c in classes if pattern.startswith(c, i)), None)
-        if known:
-            out += classes[known] if inside else f"[{classes[known]}]"
-            i += len(known)
-            continue
-        if pattern.startswith((r"\p", r"\P"), i) or pattern.startswith("[[", i) or inside and pattern[i : i + 2] in ("--", "&&", "||"):
-            return None
-        step = 2 if pattern[i] == "\\" else 1
-        if step == 1 and pattern[i] in "[]":
-            inside = pattern[i] == "["
-        out += pattern[i : i + step]
-        i += step
-    try:
-        return re.compile(out, re.A)
-    except re.error:
-        return None
-
-
 class Memo(dict):
     """Pieces met lately and what was made of them; what is missing is made.
 

@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-encode() splits each text by a pattern and sends every piece through a lazily determinised transducer
+encode() splits each text by a pattern, whose classes are those of the library's Unicode version, and sends every piece through a lazily determinised transducer
 (bpe.Transducer); pieces met before come from a bounded table. decode() turns ids back into text through an
 incremental UTF-8 state machine that works across token boundaries.
 
@@ -17,11 +17,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamis.llm.bpe import Memo, Merges, Transducer, ascii_form
+from tamis.llm.bpe import Memo, Merges, Transducer
+from tamis.llm.classes import Pieces
 from tamis.llm.runtime import map_rows, resident
 
 #: The bytes of the pieces that a worker remembers.
@@ -42,9 +42,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_bytes: int = MEMO_BYTES, states: int = STATES):
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
-        self.find = regex.compile(pattern).findall
-        plain = ascii_form(pattern)
-        self.find_ascii = plain.findall if plain else self.find
+        self.pieces = Pieces(pattern)
         self.transducer = Transducer(Merges(self.ids, lambda a, b, get=self.ids.get: get(a + b)), states)
         self.memo = Memo(self.piece, memo_bytes, lambda piece, made: PIECE_BYTES + 2 * len(piece) + len(made))
 
@@ -58,8 +56,7 @@ class Encoder:
         """The ids of a text."""
         if not text:
             return np.empty(0, np.int32)
-        pieces = self.find_ascii(text) if text.isascii() else self.find(text)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(text))), np.int32)
 
 
 class Utf8Stream:

@@ -18,6 +18,7 @@ other columns pass through, and an earlier column of the output's name is replac
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -28,8 +29,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
-from tamis.llm.bpe import END, Memo, Merges, PrefixCounts, ascii_form
+from tamis.llm.bpe import END, Memo, Merges, PrefixCounts
+from tamis.llm.classes import LAST, Pieces, runs, spelled
 from tamis.llm.runtime import map_rows, resident
 
 #: What a worker remembers: bytes of runs, and states of the transducer.
@@ -39,11 +42,6 @@ RUN_BYTES = 180
 #: The longest run in code points; their counts differ by less than 2 ** 16.
 RUN = 8_192
 TABLE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("before", T.ArrayType(T.IntegerType())), T.StructField("inner", T.BinaryType())])
-#: Lower case of letters newer than this Python's Unicode tables, and of sigma apart from its place in a word.
-LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
-
-SPECIAL_LOWER = tuple(map(chr, LOWER))
-
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-ins for bytes of byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -52,6 +50,17 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def unlike(normalize) -> list[int]:
+    """The code points on which Python's tables and the library's may not agree: unassigned in Python's, or composed or ordered otherwise."""
+    known = [chr(c) for c in range(LAST + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    marks = [c for c in known if unicodedata.combining(c)]
+    probes = {c: [f"{c}"] for c in known if unicodedata.decomposition(c)} | {c: [f"q{c}\u0334", f"q\u0301{c}"] for c in marks}
+    pairs = [(c, p) for c, texts in probes.items() for p in texts]
+    made = normalize("\n".join(p for _, p in pairs)).split("\n")
+    other = {ord(c) for (c, p), m in zip(pairs, made, strict=True) if unicodedata.normalize("NFC", p).lower() != m}
+    return sorted(other | {c for c in range(LAST + 1) if unicodedata.category(chr(c)) == "Cn"})
+
+
 class Counter:
     """Counts tokens as the library does for a vocabulary file of the kind described above."""
 
@@ -74,21 +83,23 @@ class Counter:
             ranks[a + b] = min(rank, ranks.get(a + b, rank))
         self.table = PrefixCounts(Merges(ids, lambda a, b, get=pairs.get: get((a, b)), ranks), word_ends=True, max_states=STATES)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
+        self.words = Pieces(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
-        with_space = rf"(?:{pattern})\s*|\s+"
-        plain = ascii_form(with_space)
-        self.find_runs = regex.compile(with_space).findall
-        self.find_ascii = plain.findall if plain else self.find_runs
+        self.runs = Pieces(rf"(?:{pattern})\s*|\s+")
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.unlike = re.compile(f"[{spelled(runs(unlike(self.library.normalize_str)), LAST)}]")
         self.memo = Memo(self.run_counts, MEMO_BYTES, lambda run, made: RUN_BYTES + 2 * len(run) + len(made))
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed and in lower case, character by character (a final sigma is no exception)."""
+    def normal(self, text: str) -> str:
+        """Composed and in lower case, character by character (a final sigma is no exception).
+
+        Texts with characters that Python's Unicode tables and the library's don't share are left to the library's normaliser.
+        """
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return (text.translate(LOWER) if any(map(text.__contains__, SPECIAL_LOWER)) else text).lower()
+        if self.unlike.search(text):
+            return self.library.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def word_prefixes(self, word: str) -> list[int]:
         """The count at every character of a word."""
@@ -109,7 +120,7 @@ class Counter:
         """The count at every character of a run, as 16-bit integers; empty if the run is too long for that."""
         if len(run) > RUN:
             return b""
-        match = self.words.match(run)
+        match = self.words.form(run).match(run)
         counts = self.word_prefixes(match.group()) if match else [0]
         if len(counts) < len(run):
             counts += [counts[-1]] * (len(run) - len(counts))
@@ -124,8 +135,7 @@ class Counter:
             return _NONE, _NONE, b""
         if len(self.split(text)) == 1:
             clean = self.normal(text)
-            runs = (self.find_ascii if clean.isascii() else self.find_runs)(clean)
-            parts = list(map(self.memo.__getitem__, runs))
+            parts = list(map(self.memo.__getitem__, self.runs(clean)))
             lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
             if len(clean) == lengths.sum():  # else the pattern leaves out more than white space, or a run is too long
                 inner = b"".join(parts)
@@ -159,7 +169,7 @@ class Counter:
 
     def _ordinary(self, text: str) -> list[int]:
         out, base = [0], 0
-        for match in self.words.finditer(text):
+        for match in self.words.form(text).finditer(text):
             out += [base] * (match.start() + 1 - len(out))
             counts = self.word_prefixes(match.group())
             out += [base + c for c in counts]

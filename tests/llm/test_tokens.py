@@ -1,15 +1,19 @@
 """Transducer, decoder and prefix counts against the libraries."""
 
+import itertools
+import unicodedata
+
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tamis.llm import byte_bpe, token_counts
+from tamis.llm import byte_bpe, classes, token_counts
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 with open(RANKS, "rb") as _file:
@@ -30,6 +34,47 @@ def test_encoding_is_the_librarys_and_round_trips(text):
     assert DECODER.decode(ids) == text
 
 
+EVERY = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+#: Of runs of over 3,000 code points of a category, as of unassigned and private ones, the first and last 1,000.
+GROUPS = ["".join(g) for _, g in itertools.groupby(EVERY, unicodedata.category)]
+SHOWN = [c for g in GROUPS for c in (g if len(g) <= 3000 else g[:1000] + g[-1000:])]
+
+
+@pytest.mark.parametrize("name", [r"\p{L}", r"\p{N}", r"\s"])
+def test_classes_are_those_of_both_libraries(name):
+    found = pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str("".join(EVERY))
+    assert {ord(c) for part, _ in found for c in part} == {c for a, b in classes.members(name) for c in range(a, b + 1)}
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    texts = [f"{c}'re a{c}b 1{c}" for c in SHOWN]
+    wrong = [t for t, ids in zip(texts, LIBRARY.encode_ordinary_batch(texts), strict=True) if ENCODER.encode(t).tolist() != ids]
+    assert wrong == []
+
+
+def test_every_code_point_is_counted_as_by_the_library():
+    texts = [f"a{c}b" for c in SHOWN]
+    want = [len(e.ids) for at in range(0, len(texts), 50_000) for e in WORD_LIBRARY.encode_batch_fast(texts[at : at + 50_000], add_special_tokens=False)]
+    assert [t for t, n in zip(texts, want, strict=True) if COUNTER.count(t) != n] == []
+
+
+def test_every_code_point_is_normalised_as_by_the_library():
+    for around in ("a{}\u0301", "q\u0301{}", "a{}\u0334\u0316", "A\u0316{}\u1161"):
+        texts = [around.replace("{}", c) for c in EVERY if c != "\n"]
+        want = COUNTER.library.normalize_str("\n".join(texts)).split("\n")
+        assert [t for t, w in zip(texts, want, strict=True) if COUNTER.normal(t) != w] == []
+
+
+def test_other_patterns_are_spelled_out_too():
+    pattern = r"[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s"
+    for text in ("Hello  wörld 12345!!\n\n x", "漢字 𝔘𝔫 ١٢٣ \x85 a\u0301", "plain ascii  text\r\n "):
+        assert classes.Pieces(pattern)(text) == regex.findall(pattern, text)
+    assert classes.spelled_out(r"\bword\w+", classes.LAST) is None and classes.Pieces(r"\w+")("wörd x") == ["wörd", "x"]
+    assert classes.spelled_out(r"[^\S\n]+\P{L}", classes.LAST).findall("x\t \n 1") == ["\t \n", " 1"]
+
+
 def test_long_pieces_are_emitted_on_the_way():
     for text in ("a" * 5000, "-=" * 3000, " " * 4000 + "x", "ab" * 20 + "é" * 2000):
         assert ENCODER.encode(text).tolist() == LIBRARY.encode_ordinary(text)
