@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_dedup, quality, secret_scan, simhash, sql, token_counts, url_rules
-from tamis.llm.runtime import scratch_path, table, written
+from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_dedup, merkle, quality, secret_scan, simhash, sql, token_counts, url_rules
+from tamis.llm.runtime import ascii_lower, scratch_path, table, written
 
 TOKEN_LIMIT = 2048
 #: This query has its Python workers to itself, so they may remember more.
@@ -113,6 +113,22 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its source's and the dataset's root, its proof's digest, and whether what is shown of it leads to the root.
+
+    What is shown of a fifth of the documents, chosen by the CRC-32 of their ids, is a text in lower case.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(chosen, merkle.leaf(*fields, ascii_lower(F.col("text"))))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), F.unhex(tampered).alias("tampered"))
+    proofs = merkle.build(leaves, "source", ["doc_id"]).proofs()
+    shown = F.coalesce(F.lower(F.hex("tampered")), "leaf")
+    rows = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"), merkle.folded(shown, F.col("left"), F.col("right")).alias("folded_root"))
+    return rows.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
@@ -124,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +148,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": sql.LINE_DEDUP,
     "op5_url_rules": sql.URL_RULES,
     "op9_decontaminate": sql.DECONTAMINATION,
+    "op11_merkle_manifest": sql.MERKLE,
 }

@@ -72,3 +72,49 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+FANOUT = 16
+
+
+def _leaf(text: str) -> str:
+    """The digest of a document's fields, its text given."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR) END"
+    return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree(tag: str, levels: int) -> str:
+    """From {tag}0(g, i, n, h): {tag}r0, ... with the runs of each level, joined, and {tag}1, ... with the nodes above."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"{tag}r{k} AS (SELECT g, i // {FANOUT} AS i, max(n) AS n, string_agg(h, '' ORDER BY i) AS run FROM {tag}{k} WHERE n > 1 GROUP BY g, i // {FANOUT})")
+        parts.append(f"{tag}{k + 1} AS (SELECT g, i, (n + {FANOUT - 1}) // {FANOUT} AS n, sha256(run) AS h FROM {tag}r{k})")
+    return ",\n".join(parts)
+
+
+def _path(tag: str, rows: str, out: str, levels: int) -> str:
+    """CTE {out}: rows with h and proof carried up through the runs of a tree; rows has g, i, h (original), shown and proof."""
+    parts = []
+    for k in range(levels):
+        before, after = rows if k == 0 else f"{out}{k - 1}", out if k == levels - 1 else f"{out}{k}"
+        place = f"(t.i // {FANOUT**k}) % {FANOUT}"
+        left, right = f"substr(run, 1, 64 * ({place}))", f"substr(run, 64 * ({place}) + 65)"
+        folds = ", ".join(f"CASE WHEN run IS NULL THEN {c} ELSE sha256({left} || {c} || {right}) END AS {c}" for c in ("h", "shown"))
+        parts.append(f"{after} AS (SELECT t.* REPLACE ({folds}, CASE WHEN run IS NULL THEN proof ELSE proof || {left} || {right} END AS proof) FROM {before} t LEFT JOIN {tag}r{k} r ON r.g = t.g AND r.i = t.i // {FANOUT ** (k + 1)})")
+    return ",\n".join(parts)
+
+
+#: CRC-32 of the decimal doc_id: bytes as 256 and up, then eight shifts each.
+_CRC32 = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(256 + ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x - 256) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MERKLE = f"""WITH leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf('text')} AS leaf, CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf(_LOWERED)} END AS tampered FROM documents),
+rows AS (SELECT *, leaf AS h, coalesce(tampered, leaf) AS shown, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+a0 AS (SELECT g, i, n, h FROM rows),
+{_tree('a', 8)},
+{_path('a', 'rows', 'ap', 8)},
+b0 AS (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT g, h FROM ap)),
+{_tree('b', 4)},
+up AS (SELECT ap.* EXCLUDE (g, i, n), ap.h AS subroot, '' AS g, b0.i FROM ap JOIN b0 ON b0.name = ap.g),
+{_path('b', 'up', 'bp', 4)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, shown AS folded_root, shown = h AS verified FROM bp"""
