@@ -1,4 +1,4 @@
-"""The ten operators over the driver tables: thin queries that derive the digest columns, and their SQL.
+"""The operators over the driver tables: thin queries that derive the digest columns, and their SQL.
 
 Every query runs its operator with production parameters over its whole table.
 """
@@ -11,13 +11,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, hilbert_shards, html_text, line_dedup, merkle, quality, secret_scan, simhash, sql, token_counts, url_rules
+from tamis.llm import byte_bpe, decontaminate, hard_negatives, hilbert_shards, html_text, line_dedup, merkle, quality, secret_scan, simhash, sql, token_counts, token_files, url_rules
 from tamis.llm.runtime import ascii_lower, scratch_path, table, written
 
 TOKEN_LIMIT = 2048
 #: This query has its Python workers to itself, so they may remember more.
 MEMO_BYTES, STATES = 128 << 20, 200_000
 SHARDS, CURVE_BITS = 16, 5
+#: The id after each document in token files.
+END_ID = 2
 #: The folder of a ledger that is kept from run to run.
 LEDGER_SETTING = "spark.tamis.ledger.dir"
 
@@ -129,6 +131,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written to flat files in the shared folder and read back from these."""
+    folder = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    rows = token_files.read(spark, folder)
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each positive of each anchor: every hundredth vector, by exact inner products of whole numbers."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.taking_part(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0, scale=256.0)
+    return hard_negatives.mine(rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
@@ -141,6 +158,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_hilbert_shards": op10_hilbert_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -149,4 +168,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_rules": sql.URL_RULES,
     "op9_decontaminate": sql.DECONTAMINATION,
     "op11_merkle_manifest": sql.MERKLE,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }
