@@ -6,11 +6,11 @@ A folder of parts, each three files of little-endian integers without headers:
   part-N-*.doc   the documents' ids, 64 bits
 and a Parquet table `manifest` with a row a part: its files, counts, and bases. A part's bases, the documents and ids in
 all parts before it, are prefix sums over that table, so documents have places in one long sequence though every part is
-written by itself. Documents stand in ascending order of their ids, nulls first, then of their tokens.
+written by itself. Documents stand in ascending order of their ids, nulls first, then of their texts' hashes.
 
 Texts are encoded by the tokenizers library, each distinct piece once: a byte-level vocabulary cuts a text by a fixed
-pattern and no piece looks beyond itself, so pieces met before come from a table bounded by bytes. Files of any other kind
-are encoded text by text. Strings of special tokens inside texts are these tokens, which is the library's default.
+pattern and no piece looks beyond itself, so pieces met before come from a table bounded by bytes. Vocabularies of any other kind
+are applied text by text. Strings of special tokens inside texts are these tokens, which is the library's default.
 
 A task writes under a name of its own; only the rows that Spark accepts get into the manifest, so files of lost or
 repeated attempts are never read (remove_strays() deletes them). Null and empty texts have the end id only. Very long texts are encoded whole;
@@ -31,16 +31,16 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tamis.llm.bpe import Memo
 from tamis.llm.classes import Pieces
-from tamis.llm.runtime import give_back, map_rows, remove, resident, scratch_path, small_batches, written
+from tamis.llm.runtime import give_back, resident, small_batches, written
+from tamis.llm.token_counts import byte_symbols
 
 #: Fixed value: the pattern built into the library's byte-level splitter.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_BYTES, PIECE_BYTES = 64 << 20, 180
+MEMO_BYTES, PIECE_BYTES = 128 << 20, 180
 #: Bytes of ids that are read at once.
 READ_BYTES = 1 << 20
 PARTS = "part int, name string, dtype string, n_docs long, n_null long, n_ids long"
@@ -60,11 +60,17 @@ class LibraryEncoder:
         plain = plain and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
         self.pieces = Pieces(BYTE_LEVEL) if plain else None
         self.specials = tuple(t["content"] for t in added)
-        self.memo = Memo(self.whole, memo_bytes, lambda piece, made: PIECE_BYTES + 2 * len(piece) + len(made))
+        self.model, self.stand_ins = self.library.model, {byte: char for char, byte in byte_symbols().items()}
+        self.memo = Memo(self.piece, memo_bytes, lambda piece, made: PIECE_BYTES + 2 * len(piece) + len(made))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece by the library's model, which takes printable stand-ins for bytes."""
+        symbols = piece.encode().decode("latin-1").translate(self.stand_ins)
+        return np.array([token.id for token in self.model.tokenize(symbols)], self.dtype).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, packed."""
         if not text:
@@ -74,34 +80,18 @@ class LibraryEncoder:
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, ident: str, text: str) -> tuple[DataFrame, str]:
-    """ident and ids (packed, with the end id) of every document, and the ids' type."""
-    with open(tokenizer_path, encoding="utf-8") as file:
-        content = file.read()
-    dtype = LibraryEncoder(content).dtype
-    if not 0 <= end_id < 1 << 8 * dtype.itemsize:
-        raise ValueError(f"the end id {end_id} doesn't fit {dtype}")
-    shared, end = docs.sparkSession.sparkContext.broadcast(content), np.array([end_id], dtype).tobytes()
-
-    def start():
-        encoder = resident(("LibraryEncoder", hash(shared.value)), lambda: LibraryEncoder(shared.value))
-        return lambda texts: [[encoder.encode(t) + end for t in texts]]
-
-    few = docs.select(F.col(ident).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return map_rows(few, ["__text"], [T.StructField("__ids", T.BinaryType())], start, ["__text"], holds=True), dtype.str
-
-
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the path in it."""
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
-def _write_part(folder: str, dtype: str):
-    """Writes a task's documents as one part, and returns its row."""
+def _write_part(folder: str, vocabulary, end: bytes):
+    """Encodes and writes a task's documents as one part, and returns its row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path, name = None, None, None
-        part, docs, nulls, ids, width = TaskContext.get().partitionId(), 0, 0, 0, np.dtype(dtype).itemsize
+        encoder = resident(("LibraryEncoder", hash(vocabulary.value)), lambda: LibraryEncoder(vocabulary.value))
+        files, store, path, name, width = None, None, None, None, encoder.dtype.itemsize
+        part, docs, nulls, ids = TaskContext.get().partitionId(), 0, 0, 0
         try:
             for batch in batches:
                 if not batch.num_rows:
@@ -111,17 +101,21 @@ def _write_part(folder: str, dtype: str):
                     name = f"part-{part:05d}-{uuid.uuid4().hex}"
                     files = [store.open_output_stream(f"{path}/{name}.{kind}") for kind in ("bin", "idx", "doc")]
                     files[1].write(np.array([0], "<i8").tobytes())
-                sizes = np.array(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), np.int64) // width
-                for value in batch.column(1):
-                    files[0].write(value.as_buffer())
-                files[1].write((ids + np.cumsum(sizes)).astype("<i8").tobytes())
+                ends = []
+                for text in batch.column(1):
+                    content = encoder.encode(text.as_py())
+                    files[0].write(content)
+                    files[0].write(end)
+                    ids += len(content) // width + 1
+                    ends.append(ids)
+                files[1].write(np.array(ends, "<i8").tobytes())
                 files[2].write(batch.column(0).fill_null(0).to_numpy().astype("<i8").tobytes())
-                docs, nulls, ids = docs + batch.num_rows, nulls + batch.column(0).null_count, ids + int(sizes.sum())
+                docs, nulls = docs + batch.num_rows, nulls + batch.column(0).null_count
         finally:
             for file in files or []:
                 file.close()
         if docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "dtype": [dtype], "n_docs": [docs], "n_null": [nulls], "n_ids": [ids]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "dtype": [encoder.dtype.str], "n_docs": [docs], "n_null": [nulls], "n_ids": [ids]})
         give_back()
 
     return work
@@ -130,17 +124,20 @@ def _write_part(folder: str, dtype: str):
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files of all documents to a new folder that driver and executors share; the manifest."""
     spark = docs.sparkSession
+    with open(tokenizer_path, encoding="utf-8") as file:
+        content = file.read()
+    dtype = LibraryEncoder(content).dtype
+    if not 0 <= end_id < 1 << 8 * dtype.itemsize:
+        raise ValueError(f"the end id {end_id} doesn't fit {dtype}")
     store, path = _store(folder)
     if store.get_file_info(path).type != pafs.FileType.NotFound:
         raise FileExistsError(folder)
     store.create_dir(path, recursive=True)
-    rows, dtype = encoded(docs, tokenizer_path, end_id, ident, text)
-    kept = scratch_path(spark, "encoded")  # the range partitioning reads it twice
-    rows.withColumn("__tie", F.xxhash64("__ids")).write.parquet(kept)
     small_batches(spark)
-    spread = spark.read.parquet(kept).repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie", "__ids")
-    parts = written(spread.select("__id", "__ids").mapInArrow(_write_part(folder, dtype), PARTS))
-    remove(spark, kept)
+    rows = docs.select(F.col(ident).cast("long").alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__tie"))
+    spread = rows.repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie", "__text").select("__id", "__text")
+    work = _write_part(folder, spark.sparkContext.broadcast(content), np.array([end_id], dtype).tobytes())
+    parts = written(spread.mapInArrow(work, PARTS))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c.removeprefix('n_')[:-1]}_base") for c in ("n_docs", "n_ids")]
     parts.select("*", *sums).coalesce(1).write.parquet(f"{folder}/manifest")
