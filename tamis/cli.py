@@ -73,8 +73,6 @@ def trajectories_of(spark: SparkSession, args: argparse.Namespace, config: Selec
     """sample_id, traj in millionths, of the checkpoints asked for."""
     table = io.read_losses(spark, path, window)
     table = losses.require_checkpoints(table, config.checkpoints) if config.checkpoints else table
-    if config.softmax:
-        losses.require_last_is_highest(table)
     return losses.trajectories(table).select("sample_id", F.transform("traj", lambda x: F.round(x * 1e6).cast("long")).alias("traj"))
 
 

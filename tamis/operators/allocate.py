@@ -123,6 +123,42 @@ def cluster_quotas(clusters: DataFrame, group: tuple[str, ...], cluster: str = "
     return folded(rows, group, f"{_kinds(clusters, group)}, `{cluster}` int, quota long", _rule_fit(lambda sizes, rows: equal_takes(sizes, int(rows["__budget"].iloc[0])), group, cluster, "quota"))
 
 
+def ordered_quotas(clusters: DataFrame, group: tuple[str, ...], order: str, budget: str = "n_samples", cluster: str = "cluster_id", size: str = "size") -> DataFrame:
+    """group, cluster, quota: a group's budget over its clusters in a given order, equal shares of what is left; what the last can't use is dropped."""
+    rows = clusters.select(*group, F.col(size).cast("long").alias("__size"), F.col(cluster).cast("int").alias("__name"), F.col(order).alias("__order"), F.col(budget).cast("long").alias("__budget"))
+
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__order", kind="stable")
+        made = rows[[*group]].copy()
+        made[cluster], made["quota"] = rows["__name"], equal_takes(rows["__size"].tolist(), int(rows["__budget"].iloc[0]))
+        return made
+
+    return folded(rows, group, f"{_kinds(clusters, group)}, `{cluster}` int, quota long", rule)
+
+
+def carried_quotas(clusters: DataFrame, strata: tuple[str, ...], total: int, order: str, rows_of: str = "n_rows", cluster: str = "cluster_id", size: str = "size") -> DataFrame:
+    """strata, cluster, quota: a total over strata, smallest first, and over each one's clusters in a given order.
+
+    A stratum's share is an equal part of what is left, at most its rows (rows_of); what its clusters can't use of it stays in the total, so
+    that later strata get more. One task goes through all clusters.
+    """
+    rows = clusters.select(*strata, F.col(size).cast("long").alias("__size"), F.col(cluster).cast("int").alias("__name"), F.col(order).alias("__order"), F.col(rows_of).cast("long").alias("__rows"))
+
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__rows", *strata, "__order"], kind="stable").reset_index(drop=True)
+        left, takes = total, []
+        starts = [i for i in range(len(rows)) if i == 0 or any(rows[s][i] != rows[s][i - 1] for s in strata)]
+        for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(rows)], strict=True)):
+            share = min(left // (len(starts) - n), int(rows["__rows"][a]))
+            takes += equal_takes(rows["__size"][a:b].tolist(), share)
+            left -= sum(takes[a:b])
+        made = rows[[*strata]].copy()
+        made[cluster], made["quota"] = rows["__name"], takes
+        return made
+
+    return folded(rows, (), f"{_kinds(clusters, strata)}, `{cluster}` int, quota long", rule)
+
+
 def custom_budget(sums: DataFrame, given: dict[str, tuple[int, int]]) -> DataFrame:
     """sums (domain, source, size, ...) with n_clusters and n_samples by source; `other` holds for sources that aren't named.
 

@@ -9,6 +9,9 @@ centroids only, whose number the budget bounds; their size is checked.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -88,7 +91,10 @@ def lloyd(df: DataFrame, strata: tuple[str, ...], k: str, features: str = "traj"
     df should be cheap to read again (written); it is read once an iteration. Strata without a centroid (k of 0) go.
     """
     spark = df.sparkSession
-    largest = df.agg(F.max(k)).first()[0] or 0
+    largest, least_width, most_width, short = df.agg(F.max(k), F.min(F.size(features)), F.max(F.size(features)), F.min_by(ident, F.size(features))).first()
+    if least_width != most_width:
+        raise ValueError(f"rows have from {least_width} to {most_width} features, such as {ident} {short}")
+    largest = largest or 0
     # a constant bound stops the ranking of a stratum early, on ids alone; the features of the chosen rows come after
     order = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", ident))
     ranked = df.select(*strata, ident, F.col(k).cast("long").alias("__k"), hash_order(seed, ident).alias("__h")).withColumn("__n", order)
@@ -168,15 +174,16 @@ def medoids(clustered: DataFrame, strata: tuple[str, ...], ident: str = "sample_
 
 
 def standardize_ends(df: DataFrame, strata: tuple[str, ...], features: str = "traj") -> DataFrame:
-    """df with first_z and last_z: z-scores of the first and last feature within the stratum (sample deviation); unchanged where it is 0 or undefined."""
-    by = Window.partitionBy(*strata)
-
-    def z(value: Column) -> Column:
-        value = value.cast("double")
-        deviation = F.stddev_samp(value).over(by)
-        return F.when(deviation > 0, (value - F.avg(value).over(by)) / deviation).otherwise(value)
+    """df with first_z and last_z: z-scores of the first and last feature within the stratum (sample deviation); unchanged where it is 0 or undefined.
 
-    return df.select("*", z(F.element_at(features, 1)).alias("first_z"), z(F.element_at(features, -1)).alias("last_z"))
+    The moments are added up where the rows are and meet them as a row for each stratum, so a stratum of any size is spread over all tasks.
+    """
+    ends = {"first": F.element_at(features, 1).cast("double"), "last": F.element_at(features, -1).cast("double")}
+    moments = df.groupBy(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(strata))).agg(*(f(v).alias(f"__{n}_{w}") for n, v in ends.items() for f, w in ((F.avg, "m"), (F.stddev_samp, "d"))))
+    met = reduce(and_, (F.col(s).eqNullSafe(F.col(f"__s{i}")) for i, s in enumerate(strata)))
+    rows = df.join(broadcast_if_small(written(moments), 256), met)
+    z = {n: F.when(F.col(f"__{n}_d") > 0, (v - F.col(f"__{n}_m")) / F.col(f"__{n}_d")).otherwise(v) for n, v in ends.items()}
+    return rows.select(*df.columns, z["first"].alias("first_z"), z["last"].alias("last_z"))
 
 
 def standardized(df: DataFrame, strata: tuple[str, ...], features: str = "traj", name: str = "features", scale: int = 1_000_000) -> DataFrame:

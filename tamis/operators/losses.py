@@ -84,16 +84,39 @@ def nan_to_zero(column: Column) -> Column:
     return F.nanvl(column.cast("double"), F.lit(0.0))
 
 
-def trajectories(losses: DataFrame, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
-    """keys, traj: the losses of each sample in order of checkpoint, NaN as 0."""
-    ordered = F.array_sort(F.collect_list(F.struct("ckpt", nan_to_zero(F.col("loss")).alias("loss"))))
-    return losses.groupBy(*keys).agg(F.transform(ordered, lambda x: x["loss"]).alias("traj"))
+def checkpoints_of(losses: DataFrame) -> list[int]:
+    """The checkpoints that a table has; few."""
+    return sorted(r[0] for r in losses.select("ckpt").distinct().collect())
+
+
+def trajectories(losses: DataFrame, keys: tuple[str, ...] = ("sample_id",), checkpoints: list[int] | None = None) -> DataFrame:
+    """keys, traj: the losses of each sample in order of checkpoint, NaN as 0.
+
+    Every sample must have each of the checkpoints (of the table, if none are named) once; one that lacks some, or has one twice, is
+    an error that names it, as its later losses would stand in the wrong places.
+    """
+    wanted = F.array(*(F.lit(c) for c in sorted(checkpoints if checkpoints is not None else checkpoints_of(losses)))).cast("array<int>")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("ckpt").cast("int").alias("ckpt"), nan_to_zero(F.col("loss")).alias("loss"))))
+    rows = losses.groupBy(*keys).agg(ordered.alias("__o"))
+    found = F.transform("__o", lambda x: x["ckpt"])
+    said = F.concat(F.lit("losses of "), F.to_json(F.struct(*keys)), F.lit(" at checkpoints "), F.to_json(found), F.lit(" instead of "), F.to_json(wanted))
+    return rows.select(*keys, F.when(found == wanted, F.transform("__o", lambda x: x["loss"])).otherwise(F.raise_error(said).cast("array<double>")).alias("traj"))
+
+
+def incomplete(losses: DataFrame, checkpoints: list[int], keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """keys, missing, repeated: the samples that don't have each of the checkpoints once."""
+    wanted = F.array(*(F.lit(c) for c in sorted(checkpoints))).cast("array<int>")
+    rows = losses.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("ckpt").cast("int"))).alias("__c"))
+    missing = F.array_except(wanted, "__c")
+    repeated = F.filter(F.array_distinct("__c"), lambda c: F.size(F.filter("__c", lambda x: x == c)) > 1)
+    return rows.select(*keys, missing.alias("missing"), repeated.alias("repeated")).where((F.size("missing") > 0) | (F.size("repeated") > 0))
 
 
 def loss_matrix(losses: DataFrame, checkpoints: list[int]) -> DataFrame:
-    """A row for each sample, a column ckpt_N for each checkpoint, NaN as 0."""
-    wide = losses.groupBy("sample_id").pivot("ckpt", checkpoints).agg(F.first("loss"))
-    return wide.select("sample_id", *(nan_to_zero(F.col(str(c))).alias(f"ckpt_{c}") for c in checkpoints))
+    """A row for each sample, a column ckpt_N for each checkpoint, NaN as 0; each sample must have them all."""
+    wide = trajectories(losses.where(F.col("ckpt").isin(checkpoints)), checkpoints=checkpoints)
+    places = {c: i for i, c in enumerate(sorted(checkpoints))}
+    return wide.select("sample_id", *(F.get("traj", F.lit(places[c])).alias(f"ckpt_{c}") for c in checkpoints))
 
 
 def checkpoint_means(losses: DataFrame, low: float = 2.0, high: float = 3.0) -> DataFrame:
@@ -107,9 +130,21 @@ def checkpoint_means(losses: DataFrame, low: float = 2.0, high: float = 3.0) ->
 def require_last_is_highest(losses: DataFrame) -> None:
     """An error unless the last checkpoint has the highest mean loss; of equal ones the first counts as highest."""
     means = sorted((r["ckpt"], r["m"]) for r in losses.groupBy("ckpt").agg(F.avg("loss").alias("m")).collect())
+    _require_rise([m for _, m in means])
+
+
+def require_rise(trajs: DataFrame, features: str = "traj") -> None:
+    """The same for trajectories, whose values are in order of checkpoint."""
+    width = trajs.agg(F.max(F.size(features))).first()[0]
+    if width is not None:
+        means = trajs.agg(*(F.avg(F.get(features, F.lit(i))).alias(f"m{i}") for i in range(width))).first()
+        _require_rise(list(means) or [0.0])
+
+
+def _require_rise(means: list[float]) -> None:
     if len(means) < 2:
         raise ValueError("at least two checkpoints are needed")
-    if max(means, key=lambda x: (x[1], -x[0]))[0] != means[-1][0]:
+    if means.index(max(means)) != len(means) - 1:
         raise ValueError("the last checkpoint does not have the highest mean loss")
 
 

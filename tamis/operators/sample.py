@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.operators.allocate import ROW_BYTES, cluster_quotas
+from tamis.operators.allocate import ROW_BYTES, carried_quotas, cluster_quotas, ordered_quotas
 from tamis.operators.cluster import hash_order
 from tamis.operators.common import broadcast_if_small, written
 
@@ -33,10 +33,10 @@ def learnability_sample(clustered: DataFrame, strata: tuple[str, ...], budget: s
     - last. Clusters of one row share what remains by hash order.
     """
     keys = (*strata, "cluster_id")
-    sums = clustered.groupBy(*keys).agg(F.count("*").alias("size"), F.sum(F.element_at("traj", 1)).alias("__f"), F.sum(F.element_at("traj", -1)).alias("__l"), F.first(budget).alias(budget))
+    sums = written(clustered.groupBy(*keys).agg(F.count("*").alias("size"), F.sum(F.element_at("traj", 1)).alias("__f"), F.sum(F.element_at("traj", -1)).alias("__l"), F.first(budget).alias(budget)))
     quotas = cluster_quotas(sums, strata, budget=budget)
     gap = F.element_at("traj", -1) - F.element_at("traj", 1)
-    scored = clustered.join(sums.select(*keys, "size", (F.col("__f") < F.col("__l")).alias("__up")), list(keys))
+    scored = clustered.join(broadcast_if_small(sums.select(*keys, "size", (F.col("__f") < F.col("__l")).alias("__up")), ROW_BYTES), list(keys))
     scored = scored.withColumn("__score", F.when(F.col("__up"), gap).otherwise(-gap))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__score"), ident))
     picked = top_by_quota(scored.where("size >= 2").withColumn("rank", rank), quotas, keys).select(*strata, ident)
@@ -49,25 +49,34 @@ def learnability_sample(clustered: DataFrame, strata: tuple[str, ...], budget: s
     return picked.unionByName(rest)
 
 
-def high_loss_clusters(clustered: DataFrame, strata: tuple[str, ...], share: float = 0.5) -> DataFrame:
-    """The rows of each stratum's clusters of highest mean loss: at least one, at most the share of its clusters."""
+def ranked_by_loss(clustered: DataFrame, strata: tuple[str, ...], share: float = 0.5) -> DataFrame:
+    """strata, cluster_id, rank, size: each stratum's clusters of highest mean loss, highest first: at least one, at most the share of its clusters."""
     keys = (*strata, "cluster_id")
-    width = F.size("traj")
-    sums = clustered.groupBy(*keys).agg(F.sum(F.aggregate("traj", F.lit(0).cast("long"), lambda a, x: a + x)).alias("__s"), F.sum(width).alias("__n"))
-    by = Window.partitionBy(*strata)
+    sums = clustered.groupBy(*keys).agg(F.sum(F.aggregate("traj", F.lit(0).cast("long"), lambda a, x: a + x)).alias("__s"), F.sum(F.size("traj")).alias("__n"), F.count("*").alias("size"))
+    by = Window.partitionBy(*strata)  # a row for each cluster
     rank = F.row_number().over(by.orderBy(F.desc(F.col("__s") / F.col("__n")), "cluster_id"))
-    kept = sums.select(*keys, rank.alias("__rank"), F.count("*").over(by).alias("__c")).where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__c") * share)))
-    return clustered.join(broadcast_if_small(written(kept.select(*keys)), ROW_BYTES), list(keys))
+    ranked = sums.select(*keys, rank.alias("rank"), "size", F.count("*").over(by).alias("__c"))
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("__c") * share))).drop("__c")
+
 
+def high_loss_clusters(clustered: DataFrame, strata: tuple[str, ...], share: float = 0.5) -> DataFrame:
+    """The rows of each stratum's clusters of highest mean loss."""
+    keys = (*strata, "cluster_id")
+    return clustered.join(broadcast_if_small(written(ranked_by_loss(clustered, strata, share).select(*keys)), ROW_BYTES), list(keys))
 
-def high_loss_sample(clustered: DataFrame, strata: tuple[str, ...], budget: str = "n_samples", ident: str = "sample_id", seed: int = 42, share: float = 0.5) -> DataFrame:
-    """As high_loss_clusters, but a budget's worth: quotas over the kept clusters, by hash order within them."""
-    kept = high_loss_clusters(clustered, strata, share)
+
+def high_loss_sample(clustered: DataFrame, strata: tuple[str, ...], budget: str = "n_samples", ident: str = "sample_id", seed: int = 42, share: float = 0.5, total: int | None = None) -> DataFrame:
+    """As high_loss_clusters, but a budget's worth: quotas over the kept clusters in the order of loss, by hash order within them.
+
+    The budget is the stratum's (a column); or a total over all strata, of which a stratum's unused share goes to later, larger ones.
+    """
     keys = (*strata, "cluster_id")
-    sums = kept.groupBy(*keys).agg(F.count("*").alias("size"), F.first(budget).alias(budget))
-    quotas = cluster_quotas(sums, strata, budget=budget, least=1)
+    sizes = clustered.groupBy(*strata).agg(F.count("*").alias("n_rows"), F.first(budget).alias(budget))
+    kept = written(ranked_by_loss(clustered, strata, share).join(broadcast_if_small(written(sizes), ROW_BYTES), list(strata)))
+    quotas = ordered_quotas(kept, strata, "rank", budget) if total is None else carried_quotas(kept, strata, total, "rank")
     order = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, ident), ident))
-    return top_by_quota(kept.withColumn("rank", order), quotas, keys).select(*strata, ident)
+    rows = clustered.join(broadcast_if_small(kept.select(*keys), ROW_BYTES), list(keys))
+    return top_by_quota(rows.withColumn("rank", order), quotas, keys).select(*strata, ident)
 
 
 def middle_slice(df: DataFrame, n: int, by: str = "loss", ident: str = "sample_id") -> DataFrame:

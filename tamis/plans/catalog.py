@@ -18,7 +18,9 @@ from tamis.plans.config import SelectionConfig
 from tamis.plans.select import select
 
 FLAGSHIP = "select_learnability_softmax"
-CKPTS, ENDS, BUDGET, NITER, WINDOWS = [1, 4, 8], [1, 8], 300, 3, [100, 200, 300, 500, 1000, -1]
+CKPTS, ENDS, BUDGET, NITER, WINDOWS = [1, 4, 8], [1, 8], 300, 20, [100, 200, 300, 500, 1000, -1]
+#: The windows of main losses, which rows are clustered and ranked by, and of difficulty losses, which budgets and high-loss clusters come from.
+MAIN_WINDOW, DIFFICULTY_WINDOW = 1000, 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -35,15 +37,19 @@ def query(oracle: str | None = None):
     return add
 
 
+#: Earlier names of queries that were run at shorter settings under their own.
+ALIASES = {f"{name}_full": name for name in ("kmeans_lloyd_losses", "cluster_size_stats", "select_high_loss_clusters", "select_learnability_softmax", "pipeline_difficulty_then_diversity", "embedding_medoids")}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tamis.plans import round_trips  # noqa: F401  registers its queries here
 
-    return QUERIES
+    return QUERIES | {alias: QUERIES[name] for alias, name in ALIASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    return ORACLE_SQL
+    return ORACLE_SQL | {alias: ORACLE_SQL[name] for alias, name in ALIASES.items()}
 
 
 # -- inputs ------------------------------------------------------------------------------------------------
@@ -57,7 +63,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").selectExpr("doc_id AS sample_id", "text", "lang AS domain", "concat(lang, ':', source) AS source")
 
 
-def trajs(spark: SparkSession, sf_dir: str, checkpoints: list[int], series: str = "perturbation", keep: bool = False, window: int = 100) -> DataFrame:
+def trajs(spark: SparkSession, sf_dir: str, checkpoints: list[int], series: str = "perturbation", keep: bool = False, window: int = DIFFICULTY_WINDOW) -> DataFrame:
     made = losses.surrogate_trajectories(samples(spark, sf_dir), checkpoints, window, series)
     return written(made) if keep else made
 
@@ -172,20 +178,20 @@ def cluster_quota_fold(spark, sf_dir):
 # -- baselines ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {sql.trajectories([4])}, r AS (SELECT sample_id, f0 AS loss, row_number() OVER (ORDER BY f0, sample_id) - 1 AS i, count(*) OVER () AS n FROM traj) SELECT sample_id, loss FROM r WHERE i >= (n - least({BUDGET}, n)) // 2 AND i < (n - least({BUDGET}, n)) // 2 + least({BUDGET}, n)")
+@query(f"WITH {sql.trajectories([4], MAIN_WINDOW)}, r AS (SELECT sample_id, f0 AS loss, row_number() OVER (ORDER BY f0, sample_id) - 1 AS i, count(*) OVER () AS n FROM traj) SELECT sample_id, loss FROM r WHERE i >= (n - least({BUDGET}, n)) // 2 AND i < (n - least({BUDGET}, n)) // 2 + least({BUDGET}, n)")
 def select_middle_perplexity(spark, sf_dir):
-    rows = trajs(spark, sf_dir, [4]).select("sample_id", F.element_at("traj", 1).alias("loss"))
+    rows = trajs(spark, sf_dir, [4], window=MAIN_WINDOW).select("sample_id", F.element_at("traj", 1).alias("loss"))
     return sample.middle_slice(rows, BUDGET)
 
 
-@query(f"WITH {sql.trajectories(ENDS, series='training')} SELECT sample_id, f1 - f0 AS gap FROM traj ORDER BY gap DESC, sample_id LIMIT {BUDGET}")
+@query(f"WITH {sql.trajectories(ENDS, MAIN_WINDOW, 'training')} SELECT sample_id, f1 - f0 AS gap FROM traj ORDER BY gap DESC, sample_id LIMIT {BUDGET}")
 def select_learnability_baseline(spark, sf_dir):
-    return sample.learnability_baseline(trajs(spark, sf_dir, ENDS, "training", keep=True), BUDGET).select("sample_id", "gap")
+    return sample.learnability_baseline(trajs(spark, sf_dir, ENDS, "training", keep=True, window=MAIN_WINDOW), BUDGET).select("sample_id", "gap")
 
 
-@query(f"WITH {sql.trajectories(ENDS, series='training')} SELECT sample_id, f1 - f0 AS gap FROM traj ORDER BY gap, sample_id LIMIT {BUDGET}")
+@query(f"WITH {sql.trajectories(ENDS, MAIN_WINDOW, 'training')} SELECT sample_id, f1 - f0 AS gap FROM traj ORDER BY gap, sample_id LIMIT {BUDGET}")
 def select_learnability_improvement(spark, sf_dir):
-    return sample.learnability_baseline(trajs(spark, sf_dir, ENDS, "training", keep=True), BUDGET, order="improvement").select("sample_id", "gap")
+    return sample.learnability_baseline(trajs(spark, sf_dir, ENDS, "training", keep=True, window=MAIN_WINDOW), BUDGET, order="improvement").select("sample_id", "gap")
 
 
 @query(f"SELECT doc_id AS sample_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT {BUDGET}")
@@ -196,15 +202,15 @@ def select_random(spark, sf_dir):
 # -- clusters ----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {sql.trajectories(CKPTS)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', ['f0', 'f1', 'f2'], 0)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
+@query(f"WITH {sql.trajectories(CKPTS, MAIN_WINDOW)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', ['f0', 'f1', 'f2'], 0)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
 def kmeans_assign_losses(spark, sf_dir):
-    rows = trajs(spark, sf_dir, CKPTS, keep=True).withColumn("k", F.lit(5))
+    rows = trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW).withColumn("k", F.lit(5))
     return cluster.lloyd(rows, ("domain",), "k", niter=0).select("sample_id", "cluster_id", "dist")
 
 
-@query(f"WITH {sql.trajectories(CKPTS)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', ['f0', 'f1', 'f2'], NITER)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
+@query(f"WITH {sql.trajectories(CKPTS, MAIN_WINDOW)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', ['f0', 'f1', 'f2'], NITER)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
 def kmeans_lloyd_losses(spark, sf_dir):
-    rows = trajs(spark, sf_dir, CKPTS, keep=True).withColumn("k", F.lit(5))
+    rows = trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW).withColumn("k", F.lit(5))
     return cluster.lloyd(rows, ("domain",), "k", niter=NITER).select("sample_id", "cluster_id", "dist")
 
 
@@ -224,31 +230,52 @@ def select_high_loss_clusters(spark, sf_dir):
     return select(trajs(spark, sf_dir, CKPTS, keep=True), config).selected
 
 
-@query(f"WITH RECURSIVE {sql.trajectories(CKPTS)},{sql.softmax_selection('x', 'traj', ['f0', 'f1', 'f2'], BUDGET, NITER)} SELECT domain, source, sample_id FROM x")
+@query(f"WITH RECURSIVE {sql.trajectories(CKPTS, MAIN_WINDOW)},{sql.softmax_selection('x', 'traj', ['f0', 'f1', 'f2'], BUDGET, NITER)} SELECT domain, source, sample_id FROM x")
 def select_learnability_softmax(spark, sf_dir):
     """The flagship: hierarchical budgets by difficulty, clusters of loss trajectories, the strongest trends of each."""
     config = SelectionConfig(method="learnability", softmax=True, size=BUDGET, niter=NITER).merged({})
-    return select(trajs(spark, sf_dir, CKPTS, keep=True), config).selected
+    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW), config).selected
 
 
-@query(f"WITH RECURSIVE {_HIGH}, sub AS (SELECT sample_id, domain, source, f0, f1, f2 FROM h),{sql.softmax_selection('x', 'sub', ['f0', 'f1', 'f2'], 100, NITER)} SELECT domain, source, sample_id FROM x")
+_MAIN_MEANS = ", ".join(f"CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0) AS BIGINT) AS f{i}" for i, j in enumerate(CKPTS))
+
+
+@query(f"WITH RECURSIVE {_HIGH}, mains AS (SELECT doc_id, {_MAIN_MEANS} FROM tok WHERE t <= {MAIN_WINDOW} GROUP BY doc_id), sub AS (SELECT h.sample_id, h.domain, h.source, coalesce(m.f0, 0) AS f0, coalesce(m.f1, 0) AS f1, coalesce(m.f2, 0) AS f2 FROM h LEFT JOIN mains m ON m.doc_id = h.sample_id),{sql.softmax_selection('x', 'sub', ['f0', 'f1', 'f2'], 100, NITER)} SELECT domain, source, sample_id FROM x")
 def pipeline_difficulty_then_diversity(spark, sf_dir):
-    """The difficult half of each source, and a diverse choice from it."""
-    rows = trajs(spark, sf_dir, CKPTS, keep=True)
-    hard = select(rows, SelectionConfig(method="high_loss_clusters", all_samples=True, n_clusters=2, niter=NITER).merged({})).selected
-    pool = written(sample.apply_subset(rows, hard))
+    """The difficult half of each source by difficulty losses, and a diverse choice from it by main losses."""
+    pool = written(sample.apply_subset(trajs(spark, sf_dir, CKPTS, window=MAIN_WINDOW), select_high_loss_clusters(spark, sf_dir)))
     return select(pool, SelectionConfig(method="learnability", softmax=True, size=100, niter=NITER).merged({})).selected
 
 
-@query(f"WITH {sql.trajectories(ENDS)}, z AS (SELECT sample_id, f0, f1, avg(f0) OVER w AS a0, avg(f1) OVER w AS a1, stddev_samp(f0) OVER w AS d0, stddev_samp(f1) OVER w AS d1 FROM traj WINDOW w AS (PARTITION BY source)) SELECT sample_id, round(CASE WHEN d0 > 0 THEN (f0 - a0) / d0 ELSE f0 END, 6) AS first_z, round(CASE WHEN d1 > 0 THEN (f1 - a1) / d1 ELSE f1 END, 6) AS last_z FROM z")
+_SMALL_SOURCES = 500
+
+
+@query(f"WITH RECURSIVE {sql.trajectories(CKPTS)},{sql.high_loss_budget('x', 'traj', ['f0', 'f1', 'f2'], 4, BUDGET, NITER)} SELECT domain, source, sample_id FROM x")
+def select_high_loss_budget(spark, sf_dir):
+    """A budget's worth of each source's clusters of highest loss, quotas in the order of loss; what a source can't use goes to larger ones."""
+    config = SelectionConfig(method="high_loss_clusters", size=BUDGET, n_clusters=4, niter=NITER).merged({})
+    return select(trajs(spark, sf_dir, CKPTS, keep=True), config).selected
+
+
+_ALL = f"{sql.trajectories(CKPTS)}, lt AS (SELECT * REPLACE (domain AS source) FROM traj), {sql.shares('g', 'lt', _SMALL_SOURCES)}, t AS (SELECT lt.*, 2 AS k, whole FROM lt JOIN g USING (domain, source)), {sql.kmeans('a', 't', ['f0', 'f1', 'f2'], NITER)},{sql.high_loss('h', 'a', ['f0', 'f1', 'f2'])}"
+
+
+@query(f"WITH RECURSIVE {_ALL} SELECT domain, sample_id FROM h WHERE NOT whole UNION ALL SELECT domain, sample_id FROM t WHERE whole")
+def select_all_samples_small_sources_whole(spark, sf_dir):
+    """All samples of the clusters of highest loss, but of sources that fit an equal share of the size all rows."""
+    config = SelectionConfig(method="high_loss_clusters", all_samples=True, size=_SMALL_SOURCES, n_clusters=2, niter=NITER).merged({})
+    return select(trajs(spark, sf_dir, CKPTS, keep=True).withColumn("source", F.col("domain")), config).selected.select("domain", "sample_id")
+
+
+@query(f"WITH {sql.trajectories(ENDS, MAIN_WINDOW)}, z AS (SELECT sample_id, f0, f1, avg(f0) OVER w AS a0, avg(f1) OVER w AS a1, stddev_samp(f0) OVER w AS d0, stddev_samp(f1) OVER w AS d1 FROM traj WINDOW w AS (PARTITION BY source)) SELECT sample_id, round(CASE WHEN d0 > 0 THEN (f0 - a0) / d0 ELSE f0 END, 6) AS first_z, round(CASE WHEN d1 > 0 THEN (f1 - a1) / d1 ELSE f1 END, 6) AS last_z FROM z")
 def standardized_features(spark, sf_dir):
-    made = cluster.standardize_ends(trajs(spark, sf_dir, ENDS), ("source",))
+    made = cluster.standardize_ends(trajs(spark, sf_dir, ENDS, window=MAIN_WINDOW), ("source",))
     return made.select("sample_id", F.round("first_z", 6).alias("first_z"), F.round("last_z", 6).alias("last_z"))
 
 
 # -- embeddings --------------------------------------------------------------------------------------------
 
-_MEDOID_K, _MEDOID_ITER = 10, 2
+_MEDOID_K, _MEDOID_ITER = 10, NITER
 
 
 def _medoid_sql() -> str:
@@ -257,10 +284,10 @@ def _medoid_sql() -> str:
         f"c0 AS (SELECT row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS cluster, e FROM v QUALIFY cluster < {_MEDOID_K})",
     ]
     for i in range(_MEDOID_ITER + 1):
-        parts.append(f"a{i} AS (SELECT vec_id, e, cluster, dist FROM (SELECT v.vec_id, v.e, c.cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS dist FROM v, c{i} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) = 1)")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, e, cluster, dist FROM (SELECT v.vec_id, v.e, c.cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS dist FROM v, c{i} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) = 1)")
         if i < _MEDOID_ITER:
             parts.append(f"m{i} AS (SELECT cluster, i, CAST(sum(x) // count(*) AS BIGINT) AS x FROM (SELECT cluster, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY cluster, i)")
-            parts.append(f"c{i + 1} AS (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS e FROM m{i} GROUP BY cluster) m USING (cluster))")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS e FROM m{i} GROUP BY cluster) m USING (cluster))")
     return f"WITH {', '.join(parts)} SELECT CAST(cluster AS INTEGER) AS cluster_id, arg_min(vec_id, (dist, vec_id)) AS sample_id FROM a{_MEDOID_ITER} GROUP BY cluster"
 
 
@@ -280,60 +307,6 @@ def embedding_mean_pool(spark, sf_dir):
     return pooled.select(F.col("vec_id").alias("sample_id"), *(F.round(F.get("p", F.lit(i)), 6).alias(f"p{i}") for i in range(4)))
 
 
-# -- clusters and selections at the reference's settings ---------------------------------------------------
-
-#: The reference's rounds of k-means, and the windows of its main losses and of its difficulty losses. The queries
-#: above keep NITER rounds and 100 tokens, for which their SQL is written.
-FULL_NITER, MAIN_WINDOW, DIFFICULTY_WINDOW = 20, 1000, 100
-_FEATURES = ["f0", "f1", "f2"]
-_FULL_HALVES = f"{sql.trajectories(CKPTS, DIFFICULTY_WINDOW)}, t AS (SELECT *, least(2, count(*) OVER (PARTITION BY domain, source)) AS k FROM traj), {sql.kmeans('a', 't', _FEATURES, FULL_NITER)}"
-_FULL_HIGH = f"{_FULL_HALVES},{sql.high_loss('h', 'a', _FEATURES)}"
-
-
-def _full_halves(spark, sf_dir):
-    config = SelectionConfig(method="high_loss_clusters", all_samples=True, n_clusters=2, niter=FULL_NITER).merged({})
-    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=DIFFICULTY_WINDOW), config)
-
-
-@query(f"WITH {sql.trajectories(CKPTS, MAIN_WINDOW)}, t AS (SELECT * REPLACE (domain AS source), 5 AS k FROM traj), {sql.kmeans('a', 't', _FEATURES, FULL_NITER)} SELECT sample_id, CAST(cluster AS INTEGER) AS cluster_id, CAST(dist AS BIGINT) AS dist FROM a")
-def kmeans_lloyd_losses_full(spark, sf_dir):
-    rows = trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW).withColumn("k", F.lit(5))
-    return cluster.lloyd(rows, ("domain",), "k", niter=FULL_NITER).select("sample_id", "cluster_id", "dist")
-
-
-@query(f"WITH {_FULL_HALVES}, s AS (SELECT domain, source, cluster, count(*) AS n FROM a GROUP BY ALL) SELECT domain, source, count(*) AS n_clusters, CAST(min(n) AS BIGINT) AS smallest, CAST(max(n) AS BIGINT) AS largest, CAST(sum(n) AS DOUBLE) / count(*) AS mean_size FROM s GROUP BY ALL")
-def cluster_size_stats_full(spark, sf_dir):
-    sizes = _full_halves(spark, sf_dir).clusters.groupBy("domain", "source", "cluster_id").agg(F.count("*").alias("n"))
-    return sizes.groupBy("domain", "source").agg(F.count("*").alias("n_clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"), (F.sum("n") / F.count("*")).alias("mean_size"))
-
-
-@query(f"WITH {_FULL_HIGH} SELECT domain, source, sample_id FROM h")
-def select_high_loss_clusters_full(spark, sf_dir):
-    return _full_halves(spark, sf_dir).selected
-
-
-@query(f"WITH RECURSIVE {sql.trajectories(CKPTS, MAIN_WINDOW)},{sql.softmax_selection('x', 'traj', _FEATURES, BUDGET, FULL_NITER)} SELECT domain, source, sample_id FROM x")
-def select_learnability_softmax_full(spark, sf_dir):
-    config = SelectionConfig(method="learnability", softmax=True, size=BUDGET, niter=FULL_NITER).merged({})
-    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW), config).selected
-
-
-_MAIN_MEANS = ", ".join(f"CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0) AS BIGINT) AS f{i}" for i, j in enumerate(CKPTS))
-
-
-@query(f"WITH RECURSIVE {_FULL_HIGH}, mains AS (SELECT doc_id, {_MAIN_MEANS} FROM tok WHERE t <= {MAIN_WINDOW} GROUP BY doc_id), sub AS (SELECT h.sample_id, h.domain, h.source, coalesce(m.f0, 0) AS f0, coalesce(m.f1, 0) AS f1, coalesce(m.f2, 0) AS f2 FROM h LEFT JOIN mains m ON m.doc_id = h.sample_id),{sql.softmax_selection('x', 'sub', _FEATURES, 100, FULL_NITER)} SELECT domain, source, sample_id FROM x")
-def pipeline_difficulty_then_diversity_full(spark, sf_dir):
-    """The difficult half of each source by difficulty losses, and a diverse choice from it by main losses."""
-    pool = written(sample.apply_subset(trajs(spark, sf_dir, CKPTS, window=MAIN_WINDOW), _full_halves(spark, sf_dir).selected))
-    return select(pool, SelectionConfig(method="learnability", softmax=True, size=100, niter=FULL_NITER).merged({})).selected
-
-
-@query()
-def embedding_medoids_full(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), cluster.quantize(F.col("embedding")).alias("traj"), F.lit(0).alias("all"), F.lit(_MEDOID_K).alias("k"))
-    return cluster.medoids(cluster.lloyd(written(rows), ("all",), "k", niter=FULL_NITER), ("all",)).select("cluster_id", "sample_id")
-
-
 # -- conversations -----------------------------------------------------------------------------------------
 
 

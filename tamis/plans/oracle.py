@@ -116,3 +116,37 @@ def high_loss(tag: str, clustered: str, features: list[str]) -> str:
 {tag}_m AS (SELECT domain, source, cluster, CAST(sum({total}) AS DOUBLE) / (count(*) * {len(features)}) AS m FROM {clustered} GROUP BY ALL),
 {tag}_k AS (SELECT domain, source, cluster FROM (SELECT *, row_number() OVER (PARTITION BY domain, source ORDER BY m DESC, cluster) AS rn, count(*) OVER (PARTITION BY domain, source) AS c FROM {tag}_m) WHERE rn <= greatest(1, floor(c * 0.5))),
 {tag} AS (SELECT a.* FROM {clustered} a JOIN {tag}_k USING (domain, source, cluster))"""
+
+
+def shares(tag: str, table: str, budget: int) -> str:
+    """CTE {tag}(domain, source, n_rows, i, c, whole): strata by size, whole where all up to them fit an equal share of what is left."""
+    return f"""{tag}_s AS (SELECT domain, source, count(*) AS n_rows, row_number() OVER (ORDER BY count(*), domain, source) AS i, count(*) OVER () AS c FROM {table} GROUP BY domain, source),
+{tag}_r AS (SELECT CAST(0 AS BIGINT) AS i, CAST({budget} AS BIGINT) AS rest UNION ALL SELECT s.i, r.rest - s.n_rows FROM {tag}_r r JOIN {tag}_s s ON s.i = r.i + 1 WHERE s.n_rows <= r.rest // (s.c - s.i + 1)),
+{tag} AS (SELECT s.*, s.i <= (SELECT max(i) FROM {tag}_r) AS whole FROM {tag}_s s)"""
+
+
+def high_loss_budget(tag: str, table: str, features: list[str], k: int, budget: int, niter: int, seed: int = 42) -> str:
+    """CTE {tag}(domain, source, sample_id): small sources whole; of the rest quotas over the upper half of their clusters, highest loss first.
+
+    What a source's clusters yield of a share is a fold over their sizes, packed with the number of clusters left into one whole number.
+    """
+    total = " + ".join(features)
+    return f"""{shares(tag + '_g', table, budget)},
+{tag}_t AS (SELECT t.*, least({k}, g.n_rows) AS k FROM {table} t JOIN {tag}_g g USING (domain, source) WHERE NOT whole),
+{kmeans(tag + '_k', tag + '_t', features, niter, seed)},
+{tag}_m AS (SELECT domain, source, cluster, count(*) AS size, CAST(sum({total}) AS DOUBLE) / (count(*) * {len(features)}) AS m FROM {tag}_k GROUP BY ALL),
+{tag}_h AS (SELECT *, count(*) OVER (PARTITION BY domain, source) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY domain, source ORDER BY m DESC, cluster) AS rn, count(*) OVER (PARTITION BY domain, source) AS c FROM {tag}_m) WHERE rn <= greatest(1, floor(c * 0.5))),
+{tag}_l AS (SELECT domain, source, list(size * 1000 + kept - rn + 1 ORDER BY rn) AS packed FROM {tag}_h GROUP BY domain, source),
+{tag}_o AS (SELECT g.*, packed, row_number() OVER (ORDER BY n_rows, domain, source) AS j, count(*) OVER () AS n FROM {tag}_g g JOIN {tag}_l l USING (domain, source) WHERE NOT whole),
+{tag}_b AS (
+  SELECT CAST(0 AS BIGINT) AS j, CAST({budget} - (SELECT coalesce(sum(n_rows), 0) FROM {tag}_g WHERE whole) AS BIGINT) AS rest, '' AS domain, '' AS source, CAST(0 AS BIGINT) AS share
+  UNION ALL
+  SELECT j, CAST(rest - share + list_reduce(list_concat([share], packed), lambda a, x: a - least(x // 1000, a // (x % 1000))) AS BIGINT), domain, source, share
+  FROM (SELECT o.j, b.rest, o.domain, o.source, o.packed, CAST(least(b.rest // (o.n - o.j + 1), o.n_rows) AS BIGINT) AS share FROM {tag}_b b JOIN {tag}_o o ON o.j = b.j + 1)),
+{tag}_q AS (
+  SELECT domain, source, CAST(0 AS BIGINT) AS i, share AS rest, CAST(0 AS BIGINT) AS cluster, CAST(0 AS BIGINT) AS quota FROM {tag}_b WHERE j > 0
+  UNION ALL
+  SELECT q.domain, q.source, h.rn, q.rest - least(h.size, q.rest // (h.kept - h.rn + 1)), h.cluster, CAST(least(h.size, q.rest // (h.kept - h.rn + 1)) AS BIGINT) FROM {tag}_q q JOIN {tag}_h h ON h.domain = q.domain AND h.source = q.source AND h.rn = q.i + 1),
+{tag} AS (
+  SELECT domain, source, sample_id FROM (SELECT a.domain, a.source, a.sample_id, q.quota, row_number() OVER (PARTITION BY a.domain, a.source, a.cluster ORDER BY md5('{seed}:' || a.sample_id), a.sample_id) AS r FROM {tag}_k a JOIN {tag}_q q ON q.domain = a.domain AND q.source = a.source AND q.cluster = a.cluster AND q.i > 0) WHERE r <= quota
+  UNION ALL SELECT t.domain, t.source, t.sample_id FROM {table} t JOIN {tag}_g g USING (domain, source) WHERE whole)"""

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.functions import answers
 from tamis.operators import allocate, convert, losses, sample, score, tensors
 from tamis.operators.common import scratch_path, written
 from tamis.plans import oracle as sql
-from tamis.plans.catalog import _ITEMS, _RAW, BUDGET, CKPTS, ENDS, eval_items, params, query, raw_records, read, samples, trajs
+from tamis.plans.catalog import _ITEMS, _RAW, BUDGET, CKPTS, ENDS, MAIN_WINDOW, eval_items, params, query, raw_records, read, samples, trajs
 from tamis.plans.config import SelectionConfig
 from tamis.plans.select import select
 from tamis.schema import SAMPLES
@@ -126,6 +127,18 @@ def raw_lines_of_subset(spark, sf_dir):
     return spark.read.schema("doc_id long, text string").json(f"{path}/some").select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("WITH n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id % 5, doc_id) - 1 AS i FROM documents WHERE doc_id % 5 < 1 + doc_id % 3) SELECT CAST(i AS BIGINT) AS place, CAST(doc_id AS BIGINT) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM n WHERE i % 3 = 0")
+def raw_lines_of_folder(spark, sf_dir):
+    """The same for a folder of files of several sizes: lines are counted through the files in the order of their names."""
+    path = scratch_path(spark, "folder")
+    rows = read(spark, sf_dir, "documents").where("doc_id % 5 < 1 + doc_id % 3").select("doc_id", "text")
+    for n in range(5):
+        rows.where(F.col("doc_id") % 5 == n).orderBy("doc_id").write.json(f"{path}/file-{n}")
+    numbered = io.read_numbered(spark, f"{path}/*", T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]), "place")
+    places = spark.range(rows.count()).where("id % 3 = 0").withColumnRenamed("id", "place")
+    return sample.apply_subset(numbered, places, "place").select("place", "doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(f"WITH {_ITEMS}, w4 AS (SELECT *, string_split(text, ' ') AS x FROM benchmark WHERE len(string_split(text, ' ')) >= 4) SELECT 'src' || item_id % 3 AS source, text AS question, 'A=' || x[1] || '|B=' || x[2] AS options, substr('ABCD', item_id % 4 + 1, 1) AS answer_idx FROM w4 WHERE item_id % 3 <> 2")
 def eval_suite_file(spark, sf_dir):
     """A suite by source in one JSON file, one of whose sources is skipped."""
@@ -212,13 +225,13 @@ def hard_cap(spark, sf_dir):
     return sample.capped(read(spark, sf_dir, "documents").selectExpr("doc_id AS sample_id", "lang AS source"), 150)
 
 
-_OPPOSITE = f"WITH {sql.trajectories([1, 8])}, o AS (SELECT sample_id, f0 * 8 - f1 + (sample_id * 7919) % 1000003 AS a, f1 AS b FROM traj), r AS (SELECT sample_id, row_number() OVER (ORDER BY CAST(a + b AS DOUBLE) / 2, sample_id) - 1 AS i, count(*) OVER () AS n FROM o) SELECT sample_id FROM r WHERE i >= (n - {BUDGET}) // 2 AND i < (n - {BUDGET}) // 2 + {BUDGET}"
+_OPPOSITE = f"WITH {sql.trajectories([1, 8], MAIN_WINDOW)}, o AS (SELECT sample_id, f0 * 8 - f1 + (sample_id * 7919) % 1000003 AS a, f1 AS b FROM traj), r AS (SELECT sample_id, row_number() OVER (ORDER BY CAST(a + b AS DOUBLE) / 2, sample_id) - 1 AS i, count(*) OVER () AS n FROM o) SELECT sample_id FROM r WHERE i >= (n - {BUDGET}) // 2 AND i < (n - {BUDGET}) // 2 + {BUDGET}"
 
 
 @query(_OPPOSITE.replace(f"(n - {BUDGET})", f"(n - least({BUDGET}, n))").replace(f"+ {BUDGET}", f"+ least({BUDGET}, n)"))
 def select_middle_perplexity_of_mean(spark, sf_dir):
     """The middle by the mean over two checkpoints, whose orders differ."""
-    rows = trajs(spark, sf_dir, [1, 8])
+    rows = trajs(spark, sf_dir, [1, 8], window=MAIN_WINDOW)
     a, b = F.col("traj")[0], F.col("traj")[1]
     mixed = rows.withColumn("traj", F.array(a * 8 - b + (F.col("sample_id") * 7919) % 1000003, b))
     return select(mixed, SelectionConfig(method="middle_perplexity", size=BUDGET).merged({})).selected.select("sample_id")
@@ -228,7 +241,7 @@ def select_middle_perplexity_of_mean(spark, sf_dir):
 def select_standardized_features(spark, sf_dir):
     """The standard selection by z-scores of the first and the last loss; tested against brute force."""
     config = SelectionConfig(method="learnability", size=BUDGET, n_clusters=5, cluster_features="standardized").merged({})
-    return select(trajs(spark, sf_dir, CKPTS, keep=True), config).clusters
+    return select(trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW), config).clusters
 
 
 @query()
@@ -238,11 +251,11 @@ def select_embedding_medoids(spark, sf_dir):
     return select(pool, SelectionConfig(method="embedding", size=20).merged({})).selected
 
 
-@query(f"WITH RECURSIVE {sql.trajectories([1, 4, 8], 200)}, hard AS (SELECT doc_id, {', '.join(f'CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0) AS BIGINT) AS d{i}' for i, j in enumerate([1, 8]))} FROM tok WHERE t <= 100 GROUP BY doc_id), diff AS (SELECT d.doc_id AS sample_id, lang AS domain, lang || ':' || source AS source, coalesce(d0, 0) AS f0, coalesce(d1, 0) AS f1 FROM documents d LEFT JOIN hard USING (doc_id)),{sql.hierarchical('b', 'diff', 'f1', BUDGET)} SELECT domain, source, n_clusters, n_samples, n_rows FROM b")
+@query(f"WITH RECURSIVE {sql.trajectories([1, 4, 8], MAIN_WINDOW)}, hard AS (SELECT doc_id, {', '.join(f'CAST(coalesce(sum({sql.token_loss(j)}) // count(*), 0) AS BIGINT) AS d{i}' for i, j in enumerate([1, 8]))} FROM tok WHERE t <= 100 GROUP BY doc_id), diff AS (SELECT d.doc_id AS sample_id, lang AS domain, lang || ':' || source AS source, coalesce(d0, 0) AS f0, coalesce(d1, 0) AS f1 FROM documents d LEFT JOIN hard USING (doc_id)),{sql.hierarchical('b', 'diff', 'f1', BUDGET)} SELECT domain, source, n_clusters, n_samples, n_rows FROM b")
 def budgets_by_difficulty_losses(spark, sf_dir):
-    """Main losses of 200 tokens to cluster by, difficulty losses of 100 for the budgets."""
-    config = SelectionConfig(method="learnability", softmax=True, size=BUDGET, niter=1).merged({})
-    made = select(trajs(spark, sf_dir, CKPTS, keep=True, window=200), config, trajs(spark, sf_dir, ENDS))
+    """Main losses of 1,000 tokens to cluster by, difficulty losses of 100 for the budgets."""
+    config = SelectionConfig(method="learnability", softmax=True, size=BUDGET).merged({})
+    made = select(trajs(spark, sf_dir, CKPTS, keep=True, window=MAIN_WINDOW), config, trajs(spark, sf_dir, ENDS))
     return made.budget.select("domain", "source", "n_clusters", "n_samples", "n_rows")
 
 
@@ -254,6 +267,16 @@ def valid_token_losses(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("sample_id"), F.size(valid).cast("long").alias("n_valid"), F.round(F.aggregate(valid, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+@query("SELECT doc_id AS sample_id, array_to_string(list_filter([1, 4, 8], lambda c: (doc_id + c) % 5 = 0), ',') AS missing, CASE WHEN doc_id % 7 = 0 AND (doc_id + 4) % 5 <> 0 THEN '4' ELSE '' END AS repeated FROM documents WHERE (doc_id + 1) % 5 = 0 OR (doc_id + 4) % 5 = 0 OR (doc_id + 8) % 5 = 0 OR doc_id % 7 = 0")
+def incomplete_trajectories(spark, sf_dir):
+    """Samples that don't have each checkpoint's loss once; trajectories of them would be an error."""
+    cells = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.explode(F.array(*(F.lit(c) for c in CKPTS))).alias("ckpt")).withColumn("loss", F.col("ckpt").cast("double"))
+    there = cells.where((F.col("sample_id") + F.col("ckpt")) % 5 != 0)
+    twice = there.unionByName(there.where("ckpt = 4 AND sample_id % 7 = 0"))
+    found = losses.incomplete(twice, CKPTS)
+    return found.select("sample_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("missing", "repeated"))).where("missing <> '' OR repeated <> ''")
+
+
 @query("SELECT vec_id AS sample_id, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS loss FROM embeddings")
 def nan_losses(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 == 0, float("nan")).otherwise(F.col("embedding")[0].cast("double")).alias("x"))

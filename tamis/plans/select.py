@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import allocate, cluster, sample
 from tamis.operators.common import broadcast_if_small, written
+from tamis.operators.losses import require_rise
 from tamis.plans.config import SelectionConfig
 from tamis.schema import require
 
@@ -29,11 +30,14 @@ def softmax_budget(trajs: DataFrame, size: int, per_cluster: int = 4) -> DataFra
     return allocate.hierarchical_allocation(allocate.stratum_sums(trajs, *STRATA), size, per_cluster)
 
 
-def waterfill_budget(trajs: DataFrame, size: int, n_clusters: int) -> DataFrame:
-    """The same columns: equal shares of sources."""
+def waterfill_budget(trajs: DataFrame, size: int | None, n_clusters: int) -> DataFrame:
+    """The same columns: equal shares of sources, small ones whole. Without a size no source has a bound, and none counts as small."""
     sums = trajs.groupBy(*STRATA).agg(F.count("*").alias("size")).withColumn("key", F.to_json(F.struct(*STRATA)))
+    clusters = F.lit(n_clusters).cast("long").alias("n_clusters")
+    if size is None:
+        return sums.select(*STRATA, clusters, F.col("size").alias("n_samples"))
     shares = allocate.waterfill(sums, size, name="key")
-    return sums.join(shares, "key").select(*STRATA, F.lit(n_clusters).cast("long").alias("n_clusters"), F.col("take").alias("n_samples"))
+    return sums.join(shares, "key").select(*STRATA, clusters, F.col("take").alias("n_samples"))
 
 
 def with_rows(budget: DataFrame, trajs: DataFrame) -> DataFrame:
@@ -44,7 +48,8 @@ def with_rows(budget: DataFrame, trajs: DataFrame) -> DataFrame:
 
 def clustered(trajs: DataFrame, budget: DataFrame, config: SelectionConfig) -> DataFrame:
     """trajs of the strata with a budget, with k, n_samples and cluster_id; strata taken whole are one cluster."""
-    k = F.when(F.col("n_samples") >= F.col("n_rows"), F.lit(1)).otherwise(F.least("n_clusters", "n_rows")) if not config.all_samples else F.least("n_clusters", "n_rows")
+    bounded = config.size is not None or not config.all_samples
+    k = F.when(F.col("n_samples") >= F.col("n_rows"), F.lit(1)).otherwise(F.least("n_clusters", "n_rows")) if bounded else F.least("n_clusters", "n_rows")
     chosen = budget.where("n_samples > 0").withColumn("k", F.greatest(k, F.lit(1)))
     rows = trajs.join(broadcast_if_small(chosen, allocate.ROW_BYTES), list(STRATA))
     features = "traj"
@@ -96,19 +101,27 @@ def select(trajs: DataFrame, config: SelectionConfig, difficulty: DataFrame | No
         sums = trajs.groupBy(*STRATA).agg(F.count("*").alias("size"))
         budget = allocate.custom_budget(sums, config.sources).select(*STRATA, "n_clusters", "n_samples")
     elif config.softmax:
-        budget = softmax_budget(trajs if difficulty is None else sample.apply_subset(difficulty, trajs), size, config.n_sample_per_cluster or 4)
-    elif config.all_samples:
-        budget = waterfill_budget(trajs, 1 << 62, config.n_clusters or 2)
+        judged = trajs if difficulty is None else written(sample.apply_subset(difficulty, trajs))
+        require_rise(judged)
+        budget = softmax_budget(judged, size, config.n_sample_per_cluster or 4)
     else:
-        budget = waterfill_budget(trajs, size, config.n_clusters or 100)
+        budget = waterfill_budget(trajs, size, config.n_clusters or (2 if config.all_samples else 100))
     budget = with_rows(budget, trajs)
-    groups = clustered(trajs, budget, config)
-    if config.method == "high_loss_clusters":
-        chosen = sample.high_loss_clusters(groups, STRATA) if config.all_samples else sample.high_loss_sample(groups, STRATA, seed=seed)
+    groups = written(clustered(trajs, budget, config))
+    if config.all_samples and size is None:
+        chosen = sample.high_loss_clusters(groups, STRATA)
     else:
-        groups = written(groups)
-        whole = groups.where("n_samples >= n_rows").select(*STRATA, "sample_id")
-        chosen = sample.learnability_sample(groups.where("n_samples < n_rows"), STRATA, seed=seed).unionByName(whole)
+        # small sources are taken whole, whatever the method
+        whole, rest = groups.where("n_samples >= n_rows").select(*STRATA, "sample_id"), groups.where("n_samples < n_rows")
+        if config.method != "high_loss_clusters":
+            chosen = sample.learnability_sample(rest, STRATA, seed=seed)
+        elif config.all_samples:
+            chosen = sample.high_loss_clusters(rest, STRATA)
+        elif config.softmax or config.sources:
+            chosen = sample.high_loss_sample(rest, STRATA, seed=seed)
+        else:
+            chosen = sample.high_loss_sample(rest, STRATA, seed=seed, total=size - whole.count())
+        chosen = chosen.select(*STRATA, "sample_id").unionByName(whole)
     chosen = chosen.select(*STRATA, "sample_id")
     if config.compat and not config.softmax:
         # with compat, the middle rows by perplexity come on top of what the clusters give

@@ -5,13 +5,16 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+from functools import reduce
+from operator import and_
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.operators.common import written
+from tamis.operators.common import broadcast_if_small, written
 from tamis.operators.losses import parse_checkpoints
 
 
@@ -31,19 +34,39 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def with_line_ids(df: DataFrame, order: str | None = None, name: str = "sample_id") -> DataFrame:
-    """df with ids from 0 without gaps, by a column's order, or else in the order of reading.
+    """df with ids from 0 without gaps: by a column's order, or of rows read from files by file, then place in it.
 
-    Rows are written first, in order, so that what is counted and what is numbered are the same rows: numbered
-    within their partition and shifted by the counts of the partitions before, with no global sort in one task.
+    Files come in the order of their paths, however Spark deals and packs them: a row's id is its place in the block
+    it was read with, after the rows of all blocks before, which are counted first (a row a block). So nothing is sorted in
+    one task, and rows are written once, so that what is counted and what is numbered are the same. Filters may stand
+    between the files and this, projections may not. Rows that come from no file are numbered in the order of their partitions.
     """
-    marked = written((df if order is None else df.orderBy(order)).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = marked.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))  # one row a partition
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
-    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = marked.withColumn("__part", part).join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-    return placed.select((local + F.col("__o")).alias(name), *(c for c in df.columns if c != name))
+    place, part = F.monotonically_increasing_id().alias("__at"), F.shiftright("__at", 33)
+    if order is not None:
+        marked, block = df.orderBy(order).select("*", place), [part.alias("__b0")]
+    else:
+        try:
+            marked = df.select("*", F.col("_metadata.file_path").alias("__b0"), F.col("_metadata.file_block_start").alias("__b1"), place)
+            block = ["__b0", "__b1"]
+        except AnalysisException as error:
+            if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+            marked, block = df.select("*", place), [part.alias("__b0")]
+    marked = written(marked)
+    counts = marked.groupBy(*block).agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    names = [c for c in ("__b0", "__b1") if c in counts.columns]
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = written(counts.select(*(F.col(c).alias(f"{c}_") for c in names), (before - F.col("first")).alias("__shift")))
+    keys = {c: (part if c == "__b0" and len(names) == 1 else F.col(c)) for c in names}
+    met = reduce(and_, (keys[c] == F.col(f"{c}_") for c in names))
+    return marked.join(broadcast_if_small(shifts, 512), met).select((F.col("__at") + F.col("__shift")).alias(name), *(c for c in df.columns if c != name))
+
+
+def read_numbered(spark: SparkSession, path: str, schema: T.StructType, name: str = "sample_id") -> DataFrame:
+    """Samples of JSON lines with their line's place as id: over all files of a folder, blank lines left out."""
+    lines = with_line_ids(spark.read.text(path).where(F.trim("value") != ""), name="__id")
+    rows = lines.select("__id", F.from_json("value", schema).alias("r"))
+    return rows.select(F.col("__id").alias(name), *(F.col("r")[f.name].alias(f.name) for f in schema.fields if f.name != name))
 
 
 def checkpoint_number(path: Column) -> Column:
@@ -110,7 +133,7 @@ def write_selected(samples: DataFrame, subset: DataFrame, path: str, ident: str
 
 
 def write_raw_subset(spark: SparkSession, lines: str, subset: DataFrame, path: str, ident: str = "sample_id") -> None:
-    """The lines of a JSON lines file whose places (from 0, blank lines left out) are in a subset, as they are and in their order."""
+    """The lines of a JSON lines file, or a folder of them, whose places (from 0, blank lines left out) are in a subset, as they are and in their order."""
     numbered = with_line_ids(spark.read.text(lines).where(F.trim("value") != ""), name=ident)
     kept = numbered.join(subset.select(ident), ident, "left_semi").orderBy(ident)
     kept.select("value").write.mode("errorifexists").text(path)

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.functions import answers
 from tamis.operators import allocate, cluster, convert, losses, sample, score, tensors
@@ -157,6 +158,8 @@ def test_high_loss_keeps_upper_half(spark):
     df = spark.createDataFrame(rows, "sample_id long, domain string, source string, cluster_id int, traj array<bigint>")
     kept = {(r.source, r.cluster_id) for r in sample.high_loss_clusters(df, ("domain", "source")).collect()}
     assert kept == {("s", 4), ("s", 3), ("t", 0)}
+    plan = cluster.standardize_ends(df, ("domain", "source"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
     some = sample.high_loss_sample(df.withColumn("n_samples", F.lit(3)), ("domain", "source")).collect()
     assert len([r for r in some if r.source == "s"]) == 3
 
@@ -364,6 +367,62 @@ def test_difficulty_losses_give_the_budget(spark):
     assert share(select(df, config, hard)) >= 39 and share(select(df, config)) < 30
 
 
+def test_lines_of_several_files_are_numbered_in_their_order(spark, tmp_path):
+    sizes = {"a": 2, "b": 50, "c": 0, "d": 400, "e": 7}
+    want = []
+    for name, n in sizes.items():
+        lines = [f'{{"v": "{name}{i}"}}' for i in range(n)]
+        want += [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # files in several blocks, dealt by size
+    try:
+        schema = T.StructType([T.StructField("v", T.StringType())])
+        got = sorted((r.sample_id, r.v) for r in io.read_numbered(spark, str(tmp_path), schema).collect())
+        assert got == list(enumerate(want))
+        places = spark.createDataFrame([(0,), (2,), (51,), (52,), (458,)], "sample_id long")
+        io.write_raw_subset(spark, str(tmp_path), places, str(tmp_path / "out"))
+        assert sorted(r.v for r in spark.read.schema("v string").json(str(tmp_path / "out")).collect()) == sorted(["a0", "b0", "b49", "d0", "e6"])
+        spark.createDataFrame([(x,) for x in want], "v string").repartition(3).write.parquet(str(tmp_path / "p"))
+        rows = io.with_line_ids(spark.read.parquet(str(tmp_path / "p"))).collect()
+        assert sorted(r.sample_id for r in rows) == list(range(len(want))) and sorted(r.v for r in rows) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_incomplete_trajectories_are_errors(spark):
+    full = [(i, c, float(10 * i + c)) for i in (1, 2) for c in (1, 4, 8)]
+    df = spark.createDataFrame(full, "sample_id long, ckpt int, loss double")
+    assert {r.sample_id: r.traj for r in losses.trajectories(df, checkpoints=[8, 4, 1]).collect()} == {1: [11.0, 14.0, 18.0], 2: [21.0, 24.0, 28.0]}
+    assert losses.incomplete(df, [1, 4, 8]).count() == 0
+    lacking = df.where("NOT (sample_id = 2 AND ckpt = 4)").unionByName(df.where("sample_id = 1 AND ckpt = 8"))
+    for broken in (lacking, lacking.where("sample_id = 1")):
+        with pytest.raises(Exception, match="sample_id"):
+            losses.trajectories(broken, checkpoints=[1, 4, 8]).collect()
+    assert sorted((r.sample_id, r.missing, r.repeated) for r in losses.incomplete(lacking, [1, 4, 8]).collect()) == [(1, [], [8]), (2, [4], [])]
+    ragged = spark.createDataFrame([(1, [1, 2], 1), (2, [1, 2, 3, 4], 1)], "sample_id long, traj array<bigint>, k int").withColumn("s", F.lit(0))
+    with pytest.raises(ValueError, match="from 2 to 4 features"):
+        cluster.lloyd(ragged, ("s",), "k")
+
+
+def test_high_loss_quotas_go_by_loss_and_carry_over(spark):
+    kept = spark.createDataFrame([("d", "s", 0, 9, 1, 10), ("d", "s", 1, 2, 2, 10)], "domain string, source string, cluster_id int, size long, rank int, n_samples long")
+    got = {r.cluster_id: r.quota for r in allocate.ordered_quotas(kept, ("domain", "source"), "rank").collect()}
+    assert got == {0: 5, 1: 2}  # 7 of 10: what the last cluster can't use is dropped
+    rows = [("d", "a", 0, 3, 1, 20), ("d", "b", 0, 9, 1, 30), ("d", "b", 1, 40, 2, 30), ("e", "c", 0, 50, 1, 60)]
+    df = spark.createDataFrame(rows, "domain string, source string, cluster_id int, size long, rank int, n_rows long")
+    got = {(r.source, r.cluster_id): r.quota for r in allocate.carried_quotas(df, ("domain", "source"), 60, "rank").collect()}
+    assert got == {("a", 0): 3, ("b", 0): 9, ("b", 1): 19, ("c", 0): 29}  # a leaves 17 of its 20 to b and c
+
+
+def test_the_guard_on_means_is_part_of_a_selection_by_softmax(spark):
+    df = pool(spark)
+    falling = df.withColumn("traj", F.reverse("traj"))
+    config = SelectionConfig(method="learnability", softmax=True, size=20, niter=2).merged({})
+    with pytest.raises(ValueError, match="highest mean loss"):
+        select(falling, config)
+    assert select(falling, config, df).selected.count() == 20  # it is about the losses that budgets come from
+
+
 def test_ids_of_lines_have_no_gaps(spark):
     df = spark.range(1000).withColumn("x", F.xxhash64("id")).repartition(7, "x")
     got = sorted((r.n, r.x) for r in io.with_line_ids(df.where("id % 3 > 0"), order="x", name="n").collect())
@@ -565,7 +624,7 @@ def test_files(spark, tmp_path):
     assert one(io.find_metrics(spark, str(tmp_path / "runs"))).run == "r1"
 
 
-def test_names():
+def test_versions_suffixes_and_runs():
     assert io.next_version(["version_2", "x", "version_10"]) == "version_11" and io.next_version([]) == "version_0"
     assert [io.token_suffix(n) for n in (100, 1000, -1)] == ["100", "1k", "full"]
     assert io.run_name("learnability", 1000, 42, "1-8", "my-hard_set", True) == "learnability-ckpt1-8-sub-mhs-softmax-n1000-seed42"
@@ -598,7 +657,7 @@ def test_full_queries_run_twenty_rounds_over_the_main_window(spark):
     from tamis.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    got = {r.sample_id: (r.cluster_id, r.dist) for r in catalog.QUERIES["kmeans_lloyd_losses_full"](spark, sf).collect()}
+    got = {r.sample_id: (r.cluster_id, r.dist) for r in catalog.queries()["kmeans_lloyd_losses"](spark, sf).collect()}
     points = {}
     for r in losses.surrogate_trajectories(catalog.samples(spark, sf), catalog.CKPTS, 1000).collect():
         points.setdefault(r.domain, {})[r.sample_id] = list(r.traj)
@@ -608,4 +667,4 @@ def test_full_queries_run_twenty_rounds_over_the_main_window(spark):
     best = {}
     for i, (n, d) in brute_lloyd(vectors, 10, 20).items():
         best[n] = min(best.get(n, (d, i)), (d, i))
-    assert {r.cluster_id: r.sample_id for r in catalog.QUERIES["embedding_medoids_full"](spark, sf).collect()} == {n: i for n, (_, i) in best.items()}
+    assert {r.cluster_id: r.sample_id for r in catalog.queries()["embedding_medoids"](spark, sf).collect()} == {n: i for n, (_, i) in best.items()}
