@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.answers import match_choice
+from tamis.functions.answers import with_choice
 
 #: The order of the columns in reports.
 MEDICAL_ORDER = ("MedMCQA_validation", "MedQA_USLME_test", "PubMedQA_test", "MMLU-Pro_Medical_test", "GPQA_Medical_test", "Lancet", "MedBullets_op4", "MedBullets_op5", "MedXpertQA", "NEJM")
@@ -21,13 +21,13 @@ def exact_match(extracted: Column, letter: Column, answer: Column) -> Column:
 def scored(results: DataFrame) -> DataFrame:
     """correct, extracted_answer, answer, source, option_str, question, matched_letter.
 
-    The option is matched only where the exact rules fail; a conditional would not keep Python from running
-    on the other rows, so they are given null texts, which cost nothing.
+    The option is matched only where the exact rules fail, and by similarity only where the strict ones do too; a conditional
+    would not keep Python from running on the other rows, so they are given null texts, which cost nothing.
     """
     exact = F.coalesce(exact_match(F.col("extracted_answer"), F.col("answer_idx"), F.col("answer")), F.lit(False))
     rows = results.withColumn("__exact", exact)
-    matched = match_choice(F.when(~F.col("__exact"), F.col("extracted_answer")), F.when(~F.col("__exact"), F.col("option_str")))
-    rows = rows.withColumn("matched_letter", matched)
+    asked = [F.when(~F.col("__exact"), F.col(c)) for c in ("extracted_answer", "option_str")]
+    rows = with_choice(rows, *asked, "matched_letter")
     correct = F.col("__exact") | F.coalesce(F.lower("matched_letter") == F.lower("answer_idx"), F.lit(False))
     return rows.select(correct.alias("correct"), "extracted_answer", "answer", "source", "option_str", "question", "matched_letter")
 

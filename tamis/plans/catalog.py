@@ -418,7 +418,7 @@ def extract_boxed(spark, sf_dir):
     """Boxed answers plain, in \\text, and after an equals sign."""
     items, kind = eval_items(spark, sf_dir), F.col("item_id") % 3
     text = F.when(kind == 0, F.concat(F.lit("first \\boxed{no}, then \\boxed{"), "answer", F.lit("} done"))).when(kind == 1, F.concat(F.lit("so \\boxed{\\text{"), "answer_idx", F.lit(". "), "answer", F.lit("}}"))).otherwise(F.concat(F.lit("\\boxed{y = z = x"), "answer", F.lit("}")))
-    return items.select("item_id", answers.extract_answer(text).alias("boxed"))
+    return items.select("item_id", answers.boxed(text).alias("boxed"))
 
 
 @query()

@@ -335,9 +335,21 @@ def question_prompts(spark, sf_dir):
 def strict_choices(spark, sf_dir):
     """Answers whose letter is stated outright, and boxed ones: the strict parts of matching, which SQL can express."""
     items = eval_items(spark, sf_dir)
-    stated = answers.match_choice(F.concat(F.lit("One thinks A, but the answer is "), "answer_idx"), F.col("option_str"))
+    stated = answers.strict_choice(F.concat(F.lit("One thinks A, but the answer is "), "answer_idx"), F.col("option_str"))
     texts = F.aggregate("options", F.lit(""), lambda a, o: F.when(o["letter"] == F.col("__l"), o["text"]).otherwise(a))
-    return items.withColumn("__l", stated).select("item_id", texts.alias("stated"), answers.extract_answer(F.concat(F.lit("so \\boxed{"), "answer_idx", F.lit("}"))).alias("boxed"))
+    return items.withColumn("__l", stated).select("item_id", texts.alias("stated"), answers.boxed(F.concat(F.lit("so \\boxed{"), "answer_idx", F.lit("}"))).alias("boxed"))
+
+
+_SHAPES = """CASE item_id % 6 WHEN 0 THEN '我选' || answer_idx || '项' WHEN 1 THEN 'Not A or B; (' || answer_idx || ').' WHEN 2 THEN 'A patient had it: "' || answer_idx || '"' WHEN 3 THEN 'answer is A, no: the answer is  ' || answer_idx
+  WHEN 4 THEN 'it is A' || chr(10) || '## Final Response' || chr(10) || chr(10) || 'it is ' || answer_idx ELSE '*' || answer_idx || '*' END"""
+
+
+@query(f"WITH {_ITEMS} SELECT item_id, {_SHAPES} AS said, answer_idx AS letter, '\\frac{{' || answer || '}}{{{{' || item_id || '}}}}' AS nested FROM items")
+def delimited_choices(spark, sf_dir):
+    """Letters between delimiters of several kinds, after the final mark, and boxes in boxes; no Python."""
+    items = eval_items(spark, sf_dir).withColumn("said", F.expr(_SHAPES.replace("chr(10)", "char(10)")))
+    box = F.concat(F.lit("\\boxed{no} so \\boxed{\\text{\\frac{"), "answer", F.lit("}{{"), F.col("item_id").cast("string"), F.lit("}}}} and } {"))
+    return items.select("item_id", "said", answers.strict_choice(F.col("said"), F.col("option_str")).alias("letter"), answers.boxed(box).alias("nested"))
 
 
 # -- tensors -----------------------------------------------------------------------------------------------

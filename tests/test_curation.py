@@ -520,6 +520,43 @@ def test_choices(text, want):
     assert answers.chosen_letter(text, OPTIONS) == want
 
 
+def random_texts(alphabet, n, most, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for _ in range(n)]
+
+
+def test_boxes_as_expressions(spark):
+    texts = [None, "", "\\boxed{a = {b = c}}", "{}}\\boxed{é{}}", "\\fbox{\\text{x}}", "\\boxed", "\\boxed{}", "\\text{ a=  b}", "🤦\\boxed{🤦} }"] + random_texts(["\\boxed", "\\fbox", "\\text", "{", "}", "{", "}", "=", " ", "x", "é"], 3000, 14, 1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", answers.boxed(F.col("t")).alias("b"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.b for r in df.collect()} == {i: answers.boxed_answer(t) for i, t in enumerate(texts)}
+
+
+def test_choices_as_expressions(spark):
+    parts = ["answer is", "is ", "A", "B", "C", "D", "A ", "a ", " ", "\n", "中", "是", "项", "é", "_", "1", "½", "\u0301", "*", "(", ")", "'", '"', "#", ".", "\x1c", "## Final Response\n\n", "aspirin", "IBUPROFEN", "code", "x"]
+    lines = ["A. aspirin\nB. ibuprofen\nC. codeine", "A. x\nB. aspirin\n  A. y. z \nnothing", "", "no options", "A. \nB. b", None, "D. code\nB. Code"]
+    rows = [(i, t, lines[i % len(lines)]) for i, t in enumerate([None, *random_texts(parts, 4000, 9, 2)])]
+    df = spark.createDataFrame(rows, "i int, t string, o string")
+    strict = df.select(answers.strict_choice(F.col("t"), F.col("o")).alias("c"))
+    assert "Python" not in strict._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.c for r in answers.with_choice(df, F.col("t"), F.col("o"), "c").collect()}
+    assert {i: c for i, c in got.items() if c != answers.chosen_letter(*rows[i][1:])} == {}
+
+
+def test_closest_is_the_full_comparison(spark):
+    import difflib
+
+    rng = random.Random(3)
+    for _ in range(400):
+        options = random_texts("abcd ", rng.randint(1, 6), 12, rng.random())
+        target = rng.choice([*options, "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 40)))])
+        ratios = [difflib.SequenceMatcher(None, o, target).ratio() for o in options]
+        assert answers.closest(options, target) == max(range(len(options)), key=lambda i: (ratios[i], i))
+    began = time.perf_counter()
+    long = " ".join(random_texts("abcdefghijklmnopqrstuvwxyz", 15_000, 12, 4))[:100_000]
+    assert answers.closest([long[:200], "zz" * 50, "quite another", long[500:600]], long) in range(4) and time.perf_counter() - began < 10
+
+
 def test_scoring(spark):
     rows = [("Aspirin", "A", "aspirin", "s"), ("a. aspirin", "A", "aspirin", "s"), ("a", "A", "aspirin", "s"), ("The answer is A", "A", "aspirin", "t"), ("codeine", "A", "aspirin", "t"), (None, "A", "aspirin", "t")]
     df = spark.createDataFrame([(*r, OPTIONS, "q") for r in rows], "extracted_answer string, answer_idx string, answer string, source string, option_str string, question string")
