@@ -13,7 +13,9 @@ aren't taken for it.
 
 Besides, elements whose meaning the standard gives (scripts, styles, menus, headers, footers, asides, forms,
 and their roles) are no text. Class names and ids are hints only: one counts if all of its words are on a list, never
-for an article or its headings; ids count outside of articles alone. A page that would have no text left keeps the
+for an article or its headings; ids count outside of articles alone. Readers' comments may stand in an article or call themselves articles,
+under names of any other words: there a container goes by a single word in its class or id, unless the name tells whether an
+article is open to comments. Notices of cookies go by their names anywhere. A page that would have no text left keeps the
 largest of the forms and named elements that hold paragraphs or headings.
 
 Counts are combined in each batch and before the shuffle, so a host with a third of all pages is no hot spot.
@@ -77,6 +79,13 @@ NOT_TEXT_NAMES = frozenset(
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary legend".split())
 #: Words that a name may have besides; with any other word it is no hint.
 FRAME_NAMES = frozenset("area article bar block body box button buttons col column container content desktop entry fixed global group inner item items js link links list main mobile outer page panel post primary row secondary section site slot sticky text top bottom left right unit user wrap wrapper".split())
+#: Readers' comments: a name with such a word marks a container of them, whatever its other words, but for those that tell an article's state.
+COMMENT_NAMES, COMMENT_IDS = frozenset("comment comments commentlist commenter commenters disqus respond replies".split()), frozenset("comment comments commentlist disqus respond".split())
+STATE_NAMES = frozenset("allowed closed count disabled enabled feed has hidden no number off on open opened without".split())
+#: Words that notices of cookies and consent have besides.
+CONSENT_NAMES, CONSENT_WORDS = frozenset("cookie cookies gdpr consent ccpa".split()), frozenset("accept bar compliance eu info law manager message policy preferences prompt settings statement warning".split())
+#: Elements that hold other blocks.
+CONTAINERS = frozenset("div section article ol ul li dl table center details".split())
 #: Numbers with what may stand between them in dates and times, and the names of months between numbers, in the corpus's languages.
 NUMBER = regex.compile(r"\d[\d.,:/-]*")
 MONTHS = r"(?:jan|f[e\u00e9]v|feb|m[a\u00e4]r|a[pvb]r|ma[iy]|ju[nli]|a[ug][go]|ao[u\u00fb]|sep|o[kc]t|nov|d[e\u00e9i][zc]|ene)\p{L}*\.?"
@@ -115,11 +124,22 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+@functools.lru_cache(4096)
+def words_of(names: str) -> tuple[frozenset[str], ...]:
+    """The words of each name, without numbers."""
+    return tuple(frozenset(part.lower() for part in NAME_PART.findall(one) if not part.isdigit()) for one in names.split())
+
+
+def for_readers(classes: str, ids: str) -> bool:
+    """Whether a container's names say that it holds readers' comments, or a notice of cookies."""
+    comments = any(w & kinds and not w & STATE_NAMES for kinds, names in ((COMMENT_NAMES, classes), (COMMENT_IDS, ids)) for w in words_of(names))
+    return comments or any(w & CONSENT_NAMES and len(w) > 1 and w <= CONSENT_NAMES | CONSENT_WORDS | NOT_TEXT_NAMES | FRAME_NAMES for w in words_of(f"{classes} {ids}"))
+
+
 @functools.lru_cache(4096)
 def named(names: str) -> bool:
     """Whether one of the names says by all of its words that an element is no text."""
-    words = ({part.lower() for part in NAME_PART.findall(one) if not part.isdigit()} for one in names.split())
-    return any(w & NOT_TEXT_NAMES and w <= NOT_TEXT_NAMES | FRAME_NAMES for w in words)
+    return any(w & NOT_TEXT_NAMES and w <= NOT_TEXT_NAMES | FRAME_NAMES for w in words_of(names))
 
 
 def role_of(name: str, attrs: str, in_article: bool) -> tuple[int, bool]:
@@ -130,6 +150,8 @@ def role_of(name: str, attrs: str, in_article: bool) -> tuple[int, bool]:
     if name in NOT_TEXT or "hidden" in given or given.get("aria-hidden") == "true" or name == "header" and not in_article:
         return NEVER, False
     hinted = name not in HEADINGS and (named(given.get("class", "")) or not in_article and named(given.get("id", "")))
+    if name in CONTAINERS and for_readers(given.get("class", ""), given.get("id", "")):
+        return SPARE, False
     if name == "form" or role in NOT_TEXT_ROLES or hinted and name not in ("html", "body") and not (marks and not in_article):
         return SPARE, False
     return TEXT, marks

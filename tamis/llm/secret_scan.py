@@ -3,7 +3,7 @@
 Every historical version of every path is addressed by the SHA-256 of its content: a paths table has a row (path,
 version, blob) for each. The ledger has a row (blob, rule_version, findings) for every blob and rule version that was
 scanned, clean ones with no findings. Of a new batch only the pairs that the ledger lacks are scanned, each once,
-and appended to it; the findings are joined back to all paths. A blob that a third of all rows share is combined before
+and appended to it; the findings are joined back to all paths. A rule version is a hash of the rules. Appending what is there already changes no result. A blob that a third of all rows share is combined before
 the shuffle and scanned once; where findings meet their paths, such blobs are dealt in parts.
 
 Spans are code points, ends exclusive. Their positions come from the lengths of the pieces between matches
@@ -15,6 +15,7 @@ columns pass through whatever their names; earlier columns of the outputs' names
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -41,7 +42,12 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
-RULES_VERSION = "1"
+
+
+def rules_version(rules: tuple[Rule, ...] = RULES) -> str:
+    """What stands for a set of rules in the ledger: a hash of all that makes them, so that other rules never meet these findings."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
+
 
 FINDINGS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 LEDGER = f"blob string, findings {FINDINGS}, rule_version string"
@@ -83,8 +89,9 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), span))).cast(FINDINGS).alias("findings"))
 
 
-def extend_ledger(addressed: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """The ledger's new rows (blob, rule_version, findings) for the blobs (blob, content) that it lacks at this version."""
+def extend_ledger(addressed: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's new rows (blob, rule_version, findings) for the blobs (blob, content) that it lacks for these rules."""
+    version = rules_version(rules)
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == version).select("blob").distinct()
         addressed = addressed.join(known, "blob", "left_anti")
@@ -107,28 +114,28 @@ def append_ledger(rows: DataFrame, folder: str) -> None:
     rows.select("blob", "findings", "rule_version").write.mode("append").partitionBy("rule_version").parquet(folder)
 
 
-def with_findings(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULES_VERSION) -> DataFrame:
-    """df with blob and findings, from a ledger that has all of its blobs."""
+def with_findings(df: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """df with blob and findings, from a ledger that has all of its blobs; rows of the ledger that repeat, as after overlapping runs, count once."""
     names = [c for c in df.columns if c not in ("findings", "blob")]
-    found = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), "findings")
+    found = ledger.where((F.col("rule_version") == rules_version(rules)) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), "findings").dropDuplicates(["__blob"])
     rows = df.select(*names, address(F.col(text)).alias("blob"))
     joined = join_in_parts(rows, broadcast_if_small(found, LEDGER_ROW_BYTES), {"blob": "__blob"})
     return joined.select(*names, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
-def scan(df: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """df with blob and findings, sorted by start and kind; blobs that the ledger has at this version aren't scanned."""
+def scan(df: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """df with blob and findings, sorted by start and kind; blobs that the ledger has for these rules aren't scanned."""
     addressed = df.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    rows = written(extend_ledger(addressed, ledger, rules, version))
-    return with_findings(df, rows if ledger is None else rows.unionByName(ledger.select("blob", "rule_version", "findings")), text, version)
+    rows = written(extend_ledger(addressed, ledger, rules))
+    return with_findings(df, rows if ledger is None else rows.unionByName(ledger.select("blob", "rule_version", "findings")), text, rules)
 
 
-def scan_increment(df: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
+def scan_increment(df: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """As scan(), with the ledger of a folder: what it lacks is scanned and appended, then df is joined with it."""
     spark = df.sparkSession
     addressed = df.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    append_ledger(extend_ledger(addressed, read_ledger(spark, folder), rules, version), folder)
-    return with_findings(df, read_ledger(spark, folder), text, version)
+    append_ledger(extend_ledger(addressed, read_ledger(spark, folder), rules), folder)
+    return with_findings(df, read_ledger(spark, folder), text, rules)
 
 
 def joined_spans(findings: Column) -> Column:

@@ -93,7 +93,11 @@ def test_the_ledger_spares_blobs_it_has(spark):
     later = spark.createDataFrame([(3, "token=abcdefgh"), (4, "secret=abcdefgh")], "doc_id long, text string")
     kinds = {r.doc_id: [f.kind for f in r.findings] for r in secret_scan.scan(later, ledger=marked).collect()}
     assert kinds == {3: ["kept"], 4: ["assign"]}
-    assert {r.doc_id: len(r.findings) for r in secret_scan.scan(later, ledger=marked, version="2").collect()} == {3: 1, 4: 1}
+    other = (*secret_scan.RULES, secret_scan.Rule("word", "abcd", 0, 4))  # the findings of other rules are never taken
+    kinds = {r.doc_id: sorted(f.kind for f in r.findings) for r in secret_scan.scan(later, ledger=marked, rules=other).collect()}
+    assert kinds == {3: ["assign", "word"], 4: ["assign", "word"]}
+    twice = secret_scan.scan(later, ledger=ledger.unionByName(ledger)).collect()  # as after overlapping runs
+    assert sorted((r.doc_id, len(r.findings)) for r in twice) == [(3, 1), (4, 1)]
     assert secret_scan.extend_ledger(addressed, ledger).count() == 0
 
 
@@ -121,11 +125,14 @@ def test_increments_scan_unseen_blobs_only(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame(sum(batches, []), "file string, rev int, text string")
     where = secret_scan.paths(df, "file", "rev").join(ledger.where("size(findings) > 0"), "blob")
     assert sorted((r.path, r.version) for r in where.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 1)]
+    # a repeated append changes no result, and the next increment scans nothing
+    secret_scan.append_ledger(spark.createDataFrame(ledger.collect(), secret_scan.LEDGER), folder)
+    assert len(secret_scan.scan_increment(df, folder).collect()) == df.count() and scanned.pop() == []
     # a new rule version scans every blob once more, and the old rows stay
     rules = (*secret_scan.RULES, secret_scan.Rule("word", "nothing", 0, 3))
-    again = secret_scan.scan_increment(df, folder, rules=rules, version="2")
+    again = secret_scan.scan_increment(df, folder, rules=rules)
     assert scanned[-1] == sorted([clean, one, two, ""]) and {len(r.findings) for r in again.where("text = 'nothing here'").collect()} == {1}
-    assert secret_scan.read_ledger(spark, folder).count() == 8
+    assert secret_scan.read_ledger(spark, folder).count() == 12
 
 
 def test_a_second_run_of_the_query_scans_nothing(spark, sf, monkeypatch, tmp_path):

@@ -242,6 +242,39 @@ def test_hostile_pages_take_seconds(page):
     assert time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize(
+    "extra",
+    [
+        '<div id="comments"><h3>2 replies</h3><div><p>Nice read</p></div></div>',
+        '<div class="reader-comments"><p>Nice read</p></div>',
+        '<section class="comment-thread"><div class="c"><p>Nice read</p></div></section>',
+        '<ol class="commentlist"><li id="comment-12"><p>Nice read</p></li></ol>',
+        '<div id="respond"><p>Nice read</p></div>',
+        '<div id="disqus_thread"><p>Nice read</p></div>',
+        '<div class="cookie-law-info-bar"><p>Nice read</p></div>',
+        '<div id="cookie-notice"><p>Nice read</p></div>',
+        '<div class="gdpr consent-manager"><p>Nice read</p></div>',
+    ],
+)
+@pytest.mark.parametrize("frame", ["<main><h1>T</h1><p>Body text.</p>{}</main>", "<article><h1>T</h1><p>Body text.</p></article>{}", '<article class="post comments-open has-comments"><h1>T</h1><p>Body text.</p>{}</article>'])
+def test_comments_and_notices_go_wherever_they_stand(extra, frame):
+    none = np.empty(0, np.int64)
+    assert html_text.main_text(frame.replace("{}", extra), none, none, none) == "T\n\nBody text."
+
+
+def test_comments_that_are_articles_go_too():
+    none = np.empty(0, np.int64)
+    page = '<article><p>Body text.</p></article><article class="comment"><p>Nice read</p></article><article id="comment-7" class="even"><p>So so</p></article>'
+    assert html_text.main_text(page, none, none, none) == "Body text."
+
+
+@pytest.mark.parametrize("kept", ['<section id="discussion"><p>Kept</p></section>', '<h2 id="search-results">Kept</h2>', '<p id="privacy-law">Kept</p>', '<div class="related-work"><p>Kept</p></div>', '<div class="cookie"><p>Kept</p></div>', '<div class="cookie-recipes"><p>Kept</p></div>', '<div class="commentary"><p>Kept</p></div>', '<p class="reader-comments-quoted">Kept</p>', '<h2 id="comments">Kept</h2>', '<div class="comments-closed"><p>Kept</p></div>'])
+def test_names_in_articles_do_not_take_text(kept):
+    none = np.empty(0, np.int64)
+    want = "Body text." if 'class="cookie"' in kept else "Body text.\n\nKept"
+    assert html_text.main_text(f"<article><p>Body text.</p>{kept}</article>", none, none, none) == want
+
+
 def test_html_query(spark, sf):
     from tamis.llm.queries import QUERIES
 
