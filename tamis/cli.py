@@ -104,12 +104,13 @@ def run_select(spark: SparkSession, args: argparse.Namespace) -> None:
             difficulty = strata.join(trajectories_of(spark, args, config, args.difficulty_losses or args.losses, args.difficulty_window or args.window), "sample_id")
     result = select(pool, config, difficulty)
     chosen = written(result.selected.select("sample_id"))
-    io.write_subset(chosen, f"{args.output}/labeled_idx")
-    io.write_selected(samples, chosen, f"{args.output}/labeled")
-    if args.dump_losses and "traj" in pool.columns:
-        io.write_loss_matrix(pool, f"{args.output}/loss")
-    if result.clusters is not None and "source" in result.clusters.columns:
-        io.write_clusters(result.clusters.select(*(c for c in ("domain", "source", "sample_id", "cluster_id") if c in result.clusters.columns)), f"{args.output}/clusters")
+    with io.staged(spark, args.output) as folder:
+        io.write_subset(chosen, f"{folder}/labeled_idx")
+        io.write_selected(samples, chosen, f"{folder}/labeled")
+        if args.dump_losses and "traj" in pool.columns:
+            io.write_loss_matrix(pool, f"{folder}/loss")
+        if result.clusters is not None and "source" in result.clusters.columns:
+            io.write_clusters(result.clusters.select(*(c for c in ("domain", "source", "sample_id", "cluster_id") if c in result.clusters.columns)), f"{folder}/clusters")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class LossProvider(Protocol):
@@ -64,6 +66,69 @@ def embeddings(samples: DataFrame, factory: Callable[[], EmbeddingProvider]) ->
     return samples.select("sample_id", "text").mapInPandas(run, "sample_id long, embedding array<float>")
 
 
+# -- scoring that goes on where it stopped -----------------------------------------------------------------
+
+#: Characters that a model gets at once; a longer text goes alone.
+BATCH_CHARS = 1 << 16
+TOKEN_LOSSES = "ckpt int, sample_id long, losses array<float>"
+
+
+def by_length(lengths: list[int], most: int = BATCH_CHARS) -> list[list[int]]:
+    """Places in batches of like lengths whose sum, padded to the longest, is within `most`."""
+    batches: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if batches and (len(batches[-1]) + 1) * max(lengths[i], 1) <= most:
+            batches[-1].append(i)
+        else:
+            batches.append([i])
+    return batches
+
+
+def stored_losses(spark: SparkSession, path: str) -> DataFrame:
+    """The loss table of a folder, a row for each checkpoint and sample however often it was stored; empty if there is none yet."""
+    try:
+        return spark.read.schema(TOKEN_LOSSES).parquet(path).select("ckpt", "sample_id", "losses").dropDuplicates(["ckpt", "sample_id"])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TOKEN_LOSSES)
+
+
+def pending(samples: DataFrame, checkpoints: list[int], path: str) -> DataFrame:
+    """ckpt and the samples that the loss table of a folder lacks at it."""
+    wanted = samples.withColumn("ckpt", F.explode(F.array(*(F.lit(c) for c in checkpoints)))).withColumn("ckpt", F.col("ckpt").cast("int"))
+    return wanted.join(stored_losses(samples.sparkSession, path).select("ckpt", "sample_id"), ["ckpt", "sample_id"], "left_anti")
+
+
+def store_token_losses(samples: DataFrame, factory: Callable[[int], LossProvider], checkpoints: list[int], path: str, most: int = -1) -> dict[int, int]:
+    """Scores what the loss table of a folder lacks of samples (sample_id, prompt, response), and adds it; the rows scored by checkpoint.
+
+    A checkpoint's provider, factory(checkpoint), is made once a task, and only where samples are left. Finished checkpoints cost a look at
+    their ids; a run that was cut off goes on with what it hadn't stored, as a checkpoint's rows become visible when they are all written. Texts of like
+    lengths go to the model together.
+    """
+    scored: dict[int, int] = {}
+    for checkpoint in sorted(checkpoints):
+        left = pending(samples, [checkpoint], path)
+        n = left.count()
+        if n:
+
+            def run(batches: Iterator[pd.DataFrame], checkpoint: int = checkpoint) -> Iterator[pd.DataFrame]:
+                provider = None
+                for batch in batches:
+                    if len(batch):
+                        provider = provider or factory(checkpoint)
+                        prompts, responses = batch["prompt"].fillna("").tolist(), batch["response"].fillna("").tolist()
+                        for at in by_length([len(p) + len(r) for p, r in zip(prompts, responses, strict=True)]):
+                            made = provider.losses([prompts[i] for i in at], [responses[i] for i in at], most)
+                            yield pd.DataFrame({"sample_id": batch["sample_id"].iloc[at].to_numpy(), "losses": made})
+
+            rows = left.select("sample_id", "prompt", "response").mapInPandas(run, "sample_id long, losses array<float>")
+            rows.write.mode("append").parquet(f"{path}/ckpt={checkpoint}")
+            scored[checkpoint] = n
+    return scored
+
+
 @dataclass(frozen=True)
 class ThinkSettings:
     """Token budget, how often to think on below it, and the texts for that and for the end of thinking."""

@@ -108,6 +108,90 @@ def directional_step(params: DataFrame, unit: DataFrame, size: float, seed: int,
     return moved.select(*(value.alias(c) if c == "value" else c for c in params.columns))
 
 
+# -- in blocks ---------------------------------------------------------------------------------------------
+
+#: Elements of a block.
+BLOCK = 4_096
+
+
+def blocked(params: DataFrame, size: int = BLOCK) -> DataFrame:
+    """model, name, block, values: the elements of a tensor in arrays of `size`; a gap between elements is an error.
+
+    For tables by element; a large model is better read into blocks in the first place, as what follows moves blocks only.
+    """
+    rows = params.groupBy("model", "name", F.expr(f"idx div {size}").alias("block")).agg(F.array_sort(F.collect_list(F.struct((F.col("idx") % size).alias("i"), F.col("value").cast("double").alias("v")))).alias("__e"))
+    dense = F.transform("__e", lambda e: e["i"]) == F.transform(F.sequence(F.lit(0), F.size("__e") - 1), lambda i: i.cast("long"))
+    values = F.when(dense, F.transform("__e", lambda e: e["v"])).otherwise(F.raise_error(F.concat(F.lit("gaps in tensor "), "name")).cast("array<double>"))
+    return rows.select("model", "name", "block", values.alias("values"))
+
+
+def unblocked(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """model, name, idx, value of blocks."""
+    return blocks.select("model", "name", "block", F.posexplode("values").alias("i", "value")).select("model", "name", (F.col("block") * size + F.col("i")).alias("idx"), "value")
+
+
+def distances(blocks: DataFrame, base: str, targets: dict[str, float] | None = None) -> DataFrame:
+    """model, actual_distance, num_params, l2_per_sqrt_d, actual_over_target of every other model against a base, in one pass.
+
+    The blocks of one place of all models meet by a single shuffle of blocks, whatever the number of models; parameters that don't take part, and
+    places that the base lacks, are left out. Blocks of unequal lengths are an error.
+    """
+    own = blocks.where(perturbed(F.col("name")))
+    met = own.groupBy("name", "block").agg(F.max(F.when(F.col("model") == base, F.col("values"))).alias("a"), F.collect_list(F.when(F.col("model") != base, F.struct("model", "values"))).alias("others"))
+    pairs = met.where("a IS NOT NULL").select("name", "a", F.explode("others").alias("o")).select("name", "a", "o.model", F.col("o.values").alias("b"))
+    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda t, x: t + x)
+    checked = F.when(F.size("a") == F.size("b"), square).otherwise(F.raise_error(F.concat(F.lit("unequal blocks in tensor "), "name")).cast("double"))
+    sums = pairs.select("model", checked.alias("square"), F.size("a").alias("n")).groupBy("model").agg(F.sqrt(F.sum("square")).alias("actual_distance"), F.sum("n").alias("num_params"))
+    target = F.coalesce(*(F.when(F.col("model") == m, F.lit(float(t))) for m, t in targets.items())) if targets else F.lit(None).cast("double")
+    ratio = F.when(target > 0, F.col("actual_distance") / target).when(target.isNotNull(), F.lit(float("inf")))
+    return sums.select("model", "actual_distance", "num_params", (F.col("actual_distance") / F.sqrt("num_params")).alias("l2_per_sqrt_d"), ratio.alias("actual_over_target"))
+
+
+def direction_blocks(blocks: DataFrame, start: str, end: str) -> DataFrame:
+    """name, block, values, norm: end - start divided by its norm; a norm of 0 is an error."""
+    own = blocks.where(perturbed(F.col("name")) & F.col("model").isin(start, end))
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("values")))
+    steps = written(own.groupBy("name", "block").agg(of(start).alias("a"), of(end).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("name", "block", F.zip_with("a", "b", lambda x, y: y - x).alias("d")))
+    norm = steps.agg(F.sqrt(F.sum(F.aggregate("d", F.lit(0.0), lambda t, x: t + x * x))).alias("norm")).first()["norm"]
+    if not norm:
+        raise ValueError("the direction is zero")
+    return steps.select("name", "block", F.transform("d", lambda x: x / F.lit(norm)).alias("values"), F.lit(norm).alias("norm"))
+
+
+def _with_step_seeds(blocks: DataFrame, seed: int, steps: int) -> DataFrame:
+    """blocks with seeds, those of their tensor at each step."""
+
+    @F.pandas_udf("array<bigint>")
+    def digests(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: [seed_of(seed, j + 1, n) for j in range(steps)])
+
+    seeds = written(blocks.select(F.col("name").alias("__name")).distinct().withColumn("seeds", digests("__name")))
+    return blocks.join(broadcast_if_small(seeds, 256 + 8 * steps), F.col("name") == F.col("__name")).drop("__name")
+
+
+def gaussian_blocks(blocks: DataFrame, sigma: float, seed: int, step: int = 1, size: int = BLOCK) -> DataFrame:
+    """gaussian_perturb() of blocks: the same noise for the same element."""
+    noisy = F.transform("values", lambda v, i: v + normal(F.col("tensor_seed"), F.col("block") * size + i) * sigma)
+    return with_tensor_seeds(blocks, seed, step).select("model", "name", "block", F.when(perturbed(F.col("name")), noisy).otherwise(F.col("values")).alias("values"))
+
+
+def directional_checkpoints(base: DataFrame, unit: DataFrame, schedule: list[tuple[int, float, float]], seed: int, size: int = BLOCK) -> DataFrame:
+    """model (checkpoint-N), name, block, values: every checkpoint of a schedule (lambda_schedule()) from the base's blocks, each by itself.
+
+    A checkpoint is the base with the steps up to it, lambda * (1 + noise) along the direction. Base and direction meet once, for all of them.
+    """
+    own = unit.select(F.col("name").alias("__n"), F.col("block").alias("__b"), F.col("values").alias("__d"))
+    rows = _with_step_seeds(base, seed, len(schedule)).join(own, (F.col("name") == F.col("__n")) & (F.col("block") == F.col("__b")), "left")
+    steps = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(lam).alias("lam")) for j, _, lam in schedule))
+    rows = rows.withColumn("__to", F.explode(F.array(*(F.lit(j) for j, _, _ in schedule))))
+
+    def moved(v: Column, i: Column) -> Column:
+        scale = F.aggregate(F.filter(F.arrays_zip(steps.alias("s"), F.col("seeds").alias("seed")), lambda x: x["s"]["j"] <= F.col("__to")), F.lit(0.0), lambda t, x: t + x["s"]["lam"] * (1 + normal(x["seed"], F.col("block") * size + i)))
+        return v + F.coalesce(scale * F.get("__d", i), F.lit(0.0))
+
+    return rows.select(F.concat(F.lit("checkpoint-"), F.col("__to").cast("string")).alias("model"), "name", "block", F.transform("values", moved).alias("values"))
+
+
 def run_metadata(spark: SparkSession, lambdas: list[float], radii: list[float], **settings) -> DataFrame:
     """One row that tells a perturbation run's settings, steps and radii, for a sidecar."""
     kinds = {str: "string", bool: "boolean", int: "long", float: "double"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions import answers
-from tamis.operators import allocate, convert, losses, sample, score, tensors
+from tamis.operators import allocate, convert, losses, providers, sample, score, tensors
 from tamis.operators.common import scratch_path, written
 from tamis.plans import oracle as sql
 from tamis.plans.catalog import _ITEMS, _RAW, BUDGET, CKPTS, ENDS, MAIN_WINDOW, eval_items, params, query, raw_records, read, samples, trajs
@@ -203,6 +203,43 @@ def perturbation_sidecar(spark, sf_dir):
     return row.select("base", "start", "seed", "exclude_embeddings", "num_checkpoints", total("lambdas").alias("steps"), total("target_radii").alias("radii"))
 
 
+@query("SELECT doc_id AS sample_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS place, CAST(2 AS BIGINT) AS n_outputs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def outputs_of_one_commit(spark, sf_dir):
+    """A subset and its samples, which become visible together, beside their manifest; in a version of their own."""
+    path = f"{io.claim_version(spark, scratch_path(spark, 'run'))}/selection"
+    pool = read(spark, sf_dir, "documents").selectExpr("doc_id AS sample_id", "source")
+    chosen = read(spark, sf_dir, "labels").where("quality = 1").selectExpr("doc_id AS sample_id")
+    with io.staged(spark, path) as folder:
+        io.write_subset(chosen, f"{folder}/ids")
+        io.write_selected(pool, chosen, f"{folder}/samples")
+    ids = io.with_line_ids(spark.read.parquet(f"{path}/ids"), name="place").withColumn("place", F.col("place") + 1)
+    listed = spark.read.text(f"{path}/{io.MANIFEST}", wholetext=True).select(F.size(F.map_keys(F.from_json(F.get_json_object("value", "$.outputs"), "map<string,int>"))).cast("long").alias("n_outputs"))
+    return spark.read.schema("sample_id long, source string").json(f"{path}/samples").select("sample_id").join(ids, "sample_id").crossJoin(F.broadcast(listed))
+
+
+class WordLengths:
+    """A stand-in for a model: a word's loss is its length times the checkpoint."""
+
+    def __init__(self, checkpoint: int):
+        self.checkpoint = checkpoint
+
+    def losses(self, prompts: list[str], responses: list[str], most: int) -> list[list[float]]:
+        return [[float(len(w) * self.checkpoint) for w in [w for w in r.split(" ") if w][: most if most >= 0 else None]] for r in responses]
+
+
+@query("SELECT c AS ckpt, count(*) AS n_samples, CAST(sum(len(w)) AS BIGINT) AS n_tokens, CAST(sum(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) * c) AS BIGINT) AS total, CASE WHEN c = 4 THEN count(*) ELSE 0 END AS scored_again FROM (SELECT list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')[1:50] AS w FROM documents), (VALUES (1), (2), (4)) v(c) GROUP BY c")
+def provider_losses_resumed(spark, sf_dir):
+    """A loss table filled by a provider in two runs: the second adds a checkpoint and scores nothing else."""
+    path = scratch_path(spark, "token-losses")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("prompt"), F.col("text").alias("response"))
+    providers.store_token_losses(rows, WordLengths, [1, 2], path, 50)
+    again = providers.store_token_losses(rows, WordLengths, [1, 2, 4], path, 50)
+    scored = F.coalesce(*(F.when(F.col("ckpt") == c, F.lit(n)) for c, n in again.items()), F.lit(0)).cast("long")
+    total = F.aggregate("losses", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    sums = providers.stored_losses(spark, path).groupBy("ckpt").agg(F.count("*").alias("n_samples"), F.sum(F.size("losses")).alias("n_tokens"), F.sum(total).cast("long").alias("total"))
+    return sums.select("*", scored.alias("scored_again"))
+
+
 # -- strata, budgets and losses ----------------------------------------------------------------------------
 
 
@@ -376,6 +413,30 @@ def directional_steps(spark, sf_dir):
     return moved.agg(F.count("*").alias("n"), F.count(F.when(F.abs("x") > 1e-9, 1)).alias("moved"), F.round(F.sqrt(F.sum(F.col("x") ** 2)), 1).alias("step"))
 
 
+#: Elements of a block of the embeddings that are read as tensors.
+_WIDTH = 64
+
+
+@query("WITH e AS (SELECT CASE label WHEN 0 THEN 'embed_tokens' ELSE 'layer' || label END AS name, vec_id, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings), d AS (SELECT c, (CAST(x AS DOUBLE) + (vec_id * 64 + pos) % 7 * 0.001::DOUBLE * c) - CAST(x AS DOUBLE) AS d FROM e, range(1, 4) t(c) WHERE NOT contains(lower(name), 'embed')) SELECT 'checkpoint-' || c AS model, round(sqrt(sum(d * d)), 6) AS actual_distance, count(*) AS num_params, round(sqrt(sum(d * d)) / sqrt(count(*)), 6) AS l2_per_sqrt_d, round(sqrt(sum(d * d)) / c, 6) AS actual_over_target FROM d GROUP BY c")
+def tensor_distances_of_checkpoints(spark, sf_dir):
+    """The distances of three checkpoints from their base, in one pass over blocks."""
+    base = params(spark, sf_dir).where(F.col("model") == "base")
+    moved = base.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(F.concat(F.lit("checkpoint-"), "c").alias("model"), "name", "idx", (F.col("value") + F.col("idx") % 7 * F.lit(0.001) * F.col("c")).alias("value"))
+    blocks = tensors.blocked(base.unionByName(moved), _WIDTH)
+    made = tensors.distances(blocks, "base", {f"checkpoint-{c}": float(c) for c in (1, 2, 3)})
+    return made.select("model", "num_params", *(F.round(c, 6).alias(c) for c in ("actual_distance", "l2_per_sqrt_d", "actual_over_target")))
+
+
+@query("SELECT 'checkpoint-' || c AS model, (SELECT 64 * count(*) FROM embeddings WHERE label <> 0) AS num_params, TRUE AS at_radius FROM range(1, 5) t(c)")
+def directional_checkpoints_in_blocks(spark, sf_dir):
+    """Four checkpoints along a direction, each from the base: their distances are within a tenth of the schedule's radii."""
+    blocks = written(tensors.blocked(params(spark, sf_dir), _WIDTH))
+    base, schedule = blocks.where(F.col("model") == "base"), tensors.lambda_schedule(4, 8.0, 2.0)
+    made = tensors.directional_checkpoints(base, tensors.direction_blocks(blocks, "base", "moved"), schedule, 42, _WIDTH)
+    found = tensors.distances(base.unionByName(made), "base", {f"checkpoint-{j}": radius for j, radius, _ in schedule})
+    return found.select("model", "num_params", F.col("actual_over_target").between(0.9, 1.1).alias("at_radius"))
+
+
 @query()
 def tensor_seeds(spark, sf_dir):
     """The seed of each tensor's noise; BLAKE2b has no SQL, tests compare it with hashlib."""

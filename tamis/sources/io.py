@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +22,9 @@ from pyspark.sql import types as T
 from tamis.operators.common import broadcast_if_small, written
 from tamis.operators.losses import parse_checkpoints
 
+#: The list of what a folder of several outputs holds, and the mark of a version that someone took.
+MANIFEST, CLAIM = "manifest.json", "claimed"
+
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType | None = None, split: str | None = None) -> DataFrame:
     """Samples from JSON lines (.jsonl), a JSON array (.json) or a folder of Parquet (else), of a split those files whose names begin with it."""
@@ -159,6 +167,56 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").option("sep", "\t").option("header", "true").csv(path)
 
 
+def _system(spark: SparkSession, path: str):
+    """A path of Hadoop's and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def staged(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder to write several outputs to, which become `folder` together, or not at all.
+
+    They are written beside it; at the end a manifest of their names and files is added, and one rename makes them visible. After an
+    error nothing is left, so that a retry isn't in its own way. A folder that is there already is an error, before and after.
+    """
+    place, system = _system(spark, folder)
+    if system.exists(place):
+        raise FileExistsError(f"{folder} exists already")
+    beside = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    made, _ = _system(spark, beside)
+    system.mkdirs(made)
+    try:
+        yield beside
+        outputs = {name: sum(1 for file in folder_names(spark, f"{beside}/{name}") if not file.startswith(("_", "."))) for name in folder_names(spark, beside)}
+        write_file(spark, f"{beside}/{MANIFEST}", json.dumps({"outputs": outputs}, indent=2))
+        if system.exists(place) or not system.rename(made, place):
+            raise FileExistsError(f"{folder} exists already")
+    finally:
+        system.delete(made, True)
+
+
+def claim_version(spark: SparkSession, root: str) -> str:
+    """The next version_N below root, made and taken: no one else gets it, even at the same time."""
+    place, system = _system(spark, root)
+    system.mkdirs(place)
+    n = int(next_version(folder_names(spark, root)).removeprefix("version_"))
+    while True:
+        path = f"{root}/version_{n}"
+        try:
+            if system.getUri().getScheme() == "file":  # its create() looks first and then writes; making a folder is one step
+                os.mkdir(path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:"))
+            else:
+                system.create(_system(spark, f"{path}/{CLAIM}")[0], False).close()
+            return path
+        except FileExistsError:
+            n += 1
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            n += 1
+
+
 def read_eval_suite(spark: SparkSession, path: str, skipped: tuple[str, ...] = ("HumanityLastExam",)) -> DataFrame:
     """source, question, options, answer_idx, answer from {source: [items]}, or from a list as source normal; skipped sources go."""
     item = "array<struct<question:string,options:map<string,string>,answer_idx:string,answer:string>>"

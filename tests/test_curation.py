@@ -705,3 +705,103 @@ def test_full_queries_run_twenty_rounds_over_the_main_window(spark):
     for i, (n, d) in brute_lloyd(vectors, 10, 20).items():
         best[n] = min(best.get(n, (d, i)), (d, i))
     assert {r.cluster_id: r.sample_id for r in catalog.queries()["embedding_medoids"](spark, sf).collect()} == {n: i for n, (_, i) in best.items()}
+
+
+def test_blocks_give_what_elements_give(spark):
+    rows = [(m, n, i, (i % 5) * 0.5 + k * (i % 3)) for k, m in enumerate(("a", "b", "c")) for n, size in (("layer.0", 11), ("embed", 4), ("w", 3)) for i in range(size)]
+    params = spark.createDataFrame(rows, "model string, name string, idx long, value double")
+    blocks = tensors.blocked(params, 4)
+    assert sorted(map(tuple, tensors.unblocked(blocks, 4).collect())) == sorted(rows)
+    made = {r.model: r for r in tensors.distances(blocks, "a", {"b": 2.0, "c": 0.0}).collect()}
+    for m in ("b", "c"):
+        want = one(tensors.distance(params, "a", m))
+        assert made[m].actual_distance == pytest.approx(want.actual_distance) and made[m].num_params == want.num_params == 14
+    assert made["b"].actual_over_target == pytest.approx(made["b"].actual_distance / 2) and made["c"].actual_over_target == float("inf")
+    unit = tensors.direction_blocks(blocks, "a", "b")
+    per_element = {(r["name"], r.idx): r.value for r in tensors.direction(params, "a", "b").collect()}
+    flat = {(r["name"], r.idx): r.value for r in tensors.unblocked(unit.withColumn("model", F.lit("u")), 4).collect()}
+    assert flat == pytest.approx(per_element)
+    with pytest.raises(ValueError, match="zero"):
+        tensors.direction_blocks(blocks, "a", "a")
+    base = params.where("model = 'a'")
+    noisy = {(r["name"], r.idx): r.value for r in tensors.gaussian_perturb(base, 0.5, 7).collect()}
+    assert {(r["name"], r.idx): r.value for r in tensors.unblocked(tensors.gaussian_blocks(blocks.where("model = 'a'"), 0.5, 7, size=4), 4).collect()} == pytest.approx(noisy)
+    # two steps by element are the second checkpoint
+    schedule = tensors.lambda_schedule(2, 3.0)
+    steps = base
+    for j, _, lam in schedule:
+        steps = tensors.directional_step(steps, tensors.direction(params, "a", "b"), lam, 7, j)
+    want = {(r["name"], r.idx): r.value for r in steps.collect()}
+    got = tensors.unblocked(tensors.directional_checkpoints(blocks.where("model = 'a'"), unit, schedule, 7, 4), 4).where("model = 'checkpoint-2'").collect()
+    assert {(r["name"], r.idx): r.value for r in got} == pytest.approx(want)
+    with pytest.raises(Exception, match="gaps"):
+        tensors.blocked(params.where("idx <> 1"), 4).collect()
+    plan = tensors.distances(blocks, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # whatever the number of models
+
+
+def test_scoring_goes_on_where_it_stopped(spark, tmp_path):
+    import os
+
+    from tamis.operators import providers
+
+    class Scorer:
+        """Losses are the words' lengths; what it was made for and given is written down."""
+
+        def __init__(self, checkpoint, folder):
+            self.checkpoint, self.folder = checkpoint, folder
+
+        def losses(self, prompts, responses, most):
+            import uuid
+
+            with open(f"{self.folder}/{self.checkpoint}-{uuid.uuid4().hex}", "w") as file:
+                file.write(str(len(responses)))
+            if "break" in prompts:
+                raise RuntimeError("broken off")
+            return [[float(len(w)) for w in r.split()] for r in responses]
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    folder, path = str(seen), str(tmp_path / "losses")
+    make = lambda c: Scorer(c, folder)
+    df = spark.createDataFrame([(i, "p", "w " * i) for i in range(10)], "sample_id long, prompt string, response string")
+    assert providers.store_token_losses(df, make, [1, 2], path) == {1: 10, 2: 10}
+    for name in os.listdir(folder):
+        os.remove(f"{folder}/{name}")
+    assert providers.store_token_losses(df, make, [1, 2], path) == {} and not os.listdir(folder)  # no model is made
+    more = df.unionByName(spark.createDataFrame([(50, "p", None)], df.schema))
+    assert providers.store_token_losses(more, make, [1, 2, 4], path) == {1: 1, 2: 1, 4: 11}
+    with pytest.raises(Exception, match="broken off"):
+        providers.store_token_losses(df.withColumn("prompt", F.when(F.col("sample_id") == 3, "break").otherwise(F.col("prompt"))), make, [8], path)
+    assert providers.store_token_losses(df, make, [8], path) == {8: 10}  # nothing of the broken run counts
+    spark.read.parquet(f"{path}/ckpt=4").write.mode("append").parquet(f"{path}/ckpt=4")
+    rows = providers.stored_losses(spark, path).collect()
+    assert len(rows) == 11 + 11 + 11 + 10 and all(len(r.losses) == (r.sample_id if r.sample_id < 50 else 0) for r in rows)
+    assert providers.by_length([5, 1, 9, 1, 100], 12) == [[1, 3], [0], [2], [4]] and providers.by_length([]) == []
+
+
+def test_outputs_appear_together_or_not_at_all(spark, tmp_path):
+    import json
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    target = str(tmp_path / "runs" / "x")
+    with pytest.raises(RuntimeError, match="killed"), io.staged(spark, target) as folder:
+        io.write_subset(spark.range(3).withColumnRenamed("id", "sample_id"), f"{folder}/ids")
+        raise RuntimeError("killed")
+    assert os.listdir(tmp_path / "runs") == []  # a retry isn't blocked
+    with io.staged(spark, target) as folder:
+        io.write_subset(spark.range(3).withColumnRenamed("id", "sample_id"), f"{folder}/ids")
+        assert not os.path.exists(target)
+        io.write_sidecar(spark.range(1), f"{folder}/side")
+    with open(f"{target}/{io.MANIFEST}") as file:
+        assert set(json.load(file)["outputs"]) == {"ids", "side"}
+    assert spark.read.parquet(f"{target}/ids").count() == 3
+    with pytest.raises(FileExistsError), io.staged(spark, target):
+        pass
+    with pytest.raises(FileExistsError), io.staged(spark, str(tmp_path / "late")) as folder:
+        os.mkdir(tmp_path / "late")
+    with ThreadPoolExecutor(8) as pool_:
+        made = list(pool_.map(lambda _: io.claim_version(spark, str(tmp_path / "versions")), range(8)))
+    assert sorted(made) == sorted(f"{tmp_path}/versions/version_{n}" for n in range(8))
+    assert io.claim_version(spark, f"file://{tmp_path}/versions").endswith("version_8")
