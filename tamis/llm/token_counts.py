@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tokenizers import normalizers
 
 from tamis.llm.bpe import END, Memo, Merges, PrefixCounts
-from tamis.llm.classes import LAST, Pieces, runs, spelled
+from tamis.llm.classes import BEYOND, LAST, PLANE, Pieces, runs, spelled
 from tamis.llm.runtime import map_rows, resident
 
 #: What a worker remembers: bytes of runs, and states of the transducer.
@@ -87,17 +87,17 @@ class Counter:
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))).split if self.specials else lambda text: [text]
         self.runs = Pieces(rf"(?:{pattern})\s*|\s+")
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.unlike = re.compile(f"[{spelled(runs(unlike(self.library.normalize_str)), LAST)}]")
+        self.unlike = re.compile(f"[{spelled(runs(unlike(self.library.normalize_str)), PLANE)}]")
         self.memo = Memo(self.run_counts, MEMO_BYTES, lambda run, made: RUN_BYTES + 2 * len(run) + len(made))
 
     def normal(self, text: str) -> str:
         """Composed and in lower case, character by character (a final sigma is no exception).
 
-        Texts with characters that Python's Unicode tables and the library's don't share are left to the library's normaliser.
+        Texts with characters that Python's Unicode tables and the library's don't share, or beyond the first plane, are left to the library's normaliser.
         """
         if text.isascii():
             return text.lower()
-        if self.unlike.search(text):
+        if BEYOND.search(text) or self.unlike.search(text):
             return self.library.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
