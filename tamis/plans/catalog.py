@@ -44,12 +44,14 @@ ALIASES = {f"{name}_full": name for name in ("kmeans_lloyd_losses", "cluster_siz
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tamis.plans import round_trips  # noqa: F401  registers its queries here
 
-    return QUERIES | {alias: QUERIES[name] for alias, name in ALIASES.items()}
+    QUERIES.update({alias: QUERIES[name] for alias, name in ALIASES.items()})
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    return ORACLE_SQL | {alias: ORACLE_SQL[name] for alias, name in ALIASES.items()}
+    ORACLE_SQL.update({alias: ORACLE_SQL[name] for alias, name in ALIASES.items()})
+    return ORACLE_SQL
 
 
 # -- inputs ------------------------------------------------------------------------------------------------
