@@ -260,6 +260,45 @@ def test_lloyd_is_brute_force(spark, width, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("block_values", [1 << 24, 90])
+@pytest.mark.parametrize("width", [1, 3, 70])
+def test_bounds_and_blocks_give_the_same_clusters(spark, width, block_values, monkeypatch):
+    rng = random.Random(width)
+    rows = [(i, [None, "a", 'b"'][i % 3], [rng.randint(-5, 5) if i % 2 else rng.choice([-50, 50]) for _ in range(width)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, traj array<bigint>").withColumn("k", F.when(F.col("source") == "a", 9).when(F.col("source").isNull(), 1).otherwise(4))
+    df = df.unionByName(df.where("source = 'a'").withColumns({"source": F.lit("none"), "k": F.lit(0), "sample_id": F.col("sample_id") + 1000}))
+    plain = {r.sample_id: (r.source, r.cluster_id, r.dist) for r in cluster.lloyd(df, ("source",), "k", niter=6).collect()}
+    monkeypatch.setattr(cluster, "BOUNDS_FROM", 2)
+    monkeypatch.setattr(cluster, "BLOCK_VALUES", block_values)
+    kept = cluster.lloyd(df, ("source",), "k", niter=6)
+    assert kept.columns == [*df.columns, "cluster_id", "dist"]
+    assert {r.sample_id: (r.source, r.cluster_id, r.dist) for r in kept.collect()} == plain and len(plain) == 150
+    want = {}
+    for s, k in ((None, 1), ("a", 9), ('b"', 4)):
+        want |= brute_clusters([(i, x) for i, t, x in rows if t == s], k, 6)
+    assert {i: c for i, (_, c, _) in plain.items()} == want
+    assert cluster.lloyd(df.where("false"), ("source",), "k").count() == 0
+
+
+def test_bounds_spare_distances(spark):
+    """10,000 rows and 200 clusters: settled rows don't meet all centroids again."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 1_000_000, (200, 4))[rng.integers(0, 200, 10_000)] + rng.integers(-5_000, 5_000, (10_000, 4))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(points.tolist())], "sample_id long, traj array<bigint>").withColumns({"source": F.lit("s"), "k": F.lit(200)})
+    met = []
+    got = {r.sample_id: (r.cluster_id, r.dist) for r in cluster.lloyd(df, ("source",), "k", niter=10, met=met).collect()}
+    order = sorted(range(len(points)), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    centers = points[order[:200]]
+    for _ in range(10):
+        at, _ = cluster.nearest_rows(points, centers)
+        sums, n = np.zeros_like(centers), np.bincount(at, minlength=200)
+        np.add.at(sums, at, points)
+        centers = np.where(n[:, None] > 0, sums // np.maximum(n, 1)[:, None], centers)
+    at, dist = cluster.nearest_rows(points, centers)
+    assert got == {i: (int(a), int(d)) for i, (a, d) in enumerate(zip(at, dist, strict=True))}
+    assert met[0] == 10_000 and met[-1] < 5_000 and sum(met) < 0.7 * 10_000 * len(met)
+
+
 def test_close_distances_are_decided_exactly():
     big = 2_000_000_000
     centers = np.array([[big, 0], [0, big], [1, big - 1], [big, 1]], np.int64)
