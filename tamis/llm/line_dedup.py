@@ -63,6 +63,9 @@ def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_ch
     drops = hits.groupBy("__doc", "__ta", "__tb").agg(F.collect_set("pos").alias("__drops"))
     names = [c for c in df.columns if c not in (kept, "n_lines", "n_dropped")]
     rows = df.select(*(F.col(c) for c in names), F.coalesce(F.col(text), F.lit("")).alias("__text"), *_row_key(F.col(text), F.col(doc_id)))
+    # texts too short for a key drop nothing: a key of its own for each keeps empty ones of null ids from meeting in one task
+    short = F.length("__text") < min_chars
+    rows = rows.withColumns({"__doc": F.when(~short, F.col("__doc")), "__ta": F.when(short, F.monotonically_increasing_id()).otherwise(F.col("__ta"))})
     joined = rows.join(drops, ["__doc", "__ta", "__tb"], "left")
     joined = joined.withColumn("__lines", F.when(F.col("__drops").isNotNull(), F.split("__text", "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drops")  # by a hash set, in order

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.runtime import broadcast_if_small, map_rows, release, small_batches, written
+from tamis.llm.runtime import broadcast_if_small, join_in_parts, map_rows, release, small_batches, written
 
 SEED = 42
 #: The tree is fitted on so many fingerprints at most, drawn by hash; a shard aims at leaf_rows of them.
@@ -373,7 +373,7 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     placed = points.join(stars, points["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias(name))
     labels = placed.join(named, "root").select(F.col("fp").alias("__fp"), name)
-    return marked.join(labels, F.col("fp") == F.col("__fp")).select(*(c for c in names if c != text), "fp", name)
+    return join_in_parts(marked, labels, {"fp": "__fp"}, "inner").select(*(c for c in names if c != text), "fp", name)
 
 
 # -- near duplicates by similarity ------------------------------------------------------------------------

@@ -8,7 +8,7 @@ the tops of a URL's stacks the longest rule wins, then the one of the longer hos
 
 The sweep is dealt by reversed host and a salt that grows with the number of different URLs; the events are
 repeated for each salt, which is their number times the salts. A host with a third of all URLs is thus cut
-into many sorted runs, and equal URLs are judged once.
+into many sorted runs, and equal URLs are judged once; rows of a frequent URL, or of none, meet its verdict in parts.
 
 Null URLs and those without "://" have an empty host and path and get the default verdict. Of rules that name
 the same host and path, a blocking one holds. Very long URLs are looked up whole, once for each label of their host. An
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.runtime import ascii_lower, broadcast_if_small, written
+from tamis.llm.runtime import ascii_lower, broadcast_if_small, join_in_parts, written
 
 #: Fixed values: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -86,5 +86,5 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     top = active.select("host", "path", F.element_at("active", -1).alias("top"), F.length("level").alias("n_level"))
     best = top.groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), "n_level", "top.rule", "top.verdict")).alias("best"))
     best = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "best")
-    judged = rows.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    judged = join_in_parts(rows, best, {"host": "__host", "path": "__path"})
     return judged.select(*names, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

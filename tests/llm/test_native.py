@@ -51,6 +51,14 @@ def test_lines_that_meet_the_repeated_ones_in_parts(spark, monkeypatch, hot):
     assert got == brute_lines(rows)
 
 
+def test_texts_too_short_for_a_key_are_spread(spark):
+    """Rows of a null id and an empty text have keys of their own, and no text changes for it."""
+    rows = [(None, "")] * 300 + [(None, None), (None, "x\n\ny")] + [(i, "A line that three documents have\n\nz") for i in range(3)] + [(None, "A line that three documents have")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(df).collect()), key=str)
+    assert got == brute_lines(rows)
+
+
 def test_very_many_lines_take_seconds(spark):
     lines = [f"line number {i} of this very long text" for i in range(40_000)]
     df = spark.createDataFrame([(i, "\n".join([*lines, f"own {i}"])) for i in range(3)], "doc_id long, text string").repartition(3)
@@ -178,6 +186,19 @@ def test_url_rules(spark, rules):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {i: brute_url(u, blocked_wins) for i, u in enumerate(URLS)}
 
 
+@pytest.mark.parametrize("share", [0.001, 0.1])
+def test_frequent_urls_meet_their_verdict_in_parts(spark, monkeypatch, share):
+    """A third of the rows without a URL, a third with the same, very long URLs, repeated rows, and earlier columns of the outputs' names."""
+    from tamis.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT_SHARE", share)
+    urls = [None] * 100 + ["http://www.example.org/es/all"] * 100 + ["http://a.com/de/" + "x" * 50_000, f"http://{'a.' * 60}com/fr/"] + URLS * 2
+    df = spark.createDataFrame([(i // 2, u, "h", "p", 1, 2.0, "w") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule int, verdict double, word string")
+    judged = url_rules.judge(df, url_rules.rule_table(spark))
+    assert judged.columns == ["page_id", "url", "word", "host", "path", "rule", "verdict"]
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judged.collect()), key=str) == sorted(((i // 2, *brute_url(u, url_rules.RULES)) for i, u in enumerate(urls)), key=str)
+
+
 def test_url_rules_on_empty_tables(spark):
     pages, rules = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "host string, path string, verdict string")
     assert url_rules.judge(pages, url_rules.rule_table(spark)).count() == 0
