@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import convert, losses, sample, score
 from tamis.operators.common import written
-from tamis.plans.config import SelectionConfig
+from tamis.plans.config import SelectionConfig, read_settings
 from tamis.plans.select import select
 from tamis.sources import io
 
@@ -32,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--dump-losses", action="store_true", help="write the losses that were used beside the selection")
     one.add_argument("--subset", help="ids to choose from")
     one.add_argument("--output", required=True, help="must not exist")
-    one.add_argument("--config", help="JSON file; explicit options win over it")
+    one.add_argument("--config", help="JSON or YAML file; explicit options win over it")
+    one.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting that wins over the file's; dots lead into nested ones")
     one.add_argument("--method")
     one.add_argument("--checkpoints")
     for name in ("size", "n-clusters", "n-sample-per-cluster", "seed", "niter"):
@@ -79,11 +80,7 @@ def trajectories_of(spark: SparkSession, args: argparse.Namespace, config: Selec
 def run_select(spark: SparkSession, args: argparse.Namespace) -> None:
     given = {f.name: getattr(args, f.name) for f in fields(SelectionConfig)}
     given["sources"] = {k: tuple(v) for k, v in json.loads(args.sources).items()} if args.sources else None
-    file: dict = {}
-    if args.config:
-        with open(args.config) as handle:
-            file = json.load(handle)
-    config = SelectionConfig(**given).merged(file)
+    config = SelectionConfig(**given).merged(read_settings(args.config, args.set))
     samples = io.read_samples(spark, args.samples)
     if args.subset:
         samples = sample.apply_subset(samples, spark.read.parquet(args.subset))

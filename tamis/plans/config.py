@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 METHODS = ("learnability", "high_loss_clusters", "middle_perplexity", "embedding", "longest_reasoning", "learnability_baseline", "random")
@@ -68,3 +70,42 @@ class SelectionConfig:
 
 
 DEFAULTS = {"method": "learnability", "softmax": False, "all_samples": False, "cluster_features": "raw", "seed": 42, "niter": 20, "compat": False}
+
+
+def read_settings(path: str | None, overrides: Iterable[str] = ()) -> dict:
+    """The settings of a JSON or, by its ending, YAML file, with overrides such as size=500 or sources.web=[4,100].
+
+    An override's value is read as JSON and is text if it isn't any; a dot leads into a nested setting. Without a file
+    there are only overrides; an empty file has no settings. YAML needs PyYAML.
+    """
+    found: dict = {}
+    if path:
+        with open(path, encoding="utf-8") as handle:
+            text = handle.read()
+        if path.lower().endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ModuleNotFoundError as error:
+                raise ValueError(f"{path} is YAML, and PyYAML isn't there; give JSON") from error
+            found = yaml.safe_load(text) or {}
+        elif text.strip():
+            found = json.loads(text)
+        if not isinstance(found, dict):
+            raise ValueError(f"{path} has to hold settings by name")
+    for item in overrides:
+        name, given, value = item.partition("=")
+        if not given or not all(name.split(".")):
+            raise ValueError(f"an override is name=value, not {item}")
+        at, (*outer, last) = found, name.split(".")
+        for part in outer:
+            at[part] = at.get(part) or {}
+            at = at[part]
+            if not isinstance(at, dict):
+                raise ValueError(f"{name}: {part} holds a value, not settings")
+        try:
+            at[last] = json.loads(value)
+        except json.JSONDecodeError:
+            at[last] = value
+    if found.get("sources"):
+        found["sources"] = {source: tuple(pair) for source, pair in found["sources"].items()}
+    return found

@@ -111,3 +111,26 @@ def test_contiguous_split():
     assert allocate.contiguous_split(10, 4) == [(0, 3), (3, 6), (6, 8), (8, 10)] and allocate.contiguous_split(1, 3) == [(0, 1), (1, 1), (1, 1)]
     with pytest.raises(ValueError):
         allocate.contiguous_split(1, 0)
+
+
+def test_settings_of_files_and_overrides(tmp_path):
+    from tamis.plans.config import SelectionConfig, read_settings
+
+    (tmp_path / "a.json").write_text('{"size": 5, "sources": {"web": [2, 10]}}')
+    (tmp_path / "empty.yaml").write_text("")
+    (tmp_path / "list.json").write_text("[1]")
+    path = str(tmp_path / "a.json")
+    assert read_settings(path) == {"size": 5, "sources": {"web": (2, 10)}}
+    assert read_settings(path, ["size=7", "sources.other=[1, 0]", "method=learnability"]) == {"size": 7, "method": "learnability", "sources": {"web": (2, 10), "other": (1, 0)}}
+    assert read_settings(None) == {} and read_settings(None, ["softmax=true"]) == {"softmax": True}
+    config = SelectionConfig(seed=1).merged(read_settings(path, ["seed=2", "niter=3"]))
+    assert (config.seed, config.niter, config.sources) == (1, 3, {"web": (2, 10)})
+    for bad in ("size", "=3", "sources..web=1", "size.x=3"):
+        with pytest.raises(ValueError):
+            read_settings(path, [bad])
+    with pytest.raises(ValueError, match="by name"):
+        read_settings(str(tmp_path / "list.json"))
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("size: 5\nsources:\n  web: [2, 10]\n")
+    assert read_settings(str(tmp_path / "a.yaml"), ["sources.web=[3, 9]"]) == {"size": 5, "sources": {"web": (3, 9)}}
+    assert read_settings(str(tmp_path / "empty.yaml")) == {}
