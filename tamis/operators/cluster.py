@@ -28,6 +28,8 @@ from tamis.operators.common import broadcast_if_small, remove, scratch_path, sto
 BLOCK_VALUES = 1 << 24
 #: From so many clusters in a stratum on, rows keep bounds from round to round; below, distances cost less than keeping them.
 BOUNDS_FROM = 64
+#: Partitions of fewer values are put together, up to the number of cores.
+PART_VALUES = 1 << 20
 #: What floating-point bounds are loosened by, as a share and as a length.
 SLACK, LEAST_SLACK = 1e-12, 1e-9
 #: Rows are compared with the centroids in blocks of so many distances.
@@ -269,10 +271,12 @@ def lloyd(df: DataFrame, strata: tuple[str, ...], k: str, features: str = "traj"
     """
     spark = df.sparkSession
     df = df.where(F.col(k) >= 1)
-    largest, least_width, most_width, short = df.agg(F.max(k), F.min(F.size(features)), F.max(F.size(features)), F.min_by(ident, F.size(features))).first()
+    largest, least_width, most_width, short, n_rows = df.agg(F.max(k), F.min(F.size(features)), F.max(F.size(features)), F.min_by(ident, F.size(features)), F.count("*")).first()
     if least_width != most_width:
         raise ValueError(f"rows have from {least_width} to {most_width} features, such as {ident} {short}")
     largest = largest or 0
+    # every round starts a Python task for each partition: no more of them than cores, but for parts of PART_VALUES
+    df = df.coalesce(max(spark.sparkContext.defaultParallelism, n_rows * (most_width or 0) // PART_VALUES))
     # a constant bound stops the ranking of a stratum early, on ids alone; the features of the chosen rows come after
     order = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", ident))
     ranked = df.select(*strata, ident, F.col(k).cast("long").alias("__k"), hash_order(seed, ident).alias("__h")).withColumn("__n", order)
