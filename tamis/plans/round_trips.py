@@ -404,13 +404,16 @@ def gaussian_noise_statistics(spark, sf_dir):
 
 @query("WITH d AS (SELECT CASE label WHEN 0 THEN 'embed_tokens' ELSE 'layer' || label END AS name, 64 * count(*) AS n FROM embeddings GROUP BY label) SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN name <> 'embed_tokens' THEN n END) AS BIGINT) - (SELECT count(*) FROM (SELECT vec_id, unnest(range(64)) AS pos FROM embeddings WHERE label <> 0) WHERE (vec_id * 64 + pos) % 7 = 0) AS moved, 1.4::DOUBLE AS step FROM d")
 def directional_steps(spark, sf_dir):
-    """A step along the unit direction between two models: its size with noise of deviation 1 is sqrt(2) times the radius."""
+    """A step along the unit direction between two models: its size with noise of deviation 1 is sqrt(2) times the radius.
+
+    An element counts as moved however little: in a large model noise near -1 takes the step of some below any bound.
+    """
     both = params(spark, sf_dir)
     base = both.where(F.col("model") == "base")
     unit = tensors.direction(both, "base", "moved")
     after = tensors.directional_step(base, unit, 1.0, 42).select("name", "idx", F.col("value").alias("after"))
     moved = base.join(after, ["name", "idx"]).select((F.col("after") - F.col("value")).alias("x"))
-    return moved.agg(F.count("*").alias("n"), F.count(F.when(F.abs("x") > 1e-9, 1)).alias("moved"), F.round(F.sqrt(F.sum(F.col("x") ** 2)), 1).alias("step"))
+    return moved.agg(F.count("*").alias("n"), F.count(F.when(F.col("x") != 0, 1)).alias("moved"), F.round(F.sqrt(F.sum(F.col("x") ** 2)), 1).alias("step"))
 
 
 #: Elements of a block of the embeddings that are read as tensors.

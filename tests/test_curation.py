@@ -658,6 +658,19 @@ def test_noise_is_normal_and_repeatable(spark):
     assert made.exceptAll(again).count() == 0
 
 
+def test_the_least_step_counts_as_moved(spark, tmp_path):
+    """Element 25,015,677 of layer1 gets noise so near -1 that its step is below 1e-9; DuckDB says how many move."""
+    import duckdb
+
+    from tamis.plans import catalog
+
+    spark.range(390_600, 391_000).selectExpr("id AS vec_id", "array_repeat(0.5F, 64) AS embedding", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = one(catalog.queries()["directional_steps"](spark, str(tmp_path)))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        assert tuple(got) == db.execute(catalog.oracle_sql()["directional_steps"]).fetchone()
+
+
 def test_weighted_losses(spark):
     df = spark.createDataFrame([(1, [1.0, float("inf"), None]), (1, [3.0]), (2, []), (3, [8.0])], "ckpt int, losses array<double>")
     rows = {r.ckpt: r for r in tensors.against_base(tensors.weighted_loss(df), 1).collect()}
