@@ -12,9 +12,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.common import written
+from tamis.operators.common import remove, scratch_path, stored, written
 
-SERIES = {"perturbation": "1000 + {j} * (100 + (sample_id * 7919 + t * 104729) % 97)", "training": "2000 - {j} * (100 + (sample_id * 7919 + t * 104729) % 97)"}
+#: What a token's factor depends on beside the checkpoint: under 97, and over -97 for negative ids.
+PHASE = "(sample_id * 7919 + CAST(t AS BIGINT) * 104729) % 97"
+SERIES = {"perturbation": "1000 + {j} * (100 + {phase})", "training": "2000 - {j} * (100 + {phase})"}
 
 
 def parse_checkpoints(spec: str) -> set[int]:
@@ -172,15 +174,25 @@ def words(text: Column, most: int | None = None) -> Column:
 FREQUENT = 20_000
 
 
+def word_counts(samples: DataFrame) -> DataFrame:
+    """word, n: how often the samples have each word."""
+    return samples.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def information(n: Column, total: int) -> Column:
+    """Of a word with n of the total, in millionths of a nat."""
+    return F.round(-F.log(n.cast("double") / F.lit(total)) * 1e6).cast("long")
+
+
 def tokens(samples: DataFrame, most: int | None = None) -> DataFrame:
     """sample_id, t, mn: a row for each of a sample's first `most` words (all by default), with its information in the whole corpus.
 
     Words are counted before they are shuffled. Frequent words, which no task could hold by themselves, meet their
     counts in a broadcast of FREQUENT rows at most; only rare words are shuffled.
     """
-    counts = written(samples.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    counts = written(word_counts(samples))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    info = counts.select(F.col("word").alias("__word"), F.round(-F.log(F.col("n").cast("double") / F.lit(total)) * 1e6).cast("long").alias("mn"), "n")
+    info = counts.select(F.col("word").alias("__word"), information(F.col("n"), total).alias("mn"), "n")
     often = F.col("n") * FREQUENT >= F.lit(total)
     rows = samples.select("sample_id", F.posexplode(words(F.col("text"), most)).alias("p", "word"))
     met = rows.join(F.broadcast(info.where(often)), F.col("word") == F.col("__word"), "left").drop("n")
@@ -188,8 +200,30 @@ def tokens(samples: DataFrame, most: int | None = None) -> DataFrame:
     return met.where("mn IS NOT NULL").select("sample_id", "p", "mn").unionByName(rare).select("sample_id", (F.col("p") + 1).alias("t"), "mn")
 
 
-def token_loss(checkpoint: int, series: str = "perturbation") -> Column:
-    return F.expr(f"mn * ({SERIES[series].format(j=checkpoint)}) div 1000")
+def token_loss(checkpoint: int, series: str = "perturbation", phase: str = PHASE) -> Column:
+    return F.expr(f"mn * ({SERIES[series].format(j=checkpoint, phase=phase)}) div 1000")
+
+
+def surrogate_losses(samples: DataFrame, checkpoints: list[int], series: str = "perturbation") -> DataFrame:
+    """ckpt, loss: each token's loss at each checkpoint, in no order and without its sample, for figures over all tokens.
+
+    As no sample's losses meet, only rare words are shuffled, each with the phases of its tokens in a byte apiece (of at most one token
+    in FREQUENT), whose number is the word's count. Of the counts before that only frequent words' are kept.
+    """
+    spark = samples.sparkSession
+    path = scratch_path(spark, "word-counts")
+    counts = stored(word_counts(samples), path)
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    often = written(counts.where(F.col("n") * FREQUENT >= F.lit(total)).select(F.col("word").alias("__word"), information(F.col("n"), total).alias("mn")))
+    remove(spark, path)
+    placed = samples.select("sample_id", F.posexplode(words(F.col("text"))).alias("p", "word")).select("sample_id", (F.col("p") + 1).alias("t"), "word")
+    rows = placed.select("word", F.expr(PHASE).cast("byte").alias("phase"))
+    known = rows.join(F.broadcast(often), F.col("word") == F.col("__word")).select("mn", "phase")
+    rare = rows.join(F.broadcast(often.select("__word")), F.col("word") == F.col("__word"), "left_anti")
+    phases = rare.groupBy("word").agg(F.collect_list("phase").alias("phases"))
+    counted = phases.select(information(F.size("phases"), total).alias("mn"), F.explode("phases").alias("phase"))
+    at = F.array(*(F.struct(F.lit(j).alias("ckpt"), token_loss(j, series, "phase").alias("loss")) for j in checkpoints))
+    return known.unionByName(counted).select(F.explode(at).alias("x")).select("x.ckpt", "x.loss")
 
 
 def surrogate_token_losses(samples: DataFrame, checkpoint: int, series: str = "perturbation", most: int | None = None) -> DataFrame:

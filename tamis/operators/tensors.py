@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.operators.common import broadcast_if_small, written
 
@@ -205,15 +206,17 @@ def checkpoint_metrics(losses: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def weighted_loss(losses: DataFrame) -> DataFrame:
-    """ckpt, loss, tokens: the mean over finite token losses, 0 without any."""
-    tokens = losses.select("ckpt", F.explode_outer("losses").alias("x"))
+    """ckpt, loss, tokens: the mean over finite token losses, 0 without any. They are given in arrays (losses) or one to a row (loss); whole ones are summed as such."""
+    tokens = losses.select("ckpt", F.col("loss").alias("x") if "loss" in losses.columns else F.explode_outer("losses").alias("x"))
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
-    sums = tokens.groupBy("ckpt").agg(F.coalesce(F.sum(F.when(finite, F.col("x").cast("double"))), F.lit(0.0)).alias("s"), F.count(F.when(finite, 1)).alias("tokens"))
+    x = F.col("x") if isinstance(tokens.schema["x"].dataType, T.IntegralType) else F.col("x").cast("double")
+    sums = tokens.groupBy("ckpt").agg(F.coalesce(F.sum(F.when(finite, x)).cast("double"), F.lit(0.0)).alias("s"), F.count(F.when(finite, 1)).alias("tokens"))
     return sums.select("ckpt", (F.col("s") / F.greatest("tokens", F.lit(1))).alias("loss"), "tokens")
 
 
 def against_base(means: DataFrame, base: str | int) -> DataFrame:
-    """means with delta and ratio to a base checkpoint (ratio infinite for a base of 0 or less)."""
+    """means, which are made once, with delta and ratio to a base checkpoint (ratio infinite for a base of 0 or less)."""
+    means = written(means)
     one = means.where(F.col("ckpt") == base).select(F.col("loss").alias("__base"))
     ratio = F.when(F.col("__base") > 0, F.col("loss") / F.col("__base")).otherwise(F.lit(float("inf")))
     return means.crossJoin(F.broadcast(one)).select(*means.columns, (F.col("loss") - F.col("__base")).alias("delta"), ratio.alias("ratio"))

@@ -488,6 +488,5 @@ def gaussian_perturb(spark, sf_dir):
 
 @query(f"WITH {sql.tokens()}, l AS (SELECT unnest([1, 8]) AS ckpt, unnest([{sql.token_loss(1)}, {sql.token_loss(8)}]) AS x FROM tok), m AS (SELECT ckpt, CAST(sum(x) AS DOUBLE) / greatest(count(*), 1) AS loss, count(*) AS tokens FROM l GROUP BY ckpt), b AS (SELECT loss AS base FROM m WHERE ckpt = 1) SELECT CAST(ckpt AS INTEGER) AS ckpt, round(loss, 3) AS loss, tokens, round(loss - base, 3) AS delta, round(loss / base, 9) AS ratio FROM m, b")
 def token_weighted_loss(spark, sf_dir):
-    rows = [losses.surrogate_token_losses(samples(spark, sf_dir), j).select(F.lit(j).alias("ckpt"), "losses") for j in ENDS]
-    made = tensors.against_base(tensors.weighted_loss(rows[0].unionByName(rows[1])), 1)
+    made = tensors.against_base(tensors.weighted_loss(losses.surrogate_losses(samples(spark, sf_dir), ENDS)), 1)
     return made.select("ckpt", F.round("loss", 3).alias("loss"), "tokens", F.round("delta", 3).alias("delta"), F.round("ratio", 9).alias("ratio"))

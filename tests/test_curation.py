@@ -1,7 +1,9 @@
 """Losses, budgets, clusters, samplers, converters, scoring and tensors: golden values, guards and properties."""
 
+import contextlib
 import hashlib
 import math
+import os
 import random
 import time
 
@@ -675,6 +677,44 @@ def test_weighted_losses(spark):
     df = spark.createDataFrame([(1, [1.0, float("inf"), None]), (1, [3.0]), (2, []), (3, [8.0])], "ckpt int, losses array<double>")
     rows = {r.ckpt: r for r in tensors.against_base(tensors.weighted_loss(df), 1).collect()}
     assert (rows[1].loss, rows[1].tokens, rows[3].ratio, rows[2].loss) == (2.0, 2, 4.0, 0.0)
+    flat = spark.createDataFrame([(1, 1 << 60), (1, 1), (2, None)], "ckpt int, loss long")
+    assert {tuple(r) for r in tensors.weighted_loss(flat).collect()} == {(1, float((1 << 60) + 1) / 2, 2), (2, 0.0, 0)}
+
+
+@pytest.mark.parametrize("series", ["perturbation", "training"])
+def test_losses_of_all_tokens(spark, monkeypatch, series):
+    """The same losses as sample by sample, of frequent and rare words, negative ids, a text of many words and texts without any."""
+    monkeypatch.setattr(losses, "FREQUENT", 10)
+    rows = [(-5, "a b\ta\u00c4 b"), (1, None), (2, " \n "), (3, "a " * 30_000 + "end"), (4, " ".join(f"w{i % 700}" for i in range(5_000)))]
+    df = spark.createDataFrame(rows, "sample_id long, text string")
+    made = losses.surrogate_losses(df, [1, 8], series)
+    flat = [losses.surrogate_token_losses(df, j, series).select(F.lit(j).alias("ckpt"), F.explode("losses").alias("loss")) for j in (1, 8)]
+    counted = lambda x: {(r.ckpt, r.loss): r["count"] for r in x.groupBy("ckpt", "loss").count().collect()}
+    assert counted(made) == counted(flat[0].unionByName(flat[1])) and made.count() == 2 * 35_005
+    assert losses.surrogate_losses(df.where("sample_id IN (1, 2)"), [1, 8], series).count() == 0
+
+
+def test_losses_of_all_tokens_take_less_disk_than_texts(spark, tmp_path):
+    """Shuffled tokens of each checkpoint, put together by sample, took several times the texts."""
+    from tamis.operators.common import shared_folder
+    from tamis.plans import catalog
+
+    drawn = random.Random(1)
+    texts = [(i, " ".join(f"word{int(drawn.paretovariate(0.4)) % 200_000}" for _ in range(1_000)), "en", "web") for i in range(1_000)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    folders = [shared_folder(spark).removeprefix("file:"), *local]
+
+    def used():
+        sizes = {}
+        for path in (os.path.join(at, f) for folder in folders for at, _, files in os.walk(folder) for f in files):
+            with contextlib.suppress(FileNotFoundError):  # Spark cleans up meanwhile
+                sizes[path] = os.path.getsize(path)
+        return sizes
+
+    before = used()
+    catalog.queries()["token_weighted_loss"](spark, str(tmp_path)).collect()
+    assert 0 < sum(n for f, n in used().items() if f not in before) < sum(len(t[1]) for t in texts)
 
 
 # -- files -------------------------------------------------------------------------------------------------
